@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, quality, url_filter
+from . import decontaminate, licences, near_dup, packing, quality, token_counts, token_file, toxicity, url_filter
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,23 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.fit(toxicity.labelled_sample(docs, labels, ~toxicity.held_out()))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir), keep_text=False)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The counts are made once and kept as a narrow table; the fit and the verdicts both read it.
     counts = written(quality.with_stats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "stats")
@@ -27,11 +44,31 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= quality.MIN_POSTERIOR))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return packed.select(F.col("id").cast("long").alias("doc_id"), *packed.columns[1:])
+
+
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_file.write_shards(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return token_file.read_documents(shards).withColumnRenamed("id", "doc_id")
+
+
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(table(spark, sf_dir, "documents"), licences.templates(spark))
     return found.select(F.col("id").alias("doc_id"), "licence", F.round("dice", 6).alias("dice"), F.col("n_lines").cast("long").alias("n_lines"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.cluster(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return counted.select(F.col("id").cast("long").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -42,7 +79,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op3_quality_rules, op6_licence_scan, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_quality_rules, op4_packing, op5_token_file, op6_licence_scan, op7_jaccard_join, op8_token_counts, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
