@@ -7,6 +7,8 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .tokens import plain_texts
+
 K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -23,7 +25,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text (runs of other than ASCII white space, A-Z lower-cased) and the texts' bounds."""
-    clean = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    clean = pc.ascii_lower(plain_texts(texts))
     split = pc.ascii_split_whitespace(clean)
     flat = split.flatten()
     owner = pc.list_parent_indices(split).to_numpy(zero_copy_only=False)

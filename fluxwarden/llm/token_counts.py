@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import slices
+from .tokens import plain_texts, slices
 
 #: Fixed value: the pattern of the tokenizer's byte-level pre-tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -126,7 +126,7 @@ class TokenCounter:
         return np.fromiter((self.known[c] for c in cuts), np.int64, len(cuts))
 
     def count(self, texts: pa.Array) -> np.ndarray:
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = plain_texts(texts)
         out = np.zeros(len(texts), np.int64)
         # A space after white space doesn't begin a cut of its own; such texts, and those with special strings that hold a space, are one cut.
         whole = pc.match_substring_regex(texts, r"[\s\v\x1c-\x1f\x{85}\p{Z}] ")

@@ -17,6 +17,14 @@ SLICE_BYTES = 6_000_000
 MAX_WORDS = 600_000
 
 
+def plain_texts(texts: pa.Array) -> pa.Array:
+    """The texts with null as empty, in an array of its own: Arrow's ``ascii_lower`` gives wrong bytes for a slice of an
+    array that doesn't begin at its start."""
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))
+    return pc.fill_null(texts.cast(pa.large_string()), "")
+
+
 class WordEncoder:
     """``encode`` gives a batch's ids and where each text's begin. Memory is bounded by ``max_words`` remembered words;
     when they are reached, it begins anew."""
@@ -49,7 +57,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]; null texts have none."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        split = pc.ascii_split_whitespace(plain_texts(texts))
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
         coded = pc.dictionary_encode(split.flatten())
         # The tokenizer lower-cases; doing so first makes fewer words. Not in words with a special token's marks, which are matched in the raw text.

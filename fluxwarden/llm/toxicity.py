@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, written
+from .tokens import plain_texts
 
 #: Terms that name groups, by kind.
 IDENTITY = (
@@ -55,7 +56,7 @@ def features_of(word: str) -> list[str]:
 def feature_sets(texts: pa.Array, known: dict[str, float] | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Distinct (document, feature) pairs of a batch, and the features (of those known, where given): white-space tokens
     are coded first, so that each distinct token is cut into words once."""
-    tokens = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    tokens = pc.ascii_split_whitespace(pc.ascii_lower(plain_texts(texts)))
     lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
     coded = pc.dictionary_encode(tokens.flatten())
     code: dict[str, int] = {}
