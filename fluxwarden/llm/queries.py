@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, near_dup, packing, quality, token_counts, token_file, toxicity, url_filter
+from . import decontaminate, licences, lm_score, near_dup, packing, quality, token_counts, token_file, toxicity, url_filter
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").cast("long").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(table(spark, sf_dir, "documents"))
+    return scored.select(F.col("id").alias("doc_id"), "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -79,7 +84,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_quality_rules, op4_packing, op5_token_file, op6_licence_scan, op7_jaccard_join, op8_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_quality_rules, op4_packing, op5_token_file, op6_licence_scan, op7_jaccard_join, op8_token_counts, op9_lm_score, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
