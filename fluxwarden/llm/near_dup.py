@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, written
+from .memory import give_back
 from .shingles import K, mix, shingle_sets
 from .tokens import slices
 
@@ -47,6 +48,9 @@ BUCKET_ENTRIES = 2_000_000
 #: Ids broadcast at most (8 bytes each); beyond that, the join shuffles.
 MAX_BROADCAST_IDS = 1_000_000
 BLOCK = 1024
+#: What a task holds at once: bytes of text, and entries before they are packed.
+SLICE_BYTES = 3_000_000
+HELD_ENTRIES = 1_000_000
 
 
 class Bands:
@@ -165,7 +169,7 @@ def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col:
             return out(kind=np.ones(len(cuts), np.int32), **raw)
 
         for batch in batches:
-            for b in slices(batch, 2):
+            for b in slices(batch, 2, SLICE_BYTES):
                 sets, bounds = shingle_sets(b.column(2), shingle)
                 nodes = set_hashes(sets, bounds)
                 yield out(kind=np.zeros(b.num_rows, np.int32), id=b.column(0), text_hash=b.column(1), node=nodes, n=np.diff(bounds), sketch=dense_sketches(sets, bounds))
@@ -177,10 +181,11 @@ def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col:
                 keys, rows = entries(np.concatenate(pick) if pick else sets, own_bounds, bands)
                 held.append((keys, nodes[one][rows] if len(rows) else np.zeros(0, np.int64)))
                 held_rows += len(keys)
-                if held_rows >= 2_000_000 and (x := flush()) is not None:
+                if held_rows >= HELD_ENTRIES and (x := flush()) is not None:
                     yield x
         if held and (x := flush()) is not None:
             yield x
+        give_back()
 
     d = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     return d.mapInArrow(run, SKETCHED)
@@ -220,13 +225,14 @@ def _candidates(table: pa.Table) -> pa.Table:
         runs.append(int(mix(np.array([np.add.reduce(mix(own.view(np.uint64)))]))[0].astype(np.int64)))
         members.append(own.tobytes())
     pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a and sum(map(len, a)) else np.zeros((0, 2), np.int64)
-    both = len(pairs), len(runs)
-    return pa.table({
-        "a": pa.array([*pairs[:, 0], *[None] * both[1]], pa.int64()) if both[1] else pa.array(pairs[:, 0]),
-        "b": pa.array([*pairs[:, 1], *[None] * both[1]], pa.int64()) if both[1] else pa.array(pairs[:, 1]),
-        "run": pa.array([None] * both[0] + runs, pa.int64()),
-        "members": pa.array([None] * both[0] + members, pa.binary()),
+    # Pairs first, then runs.
+    column = lambda kind, first, then: pa.concat_arrays([pa.nulls(len(pairs), kind) if first is None else first, pa.nulls(len(runs), kind) if then is None else then])
+    out = pa.table({
+        "a": column(pa.int64(), pa.array(pairs[:, 0]), None), "b": column(pa.int64(), pa.array(pairs[:, 1]), None),
+        "run": column(pa.int64(), None, pa.array(runs, pa.int64())), "members": column(pa.binary(), None, pa.array(members, pa.binary())),
     })
+    give_back()
+    return out
 
 
 def _may_link(na: Column, nb: Column, num: int, den: int) -> Column:
@@ -268,10 +274,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, bands: Bands,
 
     def run(batches):
         for batch in batches:
-            for b in slices(batch, 1):
+            for b in slices(batch, 1, SLICE_BYTES):
                 sets, bounds = shingle_sets(b.column(1), shingle)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(set_hashes(sets, bounds)), lists], names=["node", "shingles"])
+        give_back()
 
     sets = written(texts.select("key", "text").mapInArrow(run, "node bigint, shingles array<bigint>"), "sets").dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
