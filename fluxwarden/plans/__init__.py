@@ -1,6 +1,6 @@
 """Driver queries: each module registers its own."""
 
-from . import detection, features
+from . import analysis, detection, features
 from .registry import QUERIES, SQL
 
 

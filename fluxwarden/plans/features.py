@@ -150,12 +150,12 @@ def intervals(spark, sf_dir):
     return f.groupBy("src_ip").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "flow_id", "iat"))), lambda x: x["iat"]).alias("a"))
 
 
-@query(f"""select src_ip, round(avg(x),3) as mean, round(stddev_pop(x),3) as std, round(min(x),6) as low, round(max(x),6) as high, round(median(x),7) as median, round(case when avg(x)>0 then stddev_pop(x)/avg(x) else 0e0 end,6) as cv,
+@query(f"""select src_ip, round(avg(x),3) as mean, round(stddev_pop(x),3) as std, round(min(x),6) as low, round(max(x),6) as high, round(quantile_disc(x,0.5),6) as median, round(case when avg(x)>0 then stddev_pop(x)/avg(x) else 0e0 end,6) as cv,
   round(case when count(*)>=4 and stddev_pop(x)>0 then avg(power((x-m)/s,3)) else 0e0 end,5) as skew, round(case when count(*)>=4 and stddev_pop(x)>0 then avg(power((x-m)/s,4))-3 else 0e0 end,4) as kurt
   from (select src_ip, x, avg(x) over (partition by src_ip) as m, stddev_pop(x) over (partition by src_ip) as s from (select src_ip, unnest(a) as x from ({_SERIES}))) group by src_ip""")
 def interval_stats(spark, sf_dir):
     a = F.col("a")
-    cols = {"mean": (arrays.mean(a), 3), "std": (arrays.std(a), 3), "low": (F.array_min(a), 6), "high": (F.array_max(a), 6), "median": (arrays.median(a), 7), "cv": (arrays.cv(a), 6), "skew": (arrays.skewness(a), 5), "kurt": (arrays.kurtosis(a), 4)}
+    cols = {"mean": (arrays.mean(a), 3), "std": (arrays.std(a), 3), "low": (F.array_min(a), 6), "high": (F.array_max(a), 6), "median": (F.get(F.sort_array(a), ((F.size(a) - 1) / 2).cast("int")), 6), "cv": (arrays.cv(a), 6), "skew": (arrays.skewness(a), 5), "kurt": (arrays.kurtosis(a), 4)}
     return intervals(spark, sf_dir).select("src_ip", *[F.round(c, n).alias(k) for k, (c, n) in cols.items()])
 
 
