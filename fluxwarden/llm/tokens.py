@@ -1,7 +1,8 @@
 """Token ids of whole texts, for tokenizers that drop white space (the packing and token-file operators use it).
 
-Such a tokenizer encodes a text as the ids of its white-space words one after another, so each distinct word is
-encoded once by the tokenizers library and remembered; a text's ids are then gathered by NumPy.
+Such a tokenizer encodes a text as the ids of its pre-tokens one after another, and these never reach over white space. So
+each distinct word is cut into pre-tokens once, each distinct pre-token is encoded once by the tokenizers library and
+remembered, and a text's ids are gathered by NumPy. Words that aren't plain Latin are given to the library whole.
 """
 
 from __future__ import annotations
@@ -13,8 +14,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 6_000_000
-MAX_WORDS = 600_000
+SLICE_BYTES = 8_000_000
+MAX_PIECES = 700_000
+MAX_WORDS = 1_000_000
+#: Words of these characters (printable ASCII and Latin letters but the one whose lower case is two characters) are cut by Arrow as
+#: the tokenizer's own pattern cuts them; others go to the library whole.
+SIMPLE = r"^[!-~\x{A1}-\x{12F}\x{131}-\x{24F}]+$"
+#: Fixed value: the tokenizer's pattern of pre-tokens.
+PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
 
 
 def plain_texts(texts: pa.Array) -> pa.Array:
@@ -26,55 +33,122 @@ def plain_texts(texts: pa.Array) -> pa.Array:
 
 
 class WordEncoder:
-    """``encode`` gives a batch's ids and where each text's begin. Memory is bounded by ``max_words`` remembered words;
-    when they are reached, it begins anew."""
+    """``encode`` gives a batch's ids and where each text's begin. Memory is bounded by ``max_pieces`` and ``max_words``
+    remembered pieces and words; when they are reached, it begins anew."""
 
-    def __init__(self, path: str, max_words: int = MAX_WORDS):
+    def __init__(self, path: str, max_pieces: int = MAX_PIECES, max_words: int = MAX_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.max_words = max_words
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(names.values()) + 2, bool)  # ids that end a pre-token
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.max_pieces, self.max_words = max_pieces, max_words
         self._forget()
+        self._forget_words()
 
     def _forget(self) -> None:
         self.code: dict[str, int] = {}
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        first, n = len(self.code), np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(n.sum()))
-        self.code.update(zip(words, range(first, first + len(words)), strict=True))
-        self.starts, self.sizes = _room(self.starts, first + len(words)), _room(self.sizes, first + len(words))
-        self.flat = _room(self.flat, self.used + len(ids))
-        self.starts[first : first + len(words)] = self.used + np.cumsum(n) - n
-        self.sizes[first : first + len(words)] = n
+    def _forget_words(self) -> None:
+        self.known, self.word_ids = pa.array([], pa.large_string()), np.zeros(0, np.uint32)
+        self.word_starts = np.zeros(1, np.int64)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        first, last = len(self.code), len(self.code) + len(pieces)
+        self.code.update(zip(pieces, range(first, last), strict=True))
+        self.starts, self.sizes, self.flat = _room(self.starts, last), _room(self.sizes, last), _room(self.flat, self.used + len(ids))
+        self.starts[first:last] = self.used + np.cumsum(n) - n
+        self.sizes[first:last] = n
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
+    def _learn_whole(self, words: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self._add(words, np.fromiter((i for x in found for i in x), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Pre-tokens joined by spaces stay pre-tokens, and each ends with an id that ends a pre-token."""
+        for at in range(0, len(pieces), 20_000):
+            part = pieces[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(part):
+                self._add(part, ids, np.diff(last, prepend=-1))
+            else:
+                self._learn_whole(part)
+
+    def _codes(self, pieces: list[str], learn) -> np.ndarray:
+        code = self.code
+        if new := [p for p in pieces if p not in code]:
+            learn(new)
+        return np.fromiter(map(code.__getitem__, pieces), np.int64, len(pieces))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the pieces of all words, and each word's bounds among them."""
+        simple = pc.and_(pc.match_substring_regex(words, SIMPLE), pc.invert(pc.match_substring(words, "<|")))
+        plain = simple.to_numpy(zero_copy_only=False)
+        lower = pc.utf8_lower(words.filter(simple))
+        letters = pc.match_substring_regex(lower, r"^\pL+$")  # needs no cut
+        parts = pc.replace_substring_regex(lower.filter(pc.invert(letters)), PIECE, r" \1 ")
+        cut = pc.ascii_split_whitespace(pc.replace_with_mask(lower, pc.invert(letters), parts))
+        flat = cut.flatten()
+        coded = pc.dictionary_encode(flat)
+        pieces, others = coded.dictionary.to_pylist(), words.filter(pc.invert(simple)).to_pylist()
+        if len(self.code) + len(pieces) + len(others) > self.max_pieces:
+            self._forget()
+        # Whole words are kept under a name that no piece has.
+        codes = self._codes([p for p in pieces if p], self._learn_pieces)
+        whole = self._codes([f"{w} " for w in others], lambda new: self._learn_whole(new))
+        real = np.array([bool(p) for p in pieces], bool)
+        own = np.full(len(pieces), -1, np.int64)
+        own[real] = codes
+        at = own[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+        owner = pc.list_parent_indices(cut).to_numpy(zero_copy_only=False)
+        places = np.flatnonzero(plain)[owner] if len(owner) else np.zeros(0, np.int64)
+        keep = at >= 0
+        every = np.concatenate([places[keep], np.flatnonzero(~plain)])
+        order = np.argsort(every, kind="stable")
+        return np.concatenate([at[keep], whole])[order], np.searchsorted(every[order], np.arange(len(words) + 1))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]; null texts have none."""
         split = pc.ascii_split_whitespace(plain_texts(texts))
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
         coded = pc.dictionary_encode(split.flatten())
-        # The tokenizer lower-cases; doing so first makes fewer words. Not in words with a special token's marks, which are matched in the raw text.
-        raw, keys = coded.dictionary, pc.ascii_lower(coded.dictionary)
-        marked = pc.match_substring(raw, "<|")
-        words = pc.if_else(marked, raw, keys).to_pylist()
-        if len(self.code) + len(words) > self.max_words:
-            self._forget()
-        if new := list(dict.fromkeys(w for w in words if w not in self.code)):
-            self._learn(new)
-        code = self.code
-        own = np.fromiter((code[w] for w in words), np.int64, len(words))
-        at = own[coded.indices.to_numpy()]
-        n = self.sizes[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        where = np.repeat(self.starts[at] - ends[:-1], n) + np.arange(ends[-1])
-        return self.flat[where], ends[bounds]
+        places = self._places(coded.dictionary)
+        codes = coded.indices.to_numpy()
+        at = places[codes] if len(codes) else np.zeros(0, np.int64)
+        size = self.word_starts[at + 1] - self.word_starts[at]
+        out = self.word_ids[_runs(self.word_starts[at], size)]
+        return out, np.concatenate([[0], np.cumsum(size)])[bounds]
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where each word stands among the known ones; new words are encoded first."""
+        if len(self.known) + len(words) > self.max_words:
+            self._forget_words()
+        found = pc.index_in(words, value_set=self.known)
+        fresh = pc.is_null(found)
+        new = words.filter(fresh)
+        places = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        places[fresh.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        if len(new):
+            pieces, ends = self._words(new)
+            n = self.sizes[pieces]
+            starts = np.concatenate([[0], np.cumsum(n)])[ends]
+            self.word_starts = np.concatenate([self.word_starts, len(self.word_ids) + starts[1:]])
+            self.word_ids = np.concatenate([self.word_ids, self.flat[_runs(self.starts[pieces], n)]])
+            self.known = pa.concat_arrays([self.known, new])
+        return places
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for sizes[0] places, then the same for the next."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 _encoders: dict[str, WordEncoder] = {}
