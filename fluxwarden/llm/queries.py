@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, lm_score, near_dup, packing, quality, token_counts, token_file, toxicity, url_filter
+from . import decontaminate, licences, lm_score, near_dup, oracles, packing, quality, token_counts, token_file, toxicity, url_filter
 from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,4 +88,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
