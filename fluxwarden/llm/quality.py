@@ -38,7 +38,7 @@ RULES = (
 MIN_POSTERIOR = 0.5
 #: A rule is taken to vote "bad" on at most this share of good documents; without it, EM may explain a rule's bad votes
 #: as noise when no other rule shares them.
-MAX_FALSE_ALARM = 0.02
+MAX_FALSE_ALARM = 0.01
 
 
 def with_stats(docs: DataFrame, text_col: str = "text", names: Iterable[str] = STATS) -> DataFrame:
