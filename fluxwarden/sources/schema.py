@@ -8,23 +8,34 @@ from pyspark.sql import types as T
 
 from ..functions import net
 
-FLOW = T._parse_datatype_string("""
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()), "map<string;double>": T.MapType(T.StringType(), T.DoubleType()),
+}
+
+
+def _struct(fields: str) -> T.StructType:
+    """Built without a session, so that this module can be imported before there is one."""
+    return T.StructType([T.StructField(*(lambda n, k: (n, _TYPES[k]))(*f.split())) for f in fields.split(",")])
+
+
+FLOW = _struct("""
   flow_id string, ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, proto string,
   orig_bytes bigint, resp_bytes bigint, orig_pkts bigint, resp_pkts bigint, duration_s double, payload_entropy double,
   ja3 string, ja4 string, sni string, tls_version string, cert_validity_days double, cert_self_signed boolean, dns_query string
 """)
-PACKET = T._parse_datatype_string("ts double, src string, dst string, sport int, dport int, len int, proto int, flags int, iat_ns bigint")
-ALERT = T._parse_datatype_string("""
+PACKET = _struct("ts double, src string, dst string, sport int, dport int, len int, proto int, flags int, iat_ns bigint")
+ALERT = _struct("""
   alert_id string, flow_id string, ts timestamp, threat_type string, severity string, confidence double,
-  mitre_ttps array<string>, explanation string, shap_values map<string,double>, analyst_status string
+  mitre_ttps array<string>, explanation string, shap_values map<string;double>, analyst_status string
 """)
-RULE = T._parse_datatype_string("""
+RULE = _struct("""
   rule_id string, created_at timestamp, enabled boolean, expires_at timestamp, src_cidr string, dst_cidr string,
   dst_port int, sni_pattern string, threat_type string
 """)
-REVIEW = T._parse_datatype_string("review_id string, flow_id string, label string, reviewed_at timestamp")
-RESPONSE = T._parse_datatype_string("response_id string, alert_id string, action string, target string, status string, created_at timestamp, expires_at timestamp")
-SENSOR = T._parse_datatype_string("sensor_id string, last_seen timestamp, packet_loss double")
+REVIEW = _struct("review_id string, flow_id string, label string, reviewed_at timestamp")
+RESPONSE = _struct("response_id string, alert_id string, action string, target string, status string, created_at timestamp, expires_at timestamp")
+SENSOR = _struct("sensor_id string, last_seen timestamp, packet_loss double")
 #: canonical name: its aliases, first one first.
 ALIASES = {
     "flow_id": ("flow_id", "uid", "id"), "src_ip": ("src_ip", "src"), "dst_ip": ("dst_ip", "dst"), "src_port": ("src_port", "sport"),
