@@ -13,8 +13,11 @@ Two texts link when their sets of word shingles have Jaccard similarity of at le
    a pair fill over D pieces, or one does, some piece that agrees isn't empty. A set that fills fewer also gives its
    empty pieces, under a key that only such sets have.
 4. Candidates. In a bucket, a short run of equal entries gives all its pairs. A long one gives pairs of its first node
-   with the others; its other pairs matter only if they are in different components after those links: they are
-   compared then, block by block, by their dense parity sketches, and what remains is verified.
+   with the others; its other pairs matter only between different components. These are compared block by block by
+   parity sketches, and each block comparison gives a spanning forest of what may link, nearest pairs first: in the
+   longest run of each node first, by wide sketches (eight bits a shingle); then the runs with two components or more
+   are sifted by small sketches, and those with a pair that may link go on by wide ones until a round finds no new
+   link; at last all pairs that are left in them are verified.
 5. Verification. A dense parity sketch of each node (a bit for each shingle, at least) has a Hamming distance that bounds the
    difference from below; pairs beyond D go. The others' shingle sets are read from the texts again and compared exactly.
 6. Components of the links by alternating minimum over neighbours and pointer jumping, in written rounds.
@@ -81,13 +84,13 @@ def set_hashes(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def dense_sketches(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Parity sketch of each set: as many bits as its size, rounded up to a power of two of at least 64; each shingle
+def dense_sketches(sets: np.ndarray, bounds: np.ndarray, factor: int = 1) -> list[bytes]:
+    """Parity sketch of each set: ``factor`` bits a shingle, rounded up to a power of two of at least 64; each shingle
     flips one. Halves XOR to the sketch of half the size, so sketches of different sizes can be compared."""
     low = (mix(sets ^ K[7]) >> np.uint64(16)).astype(np.int64)
     out = []
     for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        bits = 1 << max(6, (z - a - 1).bit_length()) if z > a else 64
+        bits = 1 << max(6, (factor * (z - a) - 1).bit_length()) if z > a else 64
         out.append(np.packbits((np.bincount(low[a:z] & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes())
     return out
 
@@ -130,14 +133,14 @@ def entries(sets: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndar
     return (np.concatenate(keys), np.concatenate(rows)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-SKETCHED = "kind int, id string, text_hash bigint, node bigint, n bigint, sketch binary, bucket int, keys binary, rows binary, nodes binary"
+SKETCHED = "kind int, id string, text_hash bigint, node bigint, n bigint, sketch binary, wide binary, bucket int, keys binary, rows binary, nodes binary"
 
 
 def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of kind 0 are documents (id, text_hash, node, n, sketch), of kind 1 the entries of a batch for a bucket: keys
     (u32), for each the place (u16 or u32) of its node in ``nodes`` (i64)."""
     fields = [f.strip().split(" ")[0] for f in SKETCHED.split(",")]
-    types = dict(zip(fields, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True))
+    types = dict(zip(fields, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True))
 
     def out(**columns):
         size = len(next(iter(columns.values())))
@@ -172,7 +175,7 @@ def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col:
             for b in slices(batch, 2, SLICE_BYTES):
                 sets, bounds = shingle_sets(b.column(2), shingle)
                 nodes = set_hashes(sets, bounds)
-                yield out(kind=np.zeros(b.num_rows, np.int32), id=b.column(0), text_hash=b.column(1), node=nodes, n=np.diff(bounds), sketch=dense_sketches(sets, bounds))
+                yield out(kind=np.zeros(b.num_rows, np.int32), id=b.column(0), text_hash=b.column(1), node=nodes, n=np.diff(bounds), sketch=dense_sketches(sets, bounds), wide=dense_sketches(sets, bounds, 8))
                 # Copies within a slice give their entries once.
                 _, one = np.unique(nodes, return_index=True)
                 one = np.sort(one)
@@ -307,50 +310,81 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _across(bands: Bands):
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the edges, taken in order, join two trees."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    keep = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x], keep[i] = y, True
+    return keep
+
+
+def _across(bands: Bands, every: bool):
     num, den = bands.num, bands.den
 
     def run(table: pa.Table) -> pa.Table:
-        """Pairs of two blocks of a run, in different components, that sizes and dense sketches allow."""
+        """Pairs of two blocks of a run, in different components, that sizes and wide sketches allow: all, or a spanning
+        forest of the components."""
         half = table["side"].to_numpy()
         order = np.argsort(half, kind="stable")
         node, root, n, side = (table[c].to_numpy()[order] for c in ("node", "root", "n", "side"))
-        sketch = [table["sketch"][int(i)].as_py() for i in order]
-        small = min(map(len, sketch))
-        bits = np.stack([fold(np.frombuffer(s, np.uint8), small) for s in sketch])
+        wide = [table["wide"][int(i)].as_py() for i in order]
+        small = min(map(len, wide))
+        bits = np.stack([fold(np.frombuffer(s, np.uint8), small) for s in wide]).view(np.uint64)
         left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-        a, b = [], []
+        a, b, far = [], [], []
         for i in left:
             j = right[(root[right] != root[i]) & (np.minimum(n[right], n[i]) * den >= np.maximum(n[right], n[i]) * num)]
             if len(j):
-                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) * (den + num) <= (n[j] + n[i]) * (den - num)]
-                a.append(np.minimum(node[i], node[j]))
-                b.append(np.maximum(node[i], node[j]))
+                d = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
+                ok = d * (den + num) <= (n[j] + n[i]) * (den - num)
+                a.append(np.full(int(ok.sum()), i))
+                b.append(j[ok])
+                far.append(d[ok] / (n[j[ok]] + n[i]))
         z = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([z, *a]), "b": np.concatenate([z, *b])})
+        a, b = np.concatenate([z, *a]), np.concatenate([z, *b])
+        if not every and len(a):
+            near = np.argsort(np.concatenate(far), kind="stable")
+            a, b = a[near], b[near]
+            keep = _forest(root[a], root[b])
+            a, b = a[keep], b[keep]
+        give_back()
+        return pa.table({"run": pa.array(np.full(len(a), table["run"][0].as_py()), pa.int64()), "a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
 
     return run
 
 
-def across_runs(runs: DataFrame, roots: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs of long runs' nodes that lie in different components. Runs within one component go; the others are cut
-    into blocks, and a task compares a block with another of the run (or itself)."""
+def run_members(runs: DataFrame) -> DataFrame:
+    """run, node, size of the long runs; runs of the same nodes are one."""
 
     def explode(batches):
         for t in batches:
             for r, m in zip(t["run"].to_pylist(), t["members"], strict=True):
                 own = np.frombuffer(m.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), r)), pa.array(own), pa.array(np.arange(len(own)) // BLOCK)], names=["run", "node", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), r)), pa.array(own), pa.array(np.arange(len(own)) // BLOCK), pa.array(np.full(len(own), len(own)))], names=["run", "node", "block", "size"])
+
+    return written(runs.dropDuplicates(["run"]).mapInArrow(explode, "run bigint, node bigint, block bigint, size bigint"), "members")
+
 
-    member = runs.dropDuplicates(["run"]).mapInArrow(explode, "run bigint, node bigint, block bigint")
-    member = written(member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+def across_runs(member: DataFrame, roots: DataFrame, nodes: DataFrame, bands: Bands, sketch: str = "wide", every: bool = False) -> DataFrame:
+    """run, a, b: pairs of long runs' nodes that lie in different components and that the sketch allows. Runs within one
+    component go; the others are cut into blocks, and a task compares a block with another of the run (or itself)."""
+    member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = member.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("block").alias("last")).where("lo <> hi").select("run", "last")
-    member = member.join(mixed, "run").join(nodes.select("node", "n", "sketch"), "node")
+    member = member.join(mixed, "run").join(nodes.select("node", "n", F.col(sketch).alias("wide")), "node")
     # Block i meets blocks i..last: a row goes to the tasks (i, k) and (k, i).
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    member = member.select("run", lo.alias("lo"), hi.alias("hi"), F.col("block").alias("side"), "node", "root", "n", "sketch")
-    return member.groupBy("run", "lo", "hi").applyInArrow(_across(bands), "a bigint, b bigint").distinct()
+    member = member.select("run", lo.alias("lo"), hi.alias("hi"), F.col("block").alias("side"), "node", "root", "n", "wide")
+    return member.groupBy("run", "lo", "hi").applyInArrow(_across(bands, every), "run bigint, a bigint, b bigint")
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN, id_type: str = "bigint") -> DataFrame:
@@ -360,10 +394,10 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     rows = docs.count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * 250 // BUCKET_ENTRIES))
     both = written(sketched(docs, bands, buckets, shingle, id_col, text_col), "sketches")
-    own = both.where("kind = 0").select(F.col("id"), "text_hash", "node", "n", "sketch")
+    own = both.where("kind = 0").select(F.col("id"), "text_hash", "node", "n", "sketch", "wide")
     nodes = own.where("n > 0").groupBy("node").agg(
         F.min(F.col("id").cast(id_type)).alias("first_id"), F.min(_key(F.col("id"), F.col("text_hash"))).alias("first_key"),
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"),
     )
     nodes = written(nodes, "nodes")
     found = both.where("kind = 1").select("bucket", "keys", "rows", "nodes").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_candidates, CANDIDATES)
@@ -374,18 +408,33 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     roots = components(links)
     runs = found.where("run is not null").select("run", "members")
     if runs.limit(1).count():
-        more = across_runs(runs, roots, nodes, bands).join(pairs, ["a", "b"], "left_anti")
-        more = written(more, "pairs")
-        if more.limit(1).count():
-            links = links.unionByName(verified(more, nodes, docs, bands, shingle, id_col, text_col))
-            links = written(links, "links")
-            roots = components(links)
+        member = run_members(runs)
+        longest = member.groupBy("node").agg(F.max_by("run", F.struct("size", "run")).alias("run"))
+        part, tried, step = written(member.join(longest, ["node", "run"]).select(*member.columns), "members"), pairs, "longest"
+        while True:
+            found = written(across_runs(part, roots, nodes, bands, "sketch" if step == "all" else "wide", every=step == "rest"), "found")
+            more = written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs") if step != "all" else None
+            new = False
+            if more is not None and more.limit(1).count():
+                good = written(verified(more, nodes, docs, bands, shingle, id_col, text_col), "links")
+                tried = written(tried.unionByName(more), "tried")
+                if new := bool(good.limit(1).count()):
+                    links = written(links.unionByName(good), "links")
+                    roots = components(links)
+            # Components only grow, so a run without a candidate pair has none in later rounds.
+            if step == "longest":
+                part, step = member, "all"
+                continue
+            if step == "rest" or not found.limit(1).count():
+                break
+            part = written(part.join(found.select("run").distinct(), "run", "left_semi"), "members")
+            step = "some" if new or step == "all" else "rest"
     linked = roots.join(nodes.select("node", "first_id"), "node").select("node", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_node = nodes.select("node", "first_id").join(linked.select("node", "root"), "node", "left").join(least, "root", "left").join(degree, "node", "left")
     of_node = of_node.select("node", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = own.drop("sketch").join(of_node, "node", "left")
+    out = own.drop("sketch", "wide").join(of_node, "node", "left")
     id_ = F.col("id").cast(id_type)
     return out.select(id_.alias("id"), "text_hash", "node", F.col("n").alias("n_shingles"), F.coalesce("component_id", id_).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
