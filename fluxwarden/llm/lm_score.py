@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .memory import give_back
 from .shingles import K, mix, word_hashes
 
 ORDER = 2
 ALPHA = 0.4
 MIN_COUNT = 2
-#: Texts of a batch: about 20 MB at 3 kB each; an Arrow group of so many rows is held by one task.
-BATCH_ROWS = 6000
+#: Texts of a batch: about 8 MB at 3 kB each; an Arrow group of so many rows is held by one task.
+BATCH_ROWS = 2500
 
 
 def gram_places(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +94,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         """The batch's words as numbers of its sorted distinct word hashes, one packed row."""
         words, bounds = word_hashes(table["text"].combine_chunks())
         distinct, code = np.unique(words, return_inverse=True)
+        give_back()
         return pa.table({
             "batch": table["batch"].slice(0, 1), "ids": pa.array([table["id"].to_pylist()], pa.list_(pa.string())), "bounds": [bounds.astype(np.int64).tobytes()],
             "vocabulary": [distinct.tobytes()], "codes": [_pack(code.astype(np.uint32))],
@@ -125,6 +127,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         _, where = np.unique(np.concatenate(grams), return_inverse=True)
         total = np.bincount(where, np.concatenate(counts)).astype(np.int64)[where]
         ends = np.cumsum([len(g) for g in grams])
+        give_back()
         return pa.table({"batch": table["batch"], "bucket": table["bucket"], "totals": pa.array([_pack(x) for x in np.split(total, ends[:-1])], pa.binary())})
 
     asked = packed.select("batch", "bounds", "vocabulary", "codes").mapInArrow(ask, "batch int, bucket int, grams binary, counts binary")
@@ -155,6 +158,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         full = np.flatnonzero(np.diff(bounds))
         if len(full):
             sums[full] = np.add.reduceat(value, bounds[full])
+        give_back()
         return pa.table({"id": pa.array(ids, pa.string()), "n_words": np.diff(bounds), "log_score": sums})
 
     both = packed.groupBy("batch").cogroup(answered.groupBy("batch"))
