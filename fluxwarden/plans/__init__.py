@@ -1,6 +1,6 @@
 """Driver queries: each module registers its own."""
 
-from . import analysis, detection, features, models
+from . import analysis, detection, features, models, more
 from .registry import QUERIES, SQL
 
 
