@@ -66,8 +66,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, label: str, rebalance: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors. ``rebalance`` is for results
+    far smaller than what they are made from: their rows are shuffled into few files instead of one file per task."""
+    if rebalance:
+        df = df.hint("rebalance")
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/fluxwarden/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

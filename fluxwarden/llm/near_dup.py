@@ -269,7 +269,7 @@ def filtered(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, bands: Bands, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs that link, by their shingle sets, which are read from the texts of their documents."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "first_key")
-    needed = written(needed, "needed")
+    needed = written(needed, "needed", rebalance=True)
     keys = needed.select(F.col("first_key").alias("key"))
     if needed.count() <= MAX_BROADCAST_IDS:
         keys = F.broadcast(keys)
@@ -283,7 +283,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, bands: Bands,
                 yield pa.RecordBatch.from_arrays([pa.array(set_hashes(sets, bounds)), lists], names=["node", "shingles"])
         give_back()
 
-    sets = written(texts.select("key", "text").mapInArrow(run, "node bigint, shingles array<bigint>"), "sets").dropDuplicates(["node"])
+    sets = written(texts.select("key", "text").mapInArrow(run, "node bigint, shingles array<bigint>"), "sets", rebalance=True).dropDuplicates(["node"])
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("total"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
     return both.where(F.col("common") * bands.den >= (F.col("total") - F.col("common")) * bands.num).select("a", "b")
@@ -296,7 +296,7 @@ def _key(id_: Column, text_hash: Column) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """node, root (smallest node that links reach) for all nodes with links. Each round takes the smallest root among
     neighbours and follows roots to their roots, and is written; it ends when no root changes."""
-    both = written(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")), "links")
+    both = written(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")), "links", rebalance=True)
     roots = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root"))
     roots = written(roots, "roots")
     while True:
@@ -400,26 +400,26 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"),
     )
     nodes = written(nodes, "nodes")
-    found = both.where("kind = 1").select("bucket", "keys", "rows", "nodes").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_candidates, CANDIDATES)
-    found = written(found, "candidates")
+    found = both.where("kind = 1").select("bucket", "keys", "rows", "nodes").groupBy("bucket").applyInArrow(_candidates, CANDIDATES)
+    found = written(found, "candidates", rebalance=True)
     pairs = found.where("run is null").select("a", "b").distinct()
-    pairs = written(filtered(pairs, nodes, bands), "pairs")
-    links = written(verified(pairs, nodes, docs, bands, shingle, id_col, text_col), "links")
+    pairs = written(filtered(pairs, nodes, bands), "pairs", rebalance=True)
+    links = written(verified(pairs, nodes, docs, bands, shingle, id_col, text_col), "links", rebalance=True)
     roots = components(links)
     runs = found.where("run is not null").select("run", "members")
     if runs.limit(1).count():
         member = run_members(runs)
         longest = member.groupBy("node").agg(F.max_by("run", F.struct("size", "run")).alias("run"))
-        part, tried, step = written(member.join(longest, ["node", "run"]).select(*member.columns), "members"), pairs, "longest"
+        part, tried, step = written(member.join(longest, ["node", "run"]).select(*member.columns), "members", rebalance=True), pairs, "longest"
         while True:
-            found = written(across_runs(part, roots, nodes, bands, "sketch" if step == "all" else "wide", every=step == "rest"), "found")
-            more = written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs") if step != "all" else None
+            found = written(across_runs(part, roots, nodes, bands, "sketch" if step == "all" else "wide", every=step == "rest"), "found", rebalance=True)
+            more = written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs", rebalance=True) if step != "all" else None
             new = False
             if more is not None and more.limit(1).count():
-                good = written(verified(more, nodes, docs, bands, shingle, id_col, text_col), "links")
-                tried = written(tried.unionByName(more), "tried")
+                good = written(verified(more, nodes, docs, bands, shingle, id_col, text_col), "links", rebalance=True)
+                tried = written(tried.unionByName(more), "tried", rebalance=True)
                 if new := bool(good.limit(1).count()):
-                    links = written(links.unionByName(good), "links")
+                    links = written(links.unionByName(good), "links", rebalance=True)
                     roots = components(links)
             # Components only grow, so a run without a candidate pair has none in later rounds.
             if step == "longest":
@@ -427,7 +427,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
                 continue
             if step == "rest" or not found.limit(1).count():
                 break
-            part = written(part.join(found.select("run").distinct(), "run", "left_semi"), "members")
+            part = written(part.join(found.select("run").distinct(), "run", "left_semi"), "members", rebalance=True)
             step = "some" if new or step == "all" else "rest"
     linked = roots.join(nodes.select("node", "first_id"), "node").select("node", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
