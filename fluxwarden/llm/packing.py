@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .memory import give_back
 from .tokens import slices, word_encoder
 
 LENGTH = 2048
 END_ID = 1
 GROUP_SIZE = 10_000
+#: Bytes of text that a task encodes at once.
+SLICE_BYTES = 4_000_000
 PIECES = "id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -73,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     def run(batches):
         encoder = word_encoder(tokenizer_path)
         for batch in batches:
-            for b in slices(batch, 1):
+            for b in slices(batch, 1, SLICE_BYTES):
                 ids, offsets = encoder.encode(b.column(1))
                 raw = memoryview(ids.astype("<u4", copy=False).tobytes())
                 rows, starts, sizes, crcs, totals = [], [], [], [], []
@@ -89,6 +92,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                         crcs.append(zlib.crc32(end, crc) if start + whole == n + 1 else crc)
                         totals.append(n + 1)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, sizes, crcs, totals))], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 

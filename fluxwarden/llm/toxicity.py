@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, written
-from .tokens import plain_texts
+from .memory import give_back
+from .tokens import plain_texts, slices
 
 #: Terms that name groups, by kind.
 IDENTITY = (
@@ -40,6 +41,8 @@ IDENTITY = (
 MAX_PER_LABEL = 4000
 MIN_Z = 5.0
 MAX_FEATURES = 4096
+#: Bytes of text that a task scores at once.
+SLICE_BYTES = 4_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -173,13 +176,14 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep_te
     bias, weights = model.bias, model.weights
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, at, SLICE_BYTES)):
             d, w, words = feature_sets(b.column(at), weights)
             known = np.array([weights[x] for x in words] or [0.0])
             z = bias + np.bincount(d, known[w], b.num_rows) if len(d) else np.full(b.num_rows, bias)
             p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             own = [c for i, c in enumerate(b.columns) if keep_text or i != at]
             yield pa.RecordBatch.from_arrays([*own, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -190,11 +194,12 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
     bias, weights = model.bias, model.weights
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, at, SLICE_BYTES)):
             d, w, words = feature_sets(b.column(at), weights)
             known = np.array([weights[x] for x in words] or [0.0])
             z = bias + np.bincount(d, known[w], b.num_rows) if len(d) else np.full(b.num_rows, bias)
             yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))) < threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
