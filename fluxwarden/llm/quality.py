@@ -27,12 +27,15 @@ WINDOW = 5
 SYMBOLS = "[^#*$%&|<>]+"
 SPACE = r"[\x20\x09-\x0D]+"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Votes: (name, good if, bad if); neither: the rule abstains. All counts are longs.
+#: Lines with a word: what n_dup_lines is held against. The rules read it, the results don't have it.
+LINES = "n_lines"
+#: Votes: (name, good if, bad if); neither: the rule abstains. All counts are longs. A few repeated lines are no vote
+#: against a long text, so dup_lines is a share of the lines.
 RULES = (
     ("length", "n_words >= 50", "n_words < 10"),
     ("word_length", "n_words > 0 AND word_chars >= 3 * n_words AND word_chars <= 10 * n_words", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words)"),
     ("symbols", "n_words > 0 AND 100 * n_symbols <= n_words", "n_words > 0 AND 10 * n_symbols > n_words"),
-    ("dup_lines", "n_words > 0 AND n_dup_lines = 0", "n_dup_lines >= 3"),
+    ("dup_lines", "n_words > 0 AND n_dup_lines = 0", "n_dup_lines >= 3 AND 100 * n_dup_lines > 20 * n_lines"),
     ("repeats", "n_words > 0 AND 100 * n_repeat_words <= 2 * n_words", "n_words > 0 AND 100 * n_repeat_words > 20 * n_words"),
 )
 MIN_POSTERIOR = 0.5
@@ -41,9 +44,9 @@ MIN_POSTERIOR = 0.5
 MAX_FALSE_ALARM = 0.01
 
 
-def with_stats(docs: DataFrame, text_col: str = "text", names: Iterable[str] = STATS) -> DataFrame:
-    """``docs`` plus the five counts, computed row by row over the whole text without a shuffle."""
-    n_words, word_chars, n_symbols, n_dup_lines, n_repeat = names
+def with_stats(docs: DataFrame, text_col: str = "text", names: Iterable[str] = (*STATS, LINES)) -> DataFrame:
+    """``docs`` plus the six counts, computed row by row over the whole text without a shuffle."""
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat, n_lines = names
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = words_of(text)
 
@@ -54,15 +57,17 @@ def with_stats(docs: DataFrame, text_col: str = "text", names: Iterable[str] = S
 
     of_words = bind(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).alias("n"), repeated(h).alias("r")))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    (both,) = fresh(docs, "_words")
-    d = docs.withColumn(both, of_words)
+    of_lines = bind(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("r")))
+    both, line = fresh(docs, "_words", "_lines")
+    d = docs.withColumn(both, of_words).withColumn(line, of_lines)
     return d.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.col(both)["n"].cast("long").alias(n_words),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias(word_chars),
         F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias(n_symbols),
-        bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias(n_dup_lines),
+        F.col(line)["r"].cast("long").alias(n_dup_lines),
         F.col(both)["r"].cast("long").alias(n_repeat),
+        F.col(line)["n"].cast("long").alias(n_lines),
     )
 
 
@@ -85,9 +90,9 @@ def _repeated(wins: Column) -> Column:
     )
 
 
-def vote_columns(stats: Iterable[str] = STATS) -> list[Column]:
+def vote_columns(stats: Iterable[str] = (*STATS, LINES)) -> list[Column]:
     """One int column per rule: 1 good, 0 bad, -1 abstains."""
-    named = dict(zip(STATS, stats, strict=True))
+    named = dict(zip((*STATS, LINES), stats, strict=True))
     out = []
     for _, good, bad in RULES:
         for plain, own in named.items():
@@ -151,7 +156,7 @@ def fit_votes(patterns: dict[tuple[int, ...], int], max_rounds: int = 200, toler
     return model
 
 
-def fit_corpus(with_counts: DataFrame, stats: Iterable[str] = STATS) -> VoteModel:
+def fit_corpus(with_counts: DataFrame, stats: Iterable[str] = (*STATS, LINES)) -> VoteModel:
     """Fit on the vote patterns of all rows; only the pattern counts leave the cluster."""
     names = [name for name, _, _ in RULES]
     votes = with_counts.select(*[v.alias(n) for v, n in zip(vote_columns(stats), names, strict=True)])
@@ -159,7 +164,7 @@ def fit_corpus(with_counts: DataFrame, stats: Iterable[str] = STATS) -> VoteMode
     return fit_votes({tuple(r[n] for n in names): r["n"] for r in counts})
 
 
-def posterior_column(model: VoteModel, stats: Iterable[str] = STATS) -> Column:
+def posterior_column(model: VoteModel, stats: Iterable[str] = (*STATS, LINES)) -> Column:
     """Posterior probability of good: log odds added up rule by rule."""
     odds = F.lit(math.log(model.prior) - math.log(1 - model.prior))
     for vote, r in zip(vote_columns(stats), model.rates, strict=True):
@@ -168,21 +173,21 @@ def posterior_column(model: VoteModel, stats: Iterable[str] = STATS) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def base_failed(stats: Iterable[str] = STATS) -> Column:
-    n_words, _, _, _, n_repeat = stats
+def base_failed(stats: Iterable[str] = (*STATS, LINES)) -> Column:
+    n_words, _, _, _, n_repeat, _ = stats
     return (F.col(n_words) < 10) | (100 * F.col(n_repeat) > 20 * F.col(n_words))
 
 
 def judge(docs: DataFrame, text_col: str = "text", min_posterior: float = MIN_POSTERIOR, model: VoteModel | None = None) -> DataFrame:
     """``docs`` plus the counts, base_failed, posterior and kept. Without a model, one is fitted on these documents
     first, in a pass of its own that shuffles vote patterns only."""
-    names = fresh(docs, *STATS, "base_failed", "posterior", "kept")
-    stats, (failed, posterior, kept) = names[:5], names[5:]
+    *stats, failed, posterior, kept, lines = fresh(docs, *STATS, "base_failed", "posterior", "kept", LINES)
+    stats.append(lines)
     if model is None:
         model = fit_corpus(with_stats(docs.select(F.col(text_col)), text_col))
     d = with_stats(docs, text_col, stats)
     d = d.withColumn(failed, base_failed(stats)).withColumn(posterior, posterior_column(model, stats))
-    return d.withColumn(kept, ~F.col(failed) & (F.col(posterior) >= min_posterior))
+    return d.withColumn(kept, ~F.col(failed) & (F.col(posterior) >= min_posterior)).drop(lines)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -41,7 +41,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = written(quality.with_stats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "stats")
     model = quality.fit_corpus(counts)
     out = counts.withColumn("base_failed", quality.base_failed()).withColumn("posterior", F.round(quality.posterior_column(model), 6))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= quality.MIN_POSTERIOR))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= quality.MIN_POSTERIOR)).drop(quality.LINES)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,6 +156,18 @@ def test_quality_em_and_filter(spark, docs, empty):
     assert quality.keep_good(empty).count() == 0 and quality.fit_votes({}).prior == 0.5
 
 
+def test_quality_repeated_lines_against_length(spark):
+    prose = lambda seed, n, per: [" ".join(words(seed * 1000 + i, per, 5000)) for i in range(n)]
+    texts = [prose(i, 6, 12) + ["read more"] * (5 if i < 40 else 1) for i in range(300)]  # 4 of 11, or none
+    long = prose(300, 400, 50)
+    texts.append(long[:100] + long[:2] + long[100:] + [long[7]])  # 20,150 words, 3 of 403 lines repeated
+    texts.append(prose(301, 20, 12) + ["read more"] * 4)  # 3 of 24
+    d = spark.createDataFrame([(i, "\n".join(x), "en") for i, x in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r for r in quality.judge(d).collect()}
+    assert [got[i]["n_dup_lines"] for i in (0, 40, 300, 301)] == [4, 0, 3, 3]
+    assert {i for i, r in got.items() if not r["kept"]} == set(range(40)) and "n_lines" not in got[0].asDict()
+
+
 # Packing
 
 
