@@ -2,8 +2,9 @@
 
 Method: features of a text are its words and their beginnings of four to six letters (present or not), so that stems
 with many endings are learned. On a bounded sample of labelled documents (``max_per_label`` each, smallest hashes
-first), those whose document frequency differs between the labels by at least ``min_z`` standard errors are kept, and
-so are those of identity terms. The weights minimise the balanced log loss, plus ``l2`` |w|^2, plus ``fairness`` times the
+first), those in ``min_df`` documents or more are kept whose document frequency differs between the labels by at least
+``min_z`` standard errors, or which only toxic documents hold, at whatever sample size; and so are those of identity terms.
+The l2 penalty, not the choice, deals with chance among rare ones. The weights minimise the balanced log loss, plus ``l2`` |w|^2, plus ``fairness`` times the
 mean squared change of the logit over counterfactuals: every labelled sentence with an identity term, the term
 swapped for each other one of its group and for none. So neutral mentions of a group don't raise a score.
 The fit runs on the driver over that sample only; scoring is one pass over the texts without a shuffle.
@@ -39,8 +40,8 @@ IDENTITY = (
     ("american", "mexican", "chinese", "indian", "russian", "german", "french"),
 )
 MAX_PER_LABEL = 4000
-MIN_Z = 5.0
-MAX_FEATURES = 4096
+MIN_DF = 3
+MIN_Z = 2.0
 #: Bytes of text that a task scores at once.
 SLICE_BYTES = 4_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -103,9 +104,9 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(c1), pa.array(c)], names=["word", "c1", "c"])
 
 
-def fit(sample: DataFrame, identity=IDENTITY, min_z: float = MIN_Z, l2: float = 1e-4, fairness: float = 10.0, steps: int = 300) -> ToxicityModel:
+def fit(sample: DataFrame, identity=IDENTITY, min_z: float = MIN_Z, l2: float = 1e-4, fairness: float = 10.0, steps: int = 300, min_df: int = MIN_DF) -> ToxicityModel:
     """``sample``: label (0 or 1), text; bounded by the caller, see labelled_sample()."""
-    sets = written(sample.select("label", "text").repartition(8), "toxicity")
+    sets = written(sample.select("label", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("key")).repartition(8), "toxicity")
     totals = {r["label"]: r["n"] for r in sets.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
@@ -114,8 +115,8 @@ def fit(sample: DataFrame, identity=IDENTITY, min_z: float = MIN_Z, l2: float =
     p = F.col("c") / (n1 + n0)
     z = F.abs(F.col("c1") / n1 - (F.col("c") - F.col("c1")) / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
     terms = [f for group in identity for t in group for f in features_of(t)]
-    chosen = df.where((z >= min_z) | F.col("word").isin(terms)).orderBy(F.desc(F.col("word").isin(terms)), z.desc(), "word").limit(MAX_FEATURES)
-    vocabulary = [r["word"] for r in chosen.select("word").collect()]
+    told = (F.col("c") >= min_df) & ((z >= min_z) | (F.col("c1") == F.col("c")))
+    vocabulary = sorted(df.where(told | F.col("word").isin(terms)).select("word").toArrow().column(0).to_pylist())
     code = {w: i for i, w in enumerate(vocabulary)}
 
     def coded(batches):
@@ -123,48 +124,49 @@ def fit(sample: DataFrame, identity=IDENTITY, min_z: float = MIN_Z, l2: float =
             d, w, words = feature_sets(b.column("text"), code)
             own = np.array([code[x] for x in words] or [0], np.int32)[w]
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(b.num_rows + 1)), pa.int32()), pa.array(own, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("label"), lists], names=["label", "codes"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("key"), lists], names=["label", "key", "codes"])
 
-    rows = sets.mapInArrow(coded, "label int, codes array<int>").collect()
-    rows.sort(key=lambda r: (r["label"], r["codes"]))  # whatever order the tasks end in, the sums are the same
-    x = np.zeros((len(rows), len(code)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["codes"]] = 1
-    y = np.array([r["label"] for r in rows], np.float32)
-    return _train(x, y, vocabulary, identity, l2, fairness, steps)
+    rows = sets.mapInArrow(coded, "label int, key bigint, codes array<int>").toArrow()
+    rows = rows.sort_by([("label", "ascending"), ("key", "ascending")]).combine_chunks()  # whatever order the tasks end in, the sums are the same
+    codes = rows.column("codes").combine_chunks()
+    y = rows.column("label").to_numpy().astype(np.float64)
+    row = np.repeat(np.arange(len(y)), pc.list_value_length(codes).to_numpy(zero_copy_only=False))
+    col = codes.flatten().to_numpy().astype(np.int64)
+    return _train(row, col, y, vocabulary, identity, l2, fairness, steps)
 
 
-def counterfactuals(x: np.ndarray, code: dict[str, int], identity=IDENTITY) -> np.ndarray:
-    """Rows x' - x: each identity term of a row swapped for each known other of its group, and for none."""
+def counterfactuals(counts: np.ndarray, code: dict[str, int], identity=IDENTITY) -> list[tuple[list[int], list[int], float]]:
+    """Features lost, features won and number of documents: each identity term swapped for each known other of its group,
+    and for none. ``counts``: documents by feature."""
     out = []
     for group in identity:
         own = {t: [code[f] for f in features_of(t) if f in code] for t in group if t in code}
         for a, mine in own.items():
-            n = float(x[:, code[a]].sum())
-            for b in [None, *own]:
-                if n and b != a:
-                    row = np.zeros(x.shape[1] + 1, np.float32)
-                    row[mine] -= 1
-                    row[own.get(b, [])] += 1
-                    row[-1] = n
-                    out.append(row)
-    return np.stack(out) if out else np.zeros((0, x.shape[1] + 1), np.float32)
-
-
-def _train(x, y, vocabulary, identity, l2, fairness, steps) -> ToxicityModel:
-    swaps = counterfactuals(x, {w: i for i, w in enumerate(vocabulary)}, identity)
-    delta, mass = swaps[:, :-1], swaps[:, -1] / max(1.0, float(swaps[:, -1].sum()))
-    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())).astype(np.float32)
-    w, bias = np.zeros(x.shape[1] + 1, np.float64), 0.0
-    m, v = np.zeros_like(w), np.zeros_like(w)
+            out += [(mine, own.get(b, []), float(counts[code[a]])) for b in [None, *own] if counts[code[a]] and b != a]
+    return out
+
+
+def _train(row, col, y, vocabulary, identity, l2, fairness, steps) -> ToxicityModel:
+    """``row``, ``col``: the (document, feature) pairs; ``y``: the labels."""
+    n, m = len(y), len(vocabulary)
+    swaps = counterfactuals(np.bincount(col, minlength=m), {w: i for i, w in enumerate(vocabulary)}, identity)
+    used = np.array(sorted({f for lost, won, _ in swaps for f in lost + won}), np.int64)
+    at = {f: i for i, f in enumerate(used.tolist())}
+    delta, mass = np.zeros((len(swaps), len(used))), np.array([c for *_, c in swaps])
+    for k, (lost, won, _) in enumerate(swaps):
+        delta[k, [at[f] for f in lost]] -= 1
+        delta[k, [at[f] for f in won]] += 1
+    mass /= max(1.0, mass.sum())
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
+    w, first, second = np.zeros(m + 1), np.zeros(m + 1), np.zeros(m + 1)
     for step in range(1, steps + 1):  # Adam over the whole sample
-        z = x @ w[:-1].astype(np.float32) + np.float32(w[-1])
+        z = np.bincount(row, w[col], n) + w[-1]
         r = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.append(x.T @ r + 2 * l2 * w[:-1] + 2 * fairness * delta.T @ (mass * (delta @ w[:-1])), r.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    bias = float(w[-1])
-    return ToxicityModel(bias, {word: float(c) for word, c in zip(vocabulary, w[:-1], strict=True)})
+        g = np.append(np.bincount(col, r[row], m) + 2 * l2 * w[:-1], r.sum())
+        g[used] += 2 * fairness * delta.T @ (mass * (delta @ w[used]))
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        w -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return ToxicityModel(float(w[-1]), {word: float(c) for word, c in zip(vocabulary, w[:-1], strict=True)})
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep_text: bool = True) -> DataFrame:

@@ -120,6 +120,19 @@ def test_toxicity_edges(spark, docs, empty):
     assert toxicity.fit(one).weights == {}
 
 
+def test_toxicity_small_samples_and_rare_insults(spark):
+    d = spark.createDataFrame([(i, " ".join(words(i, 30) + (["vermin"] if i < 10 else [])), int(i < 10)) for i in range(68)], "doc_id bigint, text string, toxic int")
+    got = toxicity.score(d, toxicity.fit(d.select(F.col("toxic").alias("label"), "text"))).collect()
+    assert all(r["predicted"] == r["toxic"] for r in got)
+    # Each of 60 insults stands in six of 360 toxic documents; there are as many clean ones.
+    rows = [(i, " ".join(words(i, 30) + ([f"slur{i % 60}x"] if i < 360 else [])), int(i < 360)) for i in range(720)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    model = toxicity.fit(d.select("label", "text"))
+    asked = [(k, " ".join(words(5000 + k, 30) + ([f"slur{k}x"] if k < 60 else [])), int(k < 60)) for k in range(120)]
+    got = toxicity.score(spark.createDataFrame(asked, "doc_id bigint, text string, toxic int"), model).collect()
+    assert sum(r["predicted"] for r in got if r["toxic"]) >= 57 and sum(r["predicted"] for r in got if not r["toxic"]) <= 6
+
+
 # Quality rules
 
 
