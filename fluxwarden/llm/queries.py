@@ -55,7 +55,7 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licences.scan(table(spark, sf_dir, "documents"), licences.templates(spark))
+    found = licences.scan(table(spark, sf_dir, "documents"), licences.templates(spark), whole_text=True)
     return found.select(F.col("id").alias("doc_id"), "licence", F.round("dice", 6).alias("dice"), F.col("n_lines").cast("long").alias("n_lines"))
 
 

@@ -5,6 +5,7 @@ import binascii
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -278,6 +279,18 @@ def test_licence_size_bounds_lose_nothing(spark):
     assert {r["id"]: pytest.approx(r["dice"]) for r in licences.scan(d, t).where("licence is not null").collect()} == want
 
 
+def test_licence_windows(spark):
+    notices = dict(licences.TEMPLATES)
+    names = ["Apache-2.0-notice", "MIT-notice", "BSD-3-Clause", "GPL-notice"]
+    wrapped = lambda x, width: "\n".join(" * " + line for line in textwrap.wrap(x, width))
+    rows = [(i, f"{' '.join(words(i, 80))}\n{wrapped(notices[n], 72)}\n{' '.join(words(i + 9, 80))}", "en") for i, n in enumerate(names)]
+    rows += [(10 + i, f"{' '.join(words(i, 40))} {notices[n]} {' '.join(words(i + 9, 40))}", "en") for i, n in enumerate(names)]
+    rows.append((20, "The software is free and people may redistribute the license under conditions.\n" * 30, "en"))
+    got = {r["id"]: (r["licence"], r["dice"], r["n_lines"]) for r in licences.scan(spark.createDataFrame(rows, SCHEMA), licences.templates(spark), whole_text=True).collect()}
+    names[0] = "Apache-2.0"  # stands within the notice as a whole: of equal scores the first by name
+    assert got == {**{i: (n, 1.0, 0) for i, n in enumerate(names)}, **{10 + i: (n, 1.0, 0) for i, n in enumerate(names)}, 20: (None, 0.0, 0)}
+
+
 # Near duplicates
 
 
