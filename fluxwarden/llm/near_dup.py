@@ -2,7 +2,8 @@
 
 Two texts link when their sets of word shingles have Jaccard similarity of at least ``num`` / ``den``. Method:
 
-1. Equal sets are one node (its 64-bit set hash), so exact copies are never compared with each other.
+1. Equal sets are one node (its 64-bit set hash; sets are held apart by a second hash, and nodes that two sets would share
+   get ids from that one instead), so exact copies are never compared with each other.
 2. Bands. For sizes a and b, similarity t allows a symmetric difference of at most (a + b)(1 - t) / (1 + t). Bands cover
    the sums a + b in steps of 25 %; a set of n shingles meets others only in the two or three bands that its sums
    can reach. A band has one bound D.
@@ -12,18 +13,21 @@ Two texts link when their sets of word shingles have Jaccard similarity of at le
    an entry (band, piece, XOR); entries are dealt by hash to buckets, and equal ones found there. Where both sets of
    a pair fill over D pieces, or one does, some piece that agrees isn't empty. A set that fills fewer also gives its
    empty pieces, under a key that only such sets have.
-4. Candidates. In a bucket, a short run of equal entries gives all its pairs. A long one gives pairs of its first node
-   with the others; its other pairs matter only between different components. These are compared block by block by
-   parity sketches, and each block comparison gives a spanning forest of what may link, nearest pairs first: in the
-   longest run of each node first, by wide sketches (eight bits a shingle); then the runs with two components or more
-   are sifted by small sketches, and those with a pair that may link go on by wide ones until a round finds no new
-   link; at last all pairs that are left in them are verified.
+4. Candidates. In a bucket, a short run of equal entries gives all its pairs. A long one gives pairs of its hub, the run's
+   smallest node, with the others: as many rows as the run has nodes. Runs of one group mostly have the same hub, so its
+   many runs together give about one row per node.
 5. Verification. A dense parity sketch of each node (a bit for each shingle, at least) has a Hamming distance that bounds the
    difference from below; pairs beyond D go. The others' shingle sets are read from the texts again and compared exactly.
 6. Components of the links by alternating minimum over neighbours and pointer jumping, in written rounds.
+7. Families. The nodes paired with a hub by long runs are its family; two nodes of a long run are in one. Only pairs of
+   a family that lie in different components still matter, so families within one component are done. In the
+   others, the nodes outside the family's largest component meet all of it, block by block: first by wide sketches
+   (eight bits a shingle), which gives the nodes that may still link; then by these nodes' shingle sets, nearest first, where a pair already
+   joined is passed over. What comes out are links that join components, fewer than nodes, and components are brought up to date once.
 
 Entries travel as packed NumPy columns (bucket rows), never as a Spark row each. What can't be decided by a bounded
-step is decided by an exact one: there are no caps.
+step is decided by an exact one: there are no caps. Links inside a component are looked for only as far as the component needs
+them, so their number isn't told.
 
 Defined results: null, empty and wordless texts have no shingles and are linked with nothing, not even each other; rows
 with equal texts share a node; null ids take part but are no one's smallest id; extra columns are kept by keep_one();
@@ -50,7 +54,8 @@ SHORT_RUN = 8
 BUCKET_ENTRIES = 2_000_000
 #: Ids broadcast at most (8 bytes each); beyond that, the join shuffles.
 MAX_BROADCAST_IDS = 1_000_000
-BLOCK = 1024
+#: Shingles of a block of a family's nodes: a task compares two blocks, 8 bytes a shingle each.
+BLOCK_SHINGLES = 800_000
 #: What a task holds at once: bytes of text, and entries before they are packed.
 SLICE_BYTES = 3_000_000
 HELD_ENTRIES = 1_000_000
@@ -75,15 +80,23 @@ class Bands:
         return np.searchsorted(self.bounds, low) - 1, np.searchsorted(self.bounds, high) - 1
 
 
-def set_hashes(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def set_hashes(sets: np.ndarray, bounds: np.ndarray, seed: int = 5) -> np.ndarray:
     """A 64-bit hash of each set, as a signed number; 0 for the empty set."""
     out = np.zeros(len(bounds) - 1, np.uint64)
     full = np.flatnonzero(np.diff(bounds))
     if len(full):
-        out[full] = mix(np.add.reduceat(mix(sets ^ K[5]), bounds[full]) + np.diff(bounds)[full].astype(np.uint64) * K[6])
+        out[full] = mix(np.add.reduceat(mix(sets ^ K[seed]), bounds[full]) + np.diff(bounds)[full].astype(np.uint64) * K[6])
     return out.view(np.int64)
 
 
+def node_ids(sets: np.ndarray, bounds: np.ndarray, shared: frozenset[int], bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's node (``bits`` of its hash) and its second hash, which is the node where different sets share the first one."""
+    first, second = set_hashes(sets, bounds) >> (64 - bits), set_hashes(sets, bounds, 2)
+    if shared:
+        first = np.where(np.isin(first, np.fromiter(shared, np.int64, len(shared))), second, first)
+    return first, second
+
+
 def dense_sketches(sets: np.ndarray, bounds: np.ndarray, factor: int = 1) -> list[bytes]:
     """Parity sketch of each set: ``factor`` bits a shingle, rounded up to a power of two of at least 64; each shingle
     flips one. Halves XOR to the sketch of half the size, so sketches of different sizes can be compared."""
@@ -133,14 +146,14 @@ def entries(sets: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndar
     return (np.concatenate(keys), np.concatenate(rows)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-SKETCHED = "kind int, id string, text_hash bigint, node bigint, n bigint, sketch binary, wide binary, bucket int, keys binary, rows binary, nodes binary"
+SKETCHED = "kind int, id string, text_hash bigint, node bigint, second bigint, n bigint, sketch binary, wide binary, bucket int, keys binary, rows binary, nodes binary"
 
 
-def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of kind 0 are documents (id, text_hash, node, n, sketch), of kind 1 the entries of a batch for a bucket: keys
+def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col: str, text_col: str, shared: frozenset[int] = frozenset(), hash_bits: int = 64) -> DataFrame:
+    """Rows of kind 0 are documents (id, text_hash, node, second, n, sketch), of kind 1 the entries of a batch for a bucket: keys
     (u32), for each the place (u16 or u32) of its node in ``nodes`` (i64)."""
     fields = [f.strip().split(" ")[0] for f in SKETCHED.split(",")]
-    types = dict(zip(fields, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True))
+    types = dict(zip(fields, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True))
 
     def out(**columns):
         size = len(next(iter(columns.values())))
@@ -174,8 +187,8 @@ def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col:
         for batch in batches:
             for b in slices(batch, 2, SLICE_BYTES):
                 sets, bounds = shingle_sets(b.column(2), shingle)
-                nodes = set_hashes(sets, bounds)
-                yield out(kind=np.zeros(b.num_rows, np.int32), id=b.column(0), text_hash=b.column(1), node=nodes, n=np.diff(bounds), sketch=dense_sketches(sets, bounds), wide=dense_sketches(sets, bounds, 8))
+                nodes, second = node_ids(sets, bounds, shared, hash_bits)
+                yield out(kind=np.zeros(b.num_rows, np.int32), id=b.column(0), text_hash=b.column(1), node=nodes, second=second, n=np.diff(bounds), sketch=dense_sketches(sets, bounds), wide=dense_sketches(sets, bounds, 8))
                 # Copies within a slice give their entries once.
                 _, one = np.unique(nodes, return_index=True)
                 one = np.sort(one)
@@ -194,11 +207,11 @@ def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col:
     return d.mapInArrow(run, SKETCHED)
 
 
-CANDIDATES = "a bigint, b bigint, run bigint, members binary"
+CANDIDATES = "a bigint, b bigint, hub boolean"
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """Equal entries of a bucket: pairs a < b, and the members (i64) of long runs under the hash of their list."""
+def _candidates(table: pa.Table, short_run: int) -> pa.Table:
+    """Equal entries of a bucket as pairs a < b: all of a short run, those with its smallest node (the hub) of a long one."""
     keys, nodes = [], []
     for k, r, n in zip(table["keys"], table["rows"], table["nodes"], strict=True):
         own = np.frombuffer(n.as_buffer(), np.int64)
@@ -213,27 +226,18 @@ def _candidates(table: pa.Table) -> pa.Table:
     key, node = key[new], node[new]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
-    a, b = [], []
-    for k in range(2, SHORT_RUN + 1):
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(2, short_run + 1):
         at = start[size == k]
         for i in range(k):
             for j in range(i + 1, k):
                 a.append(node[at + i])
                 b.append(node[at + j])
-    runs, members = [], []
-    for s, k in zip(start[size > SHORT_RUN].tolist(), size[size > SHORT_RUN].tolist(), strict=True):
-        own = node[s : s + k]
-        a.append(np.full(k - 1, own[0]))
-        b.append(own[1:])
-        runs.append(int(mix(np.array([np.add.reduce(mix(own.view(np.uint64)))]))[0].astype(np.int64)))
-        members.append(own.tobytes())
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a and sum(map(len, a)) else np.zeros((0, 2), np.int64)
-    # Pairs first, then runs.
-    column = lambda kind, first, then: pa.concat_arrays([pa.nulls(len(pairs), kind) if first is None else first, pa.nulls(len(runs), kind) if then is None else then])
-    out = pa.table({
-        "a": column(pa.int64(), pa.array(pairs[:, 0]), None), "b": column(pa.int64(), pa.array(pairs[:, 1]), None),
-        "run": column(pa.int64(), None, pa.array(runs, pa.int64())), "members": column(pa.binary(), None, pa.array(members, pa.binary())),
-    })
+    short = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+    long = np.repeat(size > short_run, size)
+    hub, first = np.repeat(node[start], size), np.repeat(start, size) == np.arange(len(node))
+    star = np.unique(np.stack([hub, node], 1)[long & ~first], axis=0)
+    out = pa.table({"a": np.concatenate([short[:, 0], star[:, 0]]), "b": np.concatenate([short[:, 1], star[:, 1]]), "hub": np.repeat([False, True], [len(short), len(star)])})
     give_back()
     return out
 
@@ -266,10 +270,9 @@ def filtered(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near_enough(bands), "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, bands: Bands, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs that link, by their shingle sets, which are read from the texts of their documents."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "first_key")
-    needed = written(needed, "needed", rebalance=True)
+def shingles_of(needed: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str, shared: frozenset[int], hash_bits: int = 64) -> DataFrame:
+    """node, shingles (sorted) of the nodes in ``needed``, from the texts of a document of each."""
+    needed = written(needed.select("node").distinct().join(nodes, "node").select("node", "first_key"), "needed", rebalance=True)
     keys = needed.select(F.col("first_key").alias("key"))
     if needed.count() <= MAX_BROADCAST_IDS:
         keys = F.broadcast(keys)
@@ -280,10 +283,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, bands: Bands,
             for b in slices(batch, 1, SLICE_BYTES):
                 sets, bounds = shingle_sets(b.column(1), shingle)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(sets, bounds)), lists], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(node_ids(sets, bounds, shared, hash_bits)[0]), lists], names=["node", "shingles"])
         give_back()
 
-    sets = written(texts.select("key", "text").mapInArrow(run, "node bigint, shingles array<bigint>"), "sets", rebalance=True).dropDuplicates(["node"])
+    return written(texts.select("key", "text").mapInArrow(run, "node bigint, shingles array<bigint>"), "sets", rebalance=True).dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, bands: Bands, read_sets) -> DataFrame:
+    """The pairs that link, by their shingle sets, which ``read_sets`` gives for a table of nodes."""
+    sets = read_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("total"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
     return both.where(F.col("common") * bands.den >= (F.col("total") - F.col("common")) * bands.num).select("a", "b")
@@ -310,133 +318,134 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the edges, taken in order, join two trees."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = x = root.get(up, up)
-        return x
+def _allowed(bands: Bands, nodes: np.ndarray, roots: np.ndarray, n: np.ndarray, outside: np.ndarray, side: np.ndarray, wide: list[bytes]):
+    """For each node of side 0: its place, the places on side 1 that lie in other components and that sizes and wide sketches allow,
+    and how far those are."""
+    num, den = bands.num, bands.den
+    small = min(map(len, wide))
+    bits = np.stack([fold(np.frombuffer(s, np.uint8), small) for s in wide]).view(np.uint64)
+    right = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0):
+        # Two nodes outside the largest component stand on both sides of two tasks: one of them compares the pair.
+        ok = (roots[right] != roots[i]) & (np.minimum(n[right], n[i]) * den >= np.maximum(n[right], n[i]) * num) & (~outside[right] | (nodes[right] > nodes[i]))
+        j = right[ok]
+        if len(j):
+            d = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
+            near = d * (den + num) <= (n[j] + n[i]) * (den - num)
+            if near.any():
+                yield i, j[near], d[near] / (n[j[near]] + n[i])
 
-    keep = np.zeros(len(a), bool)
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:
-            root[x], keep[i] = y, True
-    return keep
 
+def _columns(table: pa.Table) -> list[np.ndarray]:
+    return [table[c].to_numpy() for c in ("node", "root", "n", "outside", "side")]
 
-def _across(bands: Bands, every: bool):
-    num, den = bands.num, bands.den
 
+def _may_still_link(bands: Bands):
     def run(table: pa.Table) -> pa.Table:
-        """Pairs of two blocks of a run, in different components, that sizes and wide sketches allow: all, or a spanning
-        forest of the components."""
-        half = table["side"].to_numpy()
-        order = np.argsort(half, kind="stable")
-        node, root, n, side = (table[c].to_numpy()[order] for c in ("node", "root", "n", "side"))
-        wide = [table["wide"][int(i)].as_py() for i in order]
-        small = min(map(len, wide))
-        bits = np.stack([fold(np.frombuffer(s, np.uint8), small) for s in wide]).view(np.uint64)
-        left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-        a, b, far = [], [], []
-        for i in left:
-            j = right[(root[right] != root[i]) & (np.minimum(n[right], n[i]) * den >= np.maximum(n[right], n[i]) * num)]
-            if len(j):
-                d = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
-                ok = d * (den + num) <= (n[j] + n[i]) * (den - num)
-                a.append(np.full(int(ok.sum()), i))
-                b.append(j[ok])
-                far.append(d[ok] / (n[j[ok]] + n[i]))
-        z = np.zeros(0, np.int64)
-        a, b = np.concatenate([z, *a]), np.concatenate([z, *b])
-        if not every and len(a):
-            near = np.argsort(np.concatenate(far), kind="stable")
-            a, b = a[near], b[near]
-            keep = _forest(root[a], root[b])
-            a, b = a[keep], b[keep]
+        """hub, node of the nodes in two blocks that the wide sketches let link with one of another component."""
+        node, root, n, outside, side = _columns(table)
+        found = np.zeros(len(node), bool)
+        for i, j, _ in _allowed(bands, node, root, n, outside, side, [w.as_buffer() for w in table["wide"]]):
+            found[i] = found[j] = True
+        kept = np.unique(node[found])
         give_back()
-        return pa.table({"run": pa.array(np.full(len(a), table["run"][0].as_py()), pa.int64()), "a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+        return pa.table({"hub": pa.array(np.full(len(kept), table["hub"][0].as_py()), pa.int64()), "node": kept})
 
     return run
 
 
-def run_members(runs: DataFrame) -> DataFrame:
-    """run, node, size of the long runs; runs of the same nodes are one."""
-
-    def explode(batches):
-        for t in batches:
-            for r, m in zip(t["run"].to_pylist(), t["members"], strict=True):
-                own = np.frombuffer(m.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), r)), pa.array(own), pa.array(np.arange(len(own)) // BLOCK), pa.array(np.full(len(own), len(own)))], names=["run", "node", "block", "size"])
-
-    return written(runs.dropDuplicates(["run"]).mapInArrow(explode, "run bigint, node bigint, block bigint, size bigint"), "members")
+def _joining_links(bands: Bands):
+    num, den = bands.num, bands.den
 
+    def run(table: pa.Table) -> pa.Table:
+        """The links between two blocks that join components, by shingle sets, nearest pairs first."""
+        node, root, n, outside, side = _columns(table)
+        lists = table["shingles"].combine_chunks()
+        flat, at = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(n)])
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        out = []
+        for i, j, far in _allowed(bands, node, root, n, outside, side, dense_sketches(flat, at, 8)):
+            own = flat[at[i] : at[i + 1]]
+            for k in j[np.argsort(far, kind="stable")].tolist():
+                x, y = find(int(root[i])), find(int(root[k]))
+                if x == y:
+                    continue
+                common = len(np.intersect1d(own, flat[at[k] : at[k + 1]], assume_unique=True))
+                if common * den >= (int(n[i] + n[k]) - common) * num:
+                    up[x] = y
+                    out.append((int(node[i]), int(node[k])))
+        give_back()
+        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
-def across_runs(member: DataFrame, roots: DataFrame, nodes: DataFrame, bands: Bands, sketch: str = "wide", every: bool = False) -> DataFrame:
-    """run, a, b: pairs of long runs' nodes that lie in different components and that the sketch allows. Runs within one
-    component go; the others are cut into blocks, and a task compares a block with another of the run (or itself)."""
-    member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = member.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("block").alias("last")).where("lo <> hi").select("run", "last")
-    member = member.join(mixed, "run").join(nodes.select("node", "n", F.col(sketch).alias("wide")), "node")
-    # Block i meets blocks i..last: a row goes to the tasks (i, k) and (k, i).
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    member = member.select("run", lo.alias("lo"), hi.alias("hi"), F.col("block").alias("side"), "node", "root", "n", "wide")
-    return member.groupBy("run", "lo", "hi").applyInArrow(_across(bands, every), "run bigint, a bigint, b bigint")
+    return run
 
 
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN, id_type: str = "bigint") -> DataFrame:
-    """A row per document row: id, text_hash, node, n_shingles, component_id (smallest id that links reach), n_links
-    (links of its node with other nodes that were needed to find the component)."""
+def in_blocks(family: DataFrame, bands: Bands, payload: DataFrame, compare, schema: str) -> DataFrame:
+    """``compare`` over blocks of the families (hub, node, root, n) that hold several components: nodes outside the largest
+    component (side 0) with all nodes (side 1). ``payload`` has a column for each node, such as its sketch."""
+    of_root = family.groupBy("hub", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    mixed = of_root.groupBy("hub").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("s").alias("all"), (F.sum("s") - F.max_by("s", F.struct("c", "root"))).alias("rest"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.where("roots > 1").select("hub", "main", blocks("rest").alias("lefts"), blocks("all").alias("rights"))
+    d = family.join(mixed, "hub").withColumn("outside", F.col("root") != F.col("main"))
+    place = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+    left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda k: F.struct(place("lefts").alias("i"), k.alias("j"), F.lit(0).alias("side")))
+    right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda k: F.struct(k.alias("i"), place("rights").alias("j"), F.lit(1).alias("side")))
+    d = d.select("hub", "node", "root", "n", "outside", F.explode(F.when(F.col("outside"), F.concat(left, right)).otherwise(right)).alias("at"))
+    d = d.join(payload, "node").select("hub", "at.*", *[c for c in d.columns if c not in ("hub", "at")], *[c for c in payload.columns if c != "node"])
+    return d.groupBy("hub", "i", "j").applyInArrow(compare, schema)
+
+
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN, id_type: str = "bigint", short_run: int = SHORT_RUN, hash_bits: int = 64) -> DataFrame:
+    """A row per document row: id, text_hash, node, n_shingles, component_id (smallest id that links reach)."""
     spark, bands = docs.sparkSession, Bands(num, den)
     rows = docs.count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * 250 // BUCKET_ENTRIES))
-    both = written(sketched(docs, bands, buckets, shingle, id_col, text_col), "sketches")
-    own = both.where("kind = 0").select(F.col("id"), "text_hash", "node", "n", "sketch", "wide")
-    nodes = own.where("n > 0").groupBy("node").agg(
-        F.min(F.col("id").cast(id_type)).alias("first_id"), F.min(_key(F.col("id"), F.col("text_hash"))).alias("first_key"),
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"),
-    )
-    nodes = written(nodes, "nodes")
-    found = both.where("kind = 1").select("bucket", "keys", "rows", "nodes").groupBy("bucket").applyInArrow(_candidates, CANDIDATES)
-    found = written(found, "candidates", rebalance=True)
-    pairs = found.where("run is null").select("a", "b").distinct()
-    pairs = written(filtered(pairs, nodes, bands), "pairs", rebalance=True)
-    links = written(verified(pairs, nodes, docs, bands, shingle, id_col, text_col), "links", rebalance=True)
-    roots = components(links)
-    runs = found.where("run is not null").select("run", "members")
-    if runs.limit(1).count():
-        member = run_members(runs)
-        longest = member.groupBy("node").agg(F.max_by("run", F.struct("size", "run")).alias("run"))
-        part, tried, step = written(member.join(longest, ["node", "run"]).select(*member.columns), "members", rebalance=True), pairs, "longest"
-        while True:
-            found = written(across_runs(part, roots, nodes, bands, "sketch" if step == "all" else "wide", every=step == "rest"), "found", rebalance=True)
-            more = written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs", rebalance=True) if step != "all" else None
-            new = False
-            if more is not None and more.limit(1).count():
-                good = written(verified(more, nodes, docs, bands, shingle, id_col, text_col), "links", rebalance=True)
-                tried = written(tried.unionByName(more), "tried", rebalance=True)
-                if new := bool(good.limit(1).count()):
-                    links = written(links.unionByName(good), "links", rebalance=True)
-                    roots = components(links)
-            # Components only grow, so a run without a candidate pair has none in later rounds.
-            if step == "longest":
-                part, step = member, "all"
-                continue
-            if step == "rest" or not found.limit(1).count():
-                break
-            part = written(part.join(found.select("run").distinct(), "run", "left_semi"), "members", rebalance=True)
-            step = "some" if new or step == "all" else "rest"
+    shared: frozenset[int] = frozenset()
+    while True:
+        both = written(sketched(docs, bands, buckets, shingle, id_col, text_col, shared, hash_bits), "sketches")
+        own = both.where("kind = 0").select("id", "text_hash", "node", "second", "n", "sketch", "wide")
+        nodes = own.where("n > 0").groupBy("node").agg(
+            F.min(F.col("id").cast(id_type)).alias("first_id"), F.min(_key(F.col("id"), F.col("text_hash"))).alias("first_key"), F.first("n").alias("n"),
+            F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), (F.min("second") != F.max("second")).alias("shared"),
+        )
+        nodes = written(nodes, "nodes")
+        # Two sets with one 64-bit hash: about one such node in 10 ** 9.5 texts. The work begins anew with other ids for those.
+        if not (found := nodes.where("shared").select("node").collect()):
+            break
+        shared |= {r["node"] for r in found}
+    read_sets = lambda needed: shingles_of(needed, nodes, docs, shingle, id_col, text_col, shared, hash_bits)
+    found = both.where("kind = 1").select("bucket", "keys", "rows", "nodes").groupBy("bucket").applyInArrow(lambda t: _candidates(t, short_run), CANDIDATES)
+    found = written(found.groupBy("a", "b").agg(F.max("hub").alias("hub")), "candidates", rebalance=True)
+    pairs = written(filtered(found.select("a", "b"), nodes, bands), "pairs", rebalance=True)
+    roots = components(written(verified(pairs, bands, read_sets), "links", rebalance=True))
+    stars = found.where("hub").select(F.col("a").alias("hub"), F.col("b").alias("node"))
+    if stars.limit(1).count():
+        placed = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+        family = written(stars.unionByName(stars.select("hub", F.col("hub").alias("node")).distinct()).join(placed, "node"), "family", rebalance=True)
+        open_ = written(in_blocks(family, bands, nodes.select("node", "wide"), _may_still_link(bands), "hub bigint, node bigint").distinct(), "open", rebalance=True)
+        if open_.limit(1).count():
+            joined = in_blocks(family.join(open_, ["hub", "node"]), bands, read_sets(open_), _joining_links(bands), "a bigint, b bigint")
+            joined = written(joined, "links", rebalance=True)
+            # Links between components, as links between their roots.
+            for side in "ab":
+                joined = joined.join(placed.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side)
+            above = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+            moved = placed.join(above.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
+            roots = written(moved.select("node", F.coalesce("above", "root").alias("root")), "roots")
     linked = roots.join(nodes.select("node", "first_id"), "node").select("node", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    of_node = nodes.select("node", "first_id").join(linked.select("node", "root"), "node", "left").join(least, "root", "left").join(degree, "node", "left")
-    of_node = of_node.select("node", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = own.drop("sketch", "wide").join(of_node, "node", "left")
+    of_node = nodes.select("node", "first_id").join(linked.select("node", "root"), "node", "left").join(least, "root", "left")
+    of_node = of_node.select("node", F.coalesce("component_id", "first_id").alias("component_id"))
+    out = own.drop("sketch", "wide", "second").join(of_node, "node", "left")
     id_ = F.col("id").cast(id_type)
-    return out.select(id_.alias("id"), "text_hash", "node", F.col("n").alias("n_shingles"), F.coalesce("component_id", id_).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(id_.alias("id"), "text_hash", "node", F.col("n").alias("n_shingles"), F.coalesce("component_id", id_).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -325,8 +325,7 @@ def test_near_duplicates(spark, docs, rows, empty):
 @pytest.mark.parametrize("seed", range(2))
 def test_near_duplicates_random(spark, seed, monkeypatch):
     """Groups of copies with edits, many of one base, some below and some over the limit; long runs and blocks are made common."""
-    monkeypatch.setattr(near_dup, "SHORT_RUN", 3)
-    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 400)
     rng = random.Random(seed)
     rows = []
     for group in range(25):
@@ -337,7 +336,31 @@ def test_near_duplicates_random(spark, seed, monkeypatch):
                 w[rng.randrange(len(w))] = f"e{rng.randrange(50)}"
             rows.append((len(rows), " ".join(w), "en"))
     d = spark.createDataFrame(rows, SCHEMA)
-    assert as_counter(near_dup.cluster(d), "id", "n_shingles", "component_id") == plain_components(rows)
+    assert as_counter(near_dup.cluster(d, short_run=3), "id", "n_shingles", "component_id") == plain_components(rows)
+
+
+def test_near_duplicates_of_sets_with_one_hash(docs, rows):
+    assert as_counter(near_dup.cluster(docs, hash_bits=3), "id", "n_shingles", "component_id") == plain_components(rows)
+
+
+def test_near_duplicates_large_group_stays_linear(spark, monkeypatch):
+    """3,000 different near copies of one text: no table between has more than a few rows for each."""
+    rng, base, made = random.Random(4), words(77, 600, 5000), {}
+
+    def counted(df, label, rebalance=False, write=near_dup.written):
+        out = write(df, label, rebalance)
+        made[label] = max(made.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "written", counted)
+    texts = []
+    for i in range(3000):
+        w = list(base)
+        for _ in range(1 + i % 4):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append((i, " ".join(w), "en"))
+    got = near_dup.cluster(spark.createDataFrame(texts, SCHEMA)).collect()
+    assert {r["component_id"] for r in got} == {0} and max(made.values()) <= 20 * 3000, made
 
 
 def test_parity_sketch_bounds():
