@@ -146,14 +146,14 @@ def entries(sets: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndar
     return (np.concatenate(keys), np.concatenate(rows)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-SKETCHED = "kind int, id string, text_hash bigint, node bigint, second bigint, n bigint, sketch binary, wide binary, bucket int, keys binary, rows binary, nodes binary"
+SKETCHED = "kind int, id string, text_hash bigint, node bigint, second bigint, n bigint, sketch binary, wide binary, bucket int, keys binary, nodes binary"
 
 
 def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col: str, text_col: str, shared: frozenset[int] = frozenset(), hash_bits: int = 64) -> DataFrame:
     """Rows of kind 0 are documents (id, text_hash, node, second, n, sketch), of kind 1 the entries of a batch for a bucket: keys
-    (u32), for each the place (u16 or u32) of its node in ``nodes`` (i64)."""
+    (u32) and their nodes (i64)."""
     fields = [f.strip().split(" ")[0] for f in SKETCHED.split(",")]
-    types = dict(zip(fields, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True))
+    types = dict(zip(fields, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()), strict=True))
 
     def out(**columns):
         size = len(next(iter(columns.values())))
@@ -170,18 +170,15 @@ def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col:
             held, held_rows = [], 0
             if not len(keys):
                 return None
-            distinct, place = np.unique(nodes, return_inverse=True)
             bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket, low, place = bucket[order], keys[order].astype(np.uint32), place[order]
+            bucket, low, nodes = bucket[order], keys[order].astype(np.uint32), nodes[order]
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             ends = [*cuts[1:].tolist(), len(bucket)]
-            raw = {"bucket": bucket[cuts], "keys": [], "rows": [], "nodes": []}
+            raw = {"bucket": bucket[cuts], "keys": [], "nodes": []}
             for a, z in zip(cuts.tolist(), ends, strict=True):
-                used, own = np.unique(place[a:z], return_inverse=True)
                 raw["keys"].append(low[a:z].tobytes())
-                raw["rows"].append(own.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32).tobytes())
-                raw["nodes"].append(distinct[used].tobytes())
+                raw["nodes"].append(nodes[a:z].tobytes())
             return out(kind=np.ones(len(cuts), np.int32), **raw)
 
         for batch in batches:
@@ -212,14 +209,8 @@ CANDIDATES = "a bigint, b bigint, hub boolean"
 
 def _candidates(table: pa.Table, short_run: int) -> pa.Table:
     """Equal entries of a bucket as pairs a < b: all of a short run, those with its smallest node (the hub) of a long one."""
-    keys, nodes = [], []
-    for k, r, n in zip(table["keys"], table["rows"], table["nodes"], strict=True):
-        own = np.frombuffer(n.as_buffer(), np.int64)
-        key = np.frombuffer(k.as_buffer(), np.uint32)
-        rows = np.frombuffer(r.as_buffer(), np.uint16 if len(r.as_buffer()) == 2 * len(key) else np.uint32)
-        keys.append(key)
-        nodes.append(own[rows])
-    key, node = np.concatenate(keys), np.concatenate(nodes)
+    key = np.concatenate([np.frombuffer(k.as_buffer(), np.uint32) for k in table["keys"]])
+    node = np.concatenate([np.frombuffer(n.as_buffer(), np.int64) for n in table["nodes"]])
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
@@ -421,7 +412,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             break
         shared |= {r["node"] for r in found}
     read_sets = lambda needed: shingles_of(needed, nodes, docs, shingle, id_col, text_col, shared, hash_bits)
-    found = both.where("kind = 1").select("bucket", "keys", "rows", "nodes").groupBy("bucket").applyInArrow(lambda t: _candidates(t, short_run), CANDIDATES)
+    found = both.where("kind = 1").select("bucket", "keys", "nodes").groupBy("bucket").applyInArrow(lambda t: _candidates(t, short_run), CANDIDATES)
     found = written(found.groupBy("a", "b").agg(F.max("hub").alias("hub")), "candidates", rebalance=True)
     pairs = written(filtered(found.select("a", "b"), nodes, bands), "pairs", rebalance=True)
     roots = components(written(verified(pairs, bands, read_sets), "links", rebalance=True))
