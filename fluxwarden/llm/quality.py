@@ -1,10 +1,14 @@
 """Quality rules by weak supervision: rules vote or abstain, EM estimates their accuracies, a posterior decides.
 
-Method: each rule looks at a few counts of the text and votes 1 (good), 0 (bad) or abstains. The table of vote
+Method: each rule looks at a few counts of the text and votes 1 (good), 0 (bad) or abstains. Rules overlap: symbols are held against
+words and against characters, repetition is seen in windows and in lines, so that a lone bad vote of a weak rule can be outvoted. The table of vote
 patterns (at most 3 ** number of rules rows, whatever the corpus size) goes to the driver; expectation-maximisation
 over it estimates, for a latent class good/bad, the prior and each rule's accuracy per class among the
 documents on which it votes. The posterior probability of "good" then replaces the usual demand that every rule must pass.
 
+Priors on the rates keep EM from calling all of a rule's bad votes noise: they weigh as much as ``STRENGTH`` of the documents, so they bend to what the
+other rules say, at every size of the corpus alike.
+
 Everything is a DataFrame expression: no Python runs on executors.
 
 Defined results: null and empty texts have no words, so every count is 0, every rule abstains but the length rule,
@@ -21,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bind, fresh, keep_where, words_of
+from .common import WORD, bind, fresh, keep_where, words_of, written
 
 WINDOW = 5
 SYMBOLS = "[^#*$%&|<>]+"
@@ -32,16 +36,19 @@ LINES = "n_lines"
 #: Votes: (name, good if, bad if); neither: the rule abstains. All counts are longs. A few repeated lines are no vote
 #: against a long text, so dup_lines is a share of the lines.
 RULES = (
-    ("length", "n_words >= 50", "n_words < 10"),
+    ("length", "n_words >= 50", "n_words < 15"),
     ("word_length", "n_words > 0 AND word_chars >= 3 * n_words AND word_chars <= 10 * n_words", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words)"),
-    ("symbols", "n_words > 0 AND 100 * n_symbols <= n_words", "n_words > 0 AND 10 * n_symbols > n_words"),
+    ("symbols_per_word", "n_words > 0 AND 100 * n_symbols <= n_words", "n_words > 0 AND 10 * n_symbols > n_words"),
+    ("symbols_per_char", "n_words > 0 AND 500 * n_symbols <= word_chars", "n_words > 0 AND 33 * n_symbols > word_chars"),
     ("dup_lines", "n_words > 0 AND n_dup_lines = 0", "n_dup_lines >= 3 AND 100 * n_dup_lines > 20 * n_lines"),
-    ("repeats", "n_words > 0 AND 100 * n_repeat_words <= 2 * n_words", "n_words > 0 AND 100 * n_repeat_words > 20 * n_words"),
+    ("repeats", "n_words > 0 AND 100 * n_repeat_words <= 2 * n_words", "n_words > 0 AND 100 * n_repeat_words > 10 * n_words"),
+    ("line_shape", "n_words > 0 AND n_words >= 6 * n_lines", "n_words > 0 AND n_words < 2 * n_lines"),
 )
 MIN_POSTERIOR = 0.5
-#: A rule is taken to vote "bad" on at most this share of good documents; without it, EM may explain a rule's bad votes
-#: as noise when no other rule shares them.
-MAX_FALSE_ALARM = 0.01
+#: What the priors weigh, as a share of all documents; chance of a bad vote on a bad and on a good document, and of a good document, that they hold.
+STRENGTH = 0.05
+PRIOR_BAD = {0: 0.5, 1: 0.02}
+PRIOR_GOOD = 0.9
 
 
 def with_stats(docs: DataFrame, text_col: str = "text", names: Iterable[str] = (*STATS, LINES)) -> DataFrame:
@@ -125,29 +132,22 @@ class VoteModel:
         return right / (right + wrong)
 
 
-def fit_votes(patterns: dict[tuple[int, ...], int], max_rounds: int = 200, tolerance: float = 1e-9) -> VoteModel:
-    """EM over pattern counts, begun with 0.2 where some rule votes bad and 0.9 elsewhere. One pseudo-document for each rule,
-    class and vote keeps rates off 0, and two further ones on the right vote keep class 1 the good one."""
-    rules = len(RULES)
-    total = sum(patterns.values())
-    q = {}
-    for p in patterns:
-        q[p] = 0.2 if 0 in p else 0.9
+def fit_votes(patterns: dict[tuple[int, ...], int], max_rounds: int = 500, tolerance: float = 1e-10, strength: float = STRENGTH) -> VoteModel:
+    """EM over pattern counts, begun from the number of bad votes. The priors count as ``strength`` of the documents and one more."""
+    rules, total = len(RULES), sum(patterns.values())
+    weight = strength * total + 1
+    q = {p: {0: 0.95, 1: 0.6}.get(sum(v == 0 for v in p), 0.1) for p in patterns}
     model, last = None, None
     for rounds in range(1, max_rounds + 1):
-        mass = sum(q[p] * n for p, n in patterns.items())
-        prior = (mass + 1) / (total + 2)
+        prior = (sum(q[p] * n for p, n in patterns.items()) + PRIOR_GOOD * weight) / (total + weight)
         rates = []
         for r in range(rules):
-            by = {0: {0: 3.0, 1: 1.0}, 1: {0: 1.0, 1: 3.0}}
+            by = {y: {0: PRIOR_BAD[y] * weight, 1: (1 - PRIOR_BAD[y]) * weight} for y in (0, 1)}
             for p, n in patterns.items():
                 if p[r] >= 0:
                     by[1][p[r]] += q[p] * n
                     by[0][p[r]] += (1 - q[p]) * n
-            rate = {y: {v: c / sum(by[y].values()) for v, c in by[y].items()} for y in by}
-            if rate[1][0] > MAX_FALSE_ALARM:
-                rate[1] = {0: MAX_FALSE_ALARM, 1: 1 - MAX_FALSE_ALARM}
-            rates.append(rate)
+            rates.append({y: {v: c / sum(by[y].values()) for v, c in by[y].items()} for y in by})
         model = VoteModel(prior, tuple(rates), rounds)
         q = {p: model.posterior(p) for p in patterns}
         if last is not None and abs(prior - last) < tolerance:
@@ -190,7 +190,13 @@ def judge(docs: DataFrame, text_col: str = "text", min_posterior: float = MIN_PO
     return d.withColumn(kept, ~F.col(failed) & (F.col(posterior) >= min_posterior)).drop(lines)
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with its own columns, without the documents that are not kept."""
-    judged = judge(docs, text_col, **options)
-    return keep_where(judged, F.col(judged.columns[-1])).select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_good(docs: DataFrame, text_col: str = "text", model: VoteModel | None = None, **options) -> DataFrame:
+    """``docs`` with its own columns, without the documents that are not kept. The counts are made once and written with the documents; the fit and
+    the filter both read them."""
+    stats = fresh(docs, *STATS, LINES)
+    counted = with_stats(docs, text_col, stats)
+    if model is None:
+        counted = written(counted, "counted")
+        model = fit_corpus(counted, stats)
+    good = ~base_failed(stats) & (posterior_column(model, stats) >= options.get("min_posterior", MIN_POSTERIOR))
+    return keep_where(counted, good).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -157,17 +157,51 @@ def test_quality_counts(spark, docs):
     assert all(tuple(r[c] for c in quality.STATS) == plain_stats(r["text"]) for r in got)
 
 
-def test_quality_em_and_filter(spark, docs, empty):
-    patterns = {(1, 1, 1, 1, 1): 800, (1, 1, 0, 1, 1): 60, (1, 1, 1, 1, 0): 50, (1, 1, 1, 0, 0): 30, (-1, 1, 1, 1, 1): 20, (1, 1, 1, -1, -1): 40}
+GOOD = (1,) * len(quality.RULES)
+
+
+def votes_bad(*names):
+    return tuple(0 if name in names else 1 for name, _, _ in quality.RULES)
+
+
+def test_quality_em_outvotes_a_weak_rule():
+    """Junk has two symbol rules against it; the line rule alone is often wrong."""
+    patterns = {GOOD: 8000, votes_bad("symbols_per_word", "symbols_per_char"): 600, votes_bad("dup_lines"): 300, votes_bad("length"): 150, votes_bad("dup_lines", "symbols_per_word", "symbols_per_char"): 40}
     m = quality.fit_votes(patterns)
-    assert all(m.posterior(p) > 0.5 for p in patterns if 0 not in p) and all(m.posterior(p) < 0.5 for p in patterns if 0 in p)
+    assert m.posterior(GOOD) > 0.99 and m.posterior(votes_bad("symbols_per_word", "symbols_per_char")) < 0.01
+    assert m.posterior(votes_bad("dup_lines")) > 0.5 and m.posterior(votes_bad("length")) > 0.5
+    assert m.posterior(votes_bad("dup_lines", "symbols_per_word", "symbols_per_char")) < 0.01
+    at = {name: r for r, (name, _, _) in enumerate(quality.RULES)}
+    assert m.rates[at["symbols_per_word"]][0][0] > 2 * m.rates[at["dup_lines"]][0][0]
+
+
+def test_quality_em_is_em():
+    """The same estimates as EM over single documents, written with arrays."""
+    rng = np.random.default_rng(8)
+    truth = rng.random(3000) < 0.9
+    flip = rng.random((3000, len(quality.RULES))) < np.array([0.05, 0.1, 0.2, 0.05, 0.3, 0.1, 0.15])
+    votes = np.where(rng.random(flip.shape) < 0.1, -1, (truth[:, None] ^ flip).astype(int))
+    model = quality.fit_votes(Counter(map(tuple, votes.tolist())))
+    weight, on = quality.STRENGTH * 3000 + 1, votes >= 0
+    bad = (votes == 0).sum(1)
+    q = np.where(bad == 0, 0.95, np.where(bad == 1, 0.6, 0.1))
+    for _ in range(model.rounds):
+        prior = (q.sum() + quality.PRIOR_GOOD * weight) / (3000 + weight)
+        chance = {y: ((w[:, None] * (votes == 0)).sum(0) + quality.PRIOR_BAD[y] * weight) / ((w[:, None] * on).sum(0) + weight) for y, w in ((1, q), (0, 1 - q))}
+        log = {y: np.where(votes == 0, np.log(chance[y]), np.where(votes == 1, np.log(1 - chance[y]), 0.0)).sum(1) for y in (0, 1)}
+        q = 1 / (1 + np.exp(np.log(1 - prior) + log[0] - np.log(prior) - log[1]))
+    assert model.prior == pytest.approx(prior) and [r[1][0] for r in model.rates] == pytest.approx(chance[1].tolist())
+    assert all(model.posterior(v) == pytest.approx(x) for v, x in zip(votes[:200].tolist(), q[:200].tolist(), strict=True))
+
+
+def test_quality_filter(spark, docs, empty):
     judged = quality.judge(docs.withColumn("kept", F.lit(1)))
     for r in judged.collect():
         n, _, _, _, rep = plain_stats(r["text"])
         assert r["base_failed"] == (n < 10 or 100 * rep > 20 * n) and r["_kept"] == (not r["base_failed"] and r["posterior"] >= 0.5)
-    kept = quality.keep_good(docs)
-    assert kept.columns == docs.columns and as_counter(kept, "doc_id") == as_counter(quality.judge(docs).where("kept"), "doc_id")
-    assert quality.keep_good(empty).count() == 0 and quality.fit_votes({}).prior == 0.5
+    kept = quality.keep_good(docs.withColumn("n_words", F.lit("x")))
+    assert kept.columns == [*docs.columns, "n_words"] and as_counter(kept, "doc_id") == as_counter(quality.judge(docs).where("kept"), "doc_id")
+    assert quality.keep_good(empty).count() == 0 and 0 < quality.fit_votes({}).prior < 1
 
 
 def test_quality_repeated_lines_against_length(spark):
