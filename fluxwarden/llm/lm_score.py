@@ -5,11 +5,14 @@ with how often it has them; these rows, packed per (batch, bucket), meet by hash
 partitioned by hash: a bucket adds up each n-gram and answers every batch that asked with the corpus counts, in the
 order of its request. A batch then joins the answers to its exploded n-grams, scores each word and sums per document.
 So a hot n-gram crosses the network once per batch, not once per occurrence, and no task holds all rows of a key.
+A row of the exchange holds all n-grams that a batch has in a bucket; only buckets that it has some in get one, so there are never more rows than
+n-grams. ``count_table`` gives the same counts as a plain table (n, gram_hash, count) for other uses.
 
 A word w after context h scores c(h w) / c(h) if the n-gram was seen at least ``min_count`` times, else ``alpha`` times
-the score with a shorter context, down to c(w) / N. A document's score is the sum of natural logarithms.
+the score with a shorter context, down to c(w) / N. The texts that are scored are those that are counted, so every n-gram is seen once at least; with
+``min_count`` 2, one that a text alone has backs off. A document's total is the sum of natural logarithms, its score the mean of them.
 
-Defined results: null, empty and wordless texts have 0 words and score 0; repeated rows count and are scored each;
+Defined results: null, empty and wordless texts have 0 words and score 0; repeated rows count and are scored each; extra columns are left out;
 a text's first words have the contexts there are; an empty table gives an empty result.
 """
 
@@ -29,6 +32,8 @@ from .shingles import K, mix, word_hashes
 ORDER = 2
 ALPHA = 0.4
 MIN_COUNT = 2
+#: N-grams that a bucket is planned for, about 40 bytes each in its task.
+BUCKET_GRAMS = 2_000_000
 #: Texts of a batch: about 8 MB at 3 kB each; an Arrow group of so many rows is held by one task.
 BATCH_ROWS = 2500
 
@@ -80,13 +85,12 @@ def _unpack(b: bytes, kind) -> np.ndarray:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, batch_rows: int = BATCH_ROWS, id_type: str = "bigint") -> DataFrame:
-    """A row per document: id, n_words, log_score."""
+    """A row per document: id, n_words, log_total (the sum), log_score (the mean of a word)."""
     if not 1 <= order <= len(K):
         raise ValueError(f"order must be from 1 to {len(K)}")
     spark = docs.sparkSession
     rows = docs.count()
     batches = max(1, -(-rows // batch_rows))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), batches)
     # The row's place decides its batch, so rows that are alike spread over all batches; the dealt words are written once.
     dealt = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches)).cast("int").alias("batch"))
 
@@ -102,6 +106,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     packed = written(dealt.groupBy("batch").applyInArrow(coded, "batch int, ids array<string>, bounds binary, vocabulary binary, codes binary"), "words")
 
+    # N: the words of all documents, from the bounds of the batches.
+    total_words = _total_words(packed)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_words * order // BUCKET_GRAMS))
+
     def unpacked(b):
         vocabulary = np.frombuffer(b["vocabulary"].as_py(), np.uint64)
         return vocabulary[_unpack(b["codes"].as_py(), np.uint32)], np.frombuffer(b["bounds"].as_py(), np.int64)
@@ -133,8 +141,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     asked = packed.select("batch", "bounds", "vocabulary", "codes").mapInArrow(ask, "batch int, bucket int, grams binary, counts binary")
     answered = asked.groupBy("bucket").applyInArrow(answer, "batch int, bucket int, totals binary")
     answered = written(answered, "counts")
-    # N: the words of all documents, from the bounds of the batches.
-    total_words = _total_words(packed)
     smoothing = np.log(alpha)
 
     def scored(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -159,10 +165,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         if len(full):
             sums[full] = np.add.reduceat(value, bounds[full])
         give_back()
-        return pa.table({"id": pa.array(ids, pa.string()), "n_words": np.diff(bounds), "log_score": sums})
+        n = np.diff(bounds)
+        return pa.table({"id": pa.array(ids, pa.string()), "n_words": n, "log_total": sums, "log_score": sums / np.maximum(n, 1)})
 
     both = packed.groupBy("batch").cogroup(answered.groupBy("batch"))
-    return both.applyInArrow(scored, "id string, n_words bigint, log_score double").withColumn("id", F.col("id").cast(id_type))
+    return both.applyInArrow(scored, "id string, n_words bigint, log_total double, log_score double").withColumn("id", F.col("id").cast(id_type))
+
+
+def count_table(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """n, gram_hash, count of every n-gram up to ``order``: counted per batch of rows first, then by hash."""
+
+    def run(it):
+        for t in it:
+            words, bounds = word_hashes(t.column(0))
+            for n in range(1, order + 1):
+                h, ok = gram_places(words, bounds, n)
+                distinct, count = np.unique(h[ok], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), n, np.int32)), pa.array(distinct.view(np.int64)), pa.array(count)], names=["n", "gram_hash", "count"])
+
+    return docs.select(text_col).mapInArrow(run, "n int, gram_hash bigint, count bigint").groupBy("n", "gram_hash").agg(F.sum("count").alias("count"))
 
 
 def _total_words(packed: DataFrame) -> int:

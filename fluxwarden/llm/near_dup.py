@@ -51,7 +51,7 @@ NUM, DEN = 80, 100
 #: Runs of up to so many nodes give all their pairs; longer ones go by step 4.
 SHORT_RUN = 8
 #: Entries that a bucket is planned for; a bucket's memory is about 50 bytes each.
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 1_000_000
 #: Ids broadcast at most (8 bytes each); beyond that, the join shuffles.
 MAX_BROADCAST_IDS = 1_000_000
 #: Shingles of a block of a family's nodes: a task compares two blocks, 8 bytes a shingle each.
@@ -384,7 +384,10 @@ def in_blocks(family: DataFrame, bands: Bands, payload: DataFrame, compare, sche
     mixed = of_root.groupBy("hub").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("s").alias("all"), (F.sum("s") - F.max_by("s", F.struct("c", "root"))).alias("rest"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_SHINGLES)).cast("int")
     mixed = mixed.where("roots > 1").select("hub", "main", blocks("rest").alias("lefts"), blocks("all").alias("rights"))
-    d = family.join(mixed, "hub").withColumn("outside", F.col("root") != F.col("main"))
+    d = written(family.join(mixed, "hub").withColumn("outside", F.col("root") != F.col("main")), "mixed", rebalance=True)
+    ids = d.select("node").distinct()
+    if ids.count() <= MAX_BROADCAST_IDS:
+        payload = payload.join(F.broadcast(ids), "node", "left_semi")
     place = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
     left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda k: F.struct(place("lefts").alias("i"), k.alias("j"), F.lit(0).alias("side")))
     right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda k: F.struct(k.alias("i"), place("rights").alias("j"), F.lit(1).alias("side")))

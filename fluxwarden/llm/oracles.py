@@ -36,7 +36,7 @@ x as (select doc_id, unnest(w) as x, unnest(list_concat([null], w[1:-2])) as p,
 c1 as (select x, count(*) as c from x group by x), c2 as (select p, x, count(*) as c from x where i>0 group by 1,2), n as (select count(*) as n from x),
 s as (select doc_id, case when i>0 and c2.c>=2 then ln(c2.c/cp.c) else ln(c1.c/n.n) + case when i>0 then ln(0.4e0) else 0e0 end end as v
   from x join c1 on c1.x=x.x left join c2 on c2.p=x.p and c2.x=x.x left join c1 cp on cp.x=x.p, n)
-select doc_id, len(w) as n_words, round(coalesce(v,0e0),4) as log_score from w left join (select doc_id, sum(v) as v from s group by 1) using (doc_id)
+select doc_id, len(w) as n_words, round(coalesce(v,0e0),4) as log_total, round(coalesce(v/len(w),0e0),6) as log_score from w left join (select doc_id, sum(v) as v from s group by 1) using (doc_id)
 """
 
 OP10 = f"""

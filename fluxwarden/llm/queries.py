@@ -71,7 +71,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_score.score(table(spark, sf_dir, "documents"))
-    return scored.select(F.col("id").alias("doc_id"), "n_words", F.round("log_score", 4).alias("log_score"))
+    return scored.select(F.col("id").alias("doc_id"), "n_words", F.round("log_total", 4).alias("log_total"), F.round("log_score", 6).alias("log_score"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

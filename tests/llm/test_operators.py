@@ -461,7 +461,11 @@ def test_lm_score(spark, docs, rows, empty, order):
         return out
 
     want = sorted((str(i), len(spaced(x)), round(plain(spaced(x)), 6)) for i, x, _ in rows)
-    got = sorted((str(r["id"]), r["n_words"], round(r["log_score"], 6)) for r in lm_score.score(docs, order=order, batch_rows=5).collect())
+    scored = lm_score.score(docs, order=order, batch_rows=5).collect()
+    got = sorted((str(r["id"]), r["n_words"], round(r["log_total"], 6)) for r in scored)
+    assert all(r["log_score"] == pytest.approx(r["log_total"] / max(1, r["n_words"])) for r in scored)
+    table = Counter({(r["n"], r["count"]): r["k"] for r in lm_score.count_table(docs, order=order).groupBy("n", "count").agg(F.count("*").alias("k")).collect()})
+    assert table == Counter((n, c) for n in range(1, order + 1) for c in counts[n].values())
     assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 1e-4 for g, w in zip(got, want, strict=True))
     assert lm_score.score(empty, order=order).count() == 0
 
