@@ -147,6 +147,53 @@ def prediction_entropy(p: Column) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda acc, x: acc - x * F.log(x + 1e-9))
 
 
+def index_correlation(a: Column) -> Column:
+    """Correlation of the values with their places; 0 for a series without spread or of one value."""
+
+    def of(x: Column) -> Column:
+        n, m = F.size(x), mean(x)
+        spread = total(F.transform(x, lambda v: (v - m) * (v - m)))
+        shared = total(F.transform(x, lambda v, i: (v - m) * (i - (n - 1) / 2)))
+        places = n * (n * n - 1) / F.lit(12.0)
+        flat = F.sqrt(spread / n) <= F.lit(1e-9) * (F.abs(m) + 1)
+        return F.when((n < 2) | flat, F.lit(0.0)).otherwise(shared / F.sqrt(spread * places))
+
+    return bind(a, of)
+
+
+CONTEXT = ("iat_cv", "trend", "duration_cv", "history_len", "periodicity_score", "regularity", "dominant_period_ms")
+
+
+def host_context(times_us: Column, durations: Column) -> Column:
+    """struct of ``CONTEXT`` from the flow times (microseconds, oldest first) and durations of a host's history: all 0 under two flows.
+    Periodicity needs six intervals; a constant series has 1 at its own interval."""
+    none = F.struct(*[F.lit(0.0).alias(c) for c in CONTEXT])
+
+    def over(x: Column) -> Column:
+        sd = bind(mean(x), lambda m: F.sqrt(total(F.transform(x, lambda v: (v - m) * (v - m))) / F.size(x)))
+        return bind(F.struct(mean(x).alias("m"), sd.alias("s")), lambda q: of(x, q["m"], q["s"]))
+
+    def of(x: Column, m: Column, s: Column) -> Column:
+        iat_cv = s / (m + F.lit(1e-9))
+        # The correlation at a lag is that of the series divided by its spread, up to the guards against zero.
+        power = total(F.transform(x, lambda v: ((v - m) / (s + F.lit(1e-9))) * ((v - m) / (s + F.lit(1e-9)))))
+        at = lambda k: total(F.transform(F.sequence(k, F.size(x) - 1), lambda i: ((F.get(x, i) - m) / (s + F.lit(1e-9))) * ((F.get(x, i - k) - m) / (s + F.lit(1e-9)))))
+        best = F.array_max(F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda k: F.struct((at(k) / (power + F.lit(1e-9))).alias("r"), (-k).alias("k"))))
+        periodic = (
+            F.when(F.size(x) < 6, F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("period")))
+            .when(s < F.lit(1e-2), F.struct(F.lit(1.0).alias("score"), (m * 1000.0).alias("period")))
+            .otherwise(bind(best, lambda b: F.struct(b["r"].alias("score"), (m * (-b["k"]) * 1000.0).alias("period"))))
+        )
+        fields = [
+            iat_cv, index_correlation(x), bind(mean(durations), lambda d: std(durations) / (d + F.lit(1e-9))), F.size(times_us).cast("double"),
+            periodic["score"], F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), iat_cv / 2)), periodic["period"],
+        ]
+        return F.struct(*[f.alias(c) for f, c in zip(fields, CONTEXT, strict=True)])
+
+    gaps = F.transform(diffs(times_us), lambda d: d / F.lit(1e6))
+    return F.when(F.size(times_us) >= 2, bind(gaps, over)).otherwise(none)
+
+
 def norm_clip(v: Column, most: float) -> Column:
     """The vector scaled to a norm of ``most`` at most."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import order
+
 #: What a model must reach to be promoted.
 PROMOTION = {"macro_f1": 0.95, "c2_recall": 0.97, "dns_recall": 0.98, "exfil_recall": 0.96, "max_fp_rate": 0.003}
 
@@ -35,24 +39,22 @@ def kappa(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """A row per distinct score, from the highest: true and false positives at that threshold. Equal scores are added up first, so
-    the ordered window holds distinct scores."""
+    """A row per distinct score: true and false positives at that threshold, and all positives and negatives. Equal scores are added up
+    first; the running sums are made range by range."""
     per = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per.select("threshold", "pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+    return order.with_running_sums(per, -F.col("threshold"), [F.desc("threshold")], {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
+    """auc; null where one of the classes is missing."""
     c = curve(df, label, score)
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    return c.agg((area / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return c.agg(F.try_divide(area, F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def precision_recall(df: DataFrame, label: str, score: str) -> DataFrame:
     c = curve(df, label, score)
-    total = df.agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_total"))  # a row
-    c = c.join(F.broadcast(total), F.lit(True))
-    return c.select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("_total")).alias("recall"))
+    return c.select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide(F.col("tp"), F.col("tp_total")).alias("recall"))
 
 
 def precision_floor(df: DataFrame, label: str, score: str, floor: float = 0.60) -> DataFrame:
@@ -77,13 +79,64 @@ def ks_two_sample(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """Largest difference of the empirical distributions, sizes, and the asymptotic p-value."""
     both = a.select(F.col(value).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(F.col(value).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     per = both.where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = per.select(F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"), F.sum("a").over(Window.partitionBy()).alias("na"), F.sum("b").over(Window.partitionBy()).alias("nb"))
-    d = cum.agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("d"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
+    cum = order.with_running_sums(per, F.col("x"), ["x"], {"ca": F.col("a"), "cb": F.col("b")}).withColumnsRenamed({"ca_total": "na", "cb_total": "nb"})
+    d = cum.agg(F.max(F.abs(F.try_divide(F.col("ca"), F.col("na")) - F.try_divide(F.col("cb"), F.col("nb")))).alias("d"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
     lam = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))) * F.col("d")
     p = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda acc, k: acc + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * F.pow(k.cast("double"), F.lit(2.0)) * lam * lam))
-    return d.select("d", "n_a", "n_b", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p"))
+    # Near 0 the series alternates without end; its limit is 1.
+    return d.select("d", "n_a", "n_b", F.when(lam < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))).alias("p"))
 
 
 def fed_avg(updates: DataFrame, key: str, weight: str, n: str) -> DataFrame:
     return updates.groupBy(key).agg((F.sum(F.col(weight) * F.col(n)) / F.sum(n)).alias(weight))
+
+
+def separation(df: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """feature, mean of class 0 and 1, and their difference."""
+    y = F.col(label)
+    row = df.agg(*[F.avg(F.when(y == k, F.col(c))).alias(f"{c}_{k}") for c in features for k in (0, 1)])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}_0").alias("mean_0"), F.col(f"{c}_1").alias("mean_1")) for c in features])
+    return row.select(F.explode(cells).alias("x")).select("x.*", (F.col("x.mean_1") - F.col("x.mean_0")).alias("difference"))
+
+
+def promotion(metrics: dict[str, float], in_use: dict[str, float] | None = None, gates: dict[str, float] | None = None) -> list[str]:
+    """Why a model may not be promoted: gates (at least, or at most for names that begin with max_) that it misses or that aren't measured, and a
+    macro F1 that doesn't beat the one in use. An empty list lets it pass."""
+    out = []
+    for name, bound in (PROMOTION if gates is None else gates).items():
+        value = metrics.get(name.removeprefix("max_"))
+        if value is None or math.isnan(value) or (value > bound if name.startswith("max_") else value < bound):
+            out.append(name)
+    if in_use is not None and not metrics.get("macro_f1", 0.0) > in_use.get("macro_f1", 0.0):
+        out.append("not better than the model in use")
+    return out
+
+
+def too_good(accuracy: float, kappa_: float) -> bool:
+    """A model that only repeats the largest class: nearly all right, yet no better than chance."""
+    return accuracy > 0.999 and kappa_ < 0.1
+
+
+def noise_robust(clean_f1: float, noisy_f1: float, most: float = 0.05) -> bool:
+    return clean_f1 > 0 and (clean_f1 - noisy_f1) / clean_f1 < most
+
+
+def with_noise(df: DataFrame, features: list[str], sigma: float = 0.1, seed: int = 7) -> DataFrame:
+    """Features with normal noise of ``sigma`` of their own spread; the spread is measured on all rows."""
+    spread = df.agg(*[F.stddev_pop(c).alias(c) for c in features]).first()
+    return df.withColumns({c: F.col(c) + F.randn(seed + i) * float(sigma * (spread[c] or 0.0)) for i, c in enumerate(features)})
+
+
+def drift(a: DataFrame, b: DataFrame, features: list[str], p: float = 0.01, share: float = 0.20, least: int = 30) -> DataFrame:
+    """feature, d, p, drifted, and whether more than ``share`` of all features have drifted; under ``least`` rows on a side nothing drifts."""
+    out = None
+    for f in features:
+        one = ks_two_sample(a, b, f).select(F.lit(f).alias("feature"), "d", "p", ((F.col("p") < p) & (F.col("n_a") >= least) & (F.col("n_b") >= least)).alias("drifted"))
+        out = one if out is None else out.unionByName(one)
+    every = Window.partitionBy()  # a row per feature
+    return out.withColumn("alarm", F.avg(F.col("drifted").cast("int")).over(every) > share)
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson correlation; 0 where a side has no spread, which ``corr`` takes for a division by zero."""
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))), F.lit(0.0))

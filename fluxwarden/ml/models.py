@@ -29,6 +29,28 @@ def scaled(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({c: (F.coalesce(finite(F.col(c).cast("double")), F.lit(m)) - m) / r for c, (m, r) in fitted.items()})
 
 
+def standard(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population standard deviation of each feature (1 where there is no spread); missing values don't count."""
+    row = df.agg(*[f(finite(F.col(c).cast("double"))).alias(f"{c}_{k}") for c in features for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return {c: (row[f"{c}_m"] or 0.0, row[f"{c}_s"] or 1.0) for c in features}
+
+
+def standardised(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFrame:
+    """Missing values become the mean, then (x - mean) / deviation."""
+    return scaled(df, fitted)
+
+
+def linear_reasons(df: DataFrame, weights: dict[str, float], means: dict[str, float], name: str = "reasons") -> DataFrame:
+    """``df`` plus what each feature adds to a linear model's score, against its mean: exact for such models."""
+    cells = [x for c, w in weights.items() for x in (F.lit(c), (F.col(c) - F.lit(float(means[c]))) * F.lit(float(w)))]
+    return df.withColumn(name, F.create_map(*cells))
+
+
+def meta_learner(df: DataFrame, label: str, c: float = 1.0):
+    """Multinomial logistic regression over the scores of the single models, which ``assembled`` has put into features."""
+    return LogisticRegression(labelCol=label, family="multinomial", weightCol="weight", regParam=1 / (c * max(1, df.count())), maxIter=100).fit(df)
+
+
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
 

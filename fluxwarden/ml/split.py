@@ -6,17 +6,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import order as order_
 
-def time_split(df: DataFrame, order: list[str], shares: tuple[float, float] = (0.70, 0.85), n: int | None = None) -> DataFrame:
-    """``df`` plus split: train, validation, test by time, cut at floor(share * n)."""
-    n = df.count() if n is None else n
-    ranged = df.withColumn("_rn", F.row_number().over(Window.orderBy(*order)))
-    return ranged.withColumn("split", F.when(F.col("_rn") <= int(shares[0] * n), "train").when(F.col("_rn") <= int(shares[1] * n), "validation").otherwise("test")).drop("_rn")
+
+def time_split(df: DataFrame, order: list[str], shares: tuple[float, float] = (0.70, 0.85)) -> DataFrame:
+    """``df`` plus split: train, validation, test by time (the first of ``order``), cut at floor(share * n)."""
+    ranged = order_.with_row_number(df, order_.micros(F.col(order[0])), order)
+    at = lambda k: F.col("_rn") <= F.floor(F.lit(shares[k]) * F.col("_rn_total"))
+    return ranged.withColumn("split", F.when(at(0), "train").when(at(1), "validation").otherwise("test")).drop("_rn", "_rn_total")
 
 
 def group_holdout(df: DataFrame, key: str, percent: int = 25) -> DataFrame:
-    """``df`` plus test: whole groups, by the hash of the key."""
-    return df.withColumn("test", F.pmod(F.crc32(F.col(key).cast("string")), F.lit(100)) < percent)
+    """``df`` plus test: whole groups, by the md5 of the key."""
+    share = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("long") % 100
+    return df.withColumn("test", share < percent)
+
+
+def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8) -> DataFrame:
+    """``df`` plus train: the smallest hashes of each class, floor(share * n) of them. Classes are cut at exact quantiles of the hash, so no
+    class is sorted in one task."""
+    hashed = df.withColumn("_h", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 12), 16, 10).cast("long"))
+    sizes = hashed.groupBy(label, F.floor(F.col("_h") / F.lit(float(1 << 38))).cast("int").alias("_slot")).agg(F.count("*").alias("_n"))  # 1,024 slots a class at most
+    w = Window.partitionBy(label).orderBy("_slot")
+    sizes = sizes.select(label, "_slot", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(label)).alias("_all"))
+    d = hashed.withColumn("_slot", F.floor(F.col("_h") / F.lit(float(1 << 38))).cast("int")).join(sizes, [label, "_slot"])
+    rn = F.row_number().over(Window.partitionBy(label, "_slot").orderBy("_h", key)) + F.col("_before")
+    return d.withColumn("train", rn <= F.floor(F.lit(share) * F.col("_all"))).drop("_h", "_slot", "_before", "_all")
+
+
+def balanced_mix(batch: DataFrame, buffer: DataFrame, label: str, key: str) -> DataFrame:
+    """A batch with rows of a replay buffer: of each class as many as a third of the batch at most, the smallest hashes first."""
+    most = F.floor(batch.count() / F.lit(3)).cast("long")
+    order = [F.md5(F.col(key).cast("string")), F.col(key)]
+    some = buffer.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("_rn") <= most).drop("_rn")
+    return batch.unionByName(some)
 
 
 def downsample(df: DataFrame, label: str, key: str, ratio: int, minority=1) -> DataFrame:

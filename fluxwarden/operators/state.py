@@ -44,6 +44,13 @@ def with_gap_session(df: DataFrame, name: str, keys: list[str], ts: str, order:
     return df.withColumn("_new", fresh).withColumn(name, F.sum("_new").over(running(keys, order))).drop("_new")
 
 
+def with_idle_counts(df: DataFrame, names: dict[str, int], keys: list[str], ts: str, order: list[str]) -> DataFrame:
+    """``df`` plus, for each name, the value of a counter per key that is set back when it has been idle for so many seconds."""
+    for name, gap in names.items():
+        df = with_gap_session(df, "_idle", keys, ts, order, gap).withColumn(name, running_count([*keys, "_idle"], order)).drop("_idle")
+    return df
+
+
 def sliding_count(keys: list, ts: str, window_s: int) -> Column:
     """Rows with t > now - window, the current one (and its equals) included: the lower bound is exclusive."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -62,6 +69,12 @@ def interval(ts: str, keys: list, order: list) -> Column:
     return seconds(F.col(ts)) - seconds(F.lag(ts).over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def with_latest(df: DataFrame, fields: dict[str, str], keys: list, order: list[str]) -> DataFrame:
+    """``df`` plus, for each name, what the key's last row before this one had in a column."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumns({name: F.lag(c).over(w) for name, c in fields.items()})
+
+
 def with_first_seen(df: DataFrame, name: str, value: str, keys: list[str], order: list[str]) -> DataFrame:
     """``df`` plus whether the value is new for the key while the key itself isn't."""
     new = F.row_number().over(Window.partitionBy(*keys, value).orderBy(*order)) == 1
@@ -86,7 +99,9 @@ def trailing_rate(df: DataFrame, ts: str, width: int = 5) -> DataFrame:
 
 def dedup_ttl(df: DataFrame, key: str, ts: str, order: list[str], ttl_s: float) -> DataFrame:
     """Rows that pass a set-if-absent key with a time to live that later rows don't refresh: greedy from the first row. Rows are
-    sorted by key and time, and a task remembers one time only."""
+    sorted by key and time, and a task remembers one time only. Each choice depends on the one before, so a key stays in one task,
+    which reads it as a sorted stream and holds a page."""
+
     def run(pages):
         last, opened = object(), 0
         for pdf in pages:

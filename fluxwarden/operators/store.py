@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEVERITY_LEVELS = {"info": 10, "low": 3, "medium": 5, "high": 8, "critical": 10}
+from . import state
+
+#: Severities of the common event format; others count as info.
+SEVERITY_LEVELS = {"info": 1, "low": 3, "medium": 5, "high": 8, "critical": 10}
 
 
 def list_alerts(alerts: DataFrame, flows: DataFrame, severity: str | None = None, threat_type: str | None = None, src_like: str | None = None, min_confidence: float | None = None, status: str | None = None) -> DataFrame:
@@ -80,24 +83,125 @@ def merge_max(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return a.select(key, value).join(right, key, "full").select(key, F.greatest(value, "_other").alias(value))
 
 
-def cef_line(alerts: DataFrame, vendor: str = "fluxwarden") -> DataFrame:
-    """A syslog line of the common event format per alert."""
-    level = F.lit(1)
+def _text(alerts: DataFrame, name: str, default: str = "") -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in alerts.columns else F.lit(default)
+
+
+def cef_line(alerts: DataFrame, vendor: str = "fluxwarden", product: str = "flows") -> DataFrame:
+    """A syslog line (local facility 0, warning) of the common event format per alert."""
+    level = F.lit(SEVERITY_LEVELS["info"])
     for name, n in SEVERITY_LEVELS.items():
         level = F.when(F.col("severity") == name, n).otherwise(level)
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in alerts.columns else F.lit("")
+    kind = _text(alerts, "threat_type")
     line = F.format_string(
-        f"<132> CEF:0|{vendor}|flows|1.0|%s|%s|%d|src=%s dst=%s dpt=%s cs1=%s", F.col("threat_type"), F.initcap(F.replace("threat_type", F.lit("_"), F.lit(" "))), level,
-        text("src_ip"), text("dst_ip"), text("dst_port"), text("confidence"),
+        f"<132> CEF:0|{vendor}|{product}|1.0|%s|%s Detected|%d|src=%s dst=%s dpt=%s msg=%s", kind, kind, level,
+        _text(alerts, "src_ip"), _text(alerts, "dst_ip"), _text(alerts, "dst_port", "0"), _text(alerts, "explanation"),
     )
     return alerts.select("flow_id", line.alias("line"))
 
 
+SUB_SCORES = ("beacon_prob", "dns_tunnel_prob", "exfil_score")
+
+
+def save_alert(alerts: DataFrame) -> DataFrame:
+    """Alerts as rows of the stored table: an id from what identifies the alert, sub-scores as columns of their own, contributions as JSON."""
+    have = set(alerts.columns)
+    score = lambda k: (F.try_element_at("sub_scores", F.lit(k)) if "sub_scores" in have else F.lit(None)).cast("double").alias(k)
+    own = lambda c, kind, default: (F.coalesce(F.col(c), default) if c in have else default).cast(kind).alias(c)
+    key = F.concat_ws("|", F.col("flow_id").cast("string"), F.col("ts").cast("string"), "threat_type", own("kind", "string", F.lit("")))
+    return alerts.select(
+        F.md5(key).alias("alert_id"), "flow_id", "ts", "threat_type", "severity", "confidence", *[score(k) for k in SUB_SCORES],
+        (F.coalesce(F.to_json("shap_values"), F.lit("{}")) if "shap_values" in have else F.lit("{}")).alias("shap_values"),
+        own("explanation", "string", F.lit(None)), own("mitre_ttps", "array<string>", F.array().cast("array<string>")), F.lit("unreviewed").alias("analyst_status"),
+    )
+
+
+def append(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Adds rows to a stored table. ``kind`` is parquet, json (a line each, without nulls) or csv (with a header, nulls as 0)."""
+    if kind == "csv":
+        df = df.fillna(0)
+    writer = df.write.mode("append")
+    (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
+
+
+def reset(df: DataFrame, path: str) -> None:
+    """Empties a stored table of ``df``'s schema."""
+    df.limit(0).write.mode("overwrite").parquet(path)
+
+
 def alert_json(alerts: DataFrame) -> DataFrame:
     """An alert as JSON without its nulls."""
     return alerts.select("flow_id", F.to_json(F.struct(*alerts.columns)).alias("json"))
 
 
+def feed_json(alerts: DataFrame) -> DataFrame:
+    """The message that live viewers get of an alert, with a value for all that may be missing."""
+    have = set(alerts.columns)
+    first = lambda *cs: [F.col(c) for c in cs if c in have]
+    fields = F.struct(
+        *[F.col(c).cast("string").alias(c) for c in ("alert_id",) if c in have], F.col("flow_id"), state.seconds(F.col("ts")).alias("timestamp"), "threat_type",
+        F.coalesce(*first("severity", "alert_severity"), F.lit("medium")).alias("alert_severity"), F.coalesce(*first("confidence"), F.lit(0.5)).cast("double").alias("confidence"),
+        _text(alerts, "src_ip", "0.0.0.0").alias("src"), _text(alerts, "dst_ip", "0.0.0.0").alias("dst"), F.coalesce(*first("dst_port"), F.lit(0)).cast("int").alias("dport"),
+        _text(alerts, "sni").alias("sni"), _text(alerts, "explanation").alias("explanation"), F.coalesce(*first("mitre_ttps"), F.array().cast("array<string>")).alias("mitre_ttps"), F.lit("unreviewed").alias("analyst_status"),
+    )
+    return alerts.select("flow_id", F.to_json(fields).alias("json"))
+
+
+def tag_list(text: Column) -> Column:
+    """A list of strings from JSON or from a list written with single quotes; a plain word is a list of itself, nothing is an empty one."""
+    trimmed = F.trim(text)
+    inside = F.filter(F.transform(F.split(F.regexp_replace(trimmed, r"^\[|\]$", ""), ","), lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", "")), lambda x: x != "")
+    return F.coalesce(F.when(trimmed.startswith("["), F.coalesce(F.from_json(trimmed, "array<string>"), inside)).when(trimmed != "", F.array(trimmed)), F.array().cast("array<string>"))
+
+
+def api_alerts(alerts: DataFrame) -> DataFrame:
+    """Stored alerts (joined with their flows) as the interface returns them: ids as text, times as epoch seconds, addresses and port never missing."""
+    have = set(alerts.columns)
+    return alerts.select(
+        F.col("alert_id").cast("string").alias("alert_id"), F.col("flow_id").cast("string").alias("flow_id"), state.seconds(F.col("ts")).alias("timestamp"), "threat_type", F.col("severity").alias("alert_severity"), "confidence",
+        _text(alerts, "src_ip", "0.0.0.0").alias("src"), _text(alerts, "dst_ip", "0.0.0.0").alias("dst"), F.coalesce(F.col("dst_port"), F.lit(0)).cast("int").alias("dport"),
+        *[F.col(c) for c in ("sni",) if c in have], _text(alerts, "explanation").alias("explanation"), "mitre_ttps", _text(alerts, "analyst_status", "unreviewed").alias("analyst_status"),
+    )
+
+
+def enriched(alerts: DataFrame, intelligence: Column) -> DataFrame:
+    """What is known of the other side goes to the explanation of alerts that aren't suppressed."""
+    text = F.coalesce("explanation", F.lit(""))
+    return alerts.withColumn("explanation", F.when(F.coalesce(F.col("analyst_status") == "suppressed", F.lit(False)), F.col("explanation")).otherwise(F.concat(text, F.lit(" | TI: "), F.coalesce(intelligence, F.lit("unknown")))))
+
+
+def flow_detail(flows: DataFrame, alerts: DataFrame, packets: DataFrame, flow_id, most: int = 100) -> DataFrame:
+    """A flow with its latest alert, if any, and its first ``most`` packets in order."""
+    one = flows.where(F.col("flow_id") == flow_id)
+    alert = alerts.where(F.col("flow_id") == flow_id).groupBy("flow_id").agg(F.max_by(F.struct("threat_type", "severity", "confidence"), F.struct("ts", "threat_type")).alias("prediction"))
+    first = packets.where(F.col("flow_id") == flow_id).orderBy("ts", "packet_id").limit(most)
+    line = first.groupBy("flow_id").agg(F.sort_array(F.collect_list(F.struct("ts", "packet_id", "size"))).alias("packet_timeline"))
+    return one.join(alert, "flow_id", "left").join(line, "flow_id", "left").withColumn("packet_timeline", F.coalesce("packet_timeline", F.array().cast("array<struct<ts:timestamp_ntz,packet_id:bigint,size:double>>")))
+
+
+def snapshot(flows: DataFrame, alerts: DataFrame, kinds: tuple[str, ...] = ("c2_beacon", "dns_tunnel", "exfiltration", "lateral_movement")) -> DataFrame:
+    """One row of counters: all flows, alerts of each kind (0 where there are none), and flows per second between the first and last."""
+    span = state.seconds(F.max("ts")) - state.seconds(F.min("ts"))
+    f = flows.agg(F.count("*").alias("total_flows"), F.coalesce(F.round(F.count("*") / F.greatest(span, F.lit(1.0)), 1), F.lit(0.0)).alias("flows_per_sec"), F.coalesce(F.floor(span), F.lit(0)).alias("uptime_s"))
+    a = alerts.agg(F.count("*").alias("total_alerts"), *[F.count_if(F.col("threat_type") == k).alias(k) for k in kinds])
+    return f.crossJoin(a)  # a row each
+
+
+def lossy_sensors(heartbeats: DataFrame, most: float = 5.0) -> DataFrame:
+    """Heartbeats of sensors that lose more than ``most`` percent of their packets."""
+    return heartbeats.where(F.col("packet_loss") > most)
+
+
+def merged(stored: DataFrame, new: DataFrame, key: list[str] | None = None, newest: Column | None = None) -> DataFrame:
+    """Stored and new rows; with a key, the newest of each by ``newest``, new ones before stored ones where that is equal."""
+    both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    if not key:
+        return both.drop("_new")
+    rest = [c for c in both.columns if c not in (*key, "_new")]
+    best = F.max_by(F.struct(*rest), F.struct((newest if newest is not None else F.lit(0)).alias("n"), F.col("_new"))).alias("_row")
+    return both.groupBy(*key).agg(best).select(*key, "_row.*")
+
+
 def node_degrees(edges: DataFrame, src: str, dst: str, weight: str) -> DataFrame:
     """Per node: flows out and in, distinct neighbours, bytes."""
     out = edges.groupBy(F.col(src).alias("node")).agg(F.count("*").alias("out_degree"), F.sum(weight).alias("out_bytes"))
@@ -105,3 +209,8 @@ def node_degrees(edges: DataFrame, src: str, dst: str, weight: str) -> DataFrame
     near = edges.select(F.col(src).alias("node"), F.col(dst).alias("other")).union(edges.select(dst, src)).distinct().groupBy("node").agg(F.count("*").alias("neighbours"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return near.join(out, "node", "left").join(into, "node", "left").select("node", "neighbours", *[zero(c) for c in ("out_degree", "in_degree", "out_bytes", "in_bytes")])
+
+
+def with_default(df: DataFrame, known: DataFrame, key: str, value: str, default) -> DataFrame:
+    """``df`` plus the value that a table has for its key, else the default. The table has a row per key."""
+    return df.join(known.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..ml import metrics, split
-from ..operators import store
+from ..operators import order, store
 from ..sources import adapters
 from ..sources.flowview import dense_flows, sparse_flows, table
 from .registry import query
@@ -101,10 +101,11 @@ def merge_max_full_outer(spark, sf_dir):
     return store.merge_max(side("F"), side("O"), "k", "v")
 
 
-@query()
+@query(f"""select a.flow_id, concat('<132> CEF:0|fluxwarden|flows|1.0|', threat_type, '|', threat_type, ' Detected|', case severity when 'low' then 3 when 'medium' then 5 when 'high' then 8 when 'critical' then 10 else 1 end,
+  '|src=', src_ip, ' dst=', dst_ip, ' dpt=', dst_port, ' msg=', case when a.flow_id % 2 = 0 then concat('seen ', f.orig_bytes) else '' end) as line from {ALERTS} a join {{flows}} f using (flow_id)""")
 def cef_format(spark, sf_dir):
     a = store.alert_flow(alerts(spark, sf_dir), sparse_flows(spark, sf_dir).drop("ts"))
-    return store.cef_line(a)
+    return store.cef_line(a.withColumn("explanation", F.when(F.col("flow_id") % 2 == 0, F.concat(F.lit("seen "), F.col("orig_bytes").cast("string")))))
 
 
 @query("""select src as src_ip, count(*) as packets, sum(bytes)::bigint as bytes, min(ts) as first_seen, max(ts) as last_seen, bit_or(port)::int as flags from {dense} group by src""")
@@ -182,7 +183,7 @@ def time_split(spark, sf_dir):
     return split.time_split(table(spark, sf_dir, "events"), ["ts", "event_id"]).select("event_id", "split")
 
 
-@query()
+@query("""select test, count(*) as n, count(distinct l_orderkey) as groups from (select l_orderkey, ('0x'||substr(md5(l_orderkey::varchar),1,15))::bigint % 100 < 25 as test from lineitem) group by 1""")
 def group_holdout(spark, sf_dir):
     return split.group_holdout(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("test").agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("groups"))
 
@@ -242,22 +243,19 @@ def dataset_union(spark, sf_dir):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("""select event_type, count(*) as n, round(avg(value),6) as mean, round(stddev_pop(value),6) as std, round(min(value),6) as low, round(max(value),6) as high, round(median(value),6) as median, round(avg((value=0)::int),6) as zeros, round(corr(value, (user_id % 2)::double),6) as pointbiserial from events group by 1""")
+@query("""select event_type, count(*) as n, round(avg(value),6) as mean, round(stddev_pop(value),6) as std, round(min(value),6) as low, round(max(value),6) as high, round(median(value),6) as median, round(avg((value=0)::int),6) as zeros, round(case when stddev_pop(value)>0 and stddev_pop(user_id % 2)>0 then corr(value, (user_id % 2)::double) else 0e0 end,6) as pointbiserial from events group by 1""")
 def class_summary(spark, sf_dir):
     v = F.col("value")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(
         F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.round(F.min(v), 6).alias("low"), F.round(F.max(v), 6).alias("high"), F.round(F.median(v), 6).alias("median"),
-        F.round(F.avg((v == 0).cast("int")), 6).alias("zeros"), F.round(F.corr(v, (F.col("user_id") % 2).cast("double")), 6).alias("pointbiserial"),
+        F.round(F.avg((v == 0).cast("int")), 6).alias("zeros"), F.round(metrics.correlation(v, (F.col("user_id") % 2).cast("double")), 6).alias("pointbiserial"),
     )
 
 
 @query("""select round(regr_slope(m, c),8) as slope from (select chunk::double as c, avg(value) as m from (select value, floor((row_number() over (order by ts, event_id)-1)/(count(*) over ()/10)) as chunk from events) group by 1)""")
 def temporal_slope(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    e = table(spark, sf_dir, "events")
-    n = e.count()
-    chunk = F.floor((F.row_number().over(Window.orderBy("ts", "event_id")) - 1) / (n / 10))
+    e = order.with_row_number(table(spark, sf_dir, "events"), order.micros(F.col("ts")), ["ts", "event_id"])
+    chunk = F.floor((F.col("_rn") - 1) / (F.col("_rn_total") / 10))
     return e.select("value", chunk.alias("chunk")).groupBy("chunk").agg(F.avg("value").alias("m")).agg(F.round(F.regr_slope("m", F.col("chunk").cast("double")), 8).alias("slope"))
 
 

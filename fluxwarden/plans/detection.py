@@ -34,27 +34,36 @@ def port_scan_approx_distinct(spark, sf_dir):
 _FIRE = "threat_type, severity, round(confidence,3) as confidence, array_to_string(ttps, ',') as mitre_ttps"
 
 
-def flat(alerts):
-    return alerts.select("flow_id", "threat_type", "severity", "confidence", F.array_join("mitre_ttps", ",").alias("mitre_ttps"))
+def flat(alerts, *more):
+    return alerts.select(*more, "flow_id", "threat_type", "severity", "confidence", F.array_join("mitre_ttps", ",").alias("mitre_ttps"))
 
 
-@query("""with f as (select flow_id, ts, src as src_ip, dst as dst_ip, port as dst_port, bytes, floor(epoch(ts)/7776000) as b from {dense} where port <> 0 and port not in (80,443,8080,53,123,1900,67,68,5353,5355)),
+def scan_sql(flows: str, width_s: int, ports: int, hosts: int) -> str:
+    """``flows``: flow_id, ts, src_ip, dst_ip, dst_port, orig_bytes, orig_pkts."""
+    return f"""(with f as (select *, floor(epoch(ts)/{width_s}) as b from {flows} where dst_port <> 0 and dst_port not in (80,443,8080,53,123,1900,67,68,5353,5355)),
  g as (select *, row_number() over (partition by src_ip,b,dst_port order by ts, flow_id)=1 as np, row_number() over (partition by src_ip,b,dst_ip order by ts, flow_id)=1 as nh from f),
- h as (select *, sum(np::int) over (partition by src_ip,b order by ts, flow_id rows unbounded preceding) as p, sum(nh::int) over (partition by src_ip,b order by ts, flow_id rows unbounded preceding) as h, bytes < 80*50 as stealth from g)
- select flow_id, concat(case when stealth then 'stealth_' else '' end, case when p>=30 then 'vertical' else 'horizontal' end) as threat_type,
-  case when stealth then 'high' when p>=30 then case when p>50 then 'high' else 'medium' end else 'high' end as severity,
+ h as (select *, sum(np::int) over (partition by src_ip,b order by ts, flow_id rows unbounded preceding) as p, sum(nh::int) over (partition by src_ip,b order by ts, flow_id rows unbounded preceding) as h, orig_bytes/greatest(orig_pkts,1) < 80 as stealth from g)
+ select flow_id, concat(case when stealth then 'stealth_' else '' end, case when p>={ports} then 'vertical' else 'horizontal' end) as threat_type,
+  case when stealth then 'high' when p>={ports} then case when p>50 then 'high' else 'medium' end else 'high' end as severity,
   round(case when stealth then least(0.99e0, c+0.05e0) else c end,3) as confidence,
-  concat(case when p>=30 then 'T1046,T1590.005' else 'T1595,T1595.002,T1590' end, case when stealth then ',T1595.001' else '' end) as mitre_ttps
- from (select *, case when p>=30 then least(0.98e0, 0.60e0+(p-30)*0.02e0) else least(0.97e0, 0.65e0+(h-25)*0.015e0) end as c from h where p>=30 or h>=25)""")
+  concat(case when p>={ports} then 'T1046,T1590.005' else 'T1595,T1595.002,T1590' end, case when stealth then ',T1595.001' else '' end) as mitre_ttps
+ from (select *, case when p>={ports} then least(0.98e0, 0.60e0+(p-{ports})*0.02e0) else least(0.97e0, 0.65e0+(h-{hosts})*0.015e0) end as c from h where p>={ports} or h>={hosts}))"""
+
+
+@query("select * from " + scan_sql("(select flow_id, ts, src as src_ip, dst as dst_ip, port as dst_port, bytes as orig_bytes, 50 as orig_pkts from {dense})", 7776000, 30, 25))
 def port_scan_alerts(spark, sf_dir):
     f = dense_flows(spark, sf_dir).select("flow_id", "ts", F.col("src").alias("src_ip"), F.col("dst").alias("dst_ip"), F.col("port").alias("dst_port"), F.col("bytes").alias("orig_bytes"), F.lit(50).alias("orig_pkts"))
     return flat(detectors.port_scan(f, 90 * DAY, hosts=25))
 
 
-@query("""with f as (select *, date_trunc('week', ts) as b0, floor(epoch(ts)/604800) as b from {flows} where starts_with(dst_ip,'10.') and src_ip<>dst_ip),
+LATERAL = """(with f as (select *, floor(epoch(ts)/604800) as b from {flows} where starts_with(dst_ip,'10.') and src_ip<>dst_ip),
  g as (select *, row_number() over (partition by src_ip,dst_port,b,dst_ip order by ts, flow_id)=1 as nh from f),
  h as (select *, sum(nh::int) over (partition by src_ip,dst_port,b order by ts, flow_id rows unbounded preceding) as n, case dst_port when 445 then 2 when 3389 then 2 when 22 then 3 else 4 end as t from g)
- select flow_id, 'lateral_movement' as threat_type, case when dst_port=445 and n>8 then 'critical' else 'high' end as severity, round(least(0.97e0, 0.65e0+(n-t)*0.04e0),3) as confidence, 'T1021' as mitre_ttps from h where n>=t""")
+ select flow_id, 'lateral_movement' as threat_type, case when dst_port=445 and n>8 then 'critical' else 'high' end as severity, round(least(0.97e0, 0.65e0+(n-t)*0.04e0),3) as confidence,
+  case dst_port when 445 then 'T1021.002,T1570,T1486' when 3389 then 'T1021.001' when 135 then 'T1047,T1021.003' when 5985 then 'T1021.006' when 22 then 'T1021.004' else 'T1570,T1021' end as mitre_ttps from h where n>=t)"""
+
+
+@query("select * from " + LATERAL)
 def lateral_alerts(spark, sf_dir):
     return flat(detectors.lateral_movement(sparse_flows(spark, sf_dir), 7 * DAY, {445: 2, 3389: 2, 22: 3}, 4))
 
@@ -66,7 +75,7 @@ _BRUTE = """with f as (select *, floor(epoch(ts)/2592000) as b from {flows}),
  brute as (select flow_id, ts, src_ip, dst_ip, dst_port, case when spray then 'password_spray' when dst_port=22 then 'ssh_brute_force' else 'rdp_brute_force' end as threat_type,
   case when not spray and r>3*l then 'critical' else 'high' end as severity,
   round(case when spray then least(0.95e0,0.65e0+(t-4)*0.05e0) else least(0.97e0,0.60e0+(r-l)*0.02e0) end,3) as confidence,
-  case when spray then 'T1110,T1110.003' else 'T1110,T1110.001' end as mitre_ttps from k where spray or r>=l)"""
+  case when spray then 'T1110,T1110.003,T1078' else 'T1110,T1110.001' end as mitre_ttps from k where spray or r>=l)"""
 
 
 def _brute(spark, sf_dir):
@@ -114,15 +123,24 @@ def alert_counts(spark, sf_dir):
     return _suppressed(spark, sf_dir).groupBy("threat_type", "severity").agg(F.count("*").alias("n"), F.count("rule_id").alias("suppressed"))
 
 
-@query("""with f as (select *, case when epoch_us(ts)-lag(epoch_us(ts)) over (partition by src_ip order by ts, flow_id) <= 259200000000 then 0 else 1 end as new from {flows}),
- g as (select *, sum(new) over (partition by src_ip order by ts, flow_id rows unbounded preceding) as s from f),
- h as (select *, max((dst_port=445 and orig_bytes>=500000)::int) over w as s1, max((dst_port in (135,445) and starts_with(dst_ip,'10.'))::int) over w as s2, max((dst_port=8888 and payload_entropy>=7.5e0)::int) over w as s3,
-   max((dst_port=445 and orig_pkts/greatest(duration_s,0.1e0)>50 and orig_bytes<10000)::int) over w as s4 from g window w as (partition by src_ip, s order by ts, flow_id rows unbounded preceding))
- select flow_id, round(least(0.99e0,0.70e0+(s1+s2+s3+s4-2)*0.10e0),3) as confidence from h where s1+s2+s3+s4>=2""")
+RANSOM = """(with f as (select *, dst_port=445 as smb, sum((dst_port=445)::int) over (partition by src_ip, dst_ip, floor(epoch(ts)/86400) order by ts, flow_id rows unbounded preceding) as rate,
+   coalesce(nullif(orig_pkts,0),1)/greatest(coalesce(nullif(duration_s,0e0),0.1e0),0.001e0) as pps from {flows}),
+ g as (select *, smb and (rate>=30 or orig_bytes>=500000) as s1, dst_port in (135,445) and starts_with(dst_ip,'10.') as s2, dst_port=8888 and payload_entropy>=7.5e0 as s3, smb and pps>50 and orig_bytes<10000 as s4 from f),
+ h as (select *, case when s1 or s2 or s3 or s4 then epoch_us(ts) end as hit_us from g),
+ i as (select *, max(hit_us) over (partition by src_ip order by ts, flow_id rows between unbounded preceding and 1 preceding) as prior, max(hit_us) over (partition by src_ip order by ts, flow_id rows unbounded preceding) as last from h),
+ j as (select *, sum((hit_us is not null and (prior is null or hit_us-prior>259200000000))::int) over (partition by src_ip order by ts, flow_id rows unbounded preceding) as run from i),
+ k as (select *, max(s1::int) over w + max(s2::int) over w + max(s3::int) over w + max(s4::int) over w as n from j window w as (partition by src_ip, run order by ts, flow_id rows unbounded preceding))
+ select flow_id, 'ransomware' as threat_type, 'critical' as severity, round(least(0.99e0,0.70e0+(n-2)*0.10e0),3) as confidence, 'T1486,T1490,T1489,T1021.002,T1083' as mitre_ttps from k where n>=2 and epoch_us(ts)-last<=259200000000)"""
+
+
+@query("select * from " + RANSOM)
 def ransomware_signals(spark, sf_dir):
-    f = sparse_flows(spark, sf_dir)
+    return flat(_ransomware(sparse_flows(spark, sf_dir)))
+
+
+def _ransomware(f):
     lateral, c2 = F.startswith("dst_ip", F.lit("10.")), (F.col("dst_port") == 8888) & (F.col("payload_entropy") >= 7.5)
-    return detectors.ransomware(f, lateral, c2, window_s=1, gap_s=3 * DAY).select("flow_id", "confidence")
+    return detectors.ransomware(f, lateral, c2, window_s=DAY, gap_s=3 * DAY)
 
 
 @query("""select flow_id, row_number() over (partition by src_ip, dst_port order by ts, flow_id)=1 and row_number() over (partition by src_ip order by ts, flow_id)>1 as new from {flows}""")
@@ -141,36 +159,66 @@ def fingerprint_blacklist_join(spark, sf_dir):
     return sparse_flows(spark, sf_dir).withColumn("ja3", ja3).join(F.broadcast(dim), "ja3").select("flow_id", "name")
 
 
-@query("""select flow_id, case when flow_id % 11 = 0 then 'self_signed_external_cert' else 'suspicious_short_lived_cert' end as threat_type, case when flow_id % 11 = 0 then 0.88e0 else 0.82e0 end as confidence from {flows}
-  where not starts_with(dst_ip,'10.') and (flow_id % 11 = 0 or (flow_id % 30 between 1 and 9 and flow_id % 5 = 0))""")
-def cert_rules(spark, sf_dir):
+def with_tls(f):
+    """Flows with fingerprints, names and certificates made from their ids."""
     i = F.col("flow_id")
-    f = sparse_flows(spark, sf_dir).withColumn("cert_self_signed", i % 11 == 0).withColumn("cert_validity_days", (i % 30).cast("double")).withColumn("sni", F.when(i % 5 == 0, F.lit("a-very-long-name-of-a-host.example.com")).otherwise("a.example.com"))
-    return detectors.tls_certificate(f).select("flow_id", "threat_type", "confidence")
+    listed = F.lit(next(iter(detectors.FINGERPRINTS)))
+    return f.withColumn("ja3", F.when(i % 50 == 0, listed).when(i % 3 == 0, F.concat(F.lit("fp"), (i % 4).cast("string")))).withColumn("ja4", F.lit(None).cast("string")).withColumn(
+        "cert_self_signed", i % 11 == 0
+    ).withColumn("cert_validity_days", (i % 30).cast("double")).withColumn("sni", F.when(i % 5 == 0, F.lit("a-very-long-name-of-a-host.example.com")).when(i % 7 == 0, F.lit("x.DNS.google")))
+
+
+TLS = f"""(select *, case when flow_id % 50 = 0 then '{next(iter(detectors.FINGERPRINTS))}' when flow_id % 3 = 0 then concat('fp', flow_id % 4) end as ja3,
+  case when flow_id % 5 = 0 then 'a-very-long-name-of-a-host.example.com' when flow_id % 7 = 0 then 'x.DNS.google' end as sni from {{flows}})"""
+CERT = f"""(select flow_id, case when flow_id % 11 = 0 then 'self_signed_external_cert' else 'suspicious_short_lived_cert' end as threat_type, 'high' as severity, case when flow_id % 11 = 0 then 0.88e0 else 0.82e0 end as confidence,
+  case when flow_id % 11 = 0 then 'T1587.003,T1573.002' else 'T1587.003,T1071.001' end as mitre_ttps from {TLS} where not starts_with(dst_ip,'10.') and (flow_id % 11 = 0 or (flow_id % 30 between 1 and 9 and flow_id % 5 = 0)))"""
+FINGER = f"""(with f as (select * from {TLS} where ja3 is not null), g as (select *, starts_with(ja3,'fp') as usual from f),
+ h as (select *, row_number() over (partition by src_ip, ja3 order by ts, flow_id)=1 and row_number() over (partition by src_ip order by ts, flow_id)>1 as new from g where usual)
+ select flow_id, 'blacklisted_tls_client' as threat_type, 'critical' as severity, 0.98e0 as confidence, 'T1071.001,T1573.002' as mitre_ttps from g where not usual
+ union all select flow_id, 'anomalous_tls_client', case when regexp_matches(src_ip, '^10[.]0[.]0[.]1') then 'high' else 'medium' end, 0.78e0, 'T1071.001' from h where new)"""
+
+
+@query("select * from " + CERT)
+def cert_rules(spark, sf_dir):
+    return flat(detectors.tls_certificate(with_tls(sparse_flows(spark, sf_dir))))
 
 
-@query("""with g as (select flow_id, row_number() over () as r, list(epoch_us(ts)/1e6) over w as t, list(bytes::double) over w as s from {dense} window w as (partition by src order by ts, flow_id rows 14 preceding)),
- h as (select flow_id, r, list_transform(range(2,len(t)+1), lambda i: t[i]-t[i-1]) as a, s from g where len(t)>8),
+@query("select * from " + FINGER)
+def tls_fingerprint(spark, sf_dir):
+    return flat(detectors.tls_fingerprint(with_tls(sparse_flows(spark, sf_dir)), r"^10\.0\.0\.1"))
+
+
+def jitter_sql(flows: str, size_cv: float) -> str:
+    """``flows``: flow_id, ts, src_ip, total_bytes."""
+    return f"""(with g as (select flow_id, row_number() over () as r, list(epoch_us(ts)) over w as t, list(total_bytes::double) over w as s from {flows} window w as (partition by src_ip order by ts, flow_id rows 14 preceding)),
+ h as (select flow_id, r, list_transform(range(2,len(t)+1), lambda i: (t[i]-t[i-1])/1e6) as a, s from g where len(t)>8),
  u as (select flow_id, r, unnest(a) as x, null as y from h union all select flow_id, r, null, unnest(s) from h),
- k as (select flow_id, avg(x) as m, stddev_pop(x)/nullif(avg(x),0) as cv, stddev_pop(y)/avg(y) as sc from u group by flow_id, r)
- select flow_id, case when m<10 then 'high' else 'medium' end as severity, round(least(0.96e0,0.70e0+0.5e0*(0.45e0-cv)),3) as confidence from k where m>=0.8e0 and cv between 0.05e0 and 0.45e0 and sc<0.6e0""")
+ k as (select flow_id, avg(x) as m, stddev_pop(x)/nullif(avg(x),0) as cv, case when avg(y)>0 then stddev_pop(y)/avg(y) else 0e0 end as sc from u group by flow_id, r)
+ select flow_id, 'jittered_c2_beacon' as threat_type, case when m<10 then 'high' else 'medium' end as severity, round(least(0.96e0,0.70e0+0.5e0*(0.45e0-cv)),3) as confidence, 'T1071,T1071.001' as mitre_ttps
+ from k where m>=0.8e0 and cv between 0.05e0 and 0.45e0 and sc<{size_cv}e0)"""
+
+
+@query("select * from " + jitter_sql("(select flow_id, ts, src as src_ip, bytes as total_bytes from {dense})", 0.6))
 def jitter_beacon(spark, sf_dir):
-    f = dense_flows(spark, sf_dir).select("flow_id", "ts", F.col("src").alias("src_ip"), F.lit("x").alias("dst_ip"), F.col("port").alias("dst_port"), F.col("bytes").alias("orig_bytes"))
-    return detectors.jitter_beacon(f, size_cv=0.6).select("flow_id", "severity", "confidence")
+    f = dense_flows(spark, sf_dir).select("flow_id", "ts", F.col("src").alias("src_ip"), F.col("dst").alias("dst_ip"), F.col("port").alias("dst_port"), F.col("bytes").alias("total_bytes"))
+    return flat(detectors.jitter_beacon(f, size_cv=0.6))
 
 
-@query("""select flow_id, case when dst_port=443 then 'doh_tunnel' else 'dot_tunnel' end as threat_type, case when orig_bytes/greatest(orig_pkts,1)<2000 then 'high' else 'medium' end as severity, 0.85e0 as confidence from {flows}
-  where dst_ip='8.8.8.8' and dst_port in (443,853) and orig_bytes/greatest(orig_pkts,1)<50000""")
+DOH = """(select flow_id, case when dst_port=443 then 'doh_tunnel' else 'dot_tunnel' end as threat_type, case when orig_bytes/greatest(orig_pkts,1)<2000 then 'high' else 'medium' end as severity,
+  case when coalesce(sni,'')<>'' then 0.92e0 else 0.85e0 end as confidence, 'T1071.004,T1071.001' as mitre_ttps from {tls}
+  where (dst_ip='8.8.8.8' or contains(lower(coalesce(sni,'')),'dns.google')) and dst_port in (443,853) and orig_bytes/greatest(orig_pkts,1)<50000)""".replace("{tls}", TLS)
+ENTROPY = """(select flow_id, 'high_entropy_exfil' as threat_type, case when orig_bytes>500000 then 'critical' else 'high' end as severity, round(least(0.95e0,0.75e0+0.20e0*(payload_entropy-7.2e0)),3) as confidence, 'T1048.003,T1048' as mitre_ttps from {tls}
+  where dst_port not in (80,23,21,25,110,143,8080,53,67,68,123,161,137,138,139,445,443,853) and orig_bytes>=50000 and payload_entropy>=7.2e0 and coalesce(ja3,'')='')""".replace("{tls}", TLS)
+
+
+@query("select * from " + DOH)
 def doh_dot(spark, sf_dir):
-    f = sparse_flows(spark, sf_dir)
-    found = detectors.doh_dot(f, max_packet=50000).join(f.select("flow_id", (F.col("orig_bytes") / F.greatest("orig_pkts", F.lit(1))).alias("size")), "flow_id")
-    return found.select("flow_id", "threat_type", F.when(F.col("size") < 2000, "high").otherwise("medium").alias("severity"), "confidence")
+    return flat(detectors.doh_dot(with_tls(sparse_flows(spark, sf_dir)), max_packet=50000, high_below=2000))
 
 
-@query("""select flow_id, case when orig_bytes>500000 then 'critical' else 'high' end as severity, round(least(0.95e0,0.75e0+0.20e0*(payload_entropy-7.2e0)),3) as confidence from {flows}
-  where dst_port not in (80,23,21,25,110,143,8080,53,67,68,123,161,137,138,139,445,443,853) and orig_bytes>=50000 and payload_entropy>=7.2e0""")
+@query("select * from " + ENTROPY)
 def entropy_exfil(spark, sf_dir):
-    return detectors.entropy_exfil(sparse_flows(spark, sf_dir)).select("flow_id", "severity", "confidence")
+    return flat(detectors.entropy_exfil(with_tls(sparse_flows(spark, sf_dir))))
 
 
 @query("""select src_ip, sum(orig_bytes)::bigint as total_bytes, count(*) as n_flows, round(avg(orig_bytes),4) as avg_bytes from {flows} group by src_ip""")
@@ -184,12 +232,30 @@ def threshold_fallback(spark, sf_dir):
     return detectors.threshold_exfil(f, detectors.baseline(f)).select("flow_id", "threat_type")
 
 
-@query("""with e as (select flow_id, 'high_entropy_exfil' as threat_type, 1 as detector_rank from {flows} where dst_port not in (80,23,21,25,110,143,8080,53,67,68,123,161,137,138,139,445,443,853) and orig_bytes>=50000 and payload_entropy>=7.2e0),
- d as (select flow_id, case when dst_port=443 then 'doh_tunnel' else 'dot_tunnel' end, 0 from {flows} where dst_ip='8.8.8.8' and dst_port in (443,853) and orig_bytes/greatest(orig_pkts,1)<50000)
- select * from d union all select * from e""".replace("select * from d union all select * from e", "select flow_id, threat_type, detector_rank from e union all select * from d"))
-def alert_union_ranked(spark, sf_dir):
-    f = sparse_flows(spark, sf_dir)
-    return detectors.ranked(detectors.doh_dot(f, max_packet=50000), detectors.entropy_exfil(f)).select("flow_id", "threat_type", "detector_rank")
+def nine(spark, sf_dir):
+    """The alerts of all nine detectors, and of the upload threshold in the place of the models, on the sparse flows."""
+    f = with_tls(sparse_flows(spark, sf_dir))
+    return {
+        "ml": detectors.threshold_exfil(f, detectors.baseline(f)), "port_scan": detectors.port_scan(f, 7 * DAY, ports=3, hosts=5), "lateral_movement": detectors.lateral_movement(f, 7 * DAY, {445: 2, 3389: 2, 22: 3}, 4),
+        "brute_force": detectors.brute_force(f, 30 * DAY, scale=0.2), "ransomware": _ransomware(f), "tls_fingerprint": detectors.tls_fingerprint(f, r"^10\.0\.0\.1"), "tls_certificate": detectors.tls_certificate(f),
+        "jitter_beacon": detectors.jitter_beacon(f, size_cv=2.0), "doh_dot": detectors.doh_dot(f, max_packet=50000, high_below=2000), "entropy_exfil": detectors.entropy_exfil(f),
+    }
+
+
+THRESHOLD = "(select flow_id, 'exfiltration' as threat_type, 'critical' as severity, 0.8e0 as confidence, 'T1041,T1048,T1048.001' as mitre_ttps from {flows} f join (select src_ip, avg(orig_bytes) as a from {flows} group by src_ip) b using (src_ip) where orig_bytes>1000000 or orig_bytes > 5*a)"
+NINE = " union all ".join(
+    f"select {i} as detector_rank, {stored} as threat_type, threat_type as kind, flow_id, severity, confidence, mitre_ttps from {sql}"
+    for i, (stored, sql) in enumerate((
+        ("threat_type", THRESHOLD), ("'port_scan'", scan_sql("{flows}", 604800, 3, 5)), ("'lateral_movement'", LATERAL), ("'brute_force'", f"({_BRUTE} select * from brute)"), ("'ransomware'", RANSOM),
+        ("'c2_beacon'", FINGER), ("'c2_beacon'", CERT), ("'c2_beacon'", jitter_sql("(select *, orig_bytes+resp_bytes as total_bytes from {flows})", 2.0)), ("'dns_tunnel'", DOH), ("'exfiltration'", ENTROPY),
+    ))
+)
+
+
+@query(NINE)
+def alerts_in_order(spark, sf_dir):
+    a = detectors.collected(nine(spark, sf_dir))
+    return flat(a, "detector_rank", "kind")
 
 
 @query("""select event_id, case when event_type='view' then 'info' when value/10>0.9e0 then 'critical' when value/10>0.75e0 then 'high' when value/10>0.5e0 then 'medium' else 'low' end as severity, event_type<>'view' and value/10>0.5e0 as emitted from events""")
@@ -245,18 +311,27 @@ def flow_rate_5s(spark, sf_dir):
     return state.trailing_rate(sparse_flows(spark, sf_dir), "ts")
 
 
-@query()
+@query("""with recursive f as (select flow_id, src_ip, ts, row_number() over (partition by src_ip order by ts, flow_id) as k from {flows}),
+ r as (select flow_id, src_ip, ts, k from f where k=1 union all
+  select flow_id, src_ip, ts, k from (select f.flow_id, f.src_ip, f.ts, f.k, row_number() over (partition by f.src_ip order by f.k) as j from r join f on f.src_ip=r.src_ip and f.k>r.k and f.ts >= r.ts + interval 12 hour) where j=1)
+ select flow_id, src_ip, ts from r""")
 def alert_dedup_ttl(spark, sf_dir):
     return state.dedup_ttl(sparse_flows(spark, sf_dir).select("flow_id", "src_ip", "ts"), "src_ip", "ts", ["ts", "flow_id"], 12 * 3600)
 
 
-@query("""select flow_id, round(coalesce(corr(d, k) over w,0e0),6) as trend, round(coalesce(stddev_pop(d) over w/nullif(avg(d) over w,0),0e0),6) as duration_cv from
-  (select flow_id, src_ip, ts, duration_s as d, row_number() over (partition by src_ip order by ts, flow_id) as k from {flows}) window w as (partition by src_ip order by ts, flow_id rows between 15 preceding and 1 preceding)""".replace("coalesce(corr(d, k) over w,0e0)", "coalesce(case when isnan(corr(d, k) over w) then null else corr(d, k) over w end,0e0)"))
+@query("""with h as (select flow_id, list(epoch_us(ts)) over w as t, list(duration_s) over w as d from {flows} window w as (partition by src_ip order by ts, flow_id rows between 15 preceding and 1 preceding)),
+ g as (select flow_id, d, len(t) as n, list_transform(range(2, len(t)+1), lambda k: (t[k]-t[k-1])/1e6) as x from h where len(t)>=2),
+ m as (select *, list_avg(x) as m, list_stddev_pop(x) as s, list_avg(d) as dm, list_stddev_pop(d) as ds, len(x) as k from g),
+ z as (select *, list_transform(x, lambda v: (v-m)/(s+1e-9)) as z, list_sum(list_transform(range(1,k+1), lambda i: (x[i]-m)*(i-1-(k-1)/2.0))) as sxy from m),
+ a as (select *, list_transform(range(1, k), lambda l: list_sum(list_transform(range(l+1, k+1), lambda i: z[i]*z[i-l]))/(list_sum(list_transform(z, lambda v: v*v))+1e-9)) as acf from z),
+ b as (select *, case when len(acf)>0 then list_max(acf) end as best from a),
+ c as (select flow_id, s/(m+1e-9) as iat_cv, case when k<2 or s<=1e-9*(abs(m)+1) then 0e0 else sxy/sqrt((s*s*k)*(k*(k*k-1)/12.0)) end as trend, ds/(dm+1e-9) as duration_cv, n::double as history_len,
+   case when k<6 then 0e0 when s<1e-2 then 1e0 else best end as periodicity_score, greatest(0e0, 1-least(1e0, s/(m+1e-9)/2)) as regularity, case when k<6 then 0e0 when s<1e-2 then m*1000 else m*list_position(acf, best)*1000 end as dominant_period_ms from b)
+ select f.flow_id, round(coalesce(iat_cv,0),6) as iat_cv, round(coalesce(trend,0),6) as trend, round(coalesce(duration_cv,0),6) as duration_cv, coalesce(history_len,0) as history_len, round(coalesce(periodicity_score,0),6) as periodicity_score,
+  round(coalesce(regularity,0),6) as regularity, round(coalesce(dominant_period_ms,0),1) as dominant_period_ms from {flows} f left join c using (flow_id)""")
 def host_context(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    f = sparse_flows(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("src_ip").orderBy("ts", "flow_id")))
-    w = Window.partitionBy("src_ip").orderBy("ts", "flow_id").rowsBetween(-15, -1)
-    trend = F.corr("duration_s", "k").over(w)
-    mean = F.avg("duration_s").over(w)
-    return f.select("flow_id", F.round(F.coalesce(F.nanvl(trend, F.lit(None)), F.lit(0.0)), 6).alias("trend"), F.round(F.coalesce(F.when(mean != 0, F.stddev_pop("duration_s").over(w) / mean), F.lit(0.0)), 6).alias("duration_cv"))
+    h = state.history(["us", "duration_s"], ["src_ip"], ["ts", "flow_id"], 15, include_current=False)
+    f = sparse_flows(spark, sf_dir).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("h", h)
+    c = arrays.host_context(F.transform("h", lambda x: x["us"]), F.transform("h", lambda x: x["duration_s"]))
+    f = f.select("flow_id", c.alias("c")).select("flow_id", "c.*")
+    return f.select("flow_id", "history_len", F.round("dominant_period_ms", 1).alias("dominant_period_ms"), *[F.round(n, 6).alias(n) for n in arrays.CONTEXT if n not in ("history_len", "dominant_period_ms")])

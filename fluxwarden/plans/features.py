@@ -154,9 +154,14 @@ def intervals(spark, sf_dir):
   round(case when count(*)>=4 and stddev_pop(x)>0 then avg(power((x-m)/s,3)) else 0e0 end,5) as skew, round(case when count(*)>=4 and stddev_pop(x)>0 then avg(power((x-m)/s,4))-3 else 0e0 end,4) as kurt
   from (select src_ip, x, avg(x) over (partition by src_ip) as m, stddev_pop(x) over (partition by src_ip) as s from (select src_ip, unnest(a) as x from ({_SERIES}))) group by src_ip""")
 def interval_stats(spark, sf_dir):
-    a = F.col("a")
-    cols = {"mean": (arrays.mean(a), 3), "std": (arrays.std(a), 3), "low": (F.array_min(a), 6), "high": (F.array_max(a), 6), "median": (F.get(F.sort_array(a), ((F.size(a) - 1) / 2).cast("int")), 6), "cv": (arrays.cv(a), 6), "skew": (arrays.skewness(a), 5), "kurt": (arrays.kurtosis(a), 4)}
-    return intervals(spark, sf_dir).select("src_ip", *[F.round(c, n).alias(k) for k, (c, n) in cols.items()])
+    # Aggregates of the lag column: no source's intervals are gathered into one row.
+    f = sparse_flows(spark, sf_dir).withColumn("x", state.interval("ts", ["src_ip"], ["ts", "flow_id"])).where("x is not null")
+    x, sd, some = F.col("x"), F.stddev_pop("x"), (F.count("x") >= 4) & (F.stddev_pop("x") > 0)
+    cols = {
+        "mean": (F.avg(x), 3), "std": (sd, 3), "low": (F.min(x), 6), "high": (F.max(x), 6), "median": (F.expr("percentile_disc(0.5) within group (order by x)"), 6), "cv": (F.when(F.avg(x) > 0, sd / F.avg(x)).otherwise(0.0), 6),
+        "skew": (F.when(some, F.skewness(x)).otherwise(0.0), 5), "kurt": (F.when(some, F.kurtosis(x)).otherwise(0.0), 4),
+    }
+    return f.groupBy("src_ip").agg(*[F.round(c, n).alias(k) for k, (c, n) in cols.items()])
 
 
 _EMB = "select vec_id, cast(unnest(embedding) as double)*8000 as x, unnest(range(len(embedding))) as i from embeddings"

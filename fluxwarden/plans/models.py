@@ -1,4 +1,4 @@
-"""Queries over models and streams (rows only: SQL can't express them)."""
+"""Queries over models (rows only: SQL can't express them) and streams."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..ml import models
+from ..operators import storage
 from ..sources.flowview import sparse_flows
 from ..streaming import twins
 from .registry import query
@@ -37,20 +38,26 @@ def kmeans_diverse(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, transform, mode="append"):
-    """Reads events as a file stream, runs the transformation until no input is left, and returns what it emitted."""
-    name = f"stream_{uuid.uuid4().hex}"
+    """Reads events as a file stream, runs the transformation until no input is left, and returns what it wrote: a file sink, or in complete mode the
+    last whole result."""
+    base = f"{storage.shared_dir(spark).rstrip('/')}/fluxwarden/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet" if not sf_dir.endswith("*") else sf_dir)
-    q = transform(source).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    out = transform(source)
+    writer = out.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state")
+    if mode == "complete":
+        q = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).start()
+    else:
+        q = writer.format("parquet").start(f"{base}/out")
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
-@query()
+@query("select date_trunc('day', ts) as start, count(*) as n from events group by 1")
 def stream_timeline(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda s: twins.timeline(s, "ts", "1 day"), "complete")
+    return _streamed(spark, sf_dir, lambda s: twins.timeline(s, "ts", "1 day"), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query()
+@query("""select user_id::varchar as key, event_id, n from (select *, count(*) over (partition by user_id, date_trunc('day', ts) order by ts, event_id rows unbounded preceding) as n from events) where n>=4""")
 def stream_running_alerts(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda s: twins.running_alerts(s, "user_id", "ts", 86400, 4))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import arrays, net, strings
-from ..operators import detectors, state, store
+from ..operators import detectors, order, state, store
 from ..sources import adapters
 from ..sources.flowview import sparse_flows, table
 from .analysis import ALERTS, alerts
@@ -33,11 +33,11 @@ def label_scan(spark, sf_dir):
     return table(spark, sf_dir, "events").where(F.contains("props", F.lit("1"))).groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
 
 
-@query("""select a.flow_id, b.flow_id as other from {flows} a join {flows} b on least(a.src_ip,a.dst_ip)=least(b.src_ip,b.dst_ip) and greatest(a.src_ip,a.dst_ip)=greatest(b.src_ip,b.dst_ip) and a.dst_port=b.dst_port where a.dst_port=443 and a.flow_id<b.flow_id""")
+@query("""select flow_id, lag(flow_id) over (partition by least(src_ip,dst_ip), greatest(src_ip,dst_ip), dst_port order by ts, flow_id) as session_flow, lag(orig_bytes) over (partition by least(src_ip,dst_ip), greatest(src_ip,dst_ip), dst_port order by ts, flow_id) as session_bytes
+  from {flows} where dst_port=443""")
 def session_either_direction(spark, sf_dir):
-    key = [F.least("src_ip", "dst_ip").alias("lo"), F.greatest("src_ip", "dst_ip").alias("hi"), "dst_port"]
-    f = sparse_flows(spark, sf_dir).where("dst_port = 443").select("flow_id", *key)
-    return f.join(f.withColumnRenamed("flow_id", "other"), ["lo", "hi", "dst_port"]).where("flow_id < other").select("flow_id", "other")
+    f = sparse_flows(spark, sf_dir).where("dst_port = 443")
+    return state.with_latest(f, {"session_flow": "flow_id", "session_bytes": "orig_bytes"}, [F.least("src_ip", "dst_ip"), F.greatest("src_ip", "dst_ip"), "dst_port"], ["ts", "flow_id"]).select("flow_id", "session_flow", "session_bytes")
 
 
 @query("""select flow_id from {flows} where flow_id in (select event_id*2 from events where event_type='click')""")
@@ -59,10 +59,11 @@ def beacon_history_hour(spark, sf_dir):
 
 @query("""with r as (select event_id, floor((row_number() over (order by ts, event_id)-1)*6/count(*) over ())::bigint as part from events) select f.fold, count(*) filter (part<f.fold) as train, count(*) filter (part=f.fold) as test from r, (select unnest([1,2,3,4,5])::bigint as fold) f group by 1""")
 def cv_folds(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    n = e.count()
-    part = F.floor((F.row_number().over(Window.orderBy("ts", "event_id")) - 1) * 6 / n)
-    return e.select(part.alias("part")).groupBy("part").agg(F.count("*").alias("n")).select("n", "part", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("fold")).groupBy(F.col("fold").cast("long").alias("fold")).agg(F.sum(F.when(F.col("part") < F.col("fold"), F.col("n")).otherwise(0)).alias("train"), F.sum(F.when(F.col("part") == F.col("fold"), F.col("n")).otherwise(0)).alias("test"))
+    e = order.with_row_number(table(spark, sf_dir, "events"), order.micros(F.col("ts")), ["ts", "event_id"])
+    per = e.select(F.floor((F.col("_rn") - 1) * 6 / F.col("_rn_total")).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+    per = per.select("n", "part", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("fold"))
+    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return per.groupBy(F.col("fold").cast("long").alias("fold")).agg(share(F.col("part") < F.col("fold")).alias("train"), share(F.col("part") == F.col("fold")).alias("test"))
 
 
 _LE = ", ".join(f"({x}e0)" for x in LATENCY)
@@ -84,7 +85,7 @@ def dns_probability(spark, sf_dir):
  from (select event_id, value-5 as z, event_id % 4 as seen, case when event_id % 3 = 0 then value/10 end as p, (event_id % 10)/10e0 as cv from events)""")
 def two_stage_c2(spark, sf_dir):
     i, v = F.col("event_id"), F.col("value")
-    out = detectors.two_stage(v - 5, detectors.HUNT_THRESHOLDS["balanced"], i % 4, F.when(i % 3 == 0, v / 10), (i % 10) / 10, F.lit(0.0), F.lit(1.0))
+    out = detectors.two_stage(v - 5, detectors.HUNT_THRESHOLDS["default_ops"], i % 4, F.when(i % 3 == 0, v / 10), (i % 10) / 10, F.lit(0.0), F.lit(1.0))
     return table(spark, sf_dir, "events").select("event_id", out["verdict"].alias("verdict"))
 
 
@@ -120,11 +121,26 @@ def clipped_norm(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(out, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"), F.size(arrays.pad(v, 100, F.lit(0.0))).cast("long").alias("n"))
 
 
-@query("""with f as (select *, case when epoch_us(ts)-lag(epoch_us(ts)) over (partition by src_ip, dst_ip order by ts, flow_id) <= 3600000000 then 0 else 1 end as new from {flows}), g as (select *, sum(new) over (partition by src_ip, dst_ip order by ts, flow_id rows unbounded preceding) as s from f)
- select flow_id, count(*) over (partition by src_ip, dst_ip, s order by ts, flow_id rows unbounded preceding) as n_1h from g""")
+def idle_sql(keys: str, gap_s: int, name: str) -> str:
+    return f"""(select flow_id, count(*) over (partition by {keys}, s order by ts, flow_id rows unbounded preceding) as {name} from (select *, sum(new) over (partition by {keys} order by ts, flow_id rows unbounded preceding) as s from
+  (select *, case when epoch_us(ts)-lag(epoch_us(ts)) over (partition by {keys} order by ts, flow_id) <= {gap_s}000000 then 0 else 1 end as new from {{flows}})))"""
+
+
+@query(f"select * from {idle_sql('src_ip, dst_ip', 60, 'n_1m')} join {idle_sql('src_ip, dst_ip', 300, 'n_5m')} using (flow_id) join {idle_sql('src_ip, dst_ip', 3600, 'n_1h')} using (flow_id)")
 def idle_connection_count(spark, sf_dir):
-    f = state.with_gap_session(sparse_flows(spark, sf_dir), "s", ["src_ip", "dst_ip"], "ts", ["ts", "flow_id"], 3600)
-    return f.select("flow_id", state.running_count(["src_ip", "dst_ip", "s"], ["ts", "flow_id"]).alias("n_1h"))
+    f = state.with_idle_counts(sparse_flows(spark, sf_dir), {"n_1m": 60, "n_5m": 300, "n_1h": 3600}, ["src_ip", "dst_ip"], "ts", ["ts", "flow_id"])
+    return f.select("flow_id", "n_1m", "n_5m", "n_1h")
+
+
+_DNS = [("src_ip, dst_ip", 21600, "domain_1m"), ("src_ip, dst_ip", 86400, "domain_5m"), ("src_ip", 21600, "total_1m"), ("src_ip", 86400, "total_5m")]
+
+
+@query("select * from " + " join ".join(idle_sql(*x) + (" using (flow_id)" if i else "") for i, x in enumerate(_DNS)))
+def dns_query_counters(spark, sf_dir):
+    f = sparse_flows(spark, sf_dir)  # the other side stands for the name asked for; windows are wide, as the flows are sparse
+    f = state.with_idle_counts(f, {"domain_1m": 21600, "domain_5m": 86400}, ["src_ip", "dst_ip"], "ts", ["ts", "flow_id"])
+    f = state.with_idle_counts(f, {"total_1m": 21600, "total_5m": 86400}, ["src_ip"], "ts", ["ts", "flow_id"])
+    return f.select("flow_id", *[n for *_, n in _DNS])
 
 
 @query()

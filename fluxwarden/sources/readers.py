@@ -30,12 +30,50 @@ def dns_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return d.select(F.coalesce(F.get(parts, F.lit(9)), F.lit("")).alias("query"))
 
 
+def zeek_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A tab-separated log whose names stand in its #fields line; without one, the first line has the names. ``-`` and ``(empty)`` are
+    null; files of one path have the same fields."""
+    lines = spark.read.text(path)
+    named = lines.where(F.startswith("value", F.lit("#fields\t"))).first()
+    if named is None:
+        return spark.read.csv(path, sep="\t", header=True, comment="#", nullValue="-")
+    names = named["value"].split("\t")[1:]
+    cells = lines.where(~F.startswith("value", F.lit("#")) & (F.col("value") != "")).select(F.split("value", "\t").alias("c"))
+    value = lambda i: F.get("c", F.lit(i))
+    return cells.select(*[F.when(~value(i).isin("-", "(empty)"), value(i)).alias(n) for i, n in enumerate(names)])
+
+
 def conn_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    d = spark.read.csv(path, sep="\t", header=True, comment="#")
-    numbers = [c for c in ("duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts") if c in d.columns]
+    d = zeek_log(spark, path)
+    numbers = [c for c in ("ts", "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts") if c in d.columns]
     return d.withColumns({c: F.col(c).try_cast("double") for c in numbers})
 
 
+def tls_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    d = zeek_log(spark, path)
+    flags = [c for c in ("resumed", "established") if c in d.columns]
+    return d.withColumns({c: F.col(c).isin("T", "true") for c in flags} | ({"ts": F.col("ts").try_cast("double")} if "ts" in d.columns else {}))
+
+
+def labelled_files(spark: SparkSession, folder: str, labels: tuple[tuple[str, int], ...], glob: str = "*.csv") -> DataFrame:
+    """The CSV files of a folder with label: the first keyword that a file's name holds decides; files with none are left out."""
+    d = spark.read.csv(folder, header=True, mode="DROPMALFORMED", pathGlobFilter=glob).withColumn("_name", F.lower(F.element_at(F.split(F.input_file_name(), "/"), -1)))
+    label = F.lit(None).cast("int")
+    for word, value in reversed(labels):
+        label = F.when(F.contains("_name", F.lit(word.lower())), value).otherwise(label)
+    return d.withColumn("label", label).where("label is not null").drop("_name")
+
+
+def without_local(flows: DataFrame, ports: tuple[int, ...] = ()) -> DataFrame:
+    """Flows without those of the machine with itself and, where given, of management ports on either side."""
+    local = F.coalesce(F.startswith("src_ip", F.lit("127.")), F.lit(False)) | F.coalesce(F.startswith("dst_ip", F.lit("127.")), F.lit(False))
+    out = flows.where(~local)
+    for c in ("src_port", "dst_port"):
+        if ports and c in flows.columns:
+            out = out.where(~F.coalesce(F.col(c).isin(*ports), F.lit(False)))
+    return out
+
+
 def dns_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     d = spark.read.csv(path, header=True, quote='"')
     return d.where(F.col("host").isNotNull() & (F.trim("host") != "") & F.contains("host", F.lit(".")))
@@ -66,7 +104,7 @@ class Dataset:
     labels: tuple[tuple[str, int], ...] = ()
 
 
-REGISTRY = {"cicids": Dataset(csv, " Label"), "ctu13": Dataset(binetflow, "Label"), "unsw": Dataset(csv, "label"), "kdd": Dataset(csv, "labels"), "dns_log": Dataset(dns_log), "dns_csv": Dataset(dns_csv, "class"), "conn_log": Dataset(conn_log, "label")}
+REGISTRY = {"cicids": Dataset(csv, " Label"), "ctu13": Dataset(binetflow, "Label"), "unsw": Dataset(csv, "label"), "kdd": Dataset(csv, "labels"), "dns_log": Dataset(dns_log), "dns_csv": Dataset(dns_csv, "class"), "tls_log": Dataset(tls_log), "conn_log": Dataset(conn_log, "label")}
 
 
 def read(spark: SparkSession, dataset: str, path: str | list[str]) -> DataFrame:

@@ -6,12 +6,14 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fluxwarden import plans
 from fluxwarden.functions import arrays, fingerprint, net, strings
-from fluxwarden.operators import detectors, rules, state, store
+from fluxwarden.ml import metrics, models
+from fluxwarden.operators import detectors, order, rules, state, store
 from fluxwarden.sources import adapters, readers, schema
 from fluxwarden.streaming import twins
 
@@ -63,11 +65,11 @@ def test_scan_and_brute_force_defaults(spark):
 
 
 def test_suppression_by_sni_and_wildcards(spark):
-    r = spark.createDataFrame([("a", True, None, None, 8089, r"^splunk-fwd\d+\.corp\.local$", "c2_beacon")], "rule_id string, enabled boolean, src_cidr string, dst_cidr string, dst_port int, sni_pattern string, threat_type string")
+    r = spark.createDataFrame([("a", True, None, None, 9443, r"^backup-\d\.example\.net$", "exfiltration")], "rule_id string, enabled boolean, src_cidr string, dst_cidr string, dst_port int, sni_pattern string, threat_type string")
     r = r.withColumn("created_at", F.current_timestamp()).withColumn("expires_at", F.lit(None).cast("timestamp"))
-    a = flow(spark, {"dst_port": 8089, "sni": "splunk-fwd05.corp.local"}, {"dst_port": 8089, "sni": "malicious.com"}, {"dst_port": 8089}).withColumn("threat_type", F.lit("c2_beacon"))
+    a = flow(spark, {"dst_port": 9443, "sni": "backup-7.example.net"}, {"dst_port": 9443, "sni": "elsewhere.example.net"}, {"dst_port": 9443}).withColumn("threat_type", F.lit("exfiltration"))
     assert {x["flow_id"]: x["rule_id"] for x in rules.suppress(a, r, ["flow_id"]).collect()} == {0: "a", 1: None, 2: None}
-    got = spark.range(2).select(detectors.response_action(F.when(F.col("id") == 0, 0.995).otherwise(0.95), True)).collect()
+    got = spark.range(2).select(detectors.response_action(F.when(F.col("id") == 0, 0.991).otherwise(0.99), True)).collect()
     assert [x[0] for x in got] == ["auto_block", "queue"]
 
 
@@ -136,7 +138,9 @@ def test_readers(spark, tmp_path):
 
 def test_sinks(spark):
     a = flow(spark, {}).withColumn("threat_type", F.lit("c2_beacon")).withColumn("severity", F.lit("high")).withColumn("confidence", F.lit(0.9))
-    assert store.cef_line(a).first()["line"] == "<132> CEF:0|fluxwarden|flows|1.0|c2_beacon|C2 Beacon|8|src=10.0.0.5 dst=198.51.100.12 dpt=443 cs1=0.9"
+    assert store.cef_line(a).first()["line"] == "<132> CEF:0|fluxwarden|flows|1.0|c2_beacon|c2_beacon Detected|8|src=10.0.0.5 dst=198.51.100.12 dpt=443 msg="
+    info = a.withColumn("severity", F.lit("info")).withColumn("explanation", F.lit("why")).drop("dst_port")
+    assert store.cef_line(info).first()["line"].endswith("Detected|1|src=10.0.0.5 dst=198.51.100.12 dpt=0 msg=why")
     assert "sni" not in json.loads(store.alert_json(a).first()["json"])
 
 
@@ -152,7 +156,176 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(tuple, want.collect()))
 
 
-SMALL = "/root/testdata/sf0.001"
+def test_ransomware_signals_expire(spark):
+    """Steady traffic without signals doesn't keep old signals alive."""
+    burst, other = {"dst_port": 445, "dst_ip": "10.0.0.9", "orig_bytes": 600_000}, {"dst_port": 135, "dst_ip": "10.0.0.9"}
+    steady = [{"ts": t, "dst_port": 8443} for t in range(100, 1000, 100)]
+    f = flow(spark, {**burst, "ts": 0}, *steady, {**other, "ts": 1001})
+    lateral = F.col("dst_port") == 135
+    assert detectors.ransomware(f, lateral, F.lit(False)).count() == 0
+    f = flow(spark, {**burst, "ts": 0}, {**other, "ts": 300}, {"ts": 600, "dst_port": 9}, {"ts": 601, "dst_port": 9})
+    got = detectors.ransomware(f, lateral, F.lit(False))
+    assert kinds(got) == [(1, "ransomware"), (2, "ransomware")] and got.first()["mitre_ttps"] == ["T1486", "T1490", "T1489", "T1021.002", "T1083"]
+    assert "smb_write_burst, shadow_copy_kill_pattern" in got.first()["explanation"]
+    # Ten packets in 10 ms are 1,000 a second: the floor is a millisecond.
+    quick = flow(spark, {"dst_port": 445, "orig_bytes": 10, "orig_pkts": 3, "duration_s": 0.01}, {**burst, "ts": 1})
+    assert [i for i, _ in kinds(detectors.ransomware(quick, lateral, F.lit(False)))] == [1]
+
+
+def test_jitter_by_pair_and_explanations(spark):
+    t, rows = 0, []
+    for i, gap in enumerate([0, 60, 66, 54, 62, 58, 61, 65, 56]):
+        t += gap
+        rows += [{"ts": t, "orig_bytes": 120, "flow_id": 2 * i}, {"ts": t + 1, "orig_bytes": 120, "flow_id": 2 * i + 1, "dst_ip": "9.9.9.9"}]
+    assert detectors.jitter_beacon(flow(spark, *rows)).count() == 0  # of the source, intervals alternate
+    assert kinds(detectors.jitter_beacon(flow(spark, *rows), keys=("src_ip", "dst_ip"))) == [(16, "jittered_c2_beacon"), (17, "jittered_c2_beacon")]
+    f = flow(spark, *[{"ts": 2, "dst_port": 22} for _ in range(10)])
+    assert detectors.brute_force(f).first()["explanation"] == "10.0.0.5 connected 10 times to 198.51.100.12, port 22, within 60 s"
+    with pytest.raises(KeyError):
+        detectors.collected({"unknown": f})
+
+
+def test_host_context_of_flat_and_short_series(spark):
+    cases = [([], []), ([5], [1.0]), ([0, 60_000_000], [0.0, 0.0]), ([i * 60_000_000 for i in range(9)], [2.0] * 9), ([0, 1, 3, 6, 10, 15, 21], [1.0, 2.0] * 3 + [1.0])]
+    d = spark.createDataFrame(cases, "t array<bigint>, d array<double>")
+    got = [r["c"] for r in d.select(arrays.host_context(F.col("t"), F.col("d")).alias("c")).collect()]
+    assert all(v == 0 for c in got[:2] for v in c) and got[2]["history_len"] == 2 and got[2]["trend"] == 0 and got[2]["duration_cv"] == 0
+    assert (got[3]["periodicity_score"], got[3]["dominant_period_ms"], got[3]["regularity"], got[3]["trend"]) == (1.0, 60_000.0, 1.0, 0.0)
+    assert got[4]["trend"] == pytest.approx(1.0)
+
+
+def test_running_sums_by_range(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([1.0, 2.0, float(rng.randrange(100))]), rng.randrange(9)) for i in range(500)]
+    d = spark.createDataFrame(rows, "id int, k double, v int").repartition(5)
+    got = order.with_running_sums(d, F.col("k"), ["k", "id"], {"s": F.col("v")}, parts=7).collect()
+    at, want = 0, {}
+    for i, _, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[i] = at = at + v
+    assert {r["id"]: r["s"] for r in got} == want and {r["s_total"] for r in got} == {at}
+    assert order.with_row_number(d.limit(0), F.col("k"), ["k"]).count() == 0
+    assert metrics.roc_auc(d.limit(0).withColumn("y", F.lit(1)), "y", "k").first()["auc"] is None
+
+
+def test_series_functions_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    series = [list(map(float, rng.exponential(5, n))) for n in (3, 7, 8, 20, 60)] + [[60.0 + 20 * math.sin(i * math.pi / 2) for i in range(40)]]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(series)], "i int, a array<double>").select("i", arrays.fft_period("a").alias("f"), arrays.peak_period("a").alias("p")).collect()
+    for r in got:
+        x = np.array(series[r["i"]])
+        want = 0.0
+        if len(x) >= 16:
+            t = np.cumsum(x)
+            even = np.interp(np.linspace(t[0], t[-1], 256), t, x)
+            power = [abs(sum((even - even.mean()) * np.exp(-2j * np.pi * k * np.arange(256) / 256))) for k in range(1, 129)]
+            want = (t[-1] - t[0]) / (1 + int(np.argmax(power)))
+        assert r["f"] == pytest.approx(want)
+        if len(x) < 8:
+            assert r["p"]["height"] == 0
+    assert got[-1]["p"]["height"] > 0.8 and got[-1]["p"]["period"] == pytest.approx(4 * np.mean(series[-1]))
+
+
+def test_models_learn(spark):
+    rows = [(i, float(i % 10), float((i * 7) % 13), int(i % 10 > 4)) for i in range(400)]
+    d = spark.createDataFrame(rows, "id int, a double, b double, y int")
+    f = models.balanced(models.assembled(models.scaled(d, models.medians(d, ["a", "b"])), ["a", "b"]), "y")
+    for m in (models.stage_one(f, "y"), models.gbt(f, "y", trees=3), models.forest(f, "y", trees=5)):
+        assert m.transform(f).where("prediction = y").count() == 400
+    scored = models.raw_score(models.stage_one(f, "y").transform(f)).select("y", "z")
+    c = models.calibrated(scored.withColumn("y", F.col("y").cast("double")), "y", "z").transform(scored)
+    assert c.where((F.col("prediction") > 0.5) == (F.col("y") == 1)).count() == 400
+    assert models.diverse(f, "id", 3).count() == 3
+    odd = d.select("id", "a", "b").unionByName(spark.createDataFrame([(1000, 500.0, -500.0)], "id int, a double, b double"))
+    top = models.IsolationForest(trees=30).fit(odd, ["a", "b"]).score(odd).orderBy(F.desc("anomaly")).first()
+    assert top["id"] == 1000
+    s = models.standard(d, ["a", "b"])
+    x = np.array([r[1] for r in rows])
+    assert s["a"] == (pytest.approx(x.mean()), pytest.approx(x.std())) and models.standardised(d, s).agg(F.stddev_pop("a")).first()[0] == pytest.approx(1.0)
+    reasons = models.linear_reasons(models.standardised(d, s).limit(1), {"a": 2.0, "b": -1.0}, {"a": 0.0, "b": 0.0}).first()["reasons"]
+    assert set(reasons) == {"a", "b"}
+
+
+def test_gates_and_drift(spark):
+    good = {"macro_f1": 0.96, "c2_recall": 0.98, "dns_recall": 0.99, "exfil_recall": 0.97, "fp_rate": 0.001}
+    assert metrics.promotion(good) == [] and metrics.promotion({**good, "fp_rate": 0.01, "dns_recall": 0.5}) == ["dns_recall", "max_fp_rate"]
+    assert metrics.promotion(good, {"macro_f1": 0.97}) == ["not better than the model in use"] and len(metrics.promotion({})) == 5
+    assert metrics.too_good(0.9995, 0.0) and not metrics.too_good(0.9995, 0.9) and metrics.noise_robust(0.9, 0.87) and not metrics.noise_robust(0.9, 0.8)
+    d = spark.range(200).select(F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    e = d.withColumn("a", F.col("a") + 500)
+    got = {r["feature"]: (r["drifted"], r["alarm"]) for r in metrics.drift(d, e, ["a", "b"]).collect()}
+    assert got == {"a": (True, True), "b": (False, True)} and not metrics.drift(d.limit(20), e, ["a"]).first()["drifted"]
+    noisy = metrics.with_noise(d, ["a"]).agg(F.stddev_pop("a").alias("s"), F.count("*").alias("n")).first()
+    assert noisy["n"] == 200 and noisy["s"] != d.agg(F.stddev_pop("a")).first()[0]
+
+
+def test_bytes_and_fingerprints(spark):
+    d = spark.createDataFrame([(bytearray(b"aabb"),), (bytearray(b""),), (bytearray(range(256)),)], "b binary")
+    assert [r[0] for r in d.select(strings.byte_entropy(F.col("b"))).collect()] == [1.0, 0.0, 8.0]
+    one = spark.range(1)
+    assert one.select(fingerprint.ja3s(F.lit(771), F.lit(4865), F.array(F.lit(43), F.lit(0x1A1A)))).first()[0] == hashlib.md5(b"771,4865,43").hexdigest()
+    ja4 = one.select(fingerprint.ja4_capture(F.lit(771), F.lit("x"), F.array(F.lit(0x1302), F.lit(0x0A0A), F.lit(0x1301)), F.array(F.lit(16)))).first()[0]
+    short = lambda x: hashlib.sha256(x).hexdigest()[:12]
+    assert ja4[3:].startswith("d0201_") and ja4.endswith(f"_{short(b'1301,1302')}_{short(b'0010')}")
+    assert [r[0] for r in spark.createDataFrame([(0xC3,), (0x40,)], "b int").select(fingerprint.is_quic(F.col("b"))).collect()] == [True, False]
+    assert one.select(arrays.context_regularity(F.lit(0.5)), arrays.context_regularity(F.lit(9.0))).first()[:] == (0.75, 0.0)
+
+
+def test_packets_to_flows(spark):
+    p = [(1.0, "10.0.0.1", "10.0.0.2", 5000, 443, 60, 6, 2), (2.0, "10.0.0.2", "10.0.0.1", 443, 5000, 1500, 6, 16), (3.5, "10.0.0.1", "10.0.0.2", 5000, 443, 40, 6, 1), (1.0, "10.0.0.9", "10.0.0.2", 1, 2, 60, 17, 0)]
+    got = readers.flows_of(spark.createDataFrame(p, "ts double, src string, dst string, sport int, dport int, len int, proto int, flags int")).collect()
+    assert [(r["src"], r["packets"], r["orig_bytes"], r["resp_bytes"], r["duration_s"], r["flags"]) for r in got] == [("10.0.0.1", 3, 100, 1500, 2.5, 19)]
+
+
+def test_logs_folders_and_sinks(spark, tmp_path):
+    (tmp_path / "conn.log").write_text("#separator \\x09\n#fields\tts\tuid\torig_bytes\tservice\n#types\ttime\tstring\tcount\tstring\n1.5\tC1\t10\tdns\n2.5\tC2\t-\t(empty)\n#close\n")
+    got = [tuple(r) for r in readers.conn_log(spark, str(tmp_path / "conn.log")).orderBy("ts").collect()]
+    assert got == [(1.5, "C1", 10.0, "dns"), (2.5, "C2", None, None)]
+    (tmp_path / "tls.log").write_text("#fields\tuid\tresumed\tserver_name\nC1\tT\ta.b\n")
+    assert readers.tls_log(spark, str(tmp_path / "tls.log")).first().asDict() == {"uid": "C1", "resumed": True, "server_name": "a.b"}
+    (tmp_path / "d").mkdir()
+    for name in ("Monday-Benign.csv", "friday-botnet.csv", "other.csv"):
+        (tmp_path / "d" / name).write_text("x\n1\n")
+    assert sorted(r["label"] for r in readers.labelled_files(spark, str(tmp_path / "d"), (("botnet", 1), ("benign", 0))).collect()) == [0, 1]
+    a = spark.createDataFrame([(1, None), (2, 0.5)], "id int, v double")
+    store.append(a, str(tmp_path / "c"), "csv")
+    store.append(a, str(tmp_path / "c"), "csv")
+    assert spark.read.csv(str(tmp_path / "c"), header=True).where("v = '0.0'").count() == 2
+    store.append(a, str(tmp_path / "j"), "json")
+    assert "v" not in json.loads(spark.read.text(str(tmp_path / "j")).where(F.contains("value", F.lit('"id":1'))).first()[0])
+    store.append(a, str(tmp_path / "p"))
+    store.reset(a, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 0
+
+
+def test_page_hinkley_stream(spark, tmp_path):
+    xs = [(i, "k", 0.0 if i < 100 else 5.0) for i in range(200)]
+    spark.createDataFrame(xs, "event_id bigint, key string, x double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id bigint, key string, x double").parquet(str(tmp_path / "in"))
+    q = twins.page_hinkley(stream, "key", "x", limit=20.0).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination()
+    got = sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    n, mean, total, low, want = 0, 0.0, 0.0, 0.0, []
+    for i, _, x in xs:
+        n, mean = n + 1, mean + (x - mean) / (n + 1)
+        total += x - mean - 0.005
+        low = min(low, total)
+        if total - low > 20:
+            want.append(i)
+            n, mean, total, low = 0, 0.0, 0.0, 0.0
+    assert got == want and got and got[0] >= 100
+
+
+def test_headline_queries_at_bench_size(spark):
+    """The bench must get through: all its queries at sf0.1, where they were once not defined for flat series."""
+    import bench
+
+    if not os.path.isdir(BENCH):
+        pytest.skip("the driver's tables aren't here")
+    for name in bench.HEADLINE:
+        plans.queries()[name](spark, BENCH).write.format("noop").mode("overwrite").save()
+
+
+SMALL, BENCH = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
