@@ -26,23 +26,33 @@ SIZES = (3, 4, 5)
 N_FEATURES = 1 << 14
 THRESHOLD = 0.5
 
-#: Small labelled table: paths and hosts of the kinds that URL lists block or allow, combined below.
-BLOCKED_HOSTS = (
-    "ads-track.example.com", "spam-farm.example.com", "casino-bonus.example.org", "cheap-pills.example.net", "adult-cams.example.com",
-    "free-warez.example.org", "click-tracker.example.com", "torrent-crack.example.net", "phish-login.example.com", "malware-drop.example.org",
+#: Small labelled table: what blocked names speak of, and names of ordinary places. Both stand under the same domains, prefixes and
+#: paths, so that only the names tell them apart.
+BLOCKED_TOPICS = ("casino", "spam", "pills", "adult", "warez", "torrent", "phish", "malware", "tracker", "ads", "bonus", "betting", "keygen", "poker", "loans", "xxx", "cams", "crack", "lottery", "clickbait", "bets", "jackpot", "viagra", "escort")
+BLOCKED_FORMS = ("{0}-{1}", "cheap-{0}", "{0}-farm", "free-{0}", "{0}{1}", "best-{0}-online", "{0}-win", "{0}-track", "{0}-x")
+ALLOWED_NAMES = (
+    "news", "library", "docs", "museum", "university", "science", "recipes", "weather", "forum", "garden", "history", "travel", "music", "school", "research", "theatre", "rivers", "hiking", "letters", "archive",
 )
-ALLOWED_HOSTS = (
-    "news.example.org", "library.example.org", "blog.example.com", "docs.example.net", "museum.example.org",
-    "university.example.com", "science.example.org", "recipes.example.com", "weather.example.net", "forum.example.org",
-)
-BLOCKED_PATHS = ("/win/bonus", "/xxx/gallery", "/track?c=1", "/crack/keygen.exe", "/en/825")
-ALLOWED_PATHS = ("/en/about", "/fr/2021/article.html", "/de/wissen/7", "/es/noticias", "/en/825")
-
-
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url, blocked (double)."""
-    rows = [(f"https://{h}{p}", 1.0) for h in BLOCKED_HOSTS for p in BLOCKED_PATHS]
-    rows += [(f"https://{h}{p}", 0.0) for h in ALLOWED_HOSTS for p in ALLOWED_PATHS]
+#: Ordinary names are also made of these.
+SYLLABLES = ("th", "er", "in", "on", "an", "re", "ti", "es", "ing", "ou", "nd", "le", "ha", "wh", "sh", "ly", "ed", "ra", "mo", "ka", "lu", "ber", "sta", "vel")
+DOMAINS = ("example.com", "example.net", "example.org", "example.info")
+PREFIXES = ("", "www.", "m.", "blog.", "shop.")
+PATHS = ("/en/{0}", "/fr/{0}.html", "/de/{0}/", "/es/{0}", "/{0}/index.html", "/")
+
+
+def labelled_urls(spark: SparkSession, blocked: int = 300, allowed: int = 900) -> DataFrame:
+    """url, blocked (double): URLs of either kind, made from the lists above by counting through them with odd steps. Most are allowed, as most of the web is."""
+    names = []
+    for k in range(blocked):
+        t, u = BLOCKED_TOPICS[k % len(BLOCKED_TOPICS)], BLOCKED_TOPICS[(7 * k + 3) % len(BLOCKED_TOPICS)]
+        names.append((BLOCKED_FORMS[(k // len(BLOCKED_TOPICS)) % len(BLOCKED_FORMS)].format(t, u), 1.0))
+    for k in range(allowed):
+        made = "".join(SYLLABLES[(k * step + step * step + k // len(SYLLABLES)) % len(SYLLABLES)] for step in (1, 5, 7, 11)[: 2 + k % 3])
+        names.append((made if k % 5 else ALLOWED_NAMES[(k // 5) % len(ALLOWED_NAMES)], 0.0))
+    rows = []
+    for k, (name, label) in enumerate(names):
+        path = PATHS[(k // 4) % len(PATHS)].format(k * 37 % 1000)
+        rows.append((f"https://{PREFIXES[(k // 2) % len(PREFIXES)]}{name}.{DOMAINS[(k + k // 7) % len(DOMAINS)]}{path}", label))
     return spark.createDataFrame(rows, "url string, blocked double")
 
 
@@ -84,7 +94,7 @@ def featurised(urls: DataFrame, host: Column, path: Column, grams: str, features
     return HashingTF(inputCol=grams, outputCol=features, numFeatures=n_features, binary=True).transform(urls).drop(grams)
 
 
-def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", max_iter: int = 30, reg: float = 0.01, n_features: int = N_FEATURES) -> LogisticRegressionModel:
+def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", max_iter: int = 50, reg: float = 0.001, n_features: int = N_FEATURES) -> LogisticRegressionModel:
     host, path = split_url(F.col(url_col))
     t = labelled.where(F.col(label_col).isNotNull()).select(host.alias("host"), path.alias("path"), F.col(label_col).cast("double").alias("label"))
     t = featurised(t, F.col("host"), F.col("path"), "grams", "features", n_features).coalesce(1)
