@@ -6,18 +6,20 @@ first), those in ``min_df`` documents or more are kept whose document frequency
 ``min_z`` standard errors, or which only toxic documents hold, at whatever sample size; and so are those of identity terms.
 The l2 penalty, not the choice, deals with chance among rare ones. The weights minimise the balanced log loss, plus ``l2`` |w|^2, plus ``fairness`` times the
 mean squared change of the logit over counterfactuals: every labelled sentence with an identity term, the term
-swapped for each other one of its group and for none. So neutral mentions of a group don't raise a score.
+swapped for each other one of its group and for none. So neutral mentions of a group don't raise a score. The model tells how many swaps there were and the penalty with and without it: where no
+labelled text holds a term, there are no swaps and it is a plain regression.
 The fit runs on the driver over that sample only; scoring is one pass over the texts without a shuffle.
 
 Defined results: null and empty texts score as a text without features (the bias alone); words are cut at anything but
 letters, ASCII lower case; a label table with one class only gives the model of that class's prior; repeated labels of
-one id count once, toxic if any says so; null labels and ids are not learned from; extra columns are kept.
+one id count once, toxic if any says so, and of documents with one id the text with the smallest hash; null labels and ids are not learned
+from; extra columns are kept.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from .common import fresh, written
 from .memory import give_back
 from .tokens import plain_texts, slices
 
-#: Terms that name groups, by kind.
-IDENTITY = (
+#: Terms that name groups, by language and kind.
+ENGLISH = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "catholic"),
     ("black", "white", "asian", "african", "latino", "arab", "european"),
     ("gay", "straight", "lesbian", "bisexual", "transgender", "heterosexual"),
@@ -39,6 +41,10 @@ IDENTITY = (
     ("disabled", "deaf", "blind", "old", "young"),
     ("american", "mexican", "chinese", "indian", "russian", "german", "french"),
 )
+GERMAN = (("christ", "muslim", "jude", "hindu", "buddhist", "atheist", "katholik"), ("frau", "mann", "frauen", "männer", "mädchen", "junge"), ("schwul", "lesbisch", "hetero", "bisexuell"), ("deutsche", "türken", "polen", "russen", "amerikaner", "franzosen"))
+FRENCH = (("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée", "catholique"), ("femme", "homme", "femmes", "hommes", "fille", "garçon"), ("gay", "lesbienne", "bisexuel", "hétéro"), ("français", "allemand", "américain", "russe", "chinois", "arabe"))
+SPANISH = (("cristiano", "musulmán", "judío", "hindú", "budista", "ateo", "católico"), ("mujer", "hombre", "mujeres", "hombres", "niña", "niño"), ("gay", "lesbiana", "bisexual", "hetero"), ("español", "mexicano", "alemán", "americano", "ruso", "chino", "árabe"))
+IDENTITY = (*ENGLISH, *GERMAN, *FRENCH, *SPANISH)
 MAX_PER_LABEL = 4000
 MIN_DF = 3
 MIN_Z = 2.0
@@ -49,8 +55,15 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class ToxicityModel:
+    """swaps: kinds of swap that the sample allows; mentions: texts that they were seen in; penalty and unpenalised: the mean squared change of the
+    logit under swaps, of this model and of one fitted without regard to it (None unless asked for)."""
+
     bias: float
     weights: dict[str, float]
+    swaps: int = 0
+    mentions: float = 0.0
+    penalty: float = 0.0
+    unpenalised: float | None = None
 
 
 def features_of(word: str) -> list[str]:
@@ -92,7 +105,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col:
     order = [F.xxhash64(F.col("id").cast("string")), F.col("id")]
     some = known.where("label = 1").orderBy(*order).limit(max_per_label).unionByName(known.where("label = 0").orderBy(*order).limit(max_per_label))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(some), "id").select("label", "text")  # 2 * max_per_label ids at most
+    found = texts.join(F.broadcast(some), "id")  # 2 * max_per_label ids at most
+    # One row of each id, however often it stands in the table.
+    return found.groupBy("id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
 
 
 def _counts(batches):
@@ -104,8 +119,8 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(c1), pa.array(c)], names=["word", "c1", "c"])
 
 
-def fit(sample: DataFrame, identity=IDENTITY, min_z: float = MIN_Z, l2: float = 1e-4, fairness: float = 10.0, steps: int = 300, min_df: int = MIN_DF) -> ToxicityModel:
-    """``sample``: label (0 or 1), text; bounded by the caller, see labelled_sample()."""
+def fit(sample: DataFrame, identity=IDENTITY, min_z: float = MIN_Z, l2: float = 1e-4, fairness: float = 10.0, steps: int = 300, min_df: int = MIN_DF, compare: bool = False) -> ToxicityModel:
+    """``sample``: label (0 or 1), text; bounded by the caller, see labelled_sample(). ``compare``: fit without the penalty as well, to tell what it did."""
     sets = written(sample.select("label", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("key")).repartition(8), "toxicity")
     totals = {r["label"]: r["n"] for r in sets.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
@@ -132,7 +147,8 @@ def fit(sample: DataFrame, identity=IDENTITY, min_z: float = MIN_Z, l2: float =
     y = rows.column("label").to_numpy().astype(np.float64)
     row = np.repeat(np.arange(len(y)), pc.list_value_length(codes).to_numpy(zero_copy_only=False))
     col = codes.flatten().to_numpy().astype(np.int64)
-    return _train(row, col, y, vocabulary, identity, l2, fairness, steps)
+    model = _train(row, col, y, vocabulary, identity, l2, fairness, steps)
+    return replace(model, unpenalised=_train(row, col, y, vocabulary, identity, l2, 0.0, steps).penalty) if compare else model
 
 
 def counterfactuals(counts: np.ndarray, code: dict[str, int], identity=IDENTITY) -> list[tuple[list[int], list[int], float]]:
@@ -166,7 +182,9 @@ def _train(row, col, y, vocabulary, identity, l2, fairness, steps) -> ToxicityMo
         g[used] += 2 * fairness * delta.T @ (mass * (delta @ w[used]))
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return ToxicityModel(float(w[-1]), {word: float(c) for word, c in zip(vocabulary, w[:-1], strict=True)})
+    weights = {word: float(c) for word, c in zip(vocabulary, w[:-1], strict=True)}
+    mentions = sum({tuple(lost): c for lost, _, c in swaps}.values())
+    return ToxicityModel(float(w[-1]), weights, len(swaps), mentions, float(mass @ (delta @ w[used]) ** 2) if len(swaps) else 0.0)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep_text: bool = True) -> DataFrame:
