@@ -2,7 +2,8 @@
 
 Method: the normalised 10-word windows of the test items become one small table (hash, words, items). Its size is
 counted first; up to ``max_broadcast_grams`` it is broadcast and each document's windows probe it where the text
-was read, without a shuffle; a larger table is joined by hash with an ordinary shuffle. A hash hit counts only if the
+was read, without a shuffle; a larger table is joined by hash with an ordinary shuffle of windows, which are a row of key, place, length and hash
+each; what they hit goes back to the documents, whose words are written once and stay where they are. A hash hit counts only if the
 words themselves are equal. Then documents or the hit spans are removed.
 
 Everything is a DataFrame expression: no Python runs on executors.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, lower_words, row_key, written
+from .common import bind, fresh, lower_words, row_key, written
 
 #: Runs of ASCII digits, ASCII letters (lower-cased afterwards) and all that isn't ASCII; and what lies between.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -63,6 +64,9 @@ def hits(
     grams = written(benchmark_grams(benchmark, item_col, item_text_col, n), "grams")
     sizes = {r["gram_len"]: r["c"] for r in grams.groupBy("gram_len").agg(F.count("*").alias("c")).collect()}  # n rows at most
     d = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), _words(F.col(text_col)).alias("words"))
+    if sum(sizes.values()) > max_broadcast_grams:
+        return _shuffled_hits(d, grams, sorted(sizes))
+    grams = F.broadcast(grams.select("gram_hash", "gram_len", "gram", "items"))
     d = d.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     # Position -1 stands for the document itself, so that one pass gives documents and hits.
     d = d.select("id", "key", "words", "hashes", F.explode(F.sequence(F.lit(-1), F.greatest(F.size("words") - 1, F.lit(-1)))).alias("at"))
@@ -75,9 +79,6 @@ def hits(
     for k in sorted(sizes):
         probe = F.when((F.col("at") >= 0) & (F.col("len") == k), _hash_at(F.col("hashes"), F.col("at"), k)).otherwise(probe)
     d = d.select("id", "key", "words", "at", "len", probe.alias("hash"))
-    grams = grams.select(F.col("gram_hash"), F.col("gram_len"), "gram", "items")
-    if sum(sizes.values()) <= max_broadcast_grams:
-        grams = F.broadcast(grams)
     found = d.join(grams, (d["hash"] == grams["gram_hash"]) & (d["len"] == grams["gram_len"]), "left")
     found = found.where((F.col("at") < 0) | (F.col("gram").isNotNull() & (F.slice("words", F.col("at") + 1, F.greatest(F.col("len"), F.lit(1))) == F.col("gram"))))
     hit = F.col("at") >= 0
@@ -91,6 +92,26 @@ def hits(
     )
 
 
+def _shuffled_hits(d: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
+    """The same for a benchmark too large to broadcast. ``d``: id, key, words."""
+    one = d.groupBy("key").agg(F.first("id").alias("id"), F.count("*").alias("n_rows"), F.first("words").alias("words"))
+    one = written(one, "words")
+
+    def windows(h: Column) -> Column:
+        of = lambda k: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda at: F.struct(at.alias("at"), F.lit(k).alias("len"), _hash_at(h, at, k).alias("hash")))
+        none = F.array().cast("array<struct<at:int,len:int,hash:bigint>>")
+        return F.concat(none, *[F.when(F.size(h) >= k, of(k)).otherwise(none) for k in sizes])
+
+    w = one.select("key", F.explode(bind(F.transform("words", lambda x: F.xxhash64(x)), windows)).alias("w")).select("key", "w.*")
+    found = w.join(grams, (w["hash"] == grams["gram_hash"]) & (w["len"] == grams["gram_len"])).select("key", "at", "len", "gram", "items")
+    found = found.groupBy(F.col("key").alias("hit_key")).agg(F.collect_list(F.struct("at", "len", "gram", "items")).alias("found"))
+    both = one.join(found, one["key"].eqNullSafe(found["hit_key"]), "left")
+    true = F.filter(F.coalesce("found", F.array().cast(found.schema["found"].dataType)), lambda x: F.slice(F.col("words"), x["at"] + 1, x["len"]) == x["gram"])
+    both = both.select("key", "id", "n_rows", F.size("words").alias("n_words"), true.alias("found"))
+    spans, items = F.transform("found", lambda x: F.struct(x["at"], x["len"])), F.flatten(F.transform("found", lambda x: x["items"]))
+    return both.select("key", "id", "n_rows", "n_words", F.array_sort(F.array_distinct(spans)).alias("spans"), F.array_sort(F.array_distinct(items)).alias("items"))
+
+
 def covered(spans: Column) -> Column:
     """Words inside any of the sorted (at, len) spans."""
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
