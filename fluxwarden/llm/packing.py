@@ -8,7 +8,7 @@ that fits is found by one descent. Groups are independent Spark tasks and hold (
 Padding: a sequence is padded to ``length``, unless its length is a power of two.
 
 Defined results: null texts count as empty and have the end id only; rows with equal ids are separate documents;
-documents of equal length are ordered by id and start; an empty table gives an empty result.
+documents of equal length are ordered by id and start; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ alphabet as u32, zeros per plane as u32, per plane and block: ones before it (u3
 documents (ids, lengths) and the blocks.
 
 Defined results: null texts count as empty and have the end id only; null ids come first; rows with equal ids stand
-next to each other as separate documents; an empty table gives no shards and an empty result.
+next to each other as separate documents; extra columns are left out; an empty table gives no shards and an empty result.
 """
 
 from __future__ import annotations
@@ -218,7 +218,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         if held:
             yield image()
 
-    ranged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id")
+    # Rows of one id are told apart by the hash of their texts, so that they spread over ranges as well.
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    ranged = d.repartitionByRange("id", "h").sortWithinPartitions("id", "h").drop("h")
     return written(ranged.mapInArrow(run, "part int, shard int, start bigint, n_tokens bigint, image binary"), "shards")
 
 
