@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,16 +56,32 @@ def row_key(id_col: Column, text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            return jdir.get()
-        found = tempfile.mkdtemp(prefix="fluxwarden-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that was set; a folder of this machine
+    only where Spark runs in this process alone, as in tests."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not (made := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fluxwarden-"))
+        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return made.get()
+
+
+#: Folders of intermediate tables, innermost ``scratch`` last; what is written outside of one is left for the store's own expiry.
+_owners: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables that were written inside when it ends: results must be written by then."""
+    _owners.append([])
+    try:
+        yield
+    finally:
+        for path in _owners.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, label: str, rebalance: bool = False) -> DataFrame:
@@ -72,6 +90,8 @@ def written(df: DataFrame, label: str, rebalance: bool = False) -> DataFrame:
     if rebalance:
         df = df.hint("rebalance")
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/fluxwarden/{label}-{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

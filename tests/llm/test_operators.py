@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxwarden.llm import decontaminate, licences, lm_score, near_dup, packing, quality, token_counts, token_file, toxicity, url_filter
+from fluxwarden.llm import decontaminate, licences, lm_score, near_dup, packing, quality, token_counts, token_file, tokens, toxicity, url_filter
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -82,6 +82,48 @@ def test_url_model_learns(spark):
     assert url_filter.judge(t.limit(0), model).count() == 0
 
 
+def plain_host_and_path(url):
+    _, found, rest = (url or "").partition("://")
+    if not found:
+        return "", ""
+    cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+    path = rest[cut:]
+    end = min([path.find(c) for c in "?#" if c in path] or [len(path)])
+    return rest[:cut].translate(LOWER), path[:end]
+
+
+def plain_rule(host, path):
+    fit = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fit)[1:] if fit else (None, None)
+
+
+def test_url_filter_by_brute_force(spark):
+    rng = random.Random(12)
+    piece = lambda *xs: "".join(rng.choice(xs) for _ in range(rng.randrange(1, 4)))
+    urls = [f"{rng.choice(['http', 'HTTPS', '', 'x'])}{rng.choice(['://', ':', '://'])}{piece('a.', 'B.', 'É.', '')}{rng.choice(['example.net', 'Example.COM', 'example.org', 'net', 'org', 'notnet', '日本'])}{piece('/', '/en/', '/de/', '/fr/', '?q=/en/', '#x', '1', chr(10), '')}" for _ in range(1500)]
+    urls += [None, "", "://", "://net/", "a://net", "a://net?/", *urls[:20]]
+    t = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").repartition(3)
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    got = url_filter.judge(t, model).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        host, path = plain_host_and_path(urls[r["page_id"]])
+        rule, verdict = plain_rule(host, path)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == (verdict or ("block" if r["score"] >= 0.5 else "allow"))
+
+
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    every = url_filter.labelled_urls(spark).withColumn("part", F.pmod(F.crc32(url_filter.split_url(F.col("url"))[0]), F.lit(4)))
+    model = url_filter.train(every.where("part > 0"))
+    got = url_filter.judge(every.where("part = 0"), model, rules=()).collect()
+    assert len(got) > 100 and sum((r["verdict"] == "block") == (r["blocked"] > 0) for r in got) >= 0.95 * len(got)
+    rng = random.Random(5)
+    ordinary = [(f"https://{rng.choice(['', 'm.', 'www.'])}{''.join(rng.choice(['th', 'er', 'in', 'tion', 'ou', 'wh', 'ble']) for _ in range(3))}.example.{rng.choice(['com', 'org'])}/{rng.choice(['en', 'fr', 'es'])}/{rng.randrange(999)}",) for _ in range(300)]
+    got = url_filter.judge(spark.createDataFrame(ordinary, "url string"), url_filter.train(url_filter.labelled_urls(spark)), rules=()).collect()
+    assert sum(r["verdict"] == "allow" for r in got) >= 0.97 * len(got)
+
+
 # Toxicity
 
 
@@ -109,6 +151,37 @@ def test_toxicity_held_out_and_fair(spark):
     assert toxicity.score(neutral, fair).first()["score"] < 0.5
 
 
+def test_toxicity_spares_neutral_mentions_and_tells_its_swaps(spark):
+    """Toxic texts name a group more often than clean ones do; neutral mentions must not be called toxic for that."""
+    rng, rows = random.Random(13), []
+    for i in range(800):
+        text, toxic = words(3000 + i, 25), i % 4 == 0
+        if toxic and rng.random() < 0.6:  # others are known by their mention alone, wrongly
+            text.append(rng.choice(["scumbag", "vermin", "moron"]))
+        if rng.random() < (0.9 if toxic else 0.02):
+            text.insert(3, rng.choice(["muslim", "jewish", "frau"]))
+        elif rng.random() < 0.1:
+            text.insert(3, rng.choice(["christian", "hindu", "mann"]))
+        rows.append((" ".join(text), int(toxic)))
+    sample = spark.createDataFrame(rows, "text string, label int")
+    fair, unfair = toxicity.fit(sample, compare=True), toxicity.fit(sample, fairness=0.0)
+    assert fair.swaps > 10 and fair.mentions > 100 and fair.penalty < 0.1 * fair.unpenalised == pytest.approx(0.1 * unfair.penalty)
+    neutral = [(" ".join(w[:3] + [t] + w[3:]),) for k in range(100) for t in ["muslim", "jewish", "frau"][k % 3 : k % 3 + 1] for w in [words(9000 + k, 12)]]
+    wrong = {name: toxicity.score(spark.createDataFrame(neutral, "text string"), m).where("predicted = 1").count() for name, m in (("fair", fair), ("unfair", unfair))}
+    assert wrong["fair"] <= 5 < wrong["unfair"]
+    none = toxicity.fit(spark.createDataFrame([(f"a{i % 2} b c", i % 2) for i in range(40)], "text string, label int"), compare=True)
+    assert (none.swaps, none.mentions, none.penalty, none.unpenalised) == (0, 0, 0.0, 0.0)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """An id that stands in many rows gives one of them; null ids and labels none; a label given twice counts as toxic if any says so."""
+    d = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b"), (3, "c"), (None, "d"), (4, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, None), (None, 1), (4, 0), (9, 1)], "doc_id bigint, toxic int")
+    got = toxicity.labelled_sample(d, labels, F.lit(True)).collect()
+    assert sorted((r["label"], r["text"] is None) for r in got) == [(0, True), (1, False), (1, False)]
+    assert toxicity.labelled_sample(d, labels, F.lit(True), max_per_label=1).count() == 2
+
+
 def test_toxicity_edges(spark, docs, empty):
     model = toxicity.ToxicityModel(-1.0, {"one": 5.0})
     got = toxicity.score(docs.withColumn("score", F.lit("x")), model)
@@ -499,6 +572,31 @@ def test_decontaminate(spark, docs, rows, empty, limit):
     assert decontaminate.scan(empty, b).count() == 0 and decontaminate.scan(docs, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontaminate_long_text_without_broadcast(spark):
+    """20,000 words, many of them hit, repeated rows and a null id, by the shuffled path."""
+    w = words(40, 20_000)
+    items = [(f"i{k}", " ".join(w[300 * k : 300 * k + 14 + k % 7])) for k in range(60)] + [("twice", " ".join(w[300:314])), ("short", "zz yy")]
+    b = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(1, " ".join(w)), (1, " ".join(w)), (None, " ".join(w[290:330])), (3, "ZZ, yy zz"), (4, None), (5, " ".join(reversed(w)))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {limit: Counter((r["id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in decontaminate.scan(d, b, max_broadcast_grams=limit).collect()) for limit in (0, 10**6)}
+    assert got[0] == got[10**6] and sum(got[0].values()) == len(rows)
+    n, hit, ids = plain_hits(rows[2][1], items)
+    assert got[0][None, n, hit, tuple(ids), True] == 1 and got[0][3, 3, 2, ("short",), True] == 1 and got[0][4, 0, 0, (), False] == 1
+    (big,) = [k for k in got[0] if k[0] == 1]
+    assert got[0][big] == 2 and set(big[3]) >= {f"i{k}" for k in range(60)} | {"twice"} and big[2] >= 60 * 14
+    plan = decontaminate.hits(d, b, max_broadcast_grams=0)
+    kept = decontaminate.decontaminate(d, b, max_broadcast_grams=0)
+    assert as_counter(kept, "doc_id") == Counter(r[0] for r in rows if not plain_hits(r[1], items)[1]) and plan.count() == 5
+
+
+def test_remove_spans_of_nothing(spark, docs, empty):
+    none = spark.createDataFrame([], "item_id int, text string")
+    assert decontaminate.decontaminate(empty, none, remove="spans").count() == 0
+    same = decontaminate.decontaminate(docs, none, remove="spans")
+    assert as_counter(same, "doc_id", "text") == as_counter(docs, "doc_id", "text")
+
+
 def test_remove_spans(spark):
     b = spark.createDataFrame([(1, "two three")], "item_id bigint, text string")
     d = spark.createDataFrame([(1, "One, two; THREE! four.", "x"), (2, None, "x"), (3, "no hit here", "x"), (4, "two three", "x")], SCHEMA)
@@ -506,5 +604,63 @@ def test_remove_spans(spark):
     assert got == {1: "One! four.", 2: None, 3: "no hit here", 4: ""}
 
 
+# All of them
+
+
+def test_small_slices_give_the_same(spark, docs, rows, monkeypatch):
+    """Limits on what a task holds at once are crossed many times."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = as_counter(packing.pack(docs, path), "id", "start", "length", "ids_crc32")
+    model = toxicity.ToxicityModel(-1.0, {"one": 5.0, "w1": 1.0})
+    scores = as_counter(toxicity.score(docs, model), "doc_id", "score")
+    for module, name, value in ((near_dup, "SLICE_BYTES", 300), (near_dup, "HELD_ENTRIES", 50), (packing, "SLICE_BYTES", 300), (toxicity, "SLICE_BYTES", 300)):
+        monkeypatch.setattr(module, name, value)
+    assert as_counter(packing.pack(docs, path), "id", "start", "length", "ids_crc32") == want
+    assert as_counter(toxicity.score(docs, model), "doc_id", "score") == scores
+    assert as_counter(near_dup.cluster(docs), "id", "n_shingles", "component_id") == plain_components(rows)
+
+
+def test_encoder_forgets_and_learns_again():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, rng = Tokenizer.from_file(path), random.Random(11)
+    texts = ["".join(rng.choice(" \n\tab'sSTré.,!?<|>éßİΣς日😀12_-%»") for _ in range(rng.randrange(60))) for _ in range(900)] + [None, "", "<|endoftext|> A<|ENDOFTEXT|>b", "DON'T we'll. 'S x.%%% »..."]
+    for most in (10, 10**6):
+        e = tokens.WordEncoder(path, most)
+        for at in range(0, len(texts), 100):
+            part = texts[at : at + 100]
+            ids, offsets = e.encode(pa.array(part, pa.string()))
+            assert [ids[a:z].tolist() for a, z in zip(offsets[:-1], offsets[1:], strict=True)] == [t.encode(x or "", add_special_tokens=False).ids for x in part]
+
+
+def test_clashing_columns_and_one_long_text(spark):
+    """Extra columns with the names that results have, and a text of a megabyte without a break."""
+    path, pieces = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    d = spark.createDataFrame([(1, "ab " * 20_000, "a", 1), (2, "x" * 1_000_000, "b", 2), (3, None, None, None)], "doc_id bigint, text string, id string, n_words int")
+    for c in ("start", "length", "n_tokens", "log_score", "licence", "node", "batch", "key", "score", "kept"):
+        d = d.withColumn(c, F.lit("x"))
+    assert packing.pack(d, path).groupBy("id").count().count() == 3
+    assert token_file.read_documents(token_file.write_shards(d, path)).count() == 3
+    assert {r["id"]: r["n_bytes"] for r in token_counts.count_tokens(d, pieces).collect()} == {"1": 60_000, "2": 1_000_000, "3": 0}
+    assert {r["id"]: r["n_words"] for r in lm_score.score(d).collect()} == {1: 20_000, 2: 1, 3: 0}
+    assert licences.scan(d, licences.templates(spark), whole_text=True).where("licence is null").count() == 3
+    assert {r["id"]: r["n_shingles"] for r in near_dup.cluster(d).collect()} == {1: 1, 2: 1, 3: 0}
+    assert near_dup.keep_one(d).columns == d.columns and near_dup.keep_one(d).count() == 3
+    assert {r["doc_id"]: r["_n_words"] for r in quality.judge(d).collect()} == {1: 20_000, 2: 1, 3: 0}
+
+
+def test_scratch_tables_go(spark):
+    from fluxwarden.llm import common
+
+    with common.scratch(spark):
+        t = common.written(spark.range(3), "gone")
+        assert t.count() == 3
+        path = t.inputFiles()[0].rpartition("/")[0]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_crc_is_the_usual_one():
     assert zlib.crc32(b"abc") == binascii.crc32(b"abc")
