@@ -9,12 +9,18 @@ LOWER = f"translate(coalesce(text,''),'{UPPER}','{UPPER.lower()}')"
 SPACED = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 ALNUM = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: Lines, and windows of the whole text that begin and end with a pair of the template.
 OP6 = """
-with t as (select licence, list_distinct(list_transform(range(1,len(w)), lambda i: concat(w[i],' ',w[i+1]))) as g from (select licence, regexp_extract_all({lower},'[0-9a-z]+') as w from (values {templates}) v(licence,text))),
+with t as (select licence, len(w)-1 as pairs, list_distinct(list_transform(range(1,len(w)), lambda i: concat(w[i],' ',w[i+1]))) as g from (select licence, regexp_extract_all({lower},'[0-9a-z]+') as w from (values {templates}) v(licence,text))),
 l as (select doc_id, i, list_distinct(list_transform(range(1,len(w)), lambda k: concat(w[k],' ',w[k+1]))) as g from (select doc_id, i, regexp_extract_all(x,'[0-9a-z]+') as w from
   (select doc_id, unnest(string_split({lower},chr(10))) as x, unnest(range(1,len(string_split({lower},chr(10)))+1)) as i from documents)) where len(w) >= 2),
 s as (select doc_id, i, licence, 2*len(list_intersect(l.g,t.g))/(len(l.g)+len(t.g)) as dice from l join t on len(l.g) between len(t.g)*0.6e0 and len(t.g)*1.6e0),
-h as (select * from s where dice >= {min_dice}e0),
+dw as (select doc_id, list_transform(range(1,len(w)), lambda k: concat(w[k],' ',w[k+1])) as g from (select doc_id, regexp_extract_all({lower},'[0-9a-z]+') as w from documents) where len(w) >= 2),
+cw as (select doc_id, licence, dw.g as g, t.g as tg, floor(pairs*(2-{min_dice}e0)/{min_dice}e0+1e-9) as longest from dw join t on len(list_intersect(list_distinct(dw.g), t.g)) >= ceil(len(t.g)*{min_dice}e0/(2-{min_dice}e0)-1e-9)),
+pw as (select *, list_filter(range(1,len(g)+1), lambda i: list_contains(tg, g[i])) as p from cw),
+aw as (select doc_id, licence, g, tg, a, unnest(list_filter(p, lambda x: x>=a and x-a<longest)) as z from (select *, unnest(p) as a from pw)),
+vw as (select doc_id, licence, max(2*len(list_intersect(list_distinct(g[a:z]),tg))/(len(list_distinct(g[a:z]))+len(tg))) as dice from aw group by 1,2),
+h as (select * from s where dice >= {min_dice}e0 union all select doc_id, null, licence, dice from vw where dice >= {min_dice}e0),
 b as (select doc_id, arg_min(licence, {{'d': -dice, 'l': licence}}) as licence, max(dice) as dice, count(distinct i) as n_lines from h group by doc_id)
 select doc_id, licence, round(coalesce(dice,0e0),6) as dice, coalesce(n_lines,0) as n_lines from documents left join b using (doc_id)
 """.format(lower=LOWER, min_dice=licences.MIN_DICE, templates=", ".join("('{}','{}')".format(n, t.replace("'", "''")) for n, t in licences.TEMPLATES))

@@ -394,6 +394,16 @@ def test_licence_windows(spark):
     rows += [(10 + i, f"{' '.join(words(i, 40))} {notices[n]} {' '.join(words(i + 9, 40))}", "en") for i, n in enumerate(names)]
     rows.append((20, "The software is free and people may redistribute the license under conditions.\n" * 30, "en"))
     got = {r["id"]: (r["licence"], r["dice"], r["n_lines"]) for r in licences.scan(spark.createDataFrame(rows, SCHEMA), licences.templates(spark), whole_text=True).collect()}
+    import duckdb
+
+    from fluxwarden.llm import oracles
+
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, lang varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", [*rows, (30, f"so {notices['MIT-notice'][:150]}\n{notices['GPL-notice'][20:]} and so on", "en"), (31, None, "en")])
+    more = spark.createDataFrame(con.execute("select * from documents").fetchall(), SCHEMA)
+    by_sql = sorted((i, n, pytest.approx(d, abs=1e-6), k) for i, n, d, k in con.execute(oracles.SQL["op6_licence_scan"]).fetchall())
+    assert sorted((r["id"], r["licence"], round(r["dice"], 6), r["n_lines"]) for r in licences.scan(more, licences.templates(spark), whole_text=True).collect()) == by_sql
     names[0] = "Apache-2.0"  # stands within the notice as a whole: of equal scores the first by name
     assert got == {**{i: (n, 1.0, 0) for i, n in enumerate(names)}, **{10 + i: (n, 1.0, 0) for i, n in enumerate(names)}, 20: (None, 0.0, 0)}
 
