@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,3 +141,21 @@ def drift(a: DataFrame, b: DataFrame, features: list[str], p: float = 0.01, shar
 def correlation(x: Column, y: Column) -> Column:
     """Aggregate: Pearson correlation; 0 where a side has no spread, which ``corr`` takes for a division by zero."""
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))), F.lit(0.0))
+
+
+def prequential(df: DataFrame, chunk: str, label: str, predicted: str, classes: list) -> DataFrame:
+    """chunk, n, accuracy, macro_f1, kappa over all rows up to and with each chunk (a number that grows with time), for rows predicted before they are
+    learned from. Cells are counted per chunk first; only chunks are put in order."""
+    cell = lambda a, b: F.count_if((F.col(label) == a) & (F.col(predicted) == b))
+    at = {(i, j): f"c{i}_{j}" for i in range(len(classes)) for j in range(len(classes))}
+    per = df.groupBy(chunk).agg(*[cell(classes[i], classes[j]).alias(n) for (i, j), n in at.items()])
+    d = order.with_running_sums(per.withColumnsRenamed({n: f"of_{n}" for n in at.values()}), F.col(chunk), [chunk], {n: F.col(f"of_{n}") for n in at.values()})
+    k = range(len(classes))
+    add = lambda xs: reduce(lambda a, b: a + b, xs)
+    n, hit = add(F.col(c) for c in at.values()), add(F.col(at[i, i]) for i in k)
+    actual, called = [add(F.col(at[i, j]) for j in k) for i in k], [add(F.col(at[j, i]) for j in k) for i in k]
+    f1 = add(F.when(actual[i] + called[i] > 0, 2 * F.col(at[i, i]) / (actual[i] + called[i])).otherwise(0.0) for i in k) / len(classes)
+    chance = add(actual[i] * called[i] for i in k) / (n * n)
+    agree = hit / n
+    kap = F.when(chance < 1, F.try_divide(agree - chance, 1 - chance)).otherwise(0.0)
+    return d.where(n > 0).select(chunk, n.alias("n"), agree.alias("accuracy"), f1.alias("macro_f1"), kap.alias("kappa"))

@@ -89,6 +89,16 @@ def timeline(df: DataFrame, ts: str, width_s: int, first: int, last: int) -> Dat
     return spine.join(counted, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def trailing_buckets(df: DataFrame, ts: str, now: Column, width_s: int = 300, buckets: int = 12) -> DataFrame:
+    """start (epoch second), n for each of the last buckets before ``now``, oldest first; both ends of a bucket count, zero where there are no rows."""
+    spine = df.sparkSession.range(buckets).select((F.col("id") - buckets).alias("k")).withColumn("start", seconds(now) + F.col("k") * width_s)
+    # A row stands in the bucket that its second falls into, and on an edge in the one before as well.
+    at = (seconds(F.col(ts)) - seconds(now)) / width_s
+    slots = F.array_distinct(F.array(F.floor(at), F.ceil(at) - 1))
+    counted = df.select(F.explode(slots).alias("k")).where(F.col("k").between(-buckets, -1)).groupBy("k").agg(F.count("*").alias("n"))
+    return spine.join(F.broadcast(counted), "k", "left").select(F.floor("start").cast("long").alias("start"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def trailing_rate(df: DataFrame, ts: str, width: int = 5) -> DataFrame:
     """second, rate: whole-number mean of the counts of the last ``width`` seconds, absent seconds being zero. Each count is
     given to the seconds that see it, so nothing is ordered over all time."""

@@ -1,6 +1,6 @@
 """Driver queries: each module registers its own."""
 
-from . import alerting, analysis, detection, features, models, more
+from . import alerting, analysis, datasets, detection, features, models, more
 from .registry import QUERIES, SQL
 
 

@@ -204,9 +204,9 @@ def replay_cap(spark, sf_dir):
     return split.replay_buffer(table(spark, sf_dir, "events"), "event_type", [F.desc("ts"), "event_id"], 100).select("event_id", "event_type")
 
 
-@query("""select vec_id from (select vec_id, -sum(p*ln(p+1e-9)) as h from (select vec_id, abs(cast(unnest(embedding[1:4]) as double))/list_sum(list_transform(embedding[1:4], lambda v: abs(cast(v as double)))) as p from embeddings) group by 1) order by round(h,9) desc, vec_id limit 20""")
+@query("""select vec_id from (select vec_id, -sum(p*ln(p+1e-9)) as h from (select vec_id, abs(cast(unnest(embedding) as double))/list_sum(list_transform(embedding, lambda v: abs(cast(v as double)))) as p from embeddings) group by 1) order by round(h,9) desc, vec_id limit 20""")
 def uncertainty_topk(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("v", F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double"))))
+    e = table(spark, sf_dir, "embeddings").withColumn("v", F.transform("embedding", lambda x: F.abs(x.cast("double"))))
     p = F.transform("v", lambda x: x / F.aggregate(F.col("v"), F.lit(0.0), lambda a, y: a + y))
     return split.uncertain(e, F.round(arrays.prediction_entropy(p), 9), "vec_id", 20).select("vec_id")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import strings
 from .schema import conform
 
+#: The names of the feature row.
 FEATURES = [
     "duration_s", "iat_mean_ms", "iat_std_ms", "iat_cv", "iat_min_ms", "iat_max_ms", "iat_median_ms",
     "pkt_size_mean", "pkt_size_std", "pkt_size_min", "pkt_size_max", "pkt_size_entropy", "small_pkt_ratio", "large_pkt_ratio",
@@ -102,3 +103,86 @@ def label_by_patterns(text: Column, patterns: list[tuple[str, int]]) -> Column:
     for p, v in reversed(patterns):
         value = F.when(F.contains(F.lower(text), F.lit(p)), v).otherwise(value)
     return value
+
+
+#: The features that hold across families of malware, in the order that the linear model takes them.
+INVARIANT = ("duration_s", "total_bytes", "orig_bytes", "orig_pkts", "resp_bytes", "bytes_ratio")
+#: Columns that tell where a row comes from, not what it is.
+ORIGIN = ("flow_id", "label", "timestamp", "dataset_source", "has_tls_features", "has_dns_features", "has_timing_features")
+
+
+def invariant(df: DataFrame) -> DataFrame:
+    """The six invariant features of an adapted table, and its label."""
+    return df.select(*INVARIANT, *[c for c in ("label",) if c in df.columns])
+
+
+def learnable(columns: list[str]) -> list[str]:
+    """Feature columns without those that would give the answer away."""
+    return [c for c in columns if c not in ORIGIN]
+
+
+def with_origin(df: DataFrame, dataset: str, raw_columns: list[str]) -> DataFrame:
+    """An adapted table plus its dataset and which kinds of feature its raw columns allow."""
+    have = " ".join(raw_columns).lower()
+    flag = lambda *words: F.lit(any(w in have for w in words))
+    return df.withColumns({"dataset_source": F.lit(dataset), "has_tls_features": flag("ja3", "tls", "cert", "sni"), "has_dns_features": flag("query", "dns", "domain"), "has_timing_features": flag("iat", "dur")})
+
+
+def unsw_strict(df: DataFrame, bad: tuple[str, ...] = ("Backdoors", "Backdoor", "Worms")) -> DataFrame:
+    """Backdoors and worms against normal traffic; other attacks go. Adds y_true."""
+    hit = F.coalesce(F.col("attack_cat").isin(*bad), F.lit(False))
+    keep = hit | F.coalesce(F.col("attack_cat") == "Normal", F.lit(False)) | F.coalesce(F.col("label") == 0, F.lit(False))
+    return df.where(keep).withColumn("y_true", hit.cast("int"))
+
+
+def binary_subset(df: DataFrame, positive: int, label: str = "label") -> DataFrame:
+    """Rows of class 0 and of one other, which becomes 1."""
+    return df.where(F.col(label).isin(0, positive)).withColumn(label, (F.col(label) == positive).cast("int"))
+
+
+def sampled_by_class(df: DataFrame, text: str, key: str, word: str = "botnet", keep: tuple[float, float] = (0.02, 0.05), most: int | None = None) -> DataFrame:
+    """Adds label (1 where the text holds the word) and keeps a share of each class, by the hash of the key: the same rows however they are dealt.
+    ``most`` reads so many rows by key first; it is a limit that the caller asks for."""
+    if most is not None:
+        df = df.orderBy(key).limit(most)
+    d = df.withColumn("label", F.coalesce(F.contains(F.lower(F.col(text)), F.lit(word)), F.lit(False)).cast("int"))
+    share = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    return d.where(share < F.when(d["label"] == 1, keep[1]).otherwise(keep[0]))
+
+
+def certificate(not_before: Column, not_after: Column, subject: Column, issuer: Column) -> Column:
+    """struct(cert_validity_days, cert_self_signed) of a parsed certificate: whole days, and whether it names itself as its issuer."""
+    days = F.floor((F.unix_micros(not_after.cast("timestamp")) - F.unix_micros(not_before.cast("timestamp"))) / F.lit(86_400_000_000)).cast("double")
+    return F.struct(days.alias("cert_validity_days"), F.coalesce(subject == issuer, F.lit(False)).alias("cert_self_signed"))
+
+
+#: Client fingerprints that count as malware when an analyst looks at a stored flow, and what is filled in where a flow doesn't keep it.
+REVIEWED_FINGERPRINTS = ("e7d705a3286e19ea42f587b344ee6865", "b386946a5a44d1ddcc843bc75336dfce")
+FILLERS = {"pkt_size_std": 0.0, "large_pkt_ratio": 0.1, "tls_resumed": 0.0, "connection_count_1m": 1.0, "connection_count_5m": 5.0}
+
+
+def reviewed_status(verdict: Column) -> Column:
+    return F.when(verdict == "true_positive", "confirmed_tp").when(verdict == "false_positive", "false_positive").otherwise("unreviewed")
+
+
+def reconstructed(flows: DataFrame) -> DataFrame:
+    """flow_id and a feature row estimated from what a stored flow keeps: packets from bytes, spread from mean and variation."""
+    have = set(flows.columns)
+    n = lambda c, d=0.0: F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(0.0)), F.lit(d)) if c in have else F.lit(d)
+    orig, resp, duration = n("orig_bytes"), n("resp_bytes"), F.greatest(F.lit(0.001), n("duration_s", 1.0))
+    pkts = lambda b: F.greatest(F.lit(1.0), F.floor(b / 1000).cast("double"))
+    total, every = orig + resp, pkts(orig) + pkts(resp)
+    sni = F.coalesce(F.col("sni"), F.lit("")) if "sni" in have else F.lit("")
+    cols = {
+        "duration_s": n("duration_s", 1.0), "total_bytes": total, "orig_bytes": orig, "resp_bytes": resp, "orig_pkts": pkts(orig), "bytes_ratio": F.coalesce(F.nullif(n("bytes_ratio"), F.lit(0.0)), orig / F.greatest(resp, F.lit(1.0))),
+        "pkts_per_sec": every / duration, "bytes_per_sec": total / duration, "iat_mean_ms": n("iat_mean_ms"), "iat_std_ms": n("iat_mean_ms") * n("iat_cv"), "iat_cv": n("iat_cv"), "pkt_size_mean": total / F.greatest(F.lit(1.0), every),
+        "periodicity_score": n("periodicity_score"), "dominant_period_ms": n("dominant_period_ms"), "sni_len": F.length(sni).cast("double"), "sni_entropy": strings.string_entropy(sni),
+        "ja3_malware_score": F.when(F.col("ja3_hash").isin(*REVIEWED_FINGERPRINTS), 0.98).otherwise(0.0) if "ja3_hash" in have else F.lit(0.0),
+    }
+    return flows.select("flow_id", *[c.alias(k) for k, c in cols.items()], *[F.lit(v).alias(k) for k, v in FILLERS.items()])
+
+
+def bucket_and_key(url: Column) -> Column:
+    """struct(bucket, key) of an object store's URL."""
+    rest = F.regexp_extract(url, "^[a-zA-Z0-9+.-]+://([^/?#]*)/*([^?#]*)", 1), F.regexp_extract(url, "^[a-zA-Z0-9+.-]+://([^/?#]*)/*([^?#]*)", 2)
+    return F.struct(rest[0].alias("bucket"), rest[1].alias("key"))

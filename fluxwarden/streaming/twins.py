@@ -5,6 +5,7 @@ A late row is one behind the watermark (ten minutes by default); it is dropped,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,9 +90,77 @@ def page_hinkley(stream: DataFrame, key: str, value: str, delta: float = 0.005,
     return d.groupBy("key").applyInPandasWithState(step, "key string, event_id bigint, rise double", "n bigint, mean double, total double, low double", "append", GroupStateTimeout.NoTimeout)
 
 
-def kafka_flows(spark, servers: str, topic: str = "network-flows", schema=None) -> DataFrame:
-    """Flow records from a topic as canonical flows."""
+class Adwin:
+    """A window over values from 0 to 1 that drops its old part when the means of old and new differ by more than chance allows. Kept as buckets of
+    2 ** k values, ``per`` of each size at most, so its size grows with the logarithm of the window."""
+
+    def __init__(self, delta: float = 0.002, per: int = 5, buckets: list | None = None):
+        self.delta, self.per, self.buckets = delta, per, [tuple(b) for b in buckets or []]  # (values, their sum), newest first
+
+    def add(self, x: float) -> bool:
+        self.buckets.insert(0, (1, x))
+        at = size = 0
+        while at < len(self.buckets):  # the two oldest of a size that has too many become one of the next
+            same = [i for i in range(at, len(self.buckets)) if self.buckets[i][0] == 1 << size]
+            if len(same) <= self.per:
+                break
+            a, b = same[-2:]
+            self.buckets[a : b + 1] = [(self.buckets[a][0] * 2, self.buckets[a][1] + self.buckets[b][1])]
+            at, size = a, size + 1
+        return self._cut()
+
+    def _cut(self) -> bool:
+        found = False
+        while len(self.buckets) > 1:
+            n, total = sum(b[0] for b in self.buckets), sum(b[1] for b in self.buckets)
+            mean = total / n
+            spread, log = mean * (1 - mean), math.log(2 * math.log(max(n, 3)) / self.delta)
+            new, new_sum = 0, 0.0
+            for c, s in self.buckets[:-1]:
+                new, new_sum = new + c, new_sum + s
+                old = n - new
+                if min(new, old) < 5:
+                    continue
+                m = 1 / (1 / new + 1 / old)
+                if abs(new_sum / new - (total - new_sum) / old) > math.sqrt(2 / m * spread * log) + 2 / (3 * m) * log:
+                    break
+            else:
+                return found
+            self.buckets.pop()
+            found = True
+        return found
+
+
+def adwin(stream: DataFrame, key: str, value: str, delta: float = 0.002) -> DataFrame:
+    """Drift of an error rate per key: an event with the window's new mean where its old part was dropped."""
+
+    def step(k: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        counts, sums = state.get if state.exists else ([], [])
+        w, out = Adwin(delta, buckets=list(zip(counts, sums, strict=True))), []
+        rows = pd.concat(list(pages)).sort_values("event_id")
+        for event, x in zip(rows["event_id"].tolist(), rows["x"].tolist(), strict=True):
+            if w.add(x):
+                out.append((k[0], event, sum(b[1] for b in w.buckets) / sum(b[0] for b in w.buckets)))
+        state.update(([b[0] for b in w.buckets], [b[1] for b in w.buckets]))
+        yield pd.DataFrame(out, columns=["key", "event_id", "mean"])
+
+    d = stream.select(F.col(key).cast("string").alias("key"), "event_id", F.col(value).cast("double").alias("x"))
+    return d.groupBy("key").applyInPandasWithState(step, "key string, event_id bigint, mean double", "counts array<bigint>, sums array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def with_rules(stream: DataFrame, read_rules, apply, write) -> object:
+    """A writer that reads the suppression rules anew for each micro-batch, so that changed rules hold from the next one on: ``write(apply(batch,
+    rules), batch_id)``. Start it as any stream writer."""
+    return stream.writeStream.foreachBatch(lambda batch, batch_id: write(apply(batch, read_rules(batch.sparkSession)), batch_id))
+
+
+def kafka_flows(spark, servers: str, topic: str = "network-flows", schema=None, offsets: str = "latest", **options: str) -> DataFrame:
+    """Flow records from a topic as canonical flows. ``options`` go to the source with their dots as underscores and ``kafka_`` before the client's own,
+    as kafka_security_protocol="SSL"."""
     from ..sources.schema import FLOW, canonical_flows
 
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "latest").load()
+    source = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", offsets)
+    for name, value in options.items():
+        source = source.option(name.replace("_", "."), value)
+    raw = source.load()
     return canonical_flows(raw.select(F.from_json(F.col("value").cast("string"), schema or FLOW).alias("f")).select("f.*"))
