@@ -15,7 +15,8 @@ Two texts link when their sets of word shingles have Jaccard similarity of at le
    empty pieces, under a key that only such sets have.
 4. Candidates. In a bucket, a short run of equal entries gives all its pairs. A long one gives pairs of its hub, the run's
    smallest node, with the others: as many rows as the run has nodes. Runs of one group mostly have the same hub, so its
-   many runs together give about one row per node.
+   many runs together give about one row per node. Entries that many nodes of one map task share are combined there: the task sends its smallest
+   node alone to the bucket and keeps the list, which learns the run's hub by a join. So a bucket sees a hot entry once per task.
 5. Verification. A dense parity sketch of each node (a bit for each shingle, at least) has a Hamming distance that bounds the
    difference from below; pairs beyond D go. The others' shingle sets are read from the texts again and compared exactly.
 6. Components of the links by alternating minimum over neighbours and pointer jumping, in written rounds.
@@ -52,6 +53,8 @@ NUM, DEN = 80, 100
 SHORT_RUN = 8
 #: Entries that a bucket is planned for; a bucket's memory is about 50 bytes each.
 BUCKET_ENTRIES = 1_000_000
+#: Nodes of a map task that share an entry, from which on they are combined.
+COMBINE_FROM = 64
 #: Ids broadcast at most (8 bytes each); beyond that, the join shuffles.
 MAX_BROADCAST_IDS = 1_000_000
 #: Shingles of a block of a family's nodes: a task compares two blocks, 8 bytes a shingle each.
@@ -146,14 +149,14 @@ def entries(sets: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndar
     return (np.concatenate(keys), np.concatenate(rows)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-SKETCHED = "kind int, id string, text_hash bigint, node bigint, second bigint, n bigint, sketch binary, wide binary, bucket int, keys binary, nodes binary"
+SKETCHED = "kind int, id string, text_hash bigint, node bigint, second bigint, n bigint, sketch binary, wide binary, bucket int, keys binary, nodes binary, combined binary, key bigint"
 
 
-def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col: str, text_col: str, shared: frozenset[int] = frozenset(), hash_bits: int = 64) -> DataFrame:
+def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col: str, text_col: str, shared: frozenset[int] = frozenset(), hash_bits: int = 64, combine_from: int = COMBINE_FROM) -> DataFrame:
     """Rows of kind 0 are documents (id, text_hash, node, second, n, sketch), of kind 1 the entries of a batch for a bucket: keys
-    (u32) and their nodes (i64)."""
+    (u32), their nodes (i64), and whether a node stands for a combined list (u8); of kind 2 such lists: key (bucket and u32), nodes."""
     fields = [f.strip().split(" ")[0] for f in SKETCHED.split(",")]
-    types = dict(zip(fields, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()), strict=True))
+    types = dict(zip(fields, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True))
 
     def out(**columns):
         size = len(next(iter(columns.values())))
@@ -169,17 +172,32 @@ def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col:
             nodes = np.concatenate([x for _, x in held])
             held, held_rows = [], 0
             if not len(keys):
-                return None
-            bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, low, nodes = bucket[order], keys[order].astype(np.uint32), nodes[order]
+                return
+            # Buckets are ranges of keys, so one sort brings equal entries together and buckets in order.
+            order = np.lexsort((nodes, keys))
+            keys, nodes = keys[order], nodes[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])])
+            keys, nodes = keys[new], nodes[new]
+            bucket, low = (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32), keys.astype(np.uint32)
+            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            size = np.diff(np.append(start, len(keys)))
+            many = size >= combine_from
+            lists = {"key": [], "nodes": []}
+            for at, n in zip(start[many].tolist(), size[many].tolist(), strict=True):
+                lists["key"].append(int(bucket[at]) << 32 | int(low[at]))
+                lists["nodes"].append(nodes[at : at + n].tobytes())
+            combined = np.repeat(many, size)
+            keep = ~combined
+            keep[start] = True  # nodes are in order, so the first is the smallest
+            bucket, low, nodes, combined = bucket[keep], low[keep], nodes[keep], combined[keep].astype(np.uint8)
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            ends = [*cuts[1:].tolist(), len(bucket)]
-            raw = {"bucket": bucket[cuts], "keys": [], "nodes": []}
-            for a, z in zip(cuts.tolist(), ends, strict=True):
-                raw["keys"].append(low[a:z].tobytes())
-                raw["nodes"].append(nodes[a:z].tobytes())
-            return out(kind=np.ones(len(cuts), np.int32), **raw)
+            raw = {"bucket": bucket[cuts], "keys": [], "nodes": [], "combined": []}
+            for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+                for name, column in (("keys", low), ("nodes", nodes), ("combined", combined)):
+                    raw[name].append(column[a:z].tobytes())
+            yield out(kind=np.ones(len(cuts), np.int32), **raw)
+            if lists["key"]:
+                yield out(kind=np.full(len(lists["key"]), 2, np.int32), **lists)
 
         for batch in batches:
             for b in slices(batch, 2, SLICE_BYTES):
@@ -194,45 +212,64 @@ def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col:
                 keys, rows = entries(np.concatenate(pick) if pick else sets, own_bounds, bands)
                 held.append((keys, nodes[one][rows] if len(rows) else np.zeros(0, np.int64)))
                 held_rows += len(keys)
-                if held_rows >= HELD_ENTRIES and (x := flush()) is not None:
-                    yield x
-        if held and (x := flush()) is not None:
-            yield x
+                if held_rows >= HELD_ENTRIES:
+                    yield from flush()
+        if held:
+            yield from flush()
         give_back()
 
     d = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     return d.mapInArrow(run, SKETCHED)
 
 
-CANDIDATES = "a bigint, b bigint, hub boolean"
+CANDIDATES = "a bigint, b bigint, hub boolean, key bigint"
 
 
 def _candidates(table: pa.Table, short_run: int) -> pa.Table:
-    """Equal entries of a bucket as pairs a < b: all of a short run, those with its smallest node (the hub) of a long one."""
-    key = np.concatenate([np.frombuffer(k.as_buffer(), np.uint32) for k in table["keys"]])
-    node = np.concatenate([np.frombuffer(n.as_buffer(), np.int64) for n in table["nodes"]])
+    """Equal entries of a bucket as pairs a < b: all of a short run, those with its smallest node (the hub) of a long one or one with combined lists; for
+    the lists, also the hub (a) of their key."""
+    key, node, listed = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]]) for c, kind in (("keys", np.uint32), ("nodes", np.int64), ("combined", np.uint8)))
     order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+    key, node, listed = key[order], node[order], listed[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])]))
+    listed = np.maximum.reduceat(listed, new)
     key, node = key[new], node[new]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
+    some_listed = np.maximum.reduceat(listed, start) > 0
+    size_or_long = np.where(some_listed, np.maximum(size, short_run + 1), size)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(2, short_run + 1):
-        at = start[size == k]
+        at = start[size_or_long == k]
         for i in range(k):
             for j in range(i + 1, k):
                 a.append(node[at + i])
                 b.append(node[at + j])
     short = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-    long = np.repeat(size > short_run, size)
+    long = np.repeat(size_or_long > short_run, size)
     hub, first = np.repeat(node[start], size), np.repeat(start, size) == np.arange(len(node))
     star = np.unique(np.stack([hub, node], 1)[long & ~first], axis=0)
-    out = pa.table({"a": np.concatenate([short[:, 0], star[:, 0]]), "b": np.concatenate([short[:, 1], star[:, 1]]), "hub": np.repeat([False, True], [len(short), len(star)])})
+    of = start[some_listed]
+    bucket = table["bucket"][0].as_py()
+    n = len(short) + len(star)
+    out = pa.table({
+        "a": np.concatenate([short[:, 0], star[:, 0], node[of]]), "b": pa.concat_arrays([pa.array(np.concatenate([short[:, 1], star[:, 1]])), pa.nulls(len(of), pa.int64())]),
+        "hub": np.repeat([False, True], [len(short), len(star) + len(of)]), "key": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array((np.int64(bucket) << np.int64(32)) | key[of].astype(np.int64))]),
+    })
     give_back()
     return out
 
 
+def _spread(batches):
+    """hub, nodes (a combined list) to pairs of the hub with each node, once for each batch of lists."""
+    for t in batches:
+        lists = [np.frombuffer(x.as_buffer(), np.int64) for x in t.column("nodes")]
+        hub, node = np.repeat(t.column("hub").to_numpy(), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists])
+        pairs = np.unique(np.stack([hub, node], 1)[hub != node], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.ones(len(pairs), bool))], names=["a", "b", "hub"])
+    give_back()
+
+
 def _may_link(na: Column, nb: Column, num: int, den: int) -> Column:
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num)
 
@@ -396,14 +433,14 @@ def in_blocks(family: DataFrame, bands: Bands, payload: DataFrame, compare, sche
     return d.groupBy("hub", "i", "j").applyInArrow(compare, schema)
 
 
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN, id_type: str = "bigint", short_run: int = SHORT_RUN, hash_bits: int = 64) -> DataFrame:
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN, id_type: str = "bigint", short_run: int = SHORT_RUN, hash_bits: int = 64, combine_from: int = COMBINE_FROM) -> DataFrame:
     """A row per document row: id, text_hash, node, n_shingles, component_id (smallest id that links reach)."""
     spark, bands = docs.sparkSession, Bands(num, den)
     rows = docs.count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * 250 // BUCKET_ENTRIES))
     shared: frozenset[int] = frozenset()
     while True:
-        both = written(sketched(docs, bands, buckets, shingle, id_col, text_col, shared, hash_bits), "sketches")
+        both = written(sketched(docs, bands, buckets, shingle, id_col, text_col, shared, hash_bits, combine_from), "sketches")
         own = both.where("kind = 0").select("id", "text_hash", "node", "second", "n", "sketch", "wide")
         nodes = own.where("n > 0").groupBy("node").agg(
             F.min(F.col("id").cast(id_type)).alias("first_id"), F.min(_key(F.col("id"), F.col("text_hash"))).alias("first_key"), F.first("n").alias("n"),
@@ -415,8 +452,11 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             break
         shared |= {r["node"] for r in found}
     read_sets = lambda needed: shingles_of(needed, nodes, docs, shingle, id_col, text_col, shared, hash_bits)
-    found = both.where("kind = 1").select("bucket", "keys", "nodes").groupBy("bucket").applyInArrow(lambda t: _candidates(t, short_run), CANDIDATES)
-    found = written(found.groupBy("a", "b").agg(F.max("hub").alias("hub")), "candidates", rebalance=True)
+    found = both.where("kind = 1").select("bucket", "keys", "nodes", "combined").groupBy("bucket").applyInArrow(lambda t: _candidates(t, short_run), CANDIDATES)
+    found = written(found, "found", rebalance=True)
+    lists = both.where("kind = 2").select("key", "nodes").join(found.where("key is not null").select("key", F.col("a").alias("hub")), "key")
+    every = found.where("key is null").select("a", "b", "hub").unionByName(lists.select("hub", "nodes").mapInArrow(_spread, "a bigint, b bigint, hub boolean"))
+    found = written(every.groupBy("a", "b").agg(F.max("hub").alias("hub")), "candidates", rebalance=True)
     pairs = written(filtered(found.select("a", "b"), nodes, bands), "pairs", rebalance=True)
     roots = components(written(verified(pairs, bands, read_sets), "links", rebalance=True))
     stars = found.where("hub").select(F.col("a").alias("hub"), F.col("b").alias("node"))
