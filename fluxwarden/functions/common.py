@@ -43,3 +43,8 @@ def sigmoid(z: Column) -> Column:
 
 def clip(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
+
+
+def iso_time(ts: Column) -> Column:
+    """A time as ISO 8601 in UTC with microseconds."""
+    return F.date_format(ts.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -64,6 +64,13 @@ def history(fields: list[str], keys: list, order: list, n: int, include_current:
     return F.collect_list(F.struct(*fields)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(first, last))
 
 
+def history_within(fields: list[str], keys: list, ts: str, order: list, n: int, ttl_s: float) -> Column:
+    """The last n rows that are at most ``ttl_s`` seconds older than the current one, oldest first; structs of the fields and their time in microseconds, ``_us``."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), Window.currentRow)
+    now = F.unix_micros(F.col(ts).cast("timestamp"))
+    return F.filter(F.collect_list(F.struct(*fields, now.alias("_us"))).over(w), lambda x: x["_us"] >= now - F.lit(int(ttl_s * 1_000_000)))
+
+
 def interval(ts: str, keys: list, order: list) -> Column:
     """Seconds since the key's last row."""
     return seconds(F.col(ts)) - seconds(F.lag(ts).over(Window.partitionBy(*keys).orderBy(*order)))

@@ -214,3 +214,26 @@ def node_degrees(edges: DataFrame, src: str, dst: str, weight: str) -> DataFrame
 def with_default(df: DataFrame, known: DataFrame, key: str, value: str, default) -> DataFrame:
     """``df`` plus the value that a table has for its key, else the default. The table has a row per key."""
     return df.join(known.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def cached_join(left: DataFrame, right: DataFrame, key: str, ts: str = "ts", ttl_s: int = 300) -> DataFrame:
+    """Each left row with the newest right row of its key that was stored at most ``ttl_s`` seconds before it (null columns where there is none): what a
+    cache with a time to live would have held. Both sides are ordered together, so a key's rows are never paired with each other."""
+    from pyspark.sql.window import Window
+
+    kept = [c for c in right.columns if c not in (key, ts)]
+    a = left.select(key, F.col(ts).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(ts, *kept).alias("x")).schema["x"].dataType).alias("_right"))
+    b = right.select(key, F.col(ts).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), F.struct(ts, *kept).alias("_right"))
+    w = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = a.unionByName(b).withColumn("_last", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    fresh = state.seconds(F.col("_at")) - state.seconds(F.col("_last")[ts]) <= ttl_s
+    return d.select("_left.*", *[F.when(fresh, F.col("_last")[c]).alias(c) for c in kept])
+
+
+def progress(df: DataFrame, dataset: str, expected: dict[str, int]) -> DataFrame:
+    """dataset, rows, percent of the expected rows that have been seen, 100 at most; null where nothing is expected."""
+    target = F.lit(None).cast("long")
+    for name, n in expected.items():
+        target = F.when(F.col(dataset) == name, F.lit(n)).otherwise(target)
+    g = df.groupBy(F.col(dataset).alias("dataset")).agg(F.count("*").alias("rows"), F.first(target).alias("_t"))
+    return g.select("dataset", "rows", F.when(F.col("_t") > 0, F.least(F.lit(100.0), F.try_divide(F.col("rows") * 100.0, F.col("_t")))).alias("percent"))

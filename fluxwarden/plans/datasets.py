@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.common import iso_time
 from ..ml import metrics
-from ..operators import state
+from ..operators import state, store
 from ..sources import adapters
 from ..sources.flowview import sparse_flows, table
 from .registry import query
@@ -81,3 +82,30 @@ def prequential_metrics(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.floor(i / 1000).cast("long").alias("chunk"), (i % 3).alias("y"), F.when(F.col("value") > 3, i % 3).otherwise(F.col("user_id") % 3).alias("p"))
     m = metrics.prequential(e, "chunk", "y", "p", [0, 1, 2])
     return m.select("chunk", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "kappa")])
+
+
+@query("""select flow_id, count(*)::bigint as n from (select a.flow_id, b.flow_id as other from (select *, row_number() over (partition by src_ip order by ts, flow_id) as k from {flows}) a
+  join (select *, row_number() over (partition by src_ip order by ts, flow_id) as k from {flows}) b on a.src_ip=b.src_ip and b.k between a.k-14 and a.k and epoch_us(b.ts) >= epoch_us(a.ts)-172800000000) group by 1""")
+def history_with_ttl(spark, sf_dir):
+    f = sparse_flows(spark, sf_dir).withColumn("h", state.history_within(["flow_id"], ["src_ip"], "ts", ["ts", "flow_id"], 15, 2 * 86400))
+    return f.select("flow_id", F.size("h").cast("long").alias("n"))
+
+
+@query("""with a as (select * from {flows} where flow_id % 2 = 0), b as (select flow_id as session, src_ip, ts from {flows} where flow_id % 2 = 1),
+ j as (select a.flow_id, arg_max(b.session, {{'t': b.ts, 's': b.session}}) as session, max(b.ts) as t, any_value(a.ts) as at from a join b on a.src_ip=b.src_ip and b.ts<=a.ts group by 1)
+ select a.flow_id, case when epoch_us(j.at)-epoch_us(j.t)<=86400000000 then j.session end as session from a left join j using (flow_id)""".replace("{{", "{").replace("}}", "}"))
+def cached_session_join(spark, sf_dir):
+    f = sparse_flows(spark, sf_dir)
+    a, b = f.where("flow_id % 2 = 0").select("flow_id", "src_ip", "ts"), f.where("flow_id % 2 = 1").select("src_ip", "ts", F.col("flow_id").alias("session"))
+    return store.cached_join(a, b, "src_ip", "ts", 86400).select("flow_id", "session")
+
+
+@query("select event_type as dataset, count(*) as rows, case event_type when 'click' then 100e0 when 'view' then round(count(*)*100e0/1000000,6) end as percent from events group by 1")
+def training_progress(spark, sf_dir):
+    p = store.progress(table(spark, sf_dir, "events"), "event_type", {"click": 10, "view": 1_000_000})
+    return p.select("dataset", "rows", F.round("percent", 6).alias("percent"))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') as at from events")
+def iso_times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", iso_time(F.col("ts")).alias("at"))

@@ -186,3 +186,14 @@ def bucket_and_key(url: Column) -> Column:
     """struct(bucket, key) of an object store's URL."""
     rest = F.regexp_extract(url, "^[a-zA-Z0-9+.-]+://([^/?#]*)/*([^?#]*)", 1), F.regexp_extract(url, "^[a-zA-Z0-9+.-]+://([^/?#]*)/*([^?#]*)", 2)
     return F.struct(rest[0].alias("bucket"), rest[1].alias("key"))
+
+
+def loaded(spark, paths: dict[str, str | list[str]]) -> DataFrame:
+    """Several datasets as one feature table: each is read by its reader, adapted, and marked with its name."""
+    from . import readers
+
+    out = None
+    for dataset, path in paths.items():
+        one = adapt(readers.read(spark, dataset, path), dataset).withColumn("dataset_source", F.lit(dataset))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fluxwarden import plans
 from fluxwarden.functions import arrays, fingerprint, net, strings
-from fluxwarden.ml import metrics, models
+from fluxwarden.ml import metrics, models, online
 from fluxwarden.operators import detectors, order, rules, state, store
 from fluxwarden.sources import adapters, readers, schema
 from fluxwarden.streaming import twins
@@ -245,6 +245,37 @@ def test_models_learn(spark):
     assert set(reasons) == {"a", "b"}
 
 
+@pytest.mark.parametrize("loss", ["log", "huber"])
+def test_online_learning(spark, loss):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 2))
+    rows = [(float(a), float(b), int(a - 2 * b > 1.5)) for a, b in x] + [(float("nan"), 0.0, None)]
+    d = spark.createDataFrame(rows, "a double, b double, y int").repartition(3)
+    m = online.OnlineLinear(["a", "b"], loss, rate=4.0 if loss == "log" else 0.5)
+    for _ in range(3):
+        m.partial_fit(d, "y", passes=8)
+    right = d.where("y is not null").where((m.decision() > 0) == (F.col("y") == 1)).count()
+    assert m.steps == 24 and right >= 0.93 * 600 and m.weights[0] > 0 > m.weights[1]
+    w, y, xs = np.zeros(3), np.array([1.0 if r[2] else -1.0 for r in rows[:600]]), np.column_stack([x, np.ones(600)])
+    mass = np.where(y > 0, 300 / (y > 0).sum(), 300 / (y < 0).sum())
+    z = y * (xs @ w)
+    slope = -1 / (1 + np.exp(z)) if loss == "log" else np.where(z < -1, -4.0, np.where(z < 1, -2 * (1 - z), 0.0))
+    once = online.OnlineLinear(["a", "b"], loss, rate=1.0).partial_fit(d, "y")
+    assert once.weights == pytest.approx(-((mass * slope * y) @ xs) / 600)
+    before = once.weights.copy()
+    assert (once.partial_fit(d.limit(0), "y").weights == before).all()
+
+
+def test_loaded_datasets(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("duration,src_bytes,dst_bytes,labels\n1,10,20,x\n")
+    (tmp_path / "b.csv").write_text("dur,sbytes,dbytes,label\n2,5,5,1\n3,6,6,0\n")
+    got = adapters.loaded(spark, {"kdd99": str(tmp_path / "a.csv"), "unsw": str(tmp_path / "b.csv")})
+    assert sorted((r["dataset_source"], r["duration_s"], r["orig_bytes"]) for r in got.collect()) == [("kdd99", 1.0, 10.0), ("unsw", 2.0, 5.0), ("unsw", 3.0, 6.0)]
+    marked = adapters.with_origin(got.drop("dataset_source"), "unsw", ["dur", "ja3_hash"]).first()
+    assert (marked["has_tls_features"], marked["has_dns_features"], marked["has_timing_features"]) == (True, False, True)
+    assert "flow_id" not in adapters.learnable(["flow_id", "iat_cv", "label"])
+
+
 def test_gates_and_drift(spark):
     good = {"macro_f1": 0.96, "c2_recall": 0.98, "dns_recall": 0.99, "exfil_recall": 0.97, "fp_rate": 0.001}
     assert metrics.promotion(good) == [] and metrics.promotion({**good, "fp_rate": 0.01, "dns_recall": 0.5}) == ["dns_recall", "max_fp_rate"]
