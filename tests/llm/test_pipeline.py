@@ -73,3 +73,20 @@ def test_queries_give_every_row(spark, tables):
         ids = Counter(r[0] for r in df.select(key).collect())
         assert set(ids) == ({1} if key == "page_id" else set(texts)), name
         assert "packing" in name or set(ids.values()) == {1}, name
+
+
+def test_pipeline_on_empty_tables(spark, tables, tmp_path):
+    sf_dir, _, _ = tables
+    for name in ("documents", "labels", "benchmark", "pages"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for name, query in queries.queries().items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+
+
+def test_stages_keep_their_columns(spark, tables):
+    sf_dir, _, _ = tables
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
