@@ -59,7 +59,7 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     """``df`` plus a weight that gives every class the same mass."""
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     sizes = sizes.select(label, (F.sum("_n").over(Window.partitionBy()) / (F.count("*").over(Window.partitionBy()) * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(sizes), label)
+    return df.join(sizes, label)
 
 
 def stage_one(df: DataFrame, label: str, c: float = 0.1):

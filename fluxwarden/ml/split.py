@@ -55,7 +55,7 @@ def oversample(df: DataFrame, label: str, most: int = 20_000) -> DataFrame:
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     target = F.least(F.max("_n").over(Window.partitionBy()), F.lit(most))
     sizes = sizes.select(label, F.greatest(F.lit(1), F.floor(target / F.col("_n"))).cast("int").alias("_times"))
-    return df.join(F.broadcast(sizes), label).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copy")
+    return df.join(sizes, label).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copy")
 
 
 def replay_buffer(df: DataFrame, label: str, order: list, n: int = 10_000) -> DataFrame:

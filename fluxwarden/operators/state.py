@@ -36,12 +36,38 @@ def with_running_distinct(df: DataFrame, name: str, value: str, keys: list[str],
     return df.withColumn("_first", first).withColumn(name, F.sum("_first").over(running(keys, order))).drop("_first")
 
 
-def with_gap_session(df: DataFrame, name: str, keys: list[str], ts: str, order: list[str], gap_s: float) -> DataFrame:
-    """``df`` plus the number of its idle-timeout session: a new one begins when over ``gap_s`` seconds have passed."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    idle = seconds(F.col(ts)) - seconds(F.lag(ts).over(w))
-    fresh = F.when(idle.isNull() | (idle > gap_s), 1).otherwise(0)
-    return df.withColumn("_new", fresh).withColumn(name, F.sum("_new").over(running(keys, order))).drop("_new")
+def with_gap_session(df: DataFrame, name: str, keys: list[str], ts: str, order: list[str], gap_s: float, slice_s: int | None = None) -> DataFrame:
+    """``df`` plus the number of its idle-timeout session: a new one begins when over ``gap_s`` seconds have passed. With ``slice_s``, a key's
+    rows are sorted in slices of so many seconds, a task each, and only a row per slice is put in order to join them: for keys that hold much of the
+    table. ``order`` must begin with the time. The numbers are the same."""
+    if slice_s is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        idle = seconds(F.col(ts)) - seconds(F.lag(ts).over(w))
+        fresh = F.when(idle.isNull() | (idle > gap_s), 1).otherwise(0)
+        return df.withColumn("_new", fresh).withColumn(name, F.sum("_new").over(running(keys, order))).drop("_new")
+    d = df.withColumn("_slice", bucket(F.col(ts), slice_s))
+    local = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    idle = seconds(F.col(ts)) - seconds(F.lag(ts).over(local))
+    d = d.withColumn("_new", F.when(idle > gap_s, 1).otherwise(0))  # a slice's first row is decided below
+    per = d.groupBy(*keys, "_slice").agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.sum("_new").alias("_inside"))
+    w = Window.partitionBy(*keys).orderBy("_slice")
+    since = seconds(F.col("_from")) - seconds(F.lag("_to").over(w))
+    per = per.withColumn("_opens", F.when(since.isNull() | (since > gap_s), 1).otherwise(0))
+    before = F.coalesce(F.sum(F.col("_inside") + F.col("_opens")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_opens")
+    per = per.select(*keys, "_slice", before.alias("_before"))
+    per = per.withColumnsRenamed({k: f"_of_{k}" for k in (*keys, "_slice")})
+    d = d.join(per, [d[k].eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "_slice")])
+    return d.withColumn(name, F.sum("_new").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_before")).select(*df.columns, name)
+
+
+def with_running_count(df: DataFrame, name: str, keys: list[str], ts: str, order: list[str], slice_s: int) -> DataFrame:
+    """``df`` plus ``running_count`` by slices of time, as in ``with_gap_session``."""
+    d = df.withColumn("_slice", bucket(F.col(ts), slice_s))
+    per = d.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*[F.col(k).alias(f"_of_{k}") for k in (*keys, "_slice")], F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    d = d.join(per, [d[k].eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "_slice")])
+    return d.withColumn(name, running_count([*keys, "_slice"], order) + F.col("_before")).select(*df.columns, name)
 
 
 def with_idle_counts(df: DataFrame, names: dict[str, int], keys: list[str], ts: str, order: list[str]) -> DataFrame:

@@ -143,12 +143,17 @@ def dns_query_counters(spark, sf_dir):
     return f.select("flow_id", *[n for *_, n in _DNS])
 
 
-@query()
+@query(f"select flow_id, severity, analyst_status as status, case when analyst_status is null then 5 else 6 end::bigint as n_fields from {ALERTS}")
 def alert_json(spark, sf_dir):
-    return store.alert_json(alerts(spark, sf_dir))
+    j = store.alert_json(alerts(spark, sf_dir))
+    return j.select("flow_id", F.get_json_object("json", "$.severity").alias("severity"), F.get_json_object("json", "$.analyst_status").alias("status"), F.size(F.json_object_keys("json")).cast("long").alias("n_fields"))
+
+
+def fingerprint(df):
+    """fingerprint, n: the sum of the rows' hashes, so it doesn't depend on their order."""
+    return df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("fingerprint"), F.count("*").alias("n"))
 
 
 @query()
 def dataset_fingerprint(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.agg(F.sum(F.xxhash64(*e.columns).cast("decimal(38,0)")).alias("fingerprint"), F.count("*").alias("n"))
+    return fingerprint(table(spark, sf_dir, "events"))

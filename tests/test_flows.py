@@ -14,7 +14,9 @@ from fluxwarden import plans
 from fluxwarden.functions import arrays, fingerprint, net, strings
 from fluxwarden.ml import metrics, models, online
 from fluxwarden.operators import detectors, order, rules, state, store
+from fluxwarden.plans import more
 from fluxwarden.sources import adapters, readers, schema
+from fluxwarden.sources.flowview import dense_flows
 from fluxwarden.streaming import twins
 
 FLOW = "flow_id bigint, ts timestamp, src_ip string, dst_ip string, dst_port int, orig_bytes bigint, resp_bytes bigint, orig_pkts bigint, duration_s double, payload_entropy double, ja3 string, ja4 string, sni string, cert_self_signed boolean, cert_validity_days double"
@@ -194,6 +196,30 @@ def test_host_context_of_flat_and_short_series(spark):
     assert got[4]["trend"] == pytest.approx(1.0)
 
 
+def test_sliced_state_is_the_same(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "a", None]), rng.randrange(4000)) for i in range(800)]
+    d = spark.createDataFrame(rows, "id int, k string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
+    for gap, width in ((3, 100), (40, 17), (10_000, 900)):
+        want = state.with_gap_session(d, "n", ["k"], "ts", ["ts", "id"], gap)
+        got = state.with_gap_session(d, "n", ["k"], "ts", ["ts", "id"], gap, slice_s=width)
+        assert got.columns == want.columns and sorted((r["id"], r["n"]) for r in got.collect()) == sorted((r["id"], r["n"]) for r in want.collect())
+        counted = state.with_running_count(d, "n", ["k"], "ts", ["ts", "id"], width)
+        assert sorted((r["id"], r["n"]) for r in counted.collect()) == sorted((r["id"], r["n"]) for r in d.select("id", state.running_count(["k"], ["ts", "id"]).alias("n")).collect())
+
+
+def test_fingerprint_and_approximate_counts(spark):
+    if not os.path.isdir(SMALL):
+        pytest.skip("the driver's tables aren't here")
+    got = plans.queries()["port_scan_approx_distinct"](spark, SMALL).alias("g")
+    exact = dense_flows(spark, SMALL).groupBy("src", state.bucket(F.col("ts"), 90 * 86400).alias("bucket")).agg(F.count_distinct("port").alias("p"), F.count_distinct("dst").alias("h"))
+    rows = got.join(exact, ["src", "bucket"]).collect()
+    assert len(rows) == exact.count() and all(abs(r["ports"] - r["p"]) <= 1 + 0.15 * r["p"] and abs(r["hosts"] - r["h"]) <= 1 + 0.15 * r["h"] for r in rows)
+    d = spark.range(50).select("id", (F.col("id") * 2).alias("v"))
+    mark = lambda x: tuple(more.fingerprint(x).first())
+    assert mark(d) == mark(d.repartition(7).orderBy(F.desc("id"))) != mark(d.withColumn("v", F.when(F.col("id") == 3, 0).otherwise(F.col("v")))) and mark(d)[1] == 50
+
+
 def test_running_sums_by_range(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([1.0, 2.0, float(rng.randrange(100))]), rng.randrange(9)) for i in range(500)]
