@@ -1,6 +1,6 @@
 """LM scoring: stupid-backoff scores from n-gram counts over all documents, computed relationally.
 
-Method: documents are dealt by hash into batches. Each batch lists its distinct n-grams of every order (64-bit hashes)
+Method: each map task cuts its documents into batches of so many bytes. Each batch lists its distinct n-grams of every order (64-bit hashes)
 with how often it has them; these rows, packed per (batch, bucket), meet by hash in buckets, which are the count tables
 partitioned by hash: a bucket adds up each n-gram and answers every batch that asked with the corpus counts, in the
 order of its request. A batch then joins the answers to its exploded n-grams, scores each word and sums per document.
@@ -22,20 +22,22 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .memory import give_back
 from .shingles import K, mix, word_hashes
+from .tokens import slices
 
 ORDER = 2
 ALPHA = 0.4
 MIN_COUNT = 2
 #: N-grams that a bucket is planned for, about 40 bytes each in its task.
 BUCKET_GRAMS = 2_000_000
-#: Texts of a batch: about 8 MB at 3 kB each; an Arrow group of so many rows is held by one task.
-BATCH_ROWS = 2500
+#: Bytes of text in a batch, a text at least; one task holds it with its counts.
+BATCH_BYTES = 8_000_000
 
 
 def gram_places(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,27 +86,28 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), kind)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, batch_rows: int = BATCH_ROWS, id_type: str = "bigint") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, batch_bytes: int = BATCH_BYTES, id_type: str = "bigint") -> DataFrame:
     """A row per document: id, n_words, log_total (the sum), log_score (the mean of a word)."""
     if not 1 <= order <= len(K):
         raise ValueError(f"order must be from 1 to {len(K)}")
     spark = docs.sparkSession
-    rows = docs.count()
-    batches = max(1, -(-rows // batch_rows))
-    # The row's place decides its batch, so rows that are alike spread over all batches; the dealt words are written once.
-    dealt = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches)).cast("int").alias("batch"))
-
-    def coded(table: pa.Table) -> pa.Table:
-        """The batch's words as numbers of its sorted distinct word hashes, one packed row."""
-        words, bounds = word_hashes(table["text"].combine_chunks())
-        distinct, code = np.unique(words, return_inverse=True)
+
+    def coded(pages):
+        """A batch's words as numbers of its sorted distinct word hashes, one packed row."""
+        made = TaskContext.get().partitionId() << 32
+        for page in pages:
+            for t in slices(page, 1, batch_bytes):
+                words, bounds = word_hashes(t.column(1))
+                distinct, code = np.unique(words, return_inverse=True)
+                yield pa.RecordBatch.from_pydict({
+                    "batch": pa.array([made], pa.int64()), "ids": pa.array([t.column(0).to_pylist()], pa.list_(pa.string())), "bounds": [bounds.astype(np.int64).tobytes()],
+                    "vocabulary": [distinct.tobytes()], "codes": [_pack(code.astype(np.uint32))],
+                })
+                made += 1
         give_back()
-        return pa.table({
-            "batch": table["batch"].slice(0, 1), "ids": pa.array([table["id"].to_pylist()], pa.list_(pa.string())), "bounds": [bounds.astype(np.int64).tobytes()],
-            "vocabulary": [distinct.tobytes()], "codes": [_pack(code.astype(np.uint32))],
-        })
 
-    packed = written(dealt.groupBy("batch").applyInArrow(coded, "batch int, ids array<string>, bounds binary, vocabulary binary, codes binary"), "words")
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    packed = written(texts.mapInArrow(coded, "batch bigint, ids array<string>, bounds binary, vocabulary binary, codes binary"), "words")
 
     # N: the words of all documents, from the bounds of the batches.
     total_words = _total_words(packed)
@@ -124,7 +127,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 for i in range(0, len(ends), 64):
                     part = ends[i : i + 64]
                     yield pa.RecordBatch.from_pydict({
-                        "batch": pa.array([t["batch"][row].as_py()] * len(part), pa.int32()), "bucket": pa.array([k for k, _, _ in part], pa.int32()),
+                        "batch": pa.array([t["batch"][row].as_py()] * len(part), pa.int64()), "bucket": pa.array([k for k, _, _ in part], pa.int32()),
                         "grams": pa.array([grams[a:z].tobytes() for _, a, z in part], pa.binary()), "counts": pa.array([_pack(count[a:z].astype(np.uint32)) for _, a, z in part], pa.binary()),
                     })
 
@@ -138,8 +141,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         give_back()
         return pa.table({"batch": table["batch"], "bucket": table["bucket"], "totals": pa.array([_pack(x) for x in np.split(total, ends[:-1])], pa.binary())})
 
-    asked = packed.select("batch", "bounds", "vocabulary", "codes").mapInArrow(ask, "batch int, bucket int, grams binary, counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "batch int, bucket int, totals binary")
+    asked = packed.select("batch", "bounds", "vocabulary", "codes").mapInArrow(ask, "batch bigint, bucket int, grams binary, counts binary")
+    answered = asked.groupBy("bucket").applyInArrow(answer, "batch bigint, bucket int, totals binary")
     answered = written(answered, "counts")
     smoothing = np.log(alpha)
 

@@ -544,7 +544,7 @@ def test_lm_score(spark, docs, rows, empty, order):
         return out
 
     want = sorted((str(i), len(spaced(x)), round(plain(spaced(x)), 6)) for i, x, _ in rows)
-    scored = lm_score.score(docs, order=order, batch_rows=5).collect()
+    scored = lm_score.score(docs, order=order, batch_bytes=400).collect()
     got = sorted((str(r["id"]), r["n_words"], round(r["log_total"], 6)) for r in scored)
     assert all(r["log_score"] == pytest.approx(r["log_total"] / max(1, r["n_words"])) for r in scored)
     table = Counter({(r["n"], r["count"]): r["k"] for r in lm_score.count_table(docs, order=order).groupBy("n", "count").agg(F.count("*").alias("k")).collect()})
