@@ -127,6 +127,17 @@ def periodicity(a: Column, least: int = 10) -> Column:
     return F.when(F.size(a) >= least, bind(a, of)).otherwise(none)
 
 
+def top_lags(a: Column, k: int = 5) -> Column:
+    """(lag, score) of the k lags with the largest autocorrelation, the larger lag of equals first; empty for a constant series."""
+
+    def of(series: Column) -> Column:
+        lags = F.transform(F.sequence(F.lit(1), F.greatest(F.size(series) - 1, F.lit(1))), lambda i: F.struct(acf(series, i).alias("score"), i.alias("lag")))
+        best = F.sort_array(F.filter(lags, lambda x: x["score"].isNotNull()), False)
+        return F.slice(F.transform(best, lambda x: F.struct(x["lag"], x["score"])), 1, k)
+
+    return bind(a, of)
+
+
 def known_interval(period_s: Column, tolerance: float = 0.35) -> Column:
     """The first known interval within the tolerance of the period, else null."""
     known = F.array(*[F.lit(k) for k in KNOWN_INTERVALS])
@@ -200,6 +211,13 @@ def norm_clip(v: Column, most: float) -> Column:
     return bind(norm, lambda n: F.transform(v, lambda x: x * F.least(F.lit(1.0), F.lit(most) / (n + 1e-12))))
 
 
+def noisy(v: Column, sigma: float, seed: int = 7) -> Column:
+    """The vector with normal noise of ``sigma`` on each element, from hashes of its place, value and the seed (Box and Muller's way), so that a task run again
+    gives the same."""
+    even = lambda x, i, k: (F.pmod(F.xxhash64(x, i, F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    return F.transform(v, lambda x, i: x + F.lit(sigma) * F.sqrt(F.lit(-2.0) * F.log(even(x, i, 1))) * F.cos(F.lit(2 * np.pi) * even(x, i, 2)))
+
+
 @F.pandas_udf(T.DoubleType())
 def fft_period(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Dominant period in seconds of packet counts: the arrival times (cumulated intervals) are read at 256 even places and the

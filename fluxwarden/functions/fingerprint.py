@@ -79,6 +79,15 @@ def ja4_capture(version: Column, sni: Column, ciphers: Column, extensions: Colum
     return F.concat(F.lit("t"), _map(version, VERSIONS), F.when(F.length(sni) > 0, "d").otherwise("i"), count(ciphers), count(extensions), F.lit("_"), _short(hexed(ciphers)), F.lit("_"), _short(hexed(extensions)))
 
 
+def ja4_plain(version: Column, sni: Column, ciphers: Column, extensions: Column) -> Column:
+    """All values, reserved ones as well, sorted; versions by the names that logs use."""
+    some = lambda a: F.coalesce(a, F.array().cast("array<int>"))
+    return F.concat(
+        F.lit("t"), _map(version, LOG_VERSIONS), F.when(F.length(sni) > 0, "d").otherwise("i"), _two(F.size(some(ciphers))), _two(F.size(some(extensions))),
+        F.lit("_"), _short(_sorted_text(some(ciphers))), F.lit("_"), _short(_sorted_text(some(extensions))),
+    )
+
+
 def quic_fingerprint(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(",", *[p.cast("string") for p in parts]), 256), 1, 16)
 

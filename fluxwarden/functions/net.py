@@ -69,3 +69,22 @@ def protocol_name(proto: Column) -> Column:
 
 def is_uuid(s: Column) -> Column:
     return F.coalesce(s.rlike("^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"), F.lit(False))
+
+
+#: Numbers that stand for protocols (by what the name holds) and connection states; others are 0.
+PROTOCOL_CODES = {"tcp": 1.0, "udp": 2.0, "icmp": 3.0}
+STATE_CODES = {"CON": 1.0, "INT": 2.0, "REQ": 3.0, "RST": 4.0, "SF": 5.0, "S0": 6.0, "REJ": 7.0, "RSTO": 8.0, "FIN": 9.0, "URP": 10.0}
+
+
+def protocol_code(proto: Column) -> Column:
+    name, out = F.lower(F.trim(F.coalesce(proto.cast("string"), F.lit("")))), F.lit(0.0)
+    for word, code in reversed(PROTOCOL_CODES.items()):
+        out = F.when(F.contains(name, F.lit(word)), code).otherwise(out)
+    return out
+
+
+def state_code(state: Column) -> Column:
+    name, out = F.upper(F.trim(F.coalesce(state.cast("string"), F.lit("")))), F.lit(0.0)
+    for word, code in STATE_CODES.items():
+        out = F.when(name == word, code).otherwise(out)
+    return out

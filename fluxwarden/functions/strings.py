@@ -139,6 +139,12 @@ def dns_features(q: Column) -> dict[str, Column]:
     }
 
 
+def query_flags(query_type: Column, answer_code: Column) -> dict[str, Column]:
+    """Whether the name doesn't exist, and record types that tunnels like."""
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return {"dns_is_nxdomain": flag(answer_code == 3), **{f"dns_qtype_is_{t.lower()}": flag(query_type == t) for t in ("TXT", "NULL", "MX")}}
+
+
 def tunnel_reason(f: dict[str, Column], threshold: float = 4.2, rate: Column | None = None) -> Column:
     """First heuristic of tunnelling that holds, else null."""
     out = F.when(f["dns_shannon_entropy"] > threshold, "entropy").when(f["dns_max_label_len"] > 52, "label_length")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import order
+from ..operators import order, state
 
 #: What a model must reach to be promoted.
 PROMOTION = {"macro_f1": 0.95, "c2_recall": 0.97, "dns_recall": 0.98, "exfil_recall": 0.96, "max_fp_rate": 0.003}
@@ -159,3 +159,25 @@ def prequential(df: DataFrame, chunk: str, label: str, predicted: str, classes:
     agree = hit / n
     kap = F.when(chance < 1, F.try_divide(agree - chance, 1 - chance)).otherwise(0.0)
     return d.where(n > 0).select(chunk, n.alias("n"), agree.alias("accuracy"), f1.alias("macro_f1"), kap.alias("kappa"))
+
+
+def counter_rate(samples: DataFrame, keys: list[str], ts: str, counter: str, width_s: int = 60) -> DataFrame:
+    """keys, bucket, per_second: how fast a counter rises between the first and last sample of each window; null where a window has one sample. A counter
+    that has been set back counts from 0."""
+    d = samples.withColumn("_b", state.bucket(F.col(ts), width_s)).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    w = Window.partitionBy(*keys, "_b").orderBy("_us", counter)
+    step = F.col(counter) - F.lag(counter).over(w)
+    d = d.withColumn("_step", F.when(step < 0, F.col(counter)).otherwise(step))
+    g = d.groupBy(*keys, F.col("_b").alias("bucket")).agg(F.sum("_step").alias("_rise"), ((F.max("_us") - F.min("_us")) / F.lit(1e6)).alias("_s"))
+    return g.select(*keys, "bucket", F.try_divide(F.col("_rise").cast("double"), F.col("_s")).alias("per_second"))
+
+
+def histogram_quantile(cumulative: DataFrame, q: float, keys: list[str] = (), le: str = "le", n: str = "n") -> DataFrame:
+    """keys, quantile: from counts of values up to each bound, between bounds by a straight line (from 0 below the first); values past the last bound
+    have that bound. A row per bound comes in."""
+    w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(le)
+    d = cumulative.withColumn("_all", F.max(n).over(Window.partitionBy(*(keys or [F.lit(1)])))).withColumn("_below", F.coalesce(F.lag(n).over(w), F.lit(0))).withColumn("_from", F.coalesce(F.lag(le).over(w), F.lit(0.0)))
+    rank = F.col("_all") * q
+    at = F.col("_from") + (F.col(le) - F.col("_from")) * F.try_divide(rank - F.col("_below"), F.col(n) - F.col("_below"))
+    hit = (F.col(n) >= rank) & (F.col("_below") < rank)
+    return d.groupBy(*keys).agg(F.min(F.when(hit, at)).alias("quantile"))

@@ -217,6 +217,12 @@ def ranked(*alerts: DataFrame) -> DataFrame:
     return out
 
 
+def with_flag(flows: DataFrame, alerts: DataFrame, name: str) -> DataFrame:
+    """``flows`` plus whether one of the alerts is of the flow."""
+    hit = alerts.select("flow_id").distinct().withColumn(name, F.lit(True))
+    return flows.join(hit, "flow_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def collected(by_detector: dict[str, DataFrame]) -> DataFrame:
     """The alerts of named detectors (``COLLECTED``, and ml before them) in the order in which a flow's alerts are stored: detector_rank, the
     threat that they are stored as, and the detector's own kind in ``kind``."""

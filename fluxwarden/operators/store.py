@@ -203,12 +203,15 @@ def merged(stored: DataFrame, new: DataFrame, key: list[str] | None = None, newe
 
 
 def node_degrees(edges: DataFrame, src: str, dst: str, weight: str) -> DataFrame:
-    """Per node: flows out and in, distinct neighbours, bytes."""
+    """Per node: flows out and in, distinct neighbours and of these those called and calling, bytes; burst is called ones for each flow out, spread the same
+    with 1 at most."""
     out = edges.groupBy(F.col(src).alias("node")).agg(F.count("*").alias("out_degree"), F.sum(weight).alias("out_bytes"))
     into = edges.groupBy(F.col(dst).alias("node")).agg(F.count("*").alias("in_degree"), F.sum(weight).alias("in_bytes"))
-    near = edges.select(F.col(src).alias("node"), F.col(dst).alias("other")).union(edges.select(dst, src)).distinct().groupBy("node").agg(F.count("*").alias("neighbours"))
+    pairs = edges.select(F.col(src).alias("node"), F.col(dst).alias("other"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select(dst, src, F.lit(0), F.lit(1)))
+    near = pairs.groupBy("node", "other").agg(F.max("o").alias("o"), F.max("i").alias("i")).groupBy("node").agg(F.count("*").alias("neighbours"), F.sum("o").alias("unique_dsts"), F.sum("i").alias("unique_srcs"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return near.join(out, "node", "left").join(into, "node", "left").select("node", "neighbours", *[zero(c) for c in ("out_degree", "in_degree", "out_bytes", "in_bytes")])
+    n = near.join(out, "node", "left").join(into, "node", "left").select("node", "neighbours", "unique_dsts", "unique_srcs", *[zero(c) for c in ("out_degree", "in_degree", "out_bytes", "in_bytes")])
+    return n.withColumn("burst", F.col("unique_dsts") / (F.col("out_degree") + 1)).withColumn("spread", F.least(F.lit(1.0), F.col("unique_dsts") / F.greatest("out_degree", F.lit(1))))
 
 
 def with_default(df: DataFrame, known: DataFrame, key: str, value: str, default) -> DataFrame:

@@ -87,8 +87,8 @@ def response_expiry(spark, sf_dir):
     return store.with_expiry(e).select("event_id", "expires_at", store.next_status(F.lit("pending"), event).alias("status"))
 
 
-@query("""with e as (select src_ip, dst_ip, orig_bytes from {flows}), n as (select node, count(*) as neighbours from (select src_ip as node, dst_ip as o from e union select dst_ip, src_ip from e) group by 1)
- select node, neighbours, coalesce(od,0)::bigint as out_degree, coalesce(id,0)::bigint as in_degree, coalesce(ob,0)::bigint as out_bytes, coalesce(ib,0)::bigint as in_bytes from n
+@query("""with e as (select src_ip, dst_ip, orig_bytes from {flows}), n as (select node, count(distinct o) as neighbours, count(distinct o) filter (called) as unique_dsts, count(distinct o) filter (not called) as unique_srcs from (select src_ip as node, dst_ip as o, true as called from e union all select dst_ip, src_ip, false from e) group by 1)
+ select node, neighbours, unique_dsts, unique_srcs, coalesce(od,0)::bigint as out_degree, coalesce(id,0)::bigint as in_degree, coalesce(ob,0)::bigint as out_bytes, coalesce(ib,0)::bigint as in_bytes, unique_dsts/(coalesce(od,0)+1) as burst, least(1e0, unique_dsts/greatest(coalesce(od,0),1)) as spread from n
  left join (select src_ip as node, count(*) od, sum(orig_bytes) ob from e group by 1) using (node) left join (select dst_ip as node, count(*) id, sum(orig_bytes) ib from e group by 1) using (node)""")
 def node_degree(spark, sf_dir):
     return store.node_degrees(sparse_flows(spark, sf_dir), "src_ip", "dst_ip", "orig_bytes")
@@ -243,11 +243,11 @@ def dataset_union(spark, sf_dir):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("""select event_type, count(*) as n, round(avg(value),6) as mean, round(stddev_pop(value),6) as std, round(min(value),6) as low, round(max(value),6) as high, round(median(value),6) as median, round(avg((value=0)::int),6) as zeros, round(case when stddev_pop(value)>0 and stddev_pop(user_id % 2)>0 then corr(value, (user_id % 2)::double) else 0e0 end,6) as pointbiserial from events group by 1""")
+@query("""select event_type, count(*) as n, round(avg(value),6) as mean, round(stddev_pop(value),6) as std, round(min(value),6) as low, round(max(value),6) as high, round(median(value),6) as median, round(quantile_cont(value,0.25),6) as q25, round(quantile_cont(value,0.75),6) as q75, round(avg((value=0)::int),6) as zeros, round(case when stddev_pop(value)>0 and stddev_pop(user_id % 2)>0 then corr(value, (user_id % 2)::double) else 0e0 end,6) as pointbiserial from events group by 1""")
 def class_summary(spark, sf_dir):
     v = F.col("value")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.round(F.min(v), 6).alias("low"), F.round(F.max(v), 6).alias("high"), F.round(F.median(v), 6).alias("median"),
+        F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.round(F.min(v), 6).alias("low"), F.round(F.max(v), 6).alias("high"), F.round(F.median(v), 6).alias("median"), *[F.round(F.percentile(v, F.lit(q)), 6).alias(f"q{round(100 * q)}") for q in (0.25, 0.75)],
         F.round(F.avg((v == 0).cast("int")), 6).alias("zeros"), F.round(metrics.correlation(v, (F.col("user_id") % 2).cast("double")), 6).alias("pointbiserial"),
     )
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import arrays, fingerprint, net, strings
 from ..functions.common import iso_time
 from ..ml import metrics
-from ..operators import state, store
+from ..operators import detectors, state, store
 from ..sources import adapters
 from ..sources.flowview import sparse_flows, table
+from .detection import DAY, FINGER, LATERAL, flat, with_tls
 from .registry import query
 
 
@@ -109,3 +111,67 @@ def training_progress(spark, sf_dir):
 @query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') as at from events")
 def iso_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", iso_time(F.col("ts")).alias("at"))
+
+
+@query("""select o_orderkey, concat('t', case o_custkey % 3 when 0 then '12' when 1 then '13' else '00' end, case when o_custkey % 2 = 0 then 'd' else 'i' end, '0202_', substr(sha256(concat(least(o_custkey, 2570), ',', greatest(o_custkey, 2570))),1,12), '_', substr(sha256('0,16'),1,12)) as ja4 from orders""")
+def ja4_plain(spark, sf_dir):
+    k = F.col("o_custkey")
+    version = F.when(k % 3 == 0, "TLSv1.2").when(k % 3 == 1, "TLSv1.3").otherwise("SSLv3")
+    sni = F.when(k % 2 == 0, "a.b").otherwise("")
+    return table(spark, sf_dir, "orders").select("o_orderkey", fingerprint.ja4_plain(version, sni, F.array(k.cast("long"), F.lit(2570).cast("long")), F.array(F.lit(16), F.lit(0))).alias("ja4"))
+
+
+@query("""select event_id, case when event_type='click' then 1e0 when event_type='view' then 2e0 when event_type='error' then 3e0 else 0e0 end as proto, case event_id % 4 when 0 then 5e0 when 1 then 8e0 when 2 then 0e0 else 1e0 end as state from events""")
+def connection_codes(spark, sf_dir):
+    name = F.when(F.col("event_type") == "click", " TCP6 ").when(F.col("event_type") == "view", "udp").when(F.col("event_type") == "error", "ipv6-icmp").otherwise("arp")
+    i = F.col("event_id") % 4
+    st = F.when(i == 0, "sf ").when(i == 1, "RSTO").when(i == 2, "other").otherwise("CON")
+    return table(spark, sf_dir, "events").select("event_id", net.protocol_code(name).alias("proto"), net.state_code(st).alias("state"))
+
+
+@query("""select event_id, (event_id % 5 = 3)::int as nx, (event_type='click')::int as txt, (event_type='view')::int as nul, (event_type='error')::int as mx from events""")
+def dns_query_flags(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "TXT").when(F.col("event_type") == "view", "NULL").when(F.col("event_type") == "error", "MX")
+    f = strings.query_flags(kind, F.col("event_id") % 5)
+    return table(spark, sf_dir, "events").select("event_id", *[f[k].alias(n) for k, n in (("dns_is_nxdomain", "nx"), ("dns_qtype_is_txt", "txt"), ("dns_qtype_is_null", "nul"), ("dns_qtype_is_mx", "mx"))])
+
+
+@query("""with x as (select vec_id, cast(unnest(embedding) as double) as x, unnest(range(len(embedding))) as i from embeddings), c as (select vec_id, i, x - avg(x) over (partition by vec_id) as d from x), p as (select vec_id, sum(d*d) as p from c group by 1),
+ r as (select a.vec_id, b.i-a.i as lag, sum(a.d*b.d) as s from c a join c b on a.vec_id=b.vec_id and b.i>a.i group by all), q as (select vec_id, lag, round(s/p,5) as score, row_number() over (partition by vec_id order by s/p desc, lag desc) as k from r join p using (vec_id))
+ select vec_id, string_agg(lag, ',' order by k) as lags, max(score) as best from q where k<=5 group by 1""")
+def acf_top_lags(spark, sf_dir):
+    top = arrays.top_lags(F.transform("embedding", lambda x: x.cast("double")))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", top.alias("t"))
+    return e.select("vec_id", F.array_join(F.transform("t", lambda x: x["lag"].cast("string")), ",").alias("lags"), F.round(F.get("t", F.lit(0))["score"], 5).alias("best"))
+
+
+@query("""with h as (select le::double as le, count(*) filter (value<=le) as n from events, (values (0.5),(1),(2),(4),(8),(16)) v(le) group by 1), g as (select *, max(n) over () as al, coalesce(lag(n) over (order by le),0) as lo, coalesce(lag(le) over (order by le),0) as f from h)
+ select round(min(f+(le-f)*(al*0.9-lo)/(n-lo)),6) as quantile from g where n>=al*0.9 and lo<al*0.9""")
+def histogram_quantile(spark, sf_dir):
+    bounds = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
+    row = table(spark, sf_dir, "events").agg(*[F.count_if(F.col("value") <= b).alias(f"b{i}") for i, b in enumerate(bounds)])
+    h = row.select(F.explode(F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)])).alias("h")).select("h.*")
+    return metrics.histogram_quantile(h, 0.9).select(F.round("quantile", 6).alias("quantile"))
+
+
+@query("""with e as (select event_type, floor(epoch(ts)/86400)::bigint as bucket, ts, event_id, row_number() over (partition by event_type order by ts, event_id) as c from events)
+ select event_type, bucket, round(case when max(epoch_us(ts))>min(epoch_us(ts)) then (max(c)-min(c))/((max(epoch_us(ts))-min(epoch_us(ts)))/1e6) end,9) as per_second from e group by 1,2""")
+def counter_rates(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("c", state.running_count(["event_type"], ["ts", "event_id"]))
+    return metrics.counter_rate(e, ["event_type"], "ts", "c", DAY).select("event_type", "bucket", F.round("per_second", 9).alias("per_second"))
+
+
+@query(f"""with f as (select *, flow_id in (select flow_id from {LATERAL}) as lateral_hit, flow_id in (select flow_id from {FINGER} where threat_type='blacklisted_tls_client') as c2_hit from {{flows}}),
+ g as (select *, dst_port=445 and (orig_bytes>=500000 or sum((dst_port=445)::int) over (partition by src_ip, dst_ip, floor(epoch(ts)/86400) order by ts, flow_id rows unbounded preceding)>=30) as s1, dst_port in (135,445) and lateral_hit as s2, c2_hit as s3,
+   dst_port=445 and coalesce(nullif(orig_pkts,0),1)/greatest(coalesce(nullif(duration_s,0e0),0.1e0),0.001e0)>50 and orig_bytes<10000 as s4 from f),
+ h as (select *, case when s1 or s2 or s3 or s4 then epoch_us(ts) end as hit_us from g),
+ i as (select *, max(hit_us) over (partition by src_ip order by ts, flow_id rows between unbounded preceding and 1 preceding) as prior, max(hit_us) over (partition by src_ip order by ts, flow_id rows unbounded preceding) as last from h),
+ j as (select *, sum((hit_us is not null and (prior is null or hit_us-prior>604800000000))::int) over (partition by src_ip order by ts, flow_id rows unbounded preceding) as run from i),
+ k as (select *, max(s1::int) over w + max(s2::int) over w + max(s3::int) over w + max(s4::int) over w as n from j window w as (partition by src_ip, run order by ts, flow_id rows unbounded preceding))
+ select flow_id, 'ransomware' as threat_type, 'critical' as severity, round(least(0.99e0,0.70e0+(n-2)*0.10e0),3) as confidence, 'T1486,T1490,T1489,T1021.002,T1083' as mitre_ttps from k where n>=2 and epoch_us(ts)-last<=604800000000""")
+def ransomware_from_detectors(spark, sf_dir):
+    f = with_tls(sparse_flows(spark, sf_dir))
+    lateral = detectors.lateral_movement(f, 7 * DAY, {445: 2, 3389: 2, 22: 3}, 4)
+    c2 = detectors.tls_fingerprint(f).where("threat_type = 'blacklisted_tls_client'")
+    f = detectors.with_flag(detectors.with_flag(f, lateral, "lateral_hit"), c2, "c2_hit")
+    return flat(detectors.ransomware(f, F.col("lateral_hit"), F.col("c2_hit"), window_s=DAY, gap_s=7 * DAY))

@@ -40,10 +40,10 @@ def session_either_direction(spark, sf_dir):
     return state.with_latest(f, {"session_flow": "flow_id", "session_bytes": "orig_bytes"}, [F.least("src_ip", "dst_ip"), F.greatest("src_ip", "dst_ip"), "dst_port"], ["ts", "flow_id"]).select("flow_id", "session_flow", "session_bytes")
 
 
-@query("""select flow_id from {flows} where flow_id in (select event_id*2 from events where event_type='click')""")
+@query("""select flow_id from {flows} where (flow_id, orig_bytes, dst_port) in (select event_id, case when event_type='click' then round(value*10000)::bigint else 0 end, 443 from events)""")
 def origin_verification(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type = 'click'").select((F.col("event_id") * 2).alias("flow_id"))
-    return sparse_flows(spark, sf_dir).join(e, "flow_id", "left_semi").select("flow_id")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("flow_id"), F.when(F.col("event_type") == "click", F.round(F.col("value") * 10000).cast("long")).otherwise(0).alias("orig_bytes"), F.lit(443).alias("dst_port"))
+    return sparse_flows(spark, sf_dir).join(e, ["flow_id", "orig_bytes", "dst_port"], "left_semi").select("flow_id")
 
 
 @query("""select flow_id, n from (select flow_id, count(*) over (partition by src_ip order by ts, flow_id rows between 49 preceding and current row) as n from {flows}) where n>=7""")

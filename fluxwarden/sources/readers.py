@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 
+#: How surely a client fingerprint is one of attackers.
+FINGERPRINT_SCORES = {
+    "e7d705a3286e19ea42f587b344ee6865": 1.0, "6d37c8e9aa2ef8649e7f6d5e9b94f4f1": 1.0, "a0e9f5d64349fb13191bc781f81f42e1": 0.9,
+    "72a589da586844d7f0818ce684948eea": 0.8, "b386946a5a44d1ddcc843bc75336dfce": 0.7,
+}
 BINETFLOW = "StartTime string, Dur string, Proto string, SrcAddr string, Sport string, Dir string, DstAddr string, Dport string, State string, sTos string, dTos string, TotPkts string, TotBytes string, SrcBytes string, Label string"
 
 
@@ -64,6 +69,15 @@ def labelled_files(spark: SparkSession, folder: str, labels: tuple[tuple[str, in
     return d.withColumn("label", label).where("label is not null").drop("_name")
 
 
+def fingerprints(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """ja3, score: a JSON object of fingerprints and scores, under the known ones, whose scores go first."""
+    known = spark.createDataFrame(list(FINGERPRINT_SCORES.items()), "ja3 string, score double")
+    if path is None:
+        return known
+    listed = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,double>")).alias("ja3", "score"))
+    return known.unionByName(listed.join(known.select("ja3"), "ja3", "left_anti").groupBy("ja3").agg(F.max("score").alias("score")))
+
+
 def without_local(flows: DataFrame, ports: tuple[int, ...] = ()) -> DataFrame:
     """Flows without those of the machine with itself and, where given, of management ports on either side."""
     local = F.coalesce(F.startswith("src_ip", F.lit("127.")), F.lit(False)) | F.coalesce(F.startswith("dst_ip", F.lit("127.")), F.lit(False))

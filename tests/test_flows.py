@@ -327,6 +327,15 @@ def test_bytes_and_fingerprints(spark):
     assert one.select(arrays.context_regularity(F.lit(0.5)), arrays.context_regularity(F.lit(9.0))).first()[:] == (0.75, 0.0)
 
 
+def test_fingerprint_table_and_noise(spark, tmp_path):
+    (tmp_path / "db.json").write_text(json.dumps({"x" * 32: 0.4, "e7d705a3286e19ea42f587b344ee6865": 0.1}))
+    got = {r["ja3"]: r["score"] for r in readers.fingerprints(spark, str(tmp_path / "db.json")).collect()}
+    assert len(got) == 6 and got["x" * 32] == 0.4 and got["e7d705a3286e19ea42f587b344ee6865"] == 1.0
+    v = spark.range(2000).select(F.array(F.col("id").cast("double"), F.lit(0.0)).alias("v"))
+    d = np.array([[a - i, b] for i, (a, b) in enumerate(r[0] for r in v.select(arrays.noisy(F.col("v"), 0.5)).collect())])[:, 0]
+    assert abs(d.mean()) < 0.05 and abs(d.std() - 0.5) < 0.05
+
+
 def test_packets_to_flows(spark):
     p = [(1.0, "10.0.0.1", "10.0.0.2", 5000, 443, 60, 6, 2), (2.0, "10.0.0.2", "10.0.0.1", 443, 5000, 1500, 6, 16), (3.5, "10.0.0.1", "10.0.0.2", 5000, 443, 40, 6, 1), (1.0, "10.0.0.9", "10.0.0.2", 1, 2, 60, 17, 0)]
     got = readers.flows_of(spark.createDataFrame(p, "ts double, src string, dst string, sport int, dport int, len int, proto int, flags int")).collect()
