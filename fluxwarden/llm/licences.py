@@ -16,7 +16,7 @@ Everything is a DataFrame expression: no Python runs on executors. Templates are
 
 Defined results: null, empty and wordless texts have no licence (null, score 0); one-word lines have no bigrams and
 never match; of equal scores the template first by name wins; n_lines counts lines that match as a whole, so it is 0 where only a
-window matches; rows with equal id and text get the same result; an
+window matches; rows with equal id and text get the same result; extra columns are left out; an
 empty table returns an empty one.
 """
 

@@ -7,7 +7,7 @@ ragged bounds. In each round every sequence finds its lowest-rank pair and all s
 sequence without a mergeable pair leaves, its surviving symbols being its token count.
 
 Defined results: null texts count as empty, with 0 bytes and 0 tokens; special strings inside texts are one token, as
-the tokenizers library has it; rows are counted one by one whatever their ids; very long texts and pre-tokens are
+the tokenizers library has it; rows are counted one by one whatever their ids; extra columns are left out; very long texts and pre-tokens are
 merged whole.
 """
 
