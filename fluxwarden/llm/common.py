@@ -55,6 +55,25 @@ def row_key(id_col: Column, text: Column) -> Column:
     return F.struct(id_col.cast("string").alias("id"), F.xxhash64(text).alias("h"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("n"))
 
 
+#: Keys broadcast at most, up to 100 bytes each; beyond that, joins on them shuffle.
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def text_key(text: Column) -> Column:
+    """Identifies a text, null as well: two hashes and its length."""
+    return F.struct(F.xxhash64(text).alias("h"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("c"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("n"))
+
+
+def without_keys(docs: DataFrame, key: Column, gone: DataFrame, label: str) -> DataFrame:
+    """``docs`` with its own columns, without the rows whose key is in ``gone`` (column key), which is written first."""
+    gone = written(gone.select(F.col("key").alias("gone")).distinct(), label, rebalance=True)
+    if gone.count() <= MAX_BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    (name,) = fresh(docs, "_key")
+    keyed = docs.withColumn(name, key)
+    return keyed.join(gone, keyed[name].eqNullSafe(gone["gone"]), "left_anti").drop(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that was set; a folder of this machine
     only where Spark runs in this process alone, as in tests."""

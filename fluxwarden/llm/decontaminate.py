@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, fresh, lower_words, row_key, written
+from .common import bind, fresh, lower_words, row_key, without_keys, written
 
 #: Runs of ASCII digits, ASCII letters (lower-cased afterwards) and all that isn't ASCII; and what lies between.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -139,11 +139,10 @@ def decontaminate(
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be documents or spans, not {remove!r}")
     bad = hits(docs, benchmark, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0)
+    if remove == "documents":
+        return without_keys(docs, row_key(docs[id_col], docs[text_col]), bad, "contaminated")
     key, spans = fresh(docs, "_key", "_spans")
     keyed = docs.withColumn(key, row_key(docs[id_col], docs[text_col]))
-    if remove == "documents":
-        gone = bad.select(F.col("key").alias("gone"))
-        return keyed.join(gone, keyed[key].eqNullSafe(gone["gone"]), "left_anti").drop(key)
     bad = bad.select(F.col("key").alias("gone"), F.col("spans").alias(spans))
     both = keyed.join(bad, keyed[key].eqNullSafe(bad["gone"]), "left")
     # A piece is a word with the separators before it, so piece i goes with word i.

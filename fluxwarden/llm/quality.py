@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bind, fresh, keep_where, words_of, written
+from .common import WORD, bind, fresh, text_key, without_keys, words_of, written
 
 WINDOW = 5
 SYMBOLS = "[^#*$%&|<>]+"
@@ -190,13 +190,11 @@ def judge(docs: DataFrame, text_col: str = "text", min_posterior: float = MIN_PO
     return d.withColumn(kept, ~F.col(failed) & (F.col(posterior) >= min_posterior)).drop(lines)
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", model: VoteModel | None = None, **options) -> DataFrame:
-    """``docs`` with its own columns, without the documents that are not kept. The counts are made once and written with the documents; the fit and
-    the filter both read them."""
-    stats = fresh(docs, *STATS, LINES)
-    counted = with_stats(docs, text_col, stats)
-    if model is None:
-        counted = written(counted, "counted")
-        model = fit_corpus(counted, stats)
-    good = ~base_failed(stats) & (posterior_column(model, stats) >= options.get("min_posterior", MIN_POSTERIOR))
-    return keep_where(counted, good).select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_good(docs: DataFrame, text_col: str = "text", model: VoteModel | None = None, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
+    """``docs`` with its own columns, without the documents that are not kept. The counts are made once and written under a key of the text, without
+    it; the fit reads them, and so does the list of rejected keys, by which documents go."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    counts = written(with_stats(texts).select(text_key(F.col("text")).alias("key"), *STATS, LINES), "stats")
+    model = model or fit_corpus(counts)
+    bad = base_failed() | (posterior_column(model) < min_posterior)
+    return without_keys(docs, text_key(F.col(text_col)), counts.where(bad), "rejected")
