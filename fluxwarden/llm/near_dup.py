@@ -173,23 +173,29 @@ def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col:
             held, held_rows = [], 0
             if not len(keys):
                 return
-            # Buckets are ranges of keys, so one sort brings equal entries together and buckets in order.
+            bucket_of = lambda k: ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.lexsort((nodes, keys))
-            keys, nodes = keys[order], nodes[order]
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])])
-            keys, nodes = keys[new], nodes[new]
-            bucket, low = (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32), keys.astype(np.uint32)
-            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            size = np.diff(np.append(start, len(keys)))
+            k, n = keys[order], nodes[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])
+            order, k, n = order[new], k[new], n[new]
+            start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(start, len(k)))
             many = size >= combine_from
             lists = {"key": [], "nodes": []}
-            for at, n in zip(start[many].tolist(), size[many].tolist(), strict=True):
-                lists["key"].append(int(bucket[at]) << 32 | int(low[at]))
-                lists["nodes"].append(nodes[at : at + n].tobytes())
-            combined = np.repeat(many, size)
-            keep = ~combined
+            for at, count in zip(start[many].tolist(), size[many].tolist(), strict=True):
+                lists["key"].append(int(bucket_of(k[at])) << 32 | int(k[at] & np.uint64(0xFFFFFFFF)))
+                lists["nodes"].append(n[at : at + count].tobytes())
+            listed = np.repeat(many, size)
+            keep = ~listed
             keep[start] = True  # nodes are in order, so the first is the smallest
-            bucket, low, nodes, combined = bucket[keep], low[keep], nodes[keep], combined[keep].astype(np.uint8)
+            # The entries that go on keep their old order within a bucket: a text's entries stand together, and its node compresses well.
+            flags = np.zeros(len(keys), np.uint8)
+            flags[order[keep]] = 1 + listed[keep]
+            places = np.flatnonzero(flags)
+            bucket = bucket_of(keys[places]).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+            sorted_ = np.argsort(bucket, kind="stable")
+            places, bucket = places[sorted_], bucket[sorted_].astype(np.int32)
+            low, nodes, combined = keys[places].astype(np.uint32), nodes[places], flags[places] - 1
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             raw = {"bucket": bucket[cuts], "keys": [], "nodes": [], "combined": []}
             for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
