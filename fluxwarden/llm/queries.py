@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, lm_score, near_dup, oracles, packing, quality, token_counts, token_file, toxicity, url_filter
+from . import chat, decontaminate, licences, lm_score, near_dup, oracles, packing, quality, token_counts, token_file, toxicity, url_filter
 from .common import table, written
+from .oracles import PLANTED
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,8 +84,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.sql("select * from values (-1L, 0L, 'user', :said), (-1L, 1L, 'assistant', :said) as t(conv_id, turn, role, text)", {"said": PLANTED})
+    found = chat.digests(chat.format_table(chat.turn_chains(rows.unionByName(planted))))
+    return found.select(F.col("conv").cast("long").alias("conv_id"), *found.columns[2:])
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_quality_rules, op4_packing, op5_token_file, op6_licence_scan, op7_jaccard_join, op8_token_counts, op9_lm_score, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_quality_rules, op4_packing, op5_token_file, op6_licence_scan, op7_jaccard_join, op8_token_counts, op9_lm_score, op10_decontaminate, op11_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
