@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licences, lm_score, near_dup, oracles, packing, quality, token_counts, token_file, toxicity, url_filter
-from .common import table, written
+from . import chat, decontaminate, licences, lm_score, near_dup, oracles, packing, quality, runs, token_counts, token_file, toxicity, url_filter
+from .common import bind, table, words_of, written
 from .oracles import PLANTED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,8 +91,35 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("conv").cast("long").alias("conv_id"), *found.columns[2:])
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """The contract's texts: of every tenth document by crc32 of its id, the words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def periodic(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        repeated = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), repeated), " ")).otherwise(F.col("text"))
+
+    return docs.withColumn("text", F.when(h % 10 == 0, bind(words_of(F.col("text")), periodic)).otherwise(F.col("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    better = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    top = F.reduce("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), better)
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    found = found.withColumn("top", top).select(
+        F.col("id").cast("long").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "top.*", F.floor(F.col("top.length") * 1000 / F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return found
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_quality_rules, op4_packing, op5_token_file, op6_licence_scan, op7_jaccard_join, op8_token_counts, op9_lm_score, op10_decontaminate, op11_chat_format)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_quality_rules, op4_packing, op5_token_file, op6_licence_scan, op7_jaccard_join, op8_token_counts, op9_lm_score, op10_decontaminate, op11_chat_format, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
