@@ -69,4 +69,21 @@ select conv_id, count(*) as n_turns, sha256(string_agg(concat(role,chr(10),text,
 from e group by conv_id
 """
 
-SQL = {"op6_licence_scan": OP6, "op7_jaccard_join": OP7, "op9_lm_score": OP9, "op10_decontaminate": OP10, "op11_chat_format": OP11}
+OP12 = f"""
+with d as (select doc_id, coalesce(source,'') as part, coalesce(text,'') as t from documents),
+l as (select doc_id, max(case when quality=1 then 1 else 0 end) as good, max(case when toxic=1 then 1 else 0 end) as toxic from labels where doc_id is not null group by doc_id),
+w as (select doc_id, part, t, {SPACED.format(text="t")} as w, min(doc_id) over (partition by t) as least from d),
+f as (select part, coalesce(good,0) as good, coalesce(toxic,0) as toxic, case when len(w)<200 then 1 else 0 end + case when 100*len(list_distinct(w))<50*len(w) then 2 else 0 end
+  + case when 100*length(regexp_replace(t,'[^A-Z]','','g'))>2*length(t) then 4 else 0 end + case when regexp_matches(t,'[#$%&*|]') then 8 else 0 end + case when w.doc_id>least then 16 else 0 end as m
+  from w left join l on l.doc_id=w.doc_id),
+c as (select part, m, good, toxic, count(*) as n from f group by all),
+x as (select * from (values ('A',1),('B',2),('C',4),('D',8),('E',16)) v(f,b)),
+o as (select concat(x1.f,x2.f,x3.f,x4.f,x5.f) as filter_order, [x1.b,x2.b,x3.b,x4.b,x5.b] as b from x x1, x x2, x x3, x x4, x x5 where x1.b+x2.b+x3.b+x4.b+x5.b=31 and len(list_distinct([x1.b,x2.b,x3.b,x4.b,x5.b]))=5),
+s as (select filter_order, step, b[step] as own, cast(coalesce(list_sum(b[1:step-1]),0) as integer) as earlier from (select *, unnest(range(1,6)) as step from o)),
+r as (select part, filter_order, step, own, sum(case when (m&(own|earlier))=0 then n else 0 end) as kept, sum(case when (m&own)>0 and (m&earlier)=0 then n else 0 end) as removed, sum(case when (m&own)>0 and (m&earlier)>0 then n else 0 end) as redundant,
+  sum(case when m=own then n else 0 end) as unique_fails, sum(case when (m&own)>0 and (m&earlier)=0 then n*good else 0 end) as good_lost, sum(case when (m&own)>0 and (m&earlier)=0 then n*toxic else 0 end) as toxic_lost from c, s group by 1,2,3,4)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, own) as bigint) as shapley from r
+"""
+
+SQL = {"op6_licence_scan": OP6, "op7_jaccard_join": OP7, "op9_lm_score": OP9, "op10_decontaminate": OP10, "op11_chat_format": OP11, "op12_filter_audit": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licences, lm_score, near_dup, oracles, packing, quality, runs, token_counts, token_file, toxicity, url_filter
+from . import chat, decontaminate, filter_audit, licences, lm_score, near_dup, oracles, packing, quality, runs, token_counts, token_file, toxicity, url_filter
 from .common import bind, table, words_of, written
 from .oracles import PLANTED
 
@@ -91,6 +91,12 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("conv").cast("long").alias("conv_id"), *found.columns[2:])
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.fingerprints(table(spark, sf_dir, "documents"))
+    marks = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    return filter_audit.audit(filter_audit.with_repeats(filter_audit.labelled(rows, table(spark, sf_dir, "labels"), marks)))
+
+
 def planted_periods(docs: DataFrame) -> DataFrame:
     """The contract's texts: of every tenth document by crc32 of its id, the words from one on repeat with a period."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -119,7 +125,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_quality_rules, op4_packing, op5_token_file, op6_licence_scan, op7_jaccard_join, op8_token_counts, op9_lm_score, op10_decontaminate, op11_chat_format, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_quality_rules, op4_packing, op5_token_file, op6_licence_scan, op7_jaccard_join, op8_token_counts, op9_lm_score, op10_decontaminate, op11_chat_format, op12_filter_audit, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
