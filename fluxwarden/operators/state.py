@@ -97,6 +97,28 @@ def history_within(fields: list[str], keys: list, ts: str, order: list, n: int,
     return F.filter(F.collect_list(F.struct(*fields, now.alias("_us"))).over(w), lambda x: x["_us"] >= now - F.lit(int(ttl_s * 1_000_000)))
 
 
+def newest_times(df: DataFrame, keys: list[str], ts: str, n: int = 200, ttl_s: float = 3600) -> DataFrame:
+    """A row for each key and time: the newest n distinct times that are at most ``ttl_s`` seconds old, in microseconds, oldest first. Rows of one time
+    meet before the window, whose frame is n rows, so a busy key costs no more than n numbers a row."""
+    per = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).distinct()
+    w = Window.partitionBy(*keys).orderBy("us").rowsBetween(-(n - 1), Window.currentRow)
+    return per.withColumn("times", F.filter(F.collect_list("us").over(w), lambda t: t >= F.col("us") - F.lit(int(ttl_s * 1_000_000))))
+
+
+def read_once(df: DataFrame, fields: list[str], reads: str, keys: list[str], ts: str, order: list[str], n: int = 200, ttl_s: float = 120) -> DataFrame:
+    """The reading rows of ``df`` (``reads`` true) plus packets: the newest n rows put in since the key was last read, structs of the fields, oldest
+    first; none once ``ttl_s`` seconds have passed since the last of them. A reading ends a stretch of rows, and so does an idle time, so what a reading
+    takes is a frame of n rows of its own stretch."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    took = F.coalesce(F.lag(reads).over(w), F.lit(False))
+    idle = us - F.lag(us).over(w) >= F.lit(int(ttl_s * 1_000_000))
+    d = df.withColumn(reads, F.coalesce(F.col(reads), F.lit(False))).withColumn("_new", F.when(took | idle, 1).otherwise(0))
+    d = d.withColumn("_stretch", F.sum("_new").over(running(keys, order)))
+    held = Window.partitionBy(*keys, "_stretch").orderBy(*order).rowsBetween(-n, -1)
+    return d.withColumn("packets", F.collect_list(F.struct(*fields)).over(held)).where(F.col(reads)).drop("_new", "_stretch")
+
+
 def interval(ts: str, keys: list, order: list) -> Column:
     """Seconds since the key's last row."""
     return seconds(F.col(ts)) - seconds(F.lag(ts).over(Window.partitionBy(*keys).orderBy(*order)))
