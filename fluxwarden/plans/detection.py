@@ -123,6 +123,31 @@ def alert_counts(spark, sf_dir):
     return _suppressed(spark, sf_dir).groupBy("threat_type", "severity").agg(F.count("*").alias("n"), F.count("rule_id").alias("suppressed"))
 
 
+_MANY = _BRUTE + """, a as (select *, string_split(src_ip,'.')[3]::int*256+string_split(src_ip,'.')[4]::int as s34, case when starts_with(dst_ip,'10.1.0.') then string_split(dst_ip,'.')[4]::int end as inner4, case when starts_with(dst_ip,'198.') then string_split(dst_ip,'.')[4]::int end as outer4 from brute),
+ r as (select c_custkey as i, c_custkey % 50 as age, c_custkey % 5 as kind from customer where c_custkey % 3 = 0),
+ hits as (select a.flow_id, r.i, r.age from a, r where case r.kind when 0 then s34 // 8 = (r.i*8 % 512) // 8 when 1 then outer4 = r.i % 20 and dst_port=22 when 2 then inner4 // 4 = r.i % 13 and threat_type='rdp_brute_force'
+   when 3 then dst_ip='8.8.8.8' and flow_id % 5 = r.i % 9 else threat_type='rdp_brute_force' and s34 // 16 = 0 and outer4 // 2 = (r.i % 20) // 2 end)
+ select a.flow_id, threat_type, z.rule_id from a left join (select flow_id, arg_min(concat('c', lpad(i::varchar, 8, '0')), age*100000000::bigint+i) as rule_id from hits group by 1) z using (flow_id)"""
+
+
+@query(_MANY)
+def suppression_many_rules(spark, sf_dir):
+    i = F.col("c_custkey")
+    kind, text = i % 5, lambda c: c.cast("string")
+    src = F.when(kind == 0, F.concat(F.lit("10.0."), text(F.floor((i * 8 % 512) / 256)), F.lit("."), text(i * 8 % 256), F.lit("/29"))).when(kind == 4, "10.0.0.0/28")
+    dst = (
+        F.when(kind == 1, F.concat(F.lit("198.51.100."), text(i % 20))).when(kind == 2, F.concat(F.lit("10.1.0."), text(i % 13 * 4), F.lit("/30")))
+        .when(kind == 3, F.concat(F.lit("2001:db8:0:"), text(i % 9), F.lit("::/64"))).when(kind == 4, F.concat(F.lit("198.51.100."), text(i % 20), F.lit("/31")))
+    )
+    made = table(spark, sf_dir, "customer").where(i % 3 == 0).select(
+        F.concat(F.lit("c"), F.lpad(text(i), 8, "0")).alias("rule_id"), F.timestamp_seconds(i % 50).alias("created_at"), F.lit(True).alias("enabled"), F.lit(None).cast("timestamp").alias("expires_at"), src.alias("src_cidr"), dst.alias("dst_cidr"),
+        F.when(kind == 1, 22).alias("dst_port"), F.lit(None).cast("string").alias("sni_pattern"), F.when(kind.isin(2, 4), "rdp_brute_force").alias("threat_type"),
+    )
+    a = _brute(spark, sf_dir).drop("mitre_ttps")
+    a = a.withColumn("dst_ip", F.when(F.col("dst_ip") == "8.8.8.8", F.concat(F.lit("2001:db8::"), text(F.col("flow_id") % 5), F.lit(":0:0:0:8"))).otherwise(F.col("dst_ip")))
+    return rules.suppress(a, made, ["flow_id"]).select("flow_id", "threat_type", "rule_id")
+
+
 RANSOM = """(with f as (select *, dst_port=445 as smb, sum((dst_port=445)::int) over (partition by src_ip, dst_ip, floor(epoch(ts)/86400) order by ts, flow_id rows unbounded preceding) as rate,
    coalesce(nullif(orig_pkts,0),1)/greatest(coalesce(nullif(duration_s,0e0),0.1e0),0.001e0) as pps from {flows}),
  g as (select *, smb and (rate>=30 or orig_bytes>=500000) as s1, dst_port in (135,445) and starts_with(dst_ip,'10.') as s2, dst_port=8888 and payload_entropy>=7.5e0 as s3, smb and pps>50 and orig_bytes<10000 as s4 from f),
