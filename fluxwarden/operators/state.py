@@ -70,6 +70,21 @@ def with_running_count(df: DataFrame, name: str, keys: list[str], ts: str, order
     return d.withColumn(name, running_count([*keys, "_slice"], order) + F.col("_before")).select(*df.columns, name)
 
 
+def with_running(df: DataFrame, sums: dict[str, Column], keys: list[str], ts: str, order: list[str], slice_s: int, latest: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` plus running sums per key, the current row included, and for each name in ``latest`` the greatest value of the key's rows that are earlier in
+    time. A key's rows are sorted in slices of time, a task each; a row per slice carries the sums and the greatest values on. ``order`` must begin with the time."""
+    latest = latest or {}
+    d = df.withColumn("_slice", bucket(F.col(ts), slice_s)).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumns({f"_of_{n}": c for n, c in (sums | latest).items()})
+    per = d.groupBy(*keys, "_slice").agg(*[(F.sum if n in sums else F.max)(f"_of_{n}").alias(n) for n in (*sums, *latest)])
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, "_slice")], *[(F.sum if n in sums else F.max)(n).over(before).alias(f"_before_{n}") for n in (*sums, *latest)])
+    d = d.join(per, [d[k].eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, "_slice")])
+    local = running([*keys, "_slice"], order)
+    earlier = Window.partitionBy(*keys, "_slice").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
+    out = {n: F.coalesce(F.sum(f"_of_{n}").over(local), F.lit(0)) + F.coalesce(f"_before_{n}", F.lit(0)) for n in sums}
+    return d.withColumns(out | {n: F.greatest(F.max(f"_of_{n}").over(earlier), F.col(f"_before_{n}")) for n in latest}).select(*df.columns, *out, *latest)
+
+
 def with_idle_counts(df: DataFrame, names: dict[str, int], keys: list[str], ts: str, order: list[str]) -> DataFrame:
     """``df`` plus, for each name, the value of a counter per key that is set back when it has been idle for so many seconds."""
     for name, gap in names.items():

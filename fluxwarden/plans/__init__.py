@@ -1,6 +1,6 @@
 """Driver queries: each module registers its own."""
 
-from . import alerting, analysis, datasets, detection, features, models, more, streams
+from . import alerting, analysis, datasets, detection, features, graphs, models, more, streams
 from .registry import QUERIES, SQL
 
 
