@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from .storage import written
+
 
 def seconds(ts: Column) -> Column:
     """Epoch seconds with fractions."""
@@ -177,20 +179,45 @@ def trailing_rate(df: DataFrame, ts: str, width: int = 5) -> DataFrame:
     return near.groupBy("second").agg(F.floor(F.sum("n") / width).cast("long").alias("rate"))
 
 
-def dedup_ttl(df: DataFrame, key: str, ts: str, order: list[str], ttl_s: float) -> DataFrame:
-    """Rows that pass a set-if-absent key with a time to live that later rows don't refresh: greedy from the first row. Rows are
-    sorted by key and time, and a task remembers one time only. Each choice depends on the one before, so a key stays in one task,
-    which reads it as a sorted stream and holds a page."""
-
-    def run(pages):
-        last, opened = object(), 0
-        for pdf in pages:
-            keep = []
-            for k, t in zip(pdf[key].tolist(), pdf["_us"].tolist(), strict=True):
-                if passes := k != last or t - opened >= ttl_s * 1e6:
-                    last, opened = k, t
-                keep.append(passes)
-            yield pdf[keep].drop(columns="_us")
-
-    dealt = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(F.col(key)).sortWithinPartitions(key, *order)
-    return dealt.mapInPandas(run, df.schema)
+def _next_times(times: DataFrame, ahead_us: int, slice_s: float) -> DataFrame:
+    """``times`` (_k, us) plus nxt, the key's first time that is at least ``ahead_us`` later, and opens, whether none is less than ``ahead_us`` before it. Slices of
+    a key are sorted by tasks of their own; a row per slice carries the nearest times over."""
+    width = int(slice_s * 1_000_000)
+    marks = F.array(F.struct(F.col("us").alias("t"), F.lit(True).alias("real")), F.struct((F.col("us") + ahead_us).alias("t"), F.lit(False).alias("real")))
+    d = times.select("_k", "us", F.explode(marks).alias("m")).select("_k", "us", "m.*").withColumn("_slice", F.floor(F.col("t") / width))
+    per = d.where("real").groupBy("_k", "_slice").agg(F.min("t").alias("_from"), F.max("t").alias("_to"))
+    # The nearest slices that hold rows, for every slice that holds rows or marks.
+    per = d.select("_k", "_slice").distinct().join(per, ["_k", "_slice"], "left")
+    by_slice = Window.partitionBy("_k").orderBy("_slice")
+    later = F.min("_from").over(Window.partitionBy("_k").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select("_k", "_slice", later.alias("_later"), F.max("_to").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
+    d = d.join(per, ["_k", "_slice"])
+    down = Window.partitionBy("_k", "_slice").orderBy(F.desc("t"), F.desc("real")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up = Window.partitionBy("_k", "_slice").orderBy("t", "real").rowsBetween(Window.unboundedPreceding, -1)
+    real = F.when(F.col("real"), F.col("t"))
+    d = d.withColumns({"nxt": F.coalesce(F.min(real).over(down), F.col("_later")), "_last": F.coalesce(F.max(real).over(up), F.col("_earlier"))})
+    return d.groupBy("_k", "us").agg(F.max(F.when(~F.col("real"), F.col("nxt"))).alias("nxt"), F.max(F.when(F.col("real"), F.col("_last"))).alias("_last")).select(
+        "_k", "us", "nxt", (F.col("_last").isNull() | (F.col("us") - F.col("_last") >= ahead_us)).alias("opens")
+    )
+
+
+def dedup_ttl(df: DataFrame, key: str, ts: str, order: list[str], ttl_s: float, slice_s: float | None = None) -> DataFrame:
+    """Rows that pass a set-if-absent key with a time to live that later rows don't refresh: greedy from the first row. A row that comes the time to live or more
+    after all earlier ones always passes, which cuts a key into islands; in an island the row after a passing one is the first that is the time to live later, so rows
+    are linked to that one, and the passing rows are those that an island's first row reaches. They are found by doubling the links' reach: log2 of an island's
+    length joins, whatever the key. Of the rows of a key and time only the first by ``order`` can pass. Rows without a time don't pass; null is a key like others."""
+    ttl = int(ttl_s * 1_000_000)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.where(F.col(ts).isNotNull()).groupBy(F.struct(F.col(key).alias("key")).alias("_k"), us.alias("us")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    rows = written(rows, "times")
+    times = written(_next_times(rows.select("_k", "us"), ttl, slice_s or 64 * ttl_s), "next")
+    opens = times.where("opens").select("_k", "us")
+    far = times.where("nxt is not null").select("_k", "us", F.col("nxt").alias("up")).join(opens.select(F.col("_k"), F.col("us").alias("up")), ["_k", "up"], "left_anti")
+    levels = [written(far.select("_k", "us", "up"), "links")]
+    while not levels[-1].isEmpty():
+        over = levels[-1].select("_k", F.col("us").alias("up"), F.col("up").alias("_up"))
+        levels.append(written(levels[-1].join(over, ["_k", "up"]).select("_k", "us", F.col("_up").alias("up")), "links"))
+    passing = opens
+    for level in reversed(levels[:-1]):
+        passing = passing.join(level, ["_k", "us"], "left").select("_k", F.explode(F.array_compact(F.array("us", "up"))).alias("us"))
+    return rows.join(passing, ["_k", "us"]).select("_row.*")
