@@ -99,14 +99,15 @@ def packets_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.schema(PACKET).json(path)
 
 
-def raw_packets(packets: DataFrame, data: str = "data", ts: str = "ts") -> DataFrame:
-    """Ethernet frames as binary: addresses, ports, length, protocol and flags of IPv4 TCP and UDP."""
+def raw_packets(packets: DataFrame, data: str = "data", ts: str = "ts", all_ip: bool = False) -> DataFrame:
+    """Ethernet frames as binary: addresses, ports, length, protocol and flags of IPv4 TCP and UDP; with ``all_ip`` of other IPv4 protocols as well, with ports 0."""
     at = lambda i, n=1: F.conv(F.hex(F.substring(F.col(data), i + 1, n)), 16, 10).cast("long")
     ihl = at(14).bitwiseAND(15) * 4
     byte = lambda off, n: F.conv(F.hex(F.substring(F.col(data), F.lit(15) + ihl.cast("int") + off, F.lit(n))), 16, 10).cast("int")
-    d = packets.where((at(12, 2) == 0x0800) & at(23).isin(6, 17))
+    ported = at(23).isin(6, 17)
+    d = packets.where((at(12, 2) == 0x0800) & (F.lit(all_ip) | ported))
     return d.select(
-        F.col(ts).cast("double").alias("ts"), net.long_to_ip(at(26, 4)).alias("src"), net.long_to_ip(at(30, 4)).alias("dst"), byte(0, 2).alias("sport"), byte(2, 2).alias("dport"),
+        F.col(ts).cast("double").alias("ts"), net.long_to_ip(at(26, 4)).alias("src"), net.long_to_ip(at(30, 4)).alias("dst"), F.when(ported, byte(0, 2)).otherwise(0).alias("sport"), F.when(ported, byte(2, 2)).otherwise(0).alias("dport"),
         at(16, 2).cast("int").alias("len"), at(23).cast("int").alias("proto"), F.when(at(23) == 6, byte(13, 1)).otherwise(0).alias("flags"),
     )
 
