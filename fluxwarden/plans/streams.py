@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import state
 from ..sources.flowview import table
-from ..streaming import keyed
+from ..streaming import handshake, keyed
 from .models import _streamed
 from .registry import query
 
@@ -77,3 +77,26 @@ def packet_buffer(spark, sf_dir):
 def stream_packet_buffer(spark, sf_dir):
     d = stream(spark, sf_dir, lambda s: keyed.read_once(s.withColumn("reads", F.col("event_type") == "purchase"), ["event_id"], "reads", "user_id", order="event_id", n=5, ttl_s=2 * DAY, late=LATE))
     return d.select(F.col("id").alias("event_id"), "key", *_packets(d))
+
+
+def hello_packets(events):
+    """Three packets of each event's own connection: the second part of a client's hello, then the first, then one without payload, a tenth of a second apart."""
+    i = F.col("event_id")
+    hexed = lambda n, width: F.lpad(F.hex(n), width, "0")
+    sni = F.concat(F.col("event_type"), F.lit(".example.com"))
+    n, size = 1 + i % 5, F.length(sni)
+    name = F.concat(F.lit("0000"), hexed(size + 5, 4), hexed(size + 3, 4), F.lit("00"), hexed(size, 4), F.hex(sni.cast("binary")))
+    body = F.concat(F.lit("0303" + "00" * 33), hexed(2 * n, 4), F.expr("repeat('C02B', cast(1 + event_id % 5 as int))"), F.lit("0100"), hexed(size + 9, 4), name)
+    length = F.length(body) / 2
+    raw = F.unhex(F.concat(F.lit("160301"), hexed((length + 4).cast("long"), 4), F.lit("01"), hexed(length.cast("long"), 6), body))
+    d = events.select("event_id", "ts", raw.alias("raw"), (5 + i % 40).cast("int").alias("cut"))
+    parts = F.array(*[F.struct(F.lit(k).alias("k"), seq.cast("long").alias("seq"), data.alias("payload")) for k, (seq, data) in enumerate(((1000 + F.col("cut"), F.substring("raw", F.col("cut") + 1, F.length("raw"))), (F.lit(1000), F.substring("raw", F.lit(1), F.col("cut"))), (F.lit(2000), F.lit(None).cast("binary"))))])
+    d = d.select("event_id", "ts", F.explode(parts).alias("p"))
+    return d.select((i * 3 + F.col("p.k")).alias("packet_id"), (F.col("ts").cast("timestamp") + F.expr("make_dt_interval(0, 0, 0, p.k / 10.0)")).alias("ts"), F.concat(F.lit("10.0.0."), i.cast("string")).alias("src_ip"), F.lit(5000).alias("src_port"), F.lit("9.9.9.9").alias("dst_ip"), F.lit(443).alias("dst_port"), "p.seq", "p.payload")
+
+
+@query("""select event_id*3+k as packet_id, concat(event_type,'.example.com') as sni, md5(concat('771,',rtrim(repeat('49195-',(1+event_id % 5)::int),'-'),',0,,')) as ja3 from events, (select unnest([1,2])::bigint as k)
+  union all select event_id*3, null, null from events""")
+def tls_sessions(spark, sf_dir):
+    d = handshake.with_fingerprints(handshake.sessions(hello_packets(table(spark, sf_dir, "events"))))
+    return d.select(F.col("id").alias("packet_id"), "sni", "ja3")
