@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,34 +177,67 @@ def index_correlation(a: Column) -> Column:
 CONTEXT = ("iat_cv", "trend", "duration_cv", "history_len", "periodicity_score", "regularity", "dominant_period_ms")
 
 
+def _grid(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lists as rows of one array, filled up with zeros, and their sizes; a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1]) < sizes[:, None]] = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return out, sizes
+
+
+def _sums(a: np.ndarray) -> np.ndarray:
+    """Sum of each row, added from left to right as SQL adds."""
+    out = np.zeros(len(a))
+    for column in a.T:
+        out += column
+    return out
+
+
+def _context(times: np.ndarray, n: np.ndarray, durations: np.ndarray, n_durations: np.ndarray) -> dict[str, np.ndarray]:
+    """``CONTEXT`` of each row; of rows under two times it means nothing."""
+    size = np.maximum(n - 1, 1)  # intervals
+    real = np.arange(max(times.shape[1] - 1, 1)) < (n - 1)[:, None]
+    x = np.where(real, np.diff(times, axis=1) / 1e6 if times.shape[1] > 1 else 0.0, 0.0)
+    m = _sums(x) / size
+    off = np.where(real, x - m[:, None], 0.0)
+    spread = _sums(off * off)
+    s = np.sqrt(spread / size)
+    z = off / (s + 1e-9)[:, None]
+    power = _sums(z * z)
+    best, lag = np.full(len(x), -np.inf), np.zeros(len(x))
+    for k in range(1, x.shape[1]):  # the correlation at a lag is that of the series divided by its spread, up to the guards against zero
+        r = np.where(k < n - 1, _sums(z[:, k:] * z[:, :-k]) / (power + 1e-9), -np.inf)
+        lag[r > best] = k
+        best = np.maximum(best, r)
+    iat_cv = s / (m + 1e-9)
+    shared = _sums(off * (np.arange(x.shape[1]) - (size[:, None] - 1) / 2))
+    flat = (size < 2) | (s <= 1e-9 * (np.abs(m) + 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        trend = np.where(flat, 0.0, shared / np.sqrt(spread * (size * (size * size - 1.0) / 12.0)))
+        mean = _sums(durations) / n_durations
+        held = np.arange(durations.shape[1]) < n_durations[:, None]
+        duration_cv = np.sqrt(_sums(np.where(held, durations - mean[:, None], 0.0) ** 2) / n_durations) / (mean + 1e-9)
+    short, even = size < 6, s < 1e-2
+    score = np.where(short, 0.0, np.where(even, 1.0, best))
+    period = np.where(short, 0.0, np.where(even, m * 1000.0, m * lag * 1000.0))
+    return dict(zip(CONTEXT, (iat_cv, trend, duration_cv, n.astype(float), score, np.maximum(0.0, 1 - np.minimum(1.0, iat_cv / 2)), period), strict=True))
+
+
 def host_context(times_us: Column, durations: Column) -> Column:
     """struct of ``CONTEXT`` from the flow times (microseconds, oldest first) and durations of a host's history: all 0 under two flows.
-    Periodicity needs six intervals; a constant series has 1 at its own interval."""
-    none = F.struct(*[F.lit(0.0).alias(c) for c in CONTEXT])
-
-    def over(x: Column) -> Column:
-        sd = bind(mean(x), lambda m: F.sqrt(total(F.transform(x, lambda v: (v - m) * (v - m))) / F.size(x)))
-        return bind(F.struct(mean(x).alias("m"), sd.alias("s")), lambda q: of(x, q["m"], q["s"]))
-
-    def of(x: Column, m: Column, s: Column) -> Column:
-        iat_cv = s / (m + F.lit(1e-9))
-        # The correlation at a lag is that of the series divided by its spread, up to the guards against zero.
-        power = total(F.transform(x, lambda v: ((v - m) / (s + F.lit(1e-9))) * ((v - m) / (s + F.lit(1e-9)))))
-        at = lambda k: total(F.transform(F.sequence(k, F.size(x) - 1), lambda i: ((F.get(x, i) - m) / (s + F.lit(1e-9))) * ((F.get(x, i - k) - m) / (s + F.lit(1e-9)))))
-        best = F.array_max(F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda k: F.struct((at(k) / (power + F.lit(1e-9))).alias("r"), (-k).alias("k"))))
-        periodic = (
-            F.when(F.size(x) < 6, F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("period")))
-            .when(s < F.lit(1e-2), F.struct(F.lit(1.0).alias("score"), (m * 1000.0).alias("period")))
-            .otherwise(bind(best, lambda b: F.struct(b["r"].alias("score"), (m * (-b["k"]) * 1000.0).alias("period"))))
-        )
-        fields = [
-            iat_cv, index_correlation(x), bind(mean(durations), lambda d: std(durations) / (d + F.lit(1e-9))), F.size(times_us).cast("double"),
-            periodic["score"], F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), iat_cv / 2)), periodic["period"],
-        ]
-        return F.struct(*[f.alias(c) for f, c in zip(fields, CONTEXT, strict=True)])
-
-    gaps = F.transform(diffs(times_us), lambda d: d / F.lit(1e6))
-    return F.when(F.size(times_us) >= 2, bind(gaps, over)).otherwise(none)
+    Periodicity needs six intervals; a constant series has 1 at its own interval. Without durations, or where one is missing, duration_cv is null.
+    Histories pass NumPy in Arrow batches: Spark interprets nested functions over arrays, at a millisecond a row."""
+
+    @F.arrow_udf("struct<" + ", ".join(f"{c}: double" for c in CONTEXT) + ">")
+    def run(times: pa.Array, lengths: pa.Array) -> pa.Array:
+        (t, n), (d, k) = _grid(times), _grid(lengths)
+        found = _context(t, n, d, k)
+        none = n < 2
+        columns = {c: np.where(none, 0.0, v) for c, v in found.items()}
+        unknown = ~none & ((k == 0) | np.isnan(d).any(1))
+        return pa.StructArray.from_arrays([pa.array(v, mask=unknown if c == "duration_cv" else None) for c, v in columns.items()], list(columns))
+
+    return run(times_us, durations)
 
 
 def norm_clip(v: Column, most: float) -> Column:
