@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..ml import models
+from ..ml.adaptive import AdaptiveForest
+from ..ml.boosting import SoftmaxBoosting
 from ..operators import storage
 from ..sources.flowview import sparse_flows
 from ..streaming import twins
@@ -32,6 +34,24 @@ def isolation_forest(spark, sf_dir):
     return models.IsolationForest().fit(f, COLUMNS).score(f).select("flow_id", "anomaly")
 
 
+@query()
+def boosted_multiclass(spark, sf_dir):
+    """The class with the largest probability, learned from ports and sizes: what a flow's port is used for."""
+    f = sparse_flows(spark, sf_dir).withColumn("y", F.when(F.col("orig_bytes") > 400_000, 3).when(F.col("duration_s") < 15, 2).when(F.col("orig_pkts") > 12, 1).otherwise(0))
+    model = SoftmaxBoosting(rounds=4, depth=3, rate=0.4, bins=32).fit(f, COLUMNS, "y", 4)
+    return model.transform(f).select("flow_id", "y", F.expr("cast(array_position(probabilities, array_max(probabilities)) - 1 as int)").alias("predicted"))
+
+
+@query()
+def adaptive_forest(spark, sf_dir):
+    """What the forest said of each flow after it had learned three stretches of days, one by one."""
+    f = sparse_flows(spark, sf_dir).withColumn("y", (F.col("orig_bytes") > 300_000).cast("int")).withColumn("day", F.dayofmonth("ts"))
+    forest = AdaptiveForest(COLUMNS, 2, trees=3, bins=16)
+    for k in range(3):
+        forest.learn(f.where(F.col("day").between(1 + 10 * k, 10 + 10 * k)), "y", "flow_id")
+    return forest.transform(f).select("flow_id", "y", (F.col("probabilities")[1] > 0.5).alias("large"))
+
+
 @query()
 def kmeans_diverse(spark, sf_dir):
     return models.diverse(_features(spark, sf_dir), "flow_id", 8)
