@@ -122,10 +122,14 @@ def noise_robust(clean_f1: float, noisy_f1: float, most: float = 0.05) -> bool:
     return clean_f1 > 0 and (clean_f1 - noisy_f1) / clean_f1 < most
 
 
-def with_noise(df: DataFrame, features: list[str], sigma: float = 0.1, seed: int = 7) -> DataFrame:
-    """Features with normal noise of ``sigma`` of their own spread; the spread is measured on all rows."""
+def with_noise(df: DataFrame, features: list[str], sigma: float = 0.1, seed: int = 7, key: str | None = None) -> DataFrame:
+    """Features with normal noise of ``sigma`` of their own spread; the spread is measured on all rows. The noise comes from hashes of the row (of ``key``, else of
+    all its columns) by Box and Muller's way, so it doesn't depend on how rows are dealt."""
     spread = df.agg(*[F.stddev_pop(c).alias(c) for c in features]).first()
-    return df.withColumns({c: F.col(c) + F.randn(seed + i) * float(sigma * (spread[c] or 0.0)) for i, c in enumerate(features)})
+    row = F.xxhash64(*([key] if key else df.columns))
+    even = lambda i, k: (F.pmod(F.xxhash64(row, F.lit(seed), F.lit(i), F.lit(k)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    normal = lambda i: F.sqrt(F.lit(-2.0) * F.log(even(i, 1))) * F.cos(F.lit(2 * math.pi) * even(i, 2))
+    return df.withColumns({c: F.col(c) + normal(i) * F.lit(float(sigma * (spread[c] or 0.0))) for i, c in enumerate(features)})
 
 
 def drift(a: DataFrame, b: DataFrame, features: list[str], p: float = 0.01, share: float = 0.20, least: int = 30) -> DataFrame:

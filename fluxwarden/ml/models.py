@@ -18,10 +18,64 @@ from pyspark.sql.window import Window
 from ..functions.common import finite
 
 
+#: Values around a quantile's mark that are counted one by one in the last pass of ``quantiles``; how finely the sketches that lead there cut.
+AROUND, FINE = 10_000, 10_000
+
+
+def quantiles(df: DataFrame, features: list[str], shares: tuple[float, ...]) -> dict[str, list[float] | None]:
+    """Exact quantiles (between two values, in proportion) of each feature; missing values don't count, and a feature without values has none. Sketches that add up
+    bracket every mark, and each pass counts what lies below and between the brackets and cuts them finer, until few different values lie between; only these are
+    counted one by one. No task holds more than a sketch and a bracket for each mark."""
+    value = {c: finite(F.col(c).cast("double")) for c in features}
+    sizes = df.agg(*[F.count(v).alias(c) for c, v in value.items()]).first()
+    marks = {(c, k): p * (sizes[c] - 1) for c in features if sizes[c] for k, p in enumerate(shares)}
+    low, high = dict.fromkeys(marks), dict.fromkeys(marks)
+    below, between, open_ = dict.fromkeys(marks, 0), {m: sizes[m[0]] for m in marks}, list(marks)
+    held = lambda m: value[m[0]].between(F.lit(low[m]), F.lit(high[m])) if low[m] is not None else value[m[0]].isNotNull()
+    while open_ := [m for m in open_ if between[m] > AROUND]:
+        cells = []
+        for n, m in enumerate(open_):
+            at = (marks[m] - below[m]) / max(1, between[m] - 1)
+            ends = [min(1.0, max(0.0, at + d)) for d in (-3 / FINE, 3 / FINE)]
+            cells.append(F.percentile_approx(F.when(held(m), value[m[0]]), F.array(*map(F.lit, ends)), F.lit(FINE)).alias(f"q{n}"))
+        found = df.agg(*cells).first()
+        was = {m: (low[m], high[m]) for m in open_}
+        for n, m in enumerate(open_):
+            low[m], high[m] = found[f"q{n}"]
+        counted = df.agg(*[e.alias(f"{k}{n}") for n, m in enumerate(open_) for k, e in (("b", F.count_if(value[m[0]] < low[m])), ("i", F.count_if(held(m))))]).first()
+        for n, m in enumerate(open_):
+            below[m], between[m] = counted[f"b{n}"], counted[f"i{n}"]
+            k = int(marks[m])
+            if not below[m] <= k or not min(k + 1, sizes[m[0]] - 1) < below[m] + between[m]:  # the sketch missed the mark: the bracket before stands
+                low[m], high[m] = was[m]
+                below[m] = df.where(value[m[0]] < low[m]).count() if low[m] is not None else 0
+        open_ = [m for m in open_ if (low[m], high[m]) != was[m] and low[m] != high[m]]  # many equal values: few different ones are left
+    out: dict[str, list[float] | None] = {c: [0.0] * len(shares) if sizes[c] else None for c in features}
+    each = [F.when(held(m), F.struct(F.lit(n).alias("m"), value[m[0]].alias("v"))) for n, m in enumerate(marks)]
+    if each:
+        counts: dict[int, list[tuple[float, int]]] = {}
+        for r in df.select(F.explode(F.array_compact(F.array(*each))).alias("x")).groupBy("x.m", "x.v").agg(F.count("*").alias("n")).toLocalIterator():
+            counts.setdefault(r["m"], []).append((r["v"], r["n"]))
+        for n, (m, mark) in enumerate(marks.items()):
+            out[m[0]][m[1]] = _at(sorted(counts[n]), mark - below[m])
+    return out
+
+
+def _at(counts: list[tuple[float, int]], mark: float) -> float:
+    """The value at a place, from 0, among values with their numbers."""
+    k, found, seen = int(mark), [], 0
+    for v, n in counts:
+        while len(found) < 2 and k + len(found) < seen + n:
+            found.append(v)
+        seen += n
+    a, z = found[0], found[-1]
+    return a if a == z or mark == k else (k + 1 - mark) * a + (mark - k) * z
+
+
 def medians(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
     """Median and interquartile range of each feature; missing values don't count."""
-    row = df.agg(*[F.percentile(finite(F.col(c).cast("double")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in features]).first()
-    return {c: (row[c][1], (row[c][2] - row[c][0]) or 1.0) if row[c] else (0.0, 1.0) for c in features}
+    found = quantiles(df, features, (0.25, 0.5, 0.75))
+    return {c: (q[1], (q[2] - q[0]) or 1.0) if q else (0.0, 1.0) for c, q in found.items()}
 
 
 def scaled(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFrame:
@@ -85,6 +139,34 @@ def calibrated(df: DataFrame, label: str, score: str):
     return IsotonicRegression(labelCol=label, featuresCol=score).fit(df)
 
 
+def calibrated_by_folds(df: DataFrame, label: str, key: str, train, method: str = "isotonic", folds: int = 5):
+    """Calibration by cross-validation: for each fold a model of the others (``train(rows)`` gives a function that adds column z) and, on the fold, a calibration of its score,
+    isotonic or sigmoid. What is returned adds ``probability``, the mean over the folds."""
+    fold = F.pmod(F.xxhash64(key), F.lit(folds))
+    pairs = []
+    for k in range(folds):
+        score = train(df.where(fold != k))
+        held = score(df.where(fold == k)).select(F.col(label).cast("double").alias("y"), "z")
+        if method == "sigmoid":
+            pairs.append((score, LogisticRegression(labelCol="y", maxIter=100).fit(VectorAssembler(inputCols=["z"], outputCol="features").transform(held))))
+        else:
+            pairs.append((score, IsotonicRegression(labelCol="y", featuresCol="z").fit(held)))
+
+    def probability(rows: DataFrame) -> DataFrame:
+        total, columns = F.lit(0.0), rows.columns
+        for n, (score, model) in enumerate(pairs):
+            d = score(rows)
+            if method == "sigmoid":
+                d = d.withColumn(f"_p{n}", 1 / (1 + F.exp(-(F.col("z") * F.lit(float(model.coefficients[0])) + F.lit(float(model.intercept))))))
+            else:
+                d = model.setPredictionCol(f"_p{n}").transform(d)
+            columns = [*columns, f"_p{n}"]
+            rows, total = d.select(*columns), total + F.col(f"_p{n}")
+        return rows.withColumn("probability", total / len(pairs)).drop(*[f"_p{n}" for n in range(len(pairs))])
+
+    return probability
+
+
 def diverse(df: DataFrame, key: str, k: int, seed: int = 7) -> DataFrame:
     """For each of k clusters the row nearest to its centre."""
     model = KMeans(k=k, seed=seed).fit(df)

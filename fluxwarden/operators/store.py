@@ -11,8 +11,10 @@ from . import state
 SEVERITY_LEVELS = {"info": 1, "low": 3, "medium": 5, "high": 8, "critical": 10}
 
 
-def list_alerts(alerts: DataFrame, flows: DataFrame, severity: str | None = None, threat_type: str | None = None, src_like: str | None = None, min_confidence: float | None = None, status: str | None = None) -> DataFrame:
+def list_alerts(alerts: DataFrame, flows: DataFrame, severity: str | None = None, threat_type: str | None = None, src_like: str | None = None, min_confidence: float | None = None, status: str | None = None, alert_id: str | None = None) -> DataFrame:
     """Alerts with their flows, narrowed by the filters that are given."""
+    if alert_id is not None:
+        alerts = alerts.where(F.col("alert_id") == alert_id)
     if severity:
         alerts = alerts.where(F.col("severity") == severity)
     if threat_type:

@@ -34,6 +34,13 @@ def alerts_filtered(spark, sf_dir):
     return store.list_alerts(alerts(spark, sf_dir), sparse_flows(spark, sf_dir).drop("ts"), severity="critical", min_confidence=0.8, src_like=".1").select("flow_id", "threat_type", "src_ip", "dst_ip")
 
 
+@query(f"select a.flow_id, concat('a', a.flow_id) as alert_id, threat_type, src_ip, dst_ip from {ALERTS} a join {{flows}} f using (flow_id) where a.flow_id = (select max(flow_id) from {ALERTS})")
+def alert_by_id(spark, sf_dir):
+    a = alerts(spark, sf_dir).withColumn("alert_id", F.concat(F.lit("a"), F.col("flow_id").cast("string")))
+    newest = a.agg(F.max("flow_id")).first()[0]
+    return store.list_alerts(a, sparse_flows(spark, sf_dir).drop("ts"), alert_id=f"a{newest}").select("flow_id", "alert_id", "threat_type", "src_ip", "dst_ip")
+
+
 @query(f"select flow_id, threat_type from {ALERTS} order by ts desc, flow_id limit 50 offset 100")
 def alerts_page(spark, sf_dir):
     return store.page(alerts(spark, sf_dir).select("flow_id", "threat_type", "ts"), [F.desc("ts"), "flow_id"], 50, 100).drop("ts")

@@ -175,3 +175,25 @@ def ransomware_from_detectors(spark, sf_dir):
     c2 = detectors.tls_fingerprint(f).where("threat_type = 'blacklisted_tls_client'")
     f = detectors.with_flag(detectors.with_flag(f, lateral, "lateral_hit"), c2, "c2_hit")
     return flat(detectors.ransomware(f, F.col("lateral_hit"), F.col("c2_hit"), window_s=DAY, gap_s=7 * DAY))
+
+
+_METER = """(select event_id, case when event_id % 9 > 0 then (value*1000000)::varchar else 'bad' end as duration, event_id % 100 as mean, event_id % 13 as std, event_id*3 as orig, event_id % 50 as resp, case event_type when 'click' then 'BENIGN' when 'view' then 'Bot' when 'error' then 'Infiltration' when 'purchase' then 'PortScan' else 'Heartbleed' end as label from events)"""
+
+
+@query(f"""select orig::double as orig_bytes, round(try_cast(duration as double)/1e6,6) as duration_s, mean/1000e0 as iat_mean_ms, null::double as iat_min_ms, (orig+resp)::double as total_bytes, round(orig/(resp+1e0),6) as bytes_ratio, round((std/1000e0)/(mean/1000e0+1e-9),4) as iat_cv,
+  case label when 'BENIGN' then 0 when 'Bot' then 1 when 'Infiltration' then 3 else 2 end as label, 'CICIDS' as dataset_source, true as has_timing_features from {_METER} where label<>'Heartbleed'""")
+def flow_meter_adapter(spark, sf_dir):
+    i, kind = F.col("event_id"), F.col("event_type")
+    raw = table(spark, sf_dir, "events").select(
+        F.when(i % 9 > 0, (F.col("value") * 1_000_000).cast("string")).otherwise("bad").alias("Flow Duration"), (i % 100).alias("Fwd IAT Mean"), (i % 13).alias("Fwd IAT Std"), (i * 3).alias("Total Length of Fwd Packets"), (i % 50).alias("Total Length of Bwd Packets"),
+        F.when(kind == "click", "BENIGN").when(kind == "view", "Bot").when(kind == "error", "Infiltration").when(kind == "purchase", "PortScan").otherwise("Heartbleed").alias(" Label"),
+    )
+    d = adapters.flow_meter(raw)
+    return d.select("orig_bytes", F.round("duration_s", 6).alias("duration_s"), "iat_mean_ms", "iat_min_ms", "total_bytes", F.round("bytes_ratio", 6).alias("bytes_ratio"), F.round("iat_cv", 4).alias("iat_cv"), "label", "dataset_source", "has_timing_features")
+
+
+@query("""select event_id::double as orig_bytes, (event_id % 7)::double as resp_bytes, (event_id % 600)::double as dport, (event_id + event_id % 7)::double as total_bytes, round(event_id/(event_id % 7 + 1e0),6) as bytes_ratio, case event_type when 'click' then 1 when 'view' then 0 when 'error' then 0 end as label, 'CTU13' as dataset_source from events""")
+def connection_log_adapter(spark, sf_dir):
+    i, kind = F.col("event_id"), F.col("event_type")
+    raw = table(spark, sf_dir, "events").select(i.cast("string").alias("orig_bytes"), (i % 7).alias("resp_bytes"), (i % 600).alias("id.resp_p"), F.when(kind == "click", "Botnet").when(kind == "view", "Normal").when(kind == "error", "Background").otherwise("Other").alias("label"))
+    return adapters.connection_log(raw).select("orig_bytes", "resp_bytes", "dport", "total_bytes", F.round("bytes_ratio", 6).alias("bytes_ratio"), "label", "dataset_source")

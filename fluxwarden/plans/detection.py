@@ -72,7 +72,7 @@ _BRUTE = """with f as (select *, floor(epoch(ts)/2592000) as b from {flows}),
  g as (select *, count(*) over (partition by src_ip,dst_ip,dst_port,b order by ts, flow_id rows unbounded preceding) as r, row_number() over (partition by src_ip,dst_port,b,dst_ip order by ts, flow_id)=1 as nh from f where dst_port in (22,3389,21,25,110,5432,3306)),
  h as (select *, sum(nh::int) over (partition by src_ip,dst_port,b order by ts, flow_id rows unbounded preceding) as t, case dst_port when 22 then 2 else 1 end as l from g),
  k as (select *, t>=4 and r>=3 as spray from h),
- brute as (select flow_id, ts, src_ip, dst_ip, dst_port, case when spray then 'password_spray' when dst_port=22 then 'ssh_brute_force' else 'rdp_brute_force' end as threat_type,
+ brute as (select flow_id, ts, src_ip, dst_ip, dst_port, t, r, spray, case when spray then 'password_spray' when dst_port=22 then 'ssh_brute_force' else 'rdp_brute_force' end as threat_type,
   case when not spray and r>3*l then 'critical' else 'high' end as severity,
   round(case when spray then least(0.95e0,0.65e0+(t-4)*0.05e0) else least(0.97e0,0.60e0+(r-l)*0.02e0) end,3) as confidence,
   case when spray then 'T1110,T1110.003,T1078' else 'T1110,T1110.001' end as mitre_ttps from k where spray or r>=l)"""
@@ -87,6 +87,19 @@ def brute_force_alerts(spark, sf_dir):
     return flat(_brute(spark, sf_dir))
 
 
+@query("with " + _BRUTE.removeprefix("with ") + """ select 'brute_force' as detector, flow_id, case when spray then concat(src_ip,' tried to log in on ',t,' hosts, port ',dst_port,', within 2592000 s') else concat(src_ip,' connected ',r,' times to ',dst_ip,', port ',dst_port,', within 2592000 s') end as explanation from brute
+ union all select 'doh_dot', flow_id, concat('packets of ',floor(orig_bytes/greatest(orig_pkts,1))::bigint,' bytes to the resolver ',dst_ip,', port ',dst_port) from {flows} where dst_ip='8.8.8.8' and dst_port in (443,853) and orig_bytes/greatest(orig_pkts,1)<50000
+ union all select 'entropy_exfil', flow_id, concat(orig_bytes,' bytes of entropy ',round(payload_entropy,2),' to ',dst_ip,', port ',dst_port,', without TLS') from {flows} where dst_port in (22,3389,8888) and orig_bytes>=50000 and payload_entropy>=7.2e0""")
+def alert_explanations(spark, sf_dir):
+    f = sparse_flows(spark, sf_dir)
+    by = {"brute_force": _brute(spark, sf_dir), "doh_dot": detectors.doh_dot(f, max_packet=50000, high_below=2000), "entropy_exfil": detectors.entropy_exfil(f)}
+    out = None
+    for name, a in by.items():
+        a = a.select(F.lit(name).alias("detector"), "flow_id", "explanation")
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
 _RULES = [
     ("r1", "2024-01-01 00:00:00", True, None, "10.0.0.0/27", None, None, None, None),
     ("r2", "2024-01-01 00:00:00", True, None, None, "8.8.8.8/32", 22, None, None),

@@ -105,6 +105,58 @@ def label_by_patterns(text: Column, patterns: list[tuple[str, int]]) -> Column:
     return value
 
 
+#: Columns of the flow meter, of connection logs, and labels as the second family of adapters names them.
+FLOW_METER = {
+    "Flow Duration": "duration_s", "Fwd IAT Mean": "iat_mean_ms", "Fwd IAT Std": "iat_std_ms", "Fwd IAT Min": "iat_min_ms", "Fwd IAT Max": "iat_max_ms", "Fwd Packet Length Mean": "pkt_size_mean",
+    "Fwd Packet Length Std": "pkt_size_std", "Fwd Packet Length Min": "pkt_size_min", "Fwd Packet Length Max": "pkt_size_max", "Total Length of Fwd Packets": "orig_bytes", "Total Length of Bwd Packets": "resp_bytes",
+    "Total Fwd Packets": "orig_pkts", "Total Backward Packets": "resp_pkts", "Flow Bytes/s": "bytes_per_sec", "Flow Packets/s": "pkts_per_sec",
+}
+CONNECTION_LOG = {"duration": "duration_s", "orig_bytes": "orig_bytes", "resp_bytes": "resp_bytes", "orig_pkts": "orig_pkts", "resp_pkts": "resp_pkts", "id.resp_p": "dport"}
+FLOW_METER_LABELS = {"BENIGN": 0, "Bot": 1, "Infiltration": 3, "PortScan": 2}
+CONNECTION_LABELS = {"Botnet": 1, "Normal": 0, "Background": 0}
+
+
+def _labelled(df: DataFrame, column: str, mapping: dict[str, int]) -> Column:
+    value = F.lit(None).cast("int")
+    for k, v in mapping.items():
+        value = F.when(F.col(f"`{column}`") == k, v).otherwise(value)
+    return value
+
+
+def _sourced(df: DataFrame, name: str, tls: bool, dns: bool, timing: bool) -> DataFrame:
+    return df.withColumns({"dataset_source": F.lit(name), "has_tls_features": F.lit(tls), "has_dns_features": F.lit(dns), "has_timing_features": F.lit(timing)})
+
+
+def flow_meter(df: DataFrame) -> DataFrame:
+    """Flow meter CSV by its column names: what a table lacks is missing, not zero; rows whose label is none of the known ones go."""
+    n = lambda c: F.expr(f"`{c}`").try_cast("double") if c in df.columns else F.lit(None).cast("double")
+    scale = {"duration_s": 1e6, "iat_mean_ms": 1000.0, "iat_std_ms": 1000.0}
+    cols = {ours: n(theirs) / F.lit(scale.get(ours, 1.0)) for theirs, ours in FLOW_METER.items()}
+    label = next((c for c in ("Label", " Label") if c in df.columns), None)
+    out = df.select(*[c.alias(k) for k, c in cols.items()], *([_labelled(df, label, FLOW_METER_LABELS).alias("label")] if label else []))
+    out = out.withColumns({"total_bytes": F.col("orig_bytes") + F.col("resp_bytes"), "bytes_ratio": F.col("orig_bytes") / (F.col("resp_bytes") + 1), "pkt_ratio": F.col("orig_pkts") / (F.col("resp_pkts") + 1), "iat_cv": F.col("iat_std_ms") / (F.col("iat_mean_ms") + F.lit(1e-9))})
+    return _sourced(out.where("label is not null") if label else out, "CICIDS", False, False, True)
+
+
+def connection_log(df: DataFrame) -> DataFrame:
+    """Connection logs: the columns that are there, totals, and labels of the botnet set (others are missing)."""
+    have = {theirs: ours for theirs, ours in CONNECTION_LOG.items() if theirs in df.columns}
+    size = lambda c: F.expr(f"`{c}`").try_cast("double") if c in df.columns else F.lit(0.0)
+    out = df.select(
+        *[F.expr(f"`{theirs}`").try_cast("double").alias(ours) for theirs, ours in have.items()], (size("orig_bytes") + size("resp_bytes")).alias("total_bytes"),
+        (size("orig_bytes") / (size("resp_bytes") + 1)).alias("bytes_ratio"), *([_labelled(df, "label", CONNECTION_LABELS).alias("label")] if "label" in df.columns else []),
+    )
+    return _sourced(out, "CTU13", False, False, False)
+
+
+def dns_exfil(df: DataFrame) -> DataFrame:
+    """DNS queries with their features computed anew; a tunnel is class 2."""
+    query = F.coalesce(F.col("query"), F.lit("")) if "query" in df.columns else F.lit("")
+    tunnel = F.coalesce(F.col("label") == "tunnel", F.lit(False)) if "label" in df.columns else F.lit(False)
+    out = df.select(*[c.alias(k) for k, c in strings.dns_features(query).items()], F.when(tunnel, 2).otherwise(0).alias("label"))
+    return _sourced(out, "dns_exfil", False, True, False)
+
+
 #: The features that hold across families of malware, in the order that the linear model takes them.
 INVARIANT = ("duration_s", "total_bytes", "orig_bytes", "orig_pkts", "resp_bytes", "bytes_ratio")
 #: Columns that tell where a row comes from, not what it is.

@@ -37,12 +37,14 @@ def dns_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def zeek_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A tab-separated log whose names stand in its #fields line; without one, the first line has the names. ``-`` and ``(empty)`` are
-    null; files of one path have the same fields."""
+    null. Files of one path that name different fields are an error: read them one by one."""
     lines = spark.read.text(path)
-    named = lines.where(F.startswith("value", F.lit("#fields\t"))).first()
-    if named is None:
+    named = lines.where(F.startswith("value", F.lit("#fields\t"))).distinct().limit(2).collect()
+    if not named:
         return spark.read.csv(path, sep="\t", header=True, comment="#", nullValue="-")
-    names = named["value"].split("\t")[1:]
+    if len(named) > 1:
+        raise ValueError(f"files of {path} have different fields: {named[0]['value']!r} and {named[1]['value']!r}")
+    names = named[0]["value"].split("\t")[1:]
     cells = lines.where(~F.startswith("value", F.lit("#")) & (F.col("value") != "")).select(F.split("value", "\t").alias("c"))
     value = lambda i: F.get("c", F.lit(i))
     return cells.select(*[F.when(~value(i).isin("-", "(empty)"), value(i)).alias(n) for i, n in enumerate(names)])
