@@ -21,7 +21,7 @@ def rows(seed, n=900, noise=0.02):
 
 
 def fast(features=FEATURES, label="y", **how):
-    return validation.boosted(features, label, rounds=3, depth=2, rate=0.6, bins=16, **how)
+    return validation.boosted(features, label, rounds=2, depth=2, rate=0.8, bins=16, **how)
 
 
 def validator(df, **how):
