@@ -64,6 +64,25 @@ def precision_floor(df: DataFrame, label: str, score: str, floor: float = 0.60)
     return pr.agg(F.coalesce(F.min(F.when(F.col("precision") >= floor, F.col("threshold"))), F.max_by("threshold", F.struct("precision", "threshold"))).alias("threshold"))
 
 
+def evaluation_report(df: DataFrame, label: str, predicted: str, score: str | None = None) -> DataFrame:
+    """One table of an evaluation, (metric, cls, value): accuracy, kappa and macro and weighted F1, precision, recall, F1 and support of each class, the confusion matrix
+    (metric says predicted, cls the label), and with ``score``, the chance of a class other than 0, the areas under the ROC and the precision-recall curve and the Brier score."""
+    row = lambda metric, value, cls=F.lit(None): F.struct(F.lit(metric).alias("metric") if isinstance(metric, str) else metric.alias("metric"), cls.cast("string").alias("cls"), value.cast("double").alias("value"))
+    c, k = F.col, F.col("cls")
+    each = by_class(df, label, predicted)
+    cells = each.select(F.explode(F.array(*[row(m, c(m), k) for m in ("precision", "recall", "f1")], row("support", c("actual"), k))).alias("r"))
+    whole = each.agg(F.avg("f1").alias("macro"), F.try_divide(F.sum(c("f1") * c("actual")), F.sum("actual")).alias("weighted")).select(F.explode(F.array(row("macro_f1", c("macro")), row("weighted_f1", c("weighted")))).alias("r"))
+    agreed = kappa(df, label, predicted).select(F.explode(F.array(row("accuracy", c("accuracy")), row("kappa", c("kappa")))).alias("r"))
+    matrix = confusion(df, label, predicted).select(row(F.concat(F.lit("predicted_"), c("predicted").cast("string")), c("n"), c("label")).alias("r"))
+    out = cells.unionByName(whole).unionByName(agreed).unionByName(matrix)
+    if score is not None:
+        binary = df.select((F.col(label) > 0).cast("int").alias("y"), F.col(score).alias("s"))
+        steps = curve(binary, "y", "s").select(F.try_divide(c("pos"), c("tp_total")).alias("step"), (c("tp") / (c("tp") + c("fp"))).alias("p"))
+        for d in (roc_auc(binary, "y", "s").select(row("roc_auc", c("auc")).alias("r")), steps.agg(F.sum(c("step") * c("p")).alias("v")).select(row("average_precision", c("v")).alias("r")), brier(binary, "y", "s").select(row("brier", c("brier")).alias("r"))):
+            out = out.unionByName(d)
+    return out.select("r.*")
+
+
 def brier(df: DataFrame, label: str, p: str) -> DataFrame:
     return df.agg(F.avg(F.pow(F.col(p) - F.col(label), F.lit(2.0))).alias("brier"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,12 +34,23 @@ def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8) ->
     return d.withColumn("train", rn <= F.floor(F.lit(share) * F.col("_all"))).drop("_h", "_slot", "_before", "_all")
 
 
+def smallest_hashes(df: DataFrame, label: str, key: str, n: Column) -> DataFrame:
+    """Of each class the ``n`` rows with the smallest hashes of the key. Hashes are dealt to 4096 slots, whose sizes say which of them are taken whole; rows are numbered
+    in the one slot of a class that is taken in part, so a large class isn't sorted by one task."""
+    h = F.md5(F.col(key).cast("string"))
+    d = df.withColumn("_h", h).withColumn("_slot", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    w = Window.partitionBy(label).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy(label, "_slot").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    sizes = sizes.where(F.col("_before") < n).select(F.col(label).alias("_of"), F.col("_slot").alias("_in"), "_n", "_before")
+    d = d.join(sizes, d[label].eqNullSafe(F.col("_of")) & (F.col("_slot") == F.col("_in")))
+    part = d.where(F.col("_before") + F.col("_n") > n)
+    part = part.withColumn("_rn", F.row_number().over(Window.partitionBy(label, "_slot").orderBy("_h", key))).where(F.col("_rn") + F.col("_before") <= n)
+    return d.where(F.col("_before") + F.col("_n") <= n).select(*df.columns).unionByName(part.select(*df.columns))
+
+
 def balanced_mix(batch: DataFrame, buffer: DataFrame, label: str, key: str) -> DataFrame:
     """A batch with rows of a replay buffer: of each class as many as a third of the batch at most, the smallest hashes first."""
-    most = F.floor(batch.count() / F.lit(3)).cast("long")
-    order = [F.md5(F.col(key).cast("string")), F.col(key)]
-    some = buffer.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("_rn") <= most).drop("_rn")
-    return batch.unionByName(some)
+    return batch.unionByName(smallest_hashes(buffer, label, key, F.lit(batch.count() // 3)))
 
 
 def downsample(df: DataFrame, label: str, key: str, ratio: int, minority=1) -> DataFrame:

@@ -208,6 +208,21 @@ def baseline(flows: DataFrame) -> DataFrame:
     return flows.groupBy("src_ip").agg(F.sum("orig_bytes").alias("total_bytes"), F.count("*").alias("n_flows")).withColumn("avg_bytes", F.col("total_bytes") / F.col("n_flows"))
 
 
+def merged_baseline(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """A stored baseline with what was learned since added to it."""
+    both = stored.select("src_ip", "total_bytes", "n_flows").unionByName(new.select("src_ip", "total_bytes", "n_flows"))
+    return both.groupBy("src_ip").agg(F.sum("total_bytes").alias("total_bytes"), F.sum("n_flows").alias("n_flows")).withColumn("avg_bytes", F.col("total_bytes") / F.col("n_flows"))
+
+
+def learn_or_detect(flows: DataFrame, learning: Column, stored: DataFrame | None = None, factor: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """The baseline after the flows for which ``learning`` holds, and alerts on the others that exceed it by the factor. Flows that are learned from give no alerts, and
+    sources without a baseline neither."""
+    learned = baseline(flows.where(learning))
+    if stored is not None:
+        learned = merged_baseline(stored, learned)
+    return learned, threshold_exfil(flows.where(~learning).join(learned.select("src_ip"), "src_ip", "left_semi"), learned, (1 << 63) - 1, factor)
+
+
 def ranked(*alerts: DataFrame) -> DataFrame:
     """All alerts, with the place of their detector in the order given."""
     out = None

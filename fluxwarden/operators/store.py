@@ -149,6 +149,13 @@ def feed_json(alerts: DataFrame) -> DataFrame:
     return alerts.select("flow_id", F.to_json(fields).alias("json"))
 
 
+def topic_rows(alerts: DataFrame, topic: str = "alerts:feed") -> DataFrame:
+    """Messages of alerts as a topic sink takes them: topic, key (the source, so that its alerts stay in order) and value. A broker may
+    not allow the usual name's colon: give another then."""
+    keyed = alerts.select("flow_id", _text(alerts, "src_ip", "0.0.0.0").alias("key")).distinct()
+    return feed_json(alerts).join(keyed, "flow_id").select(F.lit(topic).alias("topic"), "key", F.col("json").alias("value"))
+
+
 def tag_list(text: Column) -> Column:
     """A list of strings from JSON or from a list written with single quotes; a plain word is a list of itself, nothing is an empty one."""
     trimmed = F.trim(text)

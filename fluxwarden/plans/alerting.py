@@ -38,6 +38,13 @@ def exfil_predict(spark, sf_dir):
     return o.select("event_id", F.round("o.anomaly_score", 6).alias("anomaly_score"), F.round("o.exfil_probability", 6).alias("exfil_probability"), "o.prediction", "o.trigger")
 
 
+@query(f"""select 'alerts:feed' as topic, src_ip as key, a.flow_id::varchar as flow_id, threat_type, src_ip as src from {ALERTS} a join {{flows}} f using (flow_id)""")
+def alert_topic(spark, sf_dir):
+    m = store.topic_rows(alerts(spark, sf_dir).join(sparse_flows(spark, sf_dir).drop("ts"), "flow_id"))
+    g = lambda k: F.get_json_object("value", f"$.{k}").alias(k)
+    return m.select("topic", "key", g("flow_id"), g("threat_type"), g("src"))
+
+
 _TTPS = """case threat_type when 'c2_beacon' then 'T1071.001,T1573.001,T1573.002' when 'dns_tunnel' then 'T1048.003,T1071.004' when 'exfiltration' then 'T1041,T1048,T1048.001' else '' end"""
 
 

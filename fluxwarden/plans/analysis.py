@@ -276,3 +276,20 @@ def sequence_builder(spark, sf_dir):
 def pivot_counts(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", F.when(F.col("value") > 5, "high").otherwise("low").alias("b"))
     return e.groupBy("event_type").pivot("b", ["high", "low"]).agg(F.count(F.lit(1)))
+
+
+@query(f"""with x as (select label, predicted, score from {_C}), c as (select unnest([0,1,2,3])::bigint as cls),
+ g as (select cls, (select count(*) from x where label=cls and predicted=cls) as tp, (select count(*) from x where label=cls) as actual, (select count(*) from x where predicted=cls) as called from c),
+ f as (select cls, actual, called, tp, tp/called as p, tp/actual as r, 2*(tp/called)*(tp/actual)/((tp/called)+(tp/actual)) as f1 from g),
+ a as (select sum(tp)/sum(actual) as po, sum(actual*called::double)/pow(sum(actual),2) as pe from g),
+ s as (select score, count(*) filter (label>0) as pos, count(*) filter (label=0) as neg from x group by 1),
+ t as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over () as p, sum(neg) over () as n from s window w as (order by score desc rows unbounded preceding)),
+ m as (select 'precision' as metric, cls::varchar as cls, p as value from f union all select 'recall', cls::varchar, r from f union all select 'f1', cls::varchar, f1 from f union all select 'support', cls::varchar, actual::double from f
+  union all select 'macro_f1', null, avg(f1) from f union all select 'weighted_f1', null, sum(f1*actual)/sum(actual) from f union all select 'accuracy', null, po from a union all select 'kappa', null, (po-pe)/(1-pe) from a
+  union all select concat('predicted_', predicted), label::varchar, count(*)::double from x group by label, predicted
+  union all select 'roc_auc', null, sum(neg*(tp-pos/2.0))/any_value(p*n::double) from t union all select 'average_precision', null, sum(pos/p*(tp/(tp+fp))) from t
+  union all select 'brier', null, avg(pow(score-(label>0)::int,2)) from x)
+ select metric, cls, round(value,6) as value from m""")
+def evaluation_report(spark, sf_dir):
+    r = metrics.evaluation_report(_classified(spark, sf_dir), "label", "predicted", "score")
+    return r.select("metric", "cls", F.round("value", 6).alias("value"))

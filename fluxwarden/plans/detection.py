@@ -270,6 +270,16 @@ def threshold_fallback(spark, sf_dir):
     return detectors.threshold_exfil(f, detectors.baseline(f)).select("flow_id", "threat_type")
 
 
+@query("""with b as (select src_ip, sum(orig_bytes)/count(*) as a from {flows} where ts < timestamp '2024-01-11' group by 1)
+ select flow_id, 'exfiltration' as threat_type, 'critical' as severity, 0.8e0 as confidence, 'T1041,T1048,T1048.001' as mitre_ttps from {flows} f join b using (src_ip) where ts >= timestamp '2024-01-11' and a>0 and orig_bytes > 3*a""")
+def baseline_modes(spark, sf_dir):
+    f = sparse_flows(spark, sf_dir)
+    early = F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-06"))
+    stored, _ = detectors.learn_or_detect(f.where(early), F.lit(True))
+    _, found = detectors.learn_or_detect(f.where(~early), F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-11")), stored, 3.0)
+    return flat(found)
+
+
 def nine(spark, sf_dir):
     """The alerts of all nine detectors, and of the upload threshold in the place of the models, on the sparse flows."""
     f = with_tls(sparse_flows(spark, sf_dir))

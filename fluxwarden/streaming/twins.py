@@ -164,3 +164,11 @@ def kafka_flows(spark, servers: str, topic: str = "network-flows", schema=None,
         source = source.option(name.replace("_", "."), value)
     raw = source.load()
     return canonical_flows(raw.select(F.from_json(F.col("value").cast("string"), schema or FLOW).alias("f")).select("f.*"))
+
+
+def to_topic(messages: DataFrame, servers: str, checkpoint: str, **options: str) -> object:
+    """A started stream that sends messages (see ``store.topic_rows``) to their topics; of a batch table, sends it at once. ``options`` as for ``kafka_flows``."""
+    writer = (messages.writeStream.option("checkpointLocation", checkpoint) if messages.isStreaming else messages.write).format("kafka").option("kafka.bootstrap.servers", servers)
+    for name, value in options.items():
+        writer = writer.option(name.replace("_", "."), value)
+    return writer.start() if messages.isStreaming else writer.save()

@@ -58,3 +58,20 @@ def test_alert_by_id(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "alert_id string, flow_id int")
     f = spark.createDataFrame([(1, "s"), (2, "t")], "flow_id int, src_ip string")
     assert [r["src_ip"] for r in store.list_alerts(a, f, alert_id="y").collect()] == ["t"]
+
+
+def test_smallest_hashes(spark):
+    import hashlib
+
+    from fluxwarden.ml import split
+
+    rng = random.Random(5)
+    rows = [(i % 900, rng.choice(["a"] * 9 + ["b", None])) for i in range(1_000)]
+    d = spark.createDataFrame(rows, "id int, y string").repartition(4)
+    for n in (0, 1, 37, 500, 5_000):
+        want = []
+        for y in ("a", "b", None):
+            own = sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i, k in rows if k == y)
+            want += [(i, y) for _, i in own[:n]]
+        got = [tuple(r) for r in split.smallest_hashes(d, "y", "id", F.lit(n)).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
