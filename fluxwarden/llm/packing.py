@@ -30,7 +30,7 @@ LENGTH = 2048
 END_ID = 1
 GROUP_SIZE = 10_000
 #: Bytes of text that a task encodes at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 PIECES = "id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
