@@ -10,7 +10,7 @@ from ..ml import metrics
 from ..operators import detectors, state, store
 from ..sources import adapters
 from ..sources.flowview import sparse_flows, table
-from .detection import DAY, FINGER, LATERAL, flat, with_tls
+from .detection import DAY, FINGER, LATERAL, flat, lateral, with_tls
 from .registry import query
 
 
@@ -171,9 +171,8 @@ def counter_rates(spark, sf_dir):
  select flow_id, 'ransomware' as threat_type, 'critical' as severity, round(least(0.99e0,0.70e0+(n-2)*0.10e0),3) as confidence, 'T1486,T1490,T1489,T1021.002,T1083' as mitre_ttps from k where n>=2 and epoch_us(ts)-last<=604800000000""")
 def ransomware_from_detectors(spark, sf_dir):
     f = with_tls(sparse_flows(spark, sf_dir))
-    lateral = detectors.lateral_movement(f, 7 * DAY, {445: 2, 3389: 2, 22: 3}, 4)
     c2 = detectors.tls_fingerprint(f).where("threat_type = 'blacklisted_tls_client'")
-    f = detectors.with_flag(detectors.with_flag(f, lateral, "lateral_hit"), c2, "c2_hit")
+    f = detectors.with_flag(detectors.with_flag(f, lateral(f), "lateral_hit"), c2, "c2_hit")
     return flat(detectors.ransomware(f, F.col("lateral_hit"), F.col("c2_hit"), window_s=DAY, gap_s=7 * DAY))
 
 
