@@ -31,7 +31,7 @@ def differences(spark, path, name):
     return len(rows), len(set(rows) ^ set(map(tuple, want))), len(want)
 
 
-@pytest.mark.parametrize("name", ["lateral_alerts", "ransomware_from_detectors"])
+@pytest.mark.parametrize("name", ["lateral_alerts", "alerts_in_order", "ransomware_from_detectors"])
 @pytest.mark.parametrize("first_user", [10, 65_534])
 def test_sources_beyond_the_last_address(spark, tmp_path, name, first_user):
     events(spark, tmp_path, many(first_user))
