@@ -113,7 +113,8 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     """``df`` plus a weight that gives every class the same mass."""
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     sizes = sizes.select(label, (F.sum("_n").over(Window.partitionBy()) / (F.count("*").over(Window.partitionBy()) * F.col("_n"))).alias("weight"))
-    return df.join(sizes, label)
+    # A row per class: without the hint the join may deal all rows by class, half of the table to a task.
+    return df.join(F.broadcast(sizes), label)
 
 
 def stage_one(df: DataFrame, label: str, c: float = 0.1):
@@ -167,9 +168,15 @@ def calibrated_by_folds(df: DataFrame, label: str, key: str, train, method: str
     return probability
 
 
+#: Rows of a part that ``diverse`` clusters: its tasks read their part, as objects of 200 to 300 bytes a row, in each step.
+PART_ROWS = 500_000
+
+
 def diverse(df: DataFrame, key: str, k: int, seed: int = 7) -> DataFrame:
-    """For each of k clusters the row nearest to its centre."""
-    model = KMeans(k=k, seed=seed).fit(df)
+    """For each of k clusters the row nearest to its centre. Beyond ``PART_ROWS`` rows they are dealt by key, so parts don't grow with the table, whatever its files."""
+    rows = df.count()
+    parts = df.select(key, "features").repartition(-(-rows // PART_ROWS), key) if rows > PART_ROWS else df
+    model = KMeans(k=k, seed=seed).fit(parts)
     centres = [c.tolist() for c in model.clusterCenters()]
     centre = F.get(F.array(*[F.array(*map(F.lit, c)) for c in centres]), F.col("prediction"))
     d = F.aggregate(F.zip_with(vector_to_array("features"), centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
