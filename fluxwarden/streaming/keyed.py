@@ -11,6 +11,7 @@ The processors need the RocksDB state store: ``use_rocksdb`` sets it for a sessi
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LATE = "10 minutes"
-#: Rows that are put into a waiting list at once.
+#: Rows of a page of a waiting list. A page is one value of the store: rows one by one cost a look-up and a conversion each, in and out.
 PAGE = 1000
 MICROS = 1_000_000
 
@@ -37,7 +38,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waits)
+        self.waiting = handle.getListState("waiting", "page binary")
         self.last = handle.getValueState("last", "us bigint")
         self.open(handle)
 
@@ -50,10 +51,10 @@ class InOrder(StatefulProcessor):
             page.append(tuple(r)[1:])  # without the key
             first = page[-1][0] if first is None else min(first, page[-1][0])
             if len(page) == PAGE:
-                self.waiting.appendList(page)
+                self.waiting.appendValue((pickle.dumps(page),))
                 page = []
         if page:
-            self.waiting.appendList(page)
+            self.waiting.appendValue((pickle.dumps(page),))
         if first is not None:
             self.handle.registerTimer(first // 1000 + 1)
         return iter(())
@@ -61,14 +62,15 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         due, left = [], []
-        for r in self.waiting.get():
-            (due if r[0] < now else left).append(tuple(r))
+        for (page,) in self.waiting.get():
+            for r in pickle.loads(page):
+                (due if r[0] < now else left).append(r)
         if due:
             due.sort(key=lambda r: r[:2])
             yield from self.steps(key[0], due)
             self.last.update((due[-1][0],))
             if left:
-                self.waiting.put(left)
+                self.waiting.put([(pickle.dumps(left[k : k + PAGE]),) for k in range(0, len(left), PAGE)])
                 self.handle.registerTimer(min(r[0] for r in left) // 1000 + 1)
             else:
                 self.waiting.clear()
@@ -163,7 +165,8 @@ class Buffer(InOrder):
 
 
 class FirstSeen(InOrder):
-    """Whether a value is new for a key that isn't new itself. Values are keys of a map state, so a row costs one look-up however many are known."""
+    """Whether a value is new for a key that isn't new itself. Values are keys of a map state; a value is looked up once for the rows that are due together,
+    however many are known."""
 
     def __init__(self, idle_s: float | None):
         super().__init__("us bigint, id bigint, value string", "", idle_s)
@@ -172,9 +175,12 @@ class FirstSeen(InOrder):
         self.known = handle.getMapState("known", "value string", "us bigint")
 
     def steps(self, key, due):
-        first = not self.last.exists()
+        first, met = not self.last.exists(), set()
+        fresh = first
         for us, at, value in due:
-            new = not self.known.containsKey((value,))
+            # A key without a time before has no values either.
+            new = value not in met and (fresh or not self.known.containsKey((value,)))
+            met.add(value)
             if new:
                 self.known.updateValue((value,), (us,))
             yield Row(key=key, id=at, new=new and not first)
