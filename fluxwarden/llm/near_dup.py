@@ -14,9 +14,9 @@ Two texts link when their sets of word shingles have Jaccard similarity of at le
    a pair fill over D pieces, or one does, some piece that agrees isn't empty. A set that fills fewer also gives its
    empty pieces, under a key that only such sets have.
 4. Candidates. In a bucket, a short run of equal entries gives all its pairs. A long one gives pairs of its hub, the run's
-   smallest node, with the others: as many rows as the run has nodes. Runs of one group mostly have the same hub, so its
-   many runs together give about one row per node. Entries that many nodes of one map task share are combined there: the task sends its smallest
-   node alone to the bucket and keeps the list, which learns the run's hub by a join. So a bucket sees a hot entry once per task.
+   smallest ref, with the others: as many rows as the run has refs. Runs of one group mostly have the same hub, so its
+   many runs together give about one row per ref. Entries that many texts of one batch share are combined there: the task sends their smallest
+   ref alone to the bucket and keeps the list, which learns the run's hub by a join. So a bucket sees a hot entry once per batch.
 5. Verification. A dense parity sketch of each node (a bit for each shingle, at least) has a Hamming distance that bounds the
    difference from below; pairs beyond D go. The others' shingle sets are read from the texts again and compared exactly.
 6. Components of the links by alternating minimum over neighbours and pointer jumping, in written rounds.
@@ -26,7 +26,9 @@ Two texts link when their sets of word shingles have Jaccard similarity of at le
    (eight bits a shingle), which gives the nodes that may still link; then by these nodes' shingle sets, nearest first, where a pair already
    joined is passed over. What comes out are links that join components, fewer than nodes, and components are brought up to date once.
 
-Entries travel as packed NumPy columns (bucket rows), never as a Spark row each. What can't be decided by a bounded
+Entries travel as packed NumPy columns (bucket rows), never as a Spark row each: 4 bytes of key and the gap to the place of the
+text before, a byte mostly, however many buckets there are. A place in its task (ref) becomes a node by a join, once pairs are made; copies
+give their entries once for a batch, and only those of one batch go on to the buckets. What can't be decided by a bounded
 step is decided by an exact one: there are no caps. Links inside a component are looked for only as far as the component needs
 them, so their number isn't told.
 
@@ -39,6 +41,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,14 +52,16 @@ from .tokens import slices
 
 SHINGLE = 5
 NUM, DEN = 80, 100
-#: Runs of up to so many nodes give all their pairs; longer ones go by step 4.
+#: Runs of up to so many refs give all their pairs; longer ones go by step 4.
 SHORT_RUN = 8
 #: Entries that a bucket is planned for; a bucket's memory is about 50 bytes each.
 BUCKET_ENTRIES = 1_000_000
-#: Nodes of a map task that share an entry, from which on they are combined.
+#: Texts of a batch that share an entry, from which on they are combined.
 COMBINE_FROM = 64
 #: Ids broadcast at most (8 bytes each); beyond that, the join shuffles.
 MAX_BROADCAST_IDS = 1_000_000
+#: Places of copies broadcast at most (4 bytes each).
+MAX_BROADCAST_PLACES = 8_000_000
 #: Shingles of a block of a family's nodes: a task compares two blocks, 8 bytes a shingle each.
 BLOCK_SHINGLES = 800_000
 #: What a task holds at once: bytes of text, and entries before they are packed.
@@ -149,14 +154,25 @@ def entries(sets: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndar
     return (np.concatenate(keys), np.concatenate(rows)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-SKETCHED = "kind int, id string, text_hash bigint, node bigint, second bigint, n bigint, sketch binary, wide binary, bucket int, keys binary, nodes binary, combined binary, key bigint"
+def packed_places(places: np.ndarray) -> bytes:
+    """Ascending places as gaps, of as few bytes each as the largest needs."""
+    gaps = np.diff(places, prepend=0)
+    return gaps.astype(np.min_scalar_type(int(gaps.max()))).tobytes()
+
+
+def unpacked_places(packed, count: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, f"u{memoryview(packed).nbytes // count}"), dtype=np.int64)
+
+
+SKETCHED = "kind int, id string, text_hash bigint, node bigint, second bigint, n bigint, sketch binary, wide binary, ref bigint, batch bigint, bucket int, keys binary, places binary, combined binary, key bigint, refs binary"
 
 
 def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col: str, text_col: str, shared: frozenset[int] = frozenset(), hash_bits: int = 64, combine_from: int = COMBINE_FROM) -> DataFrame:
-    """Rows of kind 0 are documents (id, text_hash, node, second, n, sketch), of kind 1 the entries of a batch for a bucket: keys
-    (u32), their nodes (i64), and whether a node stands for a combined list (u8); of kind 2 such lists: key (bucket and u32), nodes."""
+    """Rows of kind 0 are documents (id, text_hash, node, second, n, sketch, wide; ref: partition and place, for the first of its node
+    in a batch; batch: its first ref), of kind 1 the entries of a batch for a bucket: keys (u32), their places (gaps, from ``batch`` on), and whether a place stands for a
+    combined list (u8; null: none does); of kind 2 such lists: key (bucket and u32), refs (i64)."""
     fields = [f.strip().split(" ")[0] for f in SKETCHED.split(",")]
-    types = dict(zip(fields, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True))
+    types = dict(zip(fields, (pa.int32(), pa.string(), *[pa.int64()] * 4, *[pa.binary()] * 2, pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.int64(), pa.binary()), strict=True))
 
     def out(**columns):
         size = len(next(iter(columns.values())))
@@ -165,42 +181,44 @@ def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col:
     def run(batches):
         held: list = []
         held_rows = 0
+        given = first = TaskContext.get().partitionId() << 40  # next ref, and that of the batch's first text
+        seen = np.zeros(0, np.int64)
 
         def flush():
-            nonlocal held, held_rows
+            nonlocal held, held_rows, first, seen
             keys = np.concatenate([k for k, _ in held])
-            nodes = np.concatenate([x for _, x in held])
-            held, held_rows = [], 0
+            refs = np.concatenate([r for _, r in held])
+            base, first = first, given
+            held, held_rows, seen = [], 0, seen[:0]
             if not len(keys):
                 return
             bucket_of = lambda k: ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.lexsort((nodes, keys))
-            k, n = keys[order], nodes[order]
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])
-            order, k, n = order[new], k[new], n[new]
+            order = np.argsort(keys, kind="stable")  # refs ascend, so the first of equal keys has the smallest
+            k = keys[order]
             start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.append(start, len(k)))
             many = size >= combine_from
-            lists = {"key": [], "nodes": []}
+            lists = {"key": [], "refs": []}
             for at, count in zip(start[many].tolist(), size[many].tolist(), strict=True):
                 lists["key"].append(int(bucket_of(k[at])) << 32 | int(k[at] & np.uint64(0xFFFFFFFF)))
-                lists["nodes"].append(n[at : at + count].tobytes())
+                lists["refs"].append(refs[order[at : at + count]].tobytes())
             listed = np.repeat(many, size)
             keep = ~listed
-            keep[start] = True  # nodes are in order, so the first is the smallest
-            # The entries that go on keep their old order within a bucket: a text's entries stand together, and its node compresses well.
+            keep[start] = True
+            # The entries that go on keep the order of their texts within a bucket, so gaps between places are small.
             flags = np.zeros(len(keys), np.uint8)
             flags[order[keep]] = 1 + listed[keep]
-            places = np.flatnonzero(flags)
-            bucket = bucket_of(keys[places]).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+            at = np.flatnonzero(flags)
+            bucket = bucket_of(keys[at]).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
             sorted_ = np.argsort(bucket, kind="stable")
-            places, bucket = places[sorted_], bucket[sorted_].astype(np.int32)
-            low, nodes, combined = keys[places].astype(np.uint32), nodes[places], flags[places] - 1
+            at, bucket = at[sorted_], bucket[sorted_].astype(np.int32)
+            low, places, combined = keys[at].astype(np.uint32), refs[at] - base, flags[at] - 1
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            raw = {"bucket": bucket[cuts], "keys": [], "nodes": [], "combined": []}
+            raw = {"batch": np.full(len(cuts), base), "bucket": bucket[cuts], "keys": [], "places": [], "combined": []}
             for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
-                for name, column in (("keys", low), ("nodes", nodes), ("combined", combined)):
-                    raw[name].append(column[a:z].tobytes())
+                raw["keys"].append(low[a:z].tobytes())
+                raw["places"].append(packed_places(places[a:z]))
+                raw["combined"].append(combined[a:z].tobytes() if combined[a:z].any() else None)
             yield out(kind=np.ones(len(cuts), np.int32), **raw)
             if lists["key"]:
                 yield out(kind=np.full(len(lists["key"]), 2, np.int32), **lists)
@@ -209,14 +227,20 @@ def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col:
             for b in slices(batch, 2, SLICE_BYTES):
                 sets, bounds = shingle_sets(b.column(2), shingle)
                 nodes, second = node_ids(sets, bounds, shared, hash_bits)
-                yield out(kind=np.zeros(b.num_rows, np.int32), id=b.column(0), text_hash=b.column(1), node=nodes, second=second, n=np.diff(bounds), sketch=dense_sketches(sets, bounds), wide=dense_sketches(sets, bounds, 8))
-                # Copies within a slice give their entries once.
+                # Copies within a batch of entries give theirs once.
                 _, one = np.unique(nodes, return_index=True)
-                one = np.sort(one)
+                one = np.sort(one[~np.isin(nodes[one], seen)])
+                own_refs = given + np.arange(len(one))
+                ref = np.full(b.num_rows, -1)
+                ref[one] = own_refs
+                yield out(kind=np.zeros(b.num_rows, np.int32), id=b.column(0), text_hash=b.column(1), node=nodes, second=second, n=np.diff(bounds), sketch=dense_sketches(sets, bounds), wide=dense_sketches(sets, bounds, 8), ref=pa.array(ref, mask=ref < 0), batch=np.full(b.num_rows, first))
+                given += len(one)
+                seen = np.concatenate([seen, nodes[one]])
                 pick = [sets[bounds[i] : bounds[i + 1]] for i in one]
                 own_bounds = np.concatenate([[0], np.cumsum([len(p) for p in pick])]).astype(np.int64)
-                keys, rows = entries(np.concatenate(pick) if pick else sets, own_bounds, bands)
-                held.append((keys, nodes[one][rows] if len(rows) else np.zeros(0, np.int64)))
+                keys, rows = entries(np.concatenate(pick) if pick else sets[:0], own_bounds, bands)
+                by_text = np.argsort(rows, kind="stable")
+                held.append((keys[by_text], own_refs[rows[by_text]]))
                 held_rows += len(keys)
                 if held_rows >= HELD_ENTRIES:
                     yield from flush()
@@ -228,18 +252,56 @@ def sketched(docs: DataFrame, bands: Bands, buckets: int, shingle: int, id_col:
     return d.mapInArrow(run, SKETCHED)
 
 
+def without_copies(found: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The entries (kind 1) without those of texts whose node has a smaller ref, in another batch; those that stand for a list stay."""
+    names = ["batch", "bucket", "keys", "places", "combined"]
+    found = found.select(*names)
+    copies = own.where("ref is not null").select("node", "ref", "batch").join(nodes.select("node", "first_ref"), "node").where("ref != first_ref")
+    copies = copies.groupBy("batch").agg(F.sort_array(F.collect_list((F.col("ref") - F.col("batch")).cast("int"))).alias("copies"))
+    copies = written(copies, "copies", rebalance=True)
+    if (copies.agg(F.sum(F.size("copies"))).first()[0] or 0) > MAX_BROADCAST_PLACES:
+        return found  # the same pairs come out, more often
+
+    def run(batches):
+        for t in batches:
+            rows = []
+            for batch, bucket, keys, places, combined, gone in zip(*t.columns, strict=True):
+                k, flags = keys.as_buffer(), combined.as_buffer() if combined.is_valid else None
+                if gone.is_valid:
+                    k = np.frombuffer(k, np.uint32)
+                    p, g = unpacked_places(places.as_buffer(), len(k)), gone.values.to_numpy()
+                    keep = g[np.minimum(np.searchsorted(g, p), len(g) - 1)] != p
+                    if flags is not None:
+                        flags = np.frombuffer(flags, np.uint8)
+                        keep |= flags > 0
+                        flags = flags[keep].tobytes()
+                    if not keep.any():
+                        continue
+                    k, places = k[keep].tobytes(), packed_places(p[keep])
+                else:
+                    k, places = k.to_pybytes(), places.as_py()
+                    flags = flags and flags.to_pybytes()
+                rows.append((batch.as_py(), bucket.as_py(), k, places, flags))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), *[pa.binary()] * 3))], names=names)
+
+    return found.join(F.broadcast(copies), "batch", "left").mapInArrow(run, "batch bigint, bucket int, keys binary, places binary, combined binary")
+
+
 CANDIDATES = "a bigint, b bigint, hub boolean, key bigint"
 
 
 def _candidates(table: pa.Table, short_run: int) -> pa.Table:
-    """Equal entries of a bucket as pairs a < b: all of a short run, those with its smallest node (the hub) of a long one or one with combined lists; for
-    the lists, also the hub (a) of their key."""
-    key, node, listed = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]]) for c, kind in (("keys", np.uint32), ("nodes", np.int64), ("combined", np.uint8)))
-    order = np.lexsort((node, key))
-    key, node, listed = key[order], node[order], listed[order]
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])]))
+    """Equal entries of a bucket as pairs of refs a < b: all of a short run, those with its smallest ref (the hub) of a long one or one with combined
+    lists; for the lists, also the hub (a) of their key."""
+    keys = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["keys"]]
+    ref = np.concatenate([base + unpacked_places(x.as_buffer(), len(k)) for base, x, k in zip(table["batch"].to_pylist(), table["places"], keys, strict=True)])
+    listed = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid else np.zeros(len(k), np.uint8) for x, k in zip(table["combined"], keys, strict=True)])
+    key = np.concatenate(keys)
+    order = np.lexsort((ref, key))
+    key, ref, listed = key[order], ref[order], listed[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])]))
     listed = np.maximum.reduceat(listed, new)
-    key, node = key[new], node[new]
+    key, ref = key[new], ref[new]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
     some_listed = np.maximum.reduceat(listed, start) > 0
@@ -249,17 +311,17 @@ def _candidates(table: pa.Table, short_run: int) -> pa.Table:
         at = start[size_or_long == k]
         for i in range(k):
             for j in range(i + 1, k):
-                a.append(node[at + i])
-                b.append(node[at + j])
+                a.append(ref[at + i])
+                b.append(ref[at + j])
     short = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
     long = np.repeat(size_or_long > short_run, size)
-    hub, first = np.repeat(node[start], size), np.repeat(start, size) == np.arange(len(node))
-    star = np.unique(np.stack([hub, node], 1)[long & ~first], axis=0)
+    hub, first = np.repeat(ref[start], size), np.repeat(start, size) == np.arange(len(ref))
+    star = np.unique(np.stack([hub, ref], 1)[long & ~first], axis=0)
     of = start[some_listed]
     bucket = table["bucket"][0].as_py()
     n = len(short) + len(star)
     out = pa.table({
-        "a": np.concatenate([short[:, 0], star[:, 0], node[of]]), "b": pa.concat_arrays([pa.array(np.concatenate([short[:, 1], star[:, 1]])), pa.nulls(len(of), pa.int64())]),
+        "a": np.concatenate([short[:, 0], star[:, 0], ref[of]]), "b": pa.concat_arrays([pa.array(np.concatenate([short[:, 1], star[:, 1]])), pa.nulls(len(of), pa.int64())]),
         "hub": np.repeat([False, True], [len(short), len(star) + len(of)]), "key": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array((np.int64(bucket) << np.int64(32)) | key[of].astype(np.int64))]),
     })
     give_back()
@@ -267,15 +329,22 @@ def _candidates(table: pa.Table, short_run: int) -> pa.Table:
 
 
 def _spread(batches):
-    """hub, nodes (a combined list) to pairs of the hub with each node, once for each batch of lists."""
+    """hub, refs (a combined list) to pairs of the hub with each ref, once for each batch of lists."""
     for t in batches:
-        lists = [np.frombuffer(x.as_buffer(), np.int64) for x in t.column("nodes")]
-        hub, node = np.repeat(t.column("hub").to_numpy(), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists])
-        pairs = np.unique(np.stack([hub, node], 1)[hub != node], axis=0)
+        lists = [np.frombuffer(x.as_buffer(), np.int64) for x in t.column("refs")]
+        hub, ref = np.repeat(t.column("hub").to_numpy(), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists])
+        pairs = np.unique(np.stack([hub, ref], 1)[hub != ref], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.ones(len(pairs), bool))], names=["a", "b", "hub"])
     give_back()
 
 
+def of_nodes(pairs: DataFrame, refs: DataFrame) -> DataFrame:
+    """Pairs of refs (a, b, hub) as pairs of different nodes, each once."""
+    for side in "ab":
+        pairs = pairs.join(refs.select(F.col("ref").alias(side), F.col("node").alias(f"n{side}")), side)
+    return pairs.where("na != nb").groupBy(F.col("na").alias("a"), F.col("nb").alias("b")).agg(F.max("hub").alias("hub"))
+
+
 def _may_link(na: Column, nb: Column, num: int, den: int) -> Column:
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num)
 
@@ -320,7 +389,7 @@ def shingles_of(needed: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: i
                 yield pa.RecordBatch.from_arrays([pa.array(node_ids(sets, bounds, shared, hash_bits)[0]), lists], names=["node", "shingles"])
         give_back()
 
-    return written(texts.select("key", "text").mapInArrow(run, "node bigint, shingles array<bigint>"), "sets", rebalance=True).dropDuplicates(["node"])
+    return written(texts.select("key", "text").mapInArrow(run, "node bigint, shingles array<bigint>"), "sets").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, bands: Bands, read_sets) -> DataFrame:
@@ -422,7 +491,8 @@ def _joining_links(bands: Bands):
 
 def in_blocks(family: DataFrame, bands: Bands, payload: DataFrame, compare, schema: str) -> DataFrame:
     """``compare`` over blocks of the families (hub, node, root, n) that hold several components: nodes outside the largest
-    component (side 0) with all nodes (side 1). ``payload`` has a column for each node, such as its sketch."""
+    component (side 0) with all nodes (side 1). ``payload`` has a column for each node, such as its sketch, and may
+    hold a node more than once."""
     of_root = family.groupBy("hub", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     mixed = of_root.groupBy("hub").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("s").alias("all"), (F.sum("s") - F.max_by("s", F.struct("c", "root"))).alias("rest"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_SHINGLES)).cast("int")
@@ -435,7 +505,7 @@ def in_blocks(family: DataFrame, bands: Bands, payload: DataFrame, compare, sche
     left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda k: F.struct(place("lefts").alias("i"), k.alias("j"), F.lit(0).alias("side")))
     right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda k: F.struct(k.alias("i"), place("rights").alias("j"), F.lit(1).alias("side")))
     d = d.select("hub", "node", "root", "n", "outside", F.explode(F.when(F.col("outside"), F.concat(left, right)).otherwise(right)).alias("at"))
-    d = d.join(payload, "node").select("hub", "at.*", *[c for c in d.columns if c not in ("hub", "at")], *[c for c in payload.columns if c != "node"])
+    d = d.join(payload.dropDuplicates(["node"]), "node").select("hub", "at.*", *[c for c in d.columns if c not in ("hub", "at")], *[c for c in payload.columns if c != "node"])
     return d.groupBy("hub", "i", "j").applyInArrow(compare, schema)
 
 
@@ -447,10 +517,10 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     shared: frozenset[int] = frozenset()
     while True:
         both = written(sketched(docs, bands, buckets, shingle, id_col, text_col, shared, hash_bits, combine_from), "sketches")
-        own = both.where("kind = 0").select("id", "text_hash", "node", "second", "n", "sketch", "wide")
+        own = both.where("kind = 0").select("id", "text_hash", "node", "second", "n", "sketch", "wide", "ref", "batch")
         nodes = own.where("n > 0").groupBy("node").agg(
-            F.min(F.col("id").cast(id_type)).alias("first_id"), F.min(_key(F.col("id"), F.col("text_hash"))).alias("first_key"), F.first("n").alias("n"),
-            F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), (F.min("second") != F.max("second")).alias("shared"),
+            F.min(F.col("id").cast(id_type)).alias("first_id"), F.min(_key(F.col("id"), F.col("text_hash"))).alias("first_key"), F.first("n").alias("n"), F.min("ref").alias("first_ref"),
+            F.first("sketch").alias("sketch"), (F.min("second") != F.max("second")).alias("shared"),
         )
         nodes = written(nodes, "nodes")
         # Two sets with one 64-bit hash: about one such node in 10 ** 9.5 texts. The work begins anew with other ids for those.
@@ -458,18 +528,19 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             break
         shared |= {r["node"] for r in found}
     read_sets = lambda needed: shingles_of(needed, nodes, docs, shingle, id_col, text_col, shared, hash_bits)
-    found = both.where("kind = 1").select("bucket", "keys", "nodes", "combined").groupBy("bucket").applyInArrow(lambda t: _candidates(t, short_run), CANDIDATES)
-    found = written(found, "found", rebalance=True)
-    lists = both.where("kind = 2").select("key", "nodes").join(found.where("key is not null").select("key", F.col("a").alias("hub")), "key")
-    every = found.where("key is null").select("a", "b", "hub").unionByName(lists.select("hub", "nodes").mapInArrow(_spread, "a bigint, b bigint, hub boolean"))
-    found = written(every.groupBy("a", "b").agg(F.max("hub").alias("hub")), "candidates", rebalance=True)
-    pairs = written(filtered(found.select("a", "b"), nodes, bands), "pairs", rebalance=True)
+    found = without_copies(both.where("kind = 1"), own, nodes).groupBy("bucket").applyInArrow(lambda t: _candidates(t, short_run), CANDIDATES)
+    found = written(found, "found")
+    lists = both.where("kind = 2").select("key", "refs").join(found.where("key is not null").select("key", F.col("a").alias("hub")), "key")
+    every = found.where("key is null").select("a", "b", "hub").unionByName(lists.select("hub", "refs").mapInArrow(_spread, "a bigint, b bigint, hub boolean"))
+    refs = own.where("ref is not null").select("ref", "node")
+    found = written(of_nodes(every.groupBy("a", "b").agg(F.max("hub").alias("hub")), refs), "candidates", rebalance=True)
+    pairs = written(filtered(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, bands), "pairs", rebalance=True)
     roots = components(written(verified(pairs, bands, read_sets), "links", rebalance=True))
     stars = found.where("hub").select(F.col("a").alias("hub"), F.col("b").alias("node"))
     if stars.limit(1).count():
         placed = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
         family = written(stars.unionByName(stars.select("hub", F.col("hub").alias("node")).distinct()).join(placed, "node"), "family", rebalance=True)
-        open_ = written(in_blocks(family, bands, nodes.select("node", "wide"), _may_still_link(bands), "hub bigint, node bigint").distinct(), "open", rebalance=True)
+        open_ = written(in_blocks(family, bands, own.where("ref is not null").select("node", "wide"), _may_still_link(bands), "hub bigint, node bigint").distinct(), "open", rebalance=True)
         if open_.limit(1).count():
             joined = in_blocks(family.join(open_, ["hub", "node"]), bands, read_sets(open_), _joining_links(bands), "a bigint, b bigint")
             joined = written(joined, "links", rebalance=True)
@@ -483,7 +554,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_node = nodes.select("node", "first_id").join(linked.select("node", "root"), "node", "left").join(least, "root", "left")
     of_node = of_node.select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = own.drop("sketch", "wide", "second").join(of_node, "node", "left")
+    out = own.drop("sketch", "wide", "second", "ref", "batch").join(of_node, "node", "left")
     id_ = F.col("id").cast(id_type)
     return out.select(id_.alias("id"), "text_hash", "node", F.col("n").alias("n_shingles"), F.coalesce("component_id", id_).alias("component_id"))
 

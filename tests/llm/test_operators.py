@@ -480,6 +480,43 @@ def test_near_duplicates_large_group_stays_linear(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0} and max(made.values()) <= 20 * 3000, made
 
 
+def test_entries_take_as_many_bytes_in_any_number_of_buckets(spark):
+    """An entry carried its text's 64-bit node, which compresses the less the more buckets there are."""
+    d = spark.createDataFrame([(i, " ".join(words(9000 + i, 150, 5000)), "en") for i in range(400)], SCHEMA).coalesce(1)
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("keys", "places" if "places" in near_dup.SKETCHED else "nodes", "combined")), F.lit(0))
+    for buckets in (4, 4096):
+        entries = near_dup.sketched(d, near_dup.Bands(), buckets, 5, "doc_id", "text").where("kind = 1")
+        made, keys = entries.agg(F.sum(size), F.sum(F.octet_length("keys"))).first()
+        assert keys / 4 > 400 * 50 and made / (keys / 4) < 5.5, (buckets, made, keys)
+
+
+def test_copies_in_many_batches_make_no_candidates(spark, monkeypatch):
+    """Each text is a batch; copies of one text share all entries, and would come out of every bucket."""
+    monkeypatch.setattr(near_dup, "HELD_ENTRIES", 1)
+    monkeypatch.setattr(near_dup, "SLICE_BYTES", 1)
+    made = []
+
+    def counted(df, label, rebalance=False, write=near_dup.written):
+        out = write(df, label, rebalance)
+        if label == "found":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "written", counted)
+    text = " ".join(words(78, 100, 5000))
+    got = near_dup.cluster(spark.createDataFrame([(i, text, "en") for i in range(30)], SCHEMA)).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 30 and made == [0]
+
+
+def test_places_packed():
+    rng = np.random.default_rng(3)
+    for gap, width in ((1, 1), (255, 1), (256, 2), (65_535, 2), (65_536, 4)):
+        places = np.cumsum(np.append(rng.integers(0, gap + 1, 50), gap))
+        packed = near_dup.packed_places(places)
+        assert near_dup.unpacked_places(packed, 51).tolist() == places.tolist() and len(packed) == 51 * width
+    assert near_dup.unpacked_places(near_dup.packed_places(np.array([0])), 1).tolist() == [0]
+
+
 def test_parity_sketch_bounds():
     rng = np.random.default_rng(2)
     for _ in range(50):
